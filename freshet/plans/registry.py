@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from freshet.plans import reads
+from freshet.plans import changes, health, reads
 
-MODULES = (reads,)
+MODULES = (reads, changes, health)
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
