@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import vocab
-from freshet.functions.text import fold, squeeze
+from freshet.functions.text import WORD_END, WORD_START, fold, squeeze
 
 
-def word_pattern(words: tuple[str, ...]) -> str:
+def word_pattern(words: tuple[str, ...], start: str = WORD_START, end: str = WORD_END) -> str:
     """One alternation; see `vocab.DEPARTMENT_WORDS` for the word notation."""
     def one(word: str) -> str:
         if word.endswith("*"):
             return re.escape(word[:-1])
         if word.endswith(">"):
-            return re.escape(word[:-1]) + r"\b"
-        return r"\b" + re.escape(word) + r"\b"
+            return re.escape(word[:-1]) + end
+        return start + re.escape(word) + end
 
     return "|".join(one(w) for w in words)
 

@@ -14,6 +14,9 @@ from pyspark.sql.types import StringType
 
 from freshet.functions.vocab import KEPT_LETTERS
 
+# Word edges between ASCII letters, digits and underscore; the regex engine's own edge also looks
+# at other letters.
+WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 ASCII_ONLY = r"\A\p{ASCII}*\z"
 _KEPT = str.maketrans(KEPT_LETTERS)
 

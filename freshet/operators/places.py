@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import vocab
 from freshet.functions.scalars import place_text
-from freshet.functions.text import fold, squeeze
+from freshet.functions.text import WORD_END, WORD_START, fold, squeeze
 from freshet.operators.listing import Place
 from freshet.operators.skew import salted_join
 
@@ -20,7 +20,7 @@ GAZETTEER = (
 FUZZY_MIN_LENGTH = 5
 
 # Patterns of place text.
-REMOTE = r"\bremote\b|^(?:anywhere|work from home|wfh)\b|^distributed$"
+REMOTE = rf"{WORD_START}remote{WORD_END}|^(?:anywhere|work from home|wfh){WORD_END}|^distributed$"
 SEGMENT_BREAK = r"[,/•|;—–]+|\s+-\s+"
 OFFICE_BREAK = r"\s*[;•|]\s*|\s+/\s+"
 STREET = r"^\d+\s+\w+"
@@ -104,6 +104,13 @@ def _exact(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
+def _grams(width: int) -> Column:
+    """Runs of `width` words in column `words`."""
+    starts = F.when(F.size("words") >= width, F.sequence(F.lit(1), F.size("words") - (width - 1)))
+    none = F.array().cast("array<int>")
+    return F.transform(F.coalesce(starts, none), lambda i: F.array_join(F.slice("words", i, width), " "))
+
+
 def _fuzzy(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Longest city alias that stands in the text as whole words.
 
@@ -115,15 +122,9 @@ def _fuzzy(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     longest = aliases.agg(F.max(F.size("words"))).first()[0] or 1
     aliases = aliases.select("token", "city", "city_country", "ord", F.array_join("words", " ").alias("gram"))
     words = texts.select("raw", "lowered", F.regexp_extract_all("lowered", F.lit(r"(\w+)"), 1).alias("words"))
-    grams = F.concat(*[
-        F.transform(
-            F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.array_join(F.slice("words", i, n), " "),
-        )
-        for n in range(1, longest + 1)
-    ])
+    grams = F.concat(*[_grams(n) for n in range(1, longest + 1)])
     candidates = words.select("raw", "lowered", F.explode(F.array_distinct(grams)).alias("gram")).join(aliases, "gram")
-    stands = F.regexp_like("lowered", F.concat(F.lit(r"\b\Q"), F.col("token"), F.lit(r"\E\b")))
+    stands = F.regexp_like("lowered", F.concat(F.lit(WORD_START + r"\Q"), F.col("token"), F.lit(r"\E" + WORD_END)))
     return candidates.filter(stands).groupBy("raw").agg(
         F.max_by(F.struct("city", "city_country"), F.struct(F.length("token"), -F.col("ord"))).alias("fuzzy")
     )

@@ -93,11 +93,15 @@ def _term_filter(phrases: Sequence[Phrase]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _moved_back(positions: Column, step: int) -> Column:
+    return F.transform(positions, lambda p: p - step)
+
+
 def _occurrences(phrase: Phrase, places: dict[str, Column]) -> Column:
     """How often a phrase stands in one field of one document."""
     starts = places[phrase.terms[0]]
     for step, term in enumerate(phrase.terms[1:], start=1):
-        starts = F.array_intersect(starts, F.transform(places[term], lambda p, step=step: p - step))
+        starts = F.array_intersect(starts, _moved_back(places[term], step))
     return F.coalesce(F.size(starts), F.lit(0)).cast("long")
 
 
