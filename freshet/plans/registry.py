@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from freshet.plans import changes, health, reads, texts
+from freshet.plans import changes, feeds, health, reads, texts
 
-MODULES = (reads, changes, health, texts)
+MODULES = (reads, changes, health, texts, feeds)
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
