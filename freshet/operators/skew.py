@@ -15,6 +15,15 @@ HOT_GROUPS = 1000
 MAX_SALTS = 512
 
 
+BROADCAST_ROWS = 200_000  # of a few short columns
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, else as it is for a shuffle join."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def salted_join(
     rows: DataFrame,
     groups: DataFrame,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freshet.functions.classify import department_dictionary
 from freshet.plans.binding import DAYS, POSTINGS_SQL, as_of, postings, stamp
 from freshet.plans.texts import TITLE_DEPARTMENT
-from freshet.session import read_table
+from freshet.session import cut, read_table
 from freshet.sources import feeds
 from freshet.sources.ingest import Ingested, ingest, last_per_id
 
@@ -95,28 +95,34 @@ def _posting_json(provider: str) -> Column:
     )
 
 
-def landed(rows: DataFrame, provider: str) -> DataFrame:
-    """Pages of at most 100 postings; one board's first page is cut off in the middle."""
+def landed(rows: DataFrame, turns: dict[str, Column]) -> DataFrame:
+    """Pages of at most 100 postings; one board's first page is cut off in the middle.
+
+    `turns` says which rows each provider sends; a row may go to several.
+    """
+    sent = F.array(*[F.when(turn, F.struct(F.lit(name).alias("provider"), _posting_json(name).alias("json"))) for name, turn in turns.items()])
+    rows = rows.withColumn("sent", F.explode(F.filter(sent, lambda s: s.isNotNull()))).select("*", "sent.provider", "sent.json")
     hundred = F.floor(F.col("num") / PER_PAGE)
     board = F.concat(F.lit("b"), F.pmod(hundred, F.lit(FEED_BOARDS)).cast("string"))
     page = F.floor(hundred / FEED_BOARDS).cast("int")
     listed = F.array_sort(F.collect_list(F.struct("num", "json")))
-    pages = rows.select(board.alias("board"), page.alias("page"), "num", _posting_json(provider).alias("json")).groupBy("board", "page").agg(
+    pages = rows.select("provider", board.alias("board"), page.alias("page"), "num", "json").groupBy("provider", "board", "page").agg(
         F.concat(F.lit("["), F.array_join(F.transform(listed, lambda p: p["json"]), ","), F.lit("]")).alias("items")
     )
     items = F.col("items")
-    body = {
-        "lever": items,
-        "smartrecruiters": F.concat(F.lit(f'{{"totalFound":{TOTAL_FOUND},"content":'), items, F.lit("}")),
-    }.get(provider, F.concat(F.lit('{"jobs":'), items, F.lit("}")))
+    body = (
+        F.when(F.col("provider") == "lever", items)
+        .when(F.col("provider") == "smartrecruiters", F.concat(F.lit(f'{{"totalFound":{TOTAL_FOUND},"content":'), items, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"jobs":'), items, F.lit("}")))
+    )
     broken = (F.col("board") == BROKEN_BOARD) & (F.col("page") == 0)
     body = F.when(broken, F.left(body, F.lit(50))).otherwise(body)
     etag = F.when(F.crc32("board") % 4 == 0, F.concat(F.lit("etag-"), "board"))
-    return pages.select(F.lit(provider).alias("provider"), "board", "page", etag.alias("validator"), body.alias("body"))
+    return pages.select("provider", "board", "page", etag.alias("validator"), body.alias("body"))
 
 
 def read(spark: SparkSession, sf: str, provider: str) -> DataFrame:
-    rows = feeds.read_feed(landed(postings(spark, sf), provider), provider)
+    rows = feeds.read_feeds(cut(landed(postings(spark, sf), {provider: F.lit(True)})), [provider])
     return rows.select(
         "id", "title", "company", "location", F.array_join("locations", "|").alias("locations"), "department",
         F.array_join("hints", "|").alias("hints"), "url", stamp("posted_at").alias("posted_at"), "source", "salary", "is_remote",
@@ -190,8 +196,8 @@ def parse_workable(spark, sf):
 
 
 def each(spark: SparkSession, sf: str, run) -> DataFrame:
-    rows = postings(spark, sf)
-    return reduce(DataFrame.unionByName, [run(landed(rows, name), name) for name in feeds.PROVIDERS])
+    pages = cut(landed(postings(spark, sf), {name: F.lit(True) for name in feeds.PROVIDERS}))
+    return reduce(DataFrame.unionByName, [run(pages, name) for name in feeds.PROVIDERS])
 
 
 NAMES = "providers(provider, field) AS (VALUES ('greenhouse', 'title'), ('lever', 'text'), ('ashby', 'title'), ('smartrecruiters', 'name'), ('workable', 'title'))"
@@ -222,7 +228,7 @@ def failed_boards(spark, sf):
 @query(f"{WITH}, {PAGED_SQL} SELECT DISTINCT feed_board AS board, page FROM paged WHERE page % 2 <> 0 OR CAST(substr(feed_board, 2) AS INT) % 3 = 0")
 def unchanged_snapshot(spark, sf):
     """Even pages were seen before, but boards with a number divisible by three have changed since."""
-    pages = landed(postings(spark, sf), "ashby")
+    pages = landed(postings(spark, sf), {"ashby": F.lit(True)})
     mark = F.coalesce("validator", F.sha2("body", 256))
     number = F.substr("board", F.lit(2)).cast("int")
     seen = pages.filter(F.col("page") % 2 == 0).select("board", "page", F.when(number % 3 == 0, F.lit("old")).otherwise(mark).alias("mark"))
@@ -254,11 +260,8 @@ def feed_registry(pages: DataFrame) -> DataFrame:
 
 def ingested(spark: SparkSession, sf: str) -> Ingested:
     """Every order goes through one of the five feeds."""
-    rows = postings(spark, sf)
-    parts = {name: rows.filter(F.col("num") % 5 == i) for i, name in enumerate(feeds.PROVIDERS)}
-    pages = reduce(DataFrame.unionByName, [landed(part, name) for name, part in parts.items()])
-    raw = feeds.read_all(pages)
-    return ingest(raw, feed_registry(pages), place_dictionary(spark, sf), department_dictionary(spark), as_of(spark, sf), DAYS)
+    pages = cut(landed(postings(spark, sf), {name: F.col("num") % 5 == i for i, name in enumerate(feeds.PROVIDERS)}))
+    return ingest(feeds.read_feeds(pages), feed_registry(pages), place_dictionary(spark, sf), department_dictionary(spark), as_of(spark, sf), DAYS)
 
 
 _ORDER = ", ".join(f"('{name}', '{prefix}', {i})" for i, (name, prefix) in enumerate(

@@ -6,7 +6,7 @@ number is not taken for a string; each posting is checked alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from freshet.functions import vocab
 from freshet.functions.scalars import parse_date, salary_range
 from freshet.operators.places import split_offices
+from freshet.operators.skew import checked_broadcast
 
 LANDED = "provider string, board string, page int, validator string, body string"
 POSTING_COLUMNS = (
@@ -31,11 +32,23 @@ def text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def kind(v: Column) -> Column:
-    """STRING, NUMBER, BOOLEAN, OBJECT, ARRAY, VOID, or null when absent."""
-    name = F.schema_of_variant(v)
-    number = name.rlike("^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
-    return F.when(number, F.lit("NUMBER")).otherwise(F.regexp_extract(name, "^([A-Z]+)", 1))
+NUMBERS = "^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
+def _is_type(found: Column, name: str) -> Column:
+    """Whether a variant's schema text is of a JSON type."""
+    if name == "NUMBER":
+        return found.rlike(NUMBERS)
+    return found == name if name in ("STRING", "BOOLEAN") else found.startswith(name)
+
+
+def is_a(v: Column, name: str) -> Column:
+    """False for another type, for null and for an absent value."""
+    return F.coalesce(_is_type(F.schema_of_variant(v), name), F.lit(False))
+
+
+def is_absent(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "VOID", F.lit(True))
 
 
 @dataclass(frozen=True)
@@ -44,11 +57,14 @@ class Check:
     type: str
     optional: bool = False
 
-    def reason(self, v: Column) -> Column:
-        found = kind(at(v, f"$.{self.path}"))
-        absent = found.isNull() | (found == "VOID")
-        bad = (~absent & (found != self.type)) if self.optional else (absent | (found != self.type))
-        return F.when(bad, F.lit(f"{self.path}: expected {self.type.lower()}"))
+    def found(self, v: Column) -> Column:
+        return F.schema_of_variant(at(v, f"$.{self.path}"))
+
+    def reason(self, found: Column) -> Column:
+        """Why a value of the found type fails; null when it does not."""
+        absent = F.lit(self.optional)
+        fits = F.when(found.isNull() | (found == "VOID"), absent).otherwise(_is_type(found, self.type))
+        return F.when(~fits, F.lit(f"{self.path}: expected {self.type.lower()}"))
 
 
 @dataclass(frozen=True)
@@ -96,9 +112,9 @@ def _metadata(v: Column) -> Column:
 
 
 def _range_text(m: Column) -> Column:
-    numbers = (kind(at(m, "$.value.min")) == "NUMBER") & (kind(at(m, "$.value.max")) == "NUMBER")
-    money = kind(at(m, "$.value.currency"))
-    fine = numbers & (money.isNull() | money.isin("VOID", "STRING"))
+    money = at(m, "$.value.currency")
+    numbers = is_a(at(m, "$.value.min"), "NUMBER") & is_a(at(m, "$.value.max"), "NUMBER")
+    fine = numbers & (is_absent(money) | is_a(money, "STRING"))
     low, high = F.try_variant_get(m, "$.value.min", "double"), F.try_variant_get(m, "$.value.max", "double")
     return F.when(fine, salary_range(low, high, text(m, "$.value.currency")))
 
@@ -134,15 +150,14 @@ def _greenhouse(v: Column, board: Column) -> dict[str, Column]:
 
 
 def _greenhouse_fields_ok(v: Column) -> list[Column]:
-    shape = kind(at(v, "$.metadata"))
-    given = shape.isNotNull() & (shape != "VOID")
+    fields = at(v, "$.metadata")
 
     def broken(m: Column) -> Column:
-        type_kind = kind(at(m, "$.value_type"))
-        return (F.coalesce(kind(at(m, "$.name")), F.lit("")) != "STRING") | ~F.coalesce(type_kind, F.lit("VOID")).isin("VOID", "STRING")
+        value_type = at(m, "$.value_type")
+        return ~is_a(at(m, "$.name"), "STRING") | ~(is_absent(value_type) | is_a(value_type, "STRING"))
 
     return [
-        F.when(given & (shape != "ARRAY"), F.lit("metadata: expected array")),
+        F.when(~is_absent(fields) & ~is_a(fields, "ARRAY"), F.lit("metadata: expected array")),
         F.when(F.exists(_metadata(v), broken), F.lit("metadata: expected named fields")),
     ]
 
@@ -223,8 +238,8 @@ def _workable_dated(v: Column) -> list[Column]:
 
 def _label_ok(path: str) -> Callable[[Column], Column]:
     def check(v: Column) -> Column:
-        label = kind(at(v, f"$.{path}.label"))
-        return F.when(label.isNotNull() & (label != "STRING"), F.lit(f"{path}.label: expected string"))
+        label = F.schema_of_variant(at(v, f"$.{path}.label"))
+        return F.when(label != "STRING", F.lit(f"{path}.label: expected string"))
     return check
 
 
@@ -280,14 +295,13 @@ def pages(landed: DataFrame, spec: Provider) -> DataFrame:
     """Parsed pages of one provider with a flag for a broken envelope."""
     own = landed.filter(F.col("provider") == spec.name).withColumn("v", F.try_parse_json("body"))
     items = F.try_variant_get("v", spec.envelope, "array<variant>")
-    envelope_kind = kind(at(F.col("v"), spec.envelope))
-    broken = F.col("v").isNull() | (F.coalesce(envelope_kind, F.lit("")) != "ARRAY")
+    listed = at(F.col("v"), spec.envelope)
+    broken = ~is_a(listed, "ARRAY")
     if spec.envelope_optional:
-        missing = (kind(F.col("v")) == "OBJECT") & (envelope_kind.isNull() | (envelope_kind == "VOID"))
-        broken = broken & ~F.coalesce(missing, F.lit(False))
+        broken = broken & ~(is_a(F.col("v"), "OBJECT") & is_absent(listed))
     for check in spec.envelope_checks:
-        broken = broken | check.reason(F.col("v")).isNotNull()
-    return own.select("provider", "board", "page", "validator", "v", items.alias("items"), F.coalesce(broken, F.lit(True)).alias("broken"))
+        broken = broken | check.reason(check.found(F.col("v"))).isNotNull()
+    return own.select("provider", "board", "page", "validator", "v", items.alias("items"), broken.alias("broken"))
 
 
 def parsed(landed: DataFrame, spec: Provider) -> DataFrame:
@@ -295,14 +309,14 @@ def parsed(landed: DataFrame, spec: Provider) -> DataFrame:
     whole = pages(landed, spec).filter(~F.col("broken"))
     items = whole.select("provider", "board", "page", F.posexplode("items").alias("pos", "p"))
     p = F.col("p")
-    reasons = [c.reason(p) for c in spec.checks] + spec.more_reasons(p)
-    is_object = F.when(kind(p) != "OBJECT", F.lit("expected object"))
-    return items.withColumn("reason", F.coalesce(is_object, *reasons))
+    # The type of each field is its own column, so it is looked up once and not once per use.
+    types = [c.found(p).alias(f"_k{i}") for i, c in enumerate(spec.checks)]
+    reasons = [c.reason(F.col(f"_k{i}")) for i, c in enumerate(spec.checks)] + spec.more_reasons(p)
+    is_object = F.when(~is_a(p, "OBJECT"), F.lit("expected object"))
+    return items.select("*", *types).select(*items.columns, F.coalesce(is_object, *reasons).alias("reason"))
 
 
-def read_feed(landed: DataFrame, name: str) -> DataFrame:
-    """Valid postings of one provider; boards with a broken page are left out whole."""
-    spec = provider(name)
+def _postings(landed: DataFrame, spec: Provider) -> DataFrame:
     good = parsed(landed, spec).filter(F.col("reason").isNull())
     defaults = {
         "hints": F.array().cast("array<string>"), "salary": F.lit(""), "is_remote": F.lit(False),
@@ -310,8 +324,17 @@ def read_feed(landed: DataFrame, name: str) -> DataFrame:
     fields = {**defaults, **spec.fields(F.col("p"), F.col("board"))}
     fields["id"] = F.concat_ws("-", F.lit(spec.prefix), F.col("board"), fields.pop("external"))
     fields["company"], fields["source"] = F.col("board"), F.lit(spec.name)
-    rows = good.select("provider", "board", "page", "pos", *[fields[c].alias(c) for c in POSTING_COLUMNS])
-    return rows.join(failed_boards(landed, name), ["provider", "board"], "left_anti")
+    return good.select("provider", "board", "page", "pos", *[fields[c].alias(c) for c in POSTING_COLUMNS])
+
+
+def read_feeds(landed: DataFrame, names: Sequence[str] = tuple(PROVIDERS)) -> DataFrame:
+    """Valid postings; a board with one broken page is left out whole.
+
+    Each provider reads only its own pages, so keep the landed table partitioned by provider.
+    """
+    rows = reduce(DataFrame.unionByName, [_postings(landed, provider(n)) for n in names])
+    failed = reduce(DataFrame.unionByName, [failed_boards(landed, n) for n in names])
+    return rows.join(checked_broadcast(failed), ["provider", "board"], "left_anti")
 
 
 def failed_boards(landed: DataFrame, name: str) -> DataFrame:
@@ -344,7 +367,3 @@ def changed_pages(landed: DataFrame, seen: DataFrame) -> DataFrame:
     """
     mark = F.coalesce("validator", F.sha2("body", 256))
     return landed.withColumn("mark", mark).join(seen.select("board", "page", "mark"), ["board", "page", "mark"], "left_anti")
-
-
-def read_all(landed: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [read_feed(landed, name) for name in PROVIDERS])

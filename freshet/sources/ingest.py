@@ -71,11 +71,10 @@ def ingest(
     days: int = vocab.FRESHNESS_DAYS,
 ) -> Ingested:
     """P10, P11, F2, F5, F9, F14, U1 over the postings that the feed readers return."""
-    labelled = label_companies(last_per_id(raw), registry)
-    cutoff = freshness_cutoff(as_of, days)
-    kept = labelled.filter(is_http_url(F.col("url")) & is_fresh(F.col("posted_at"), cutoff))
     # Parsing JSON is the costly part and several outputs come from the same rows.
-    kept = cut(kept.drop("page", "pos"))
+    labelled = label_companies(cut(last_per_id(raw).drop("page", "pos")), registry)
+    cutoff = freshness_cutoff(as_of, days)
+    kept = cut(labelled.filter(is_http_url(F.col("url")) & is_fresh(F.col("posted_at"), cutoff)))
     hints = kept.select("id", F.concat(F.array("department"), "hints").alias("hints"))
     mapped = map_department(hints, "hints", "id", departments)
     placed = office_places(kept, gazetteer)
