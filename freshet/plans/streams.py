@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators import boards
+from freshet.operators import boards, search
 from freshet.plans import binding, changes, health
 from freshet.plans.binding import crawl_log, postings, stamp
-from freshet.session import read_table, shared_dir
+from freshet.session import cut, read_table, shared_dir
 from freshet.sources import telemetry
 from freshet.sources.store import VersionedTables, bucket_of
 from freshet.streaming import folds
@@ -65,27 +65,58 @@ def stream_throttle(spark, sf):
     root = workdir(spark)
     tables = VersionedTables(spark, f"{root}/tables", folds.THROTTLE_TABLES)
     requests = health.requests(stream_of(spark, sf, "events"))
-    finish(folds.flag_requests(requests, tables, f"{root}/checkpoint", health.WINDOW_SECONDS))
-    return tables.read("decisions").select("event_id", "allowed")
+    finish(folds.flag_requests(requests, tables, f"{root}/decisions", f"{root}/checkpoint", health.WINDOW_SECONDS))
+    return spark.read.parquet(f"{root}/decisions").select("event_id", "allowed")
 
 
-@query(changes.SQL["upsert_result"])
-def stream_cdc(spark, sf):
-    """The edited orders arrive as a stream of snapshots and are folded into the stored postings."""
+def place_rows(rows: DataFrame) -> DataFrame:
+    """Location rows of postings that carry their resolved place."""
+    city = F.coalesce("city", F.lit(""))
+    return rows.select(F.col("id").alias("job_id"), "board", city.alias("city"), "country")
+
+
+def title_terms(rows: DataFrame) -> DataFrame:
+    terms = search.build_index(rows, "id", ["title"]).terms
+    return terms.join(rows.select(F.col("id").alias("doc_id"), "board"), "doc_id")
+
+
+def folded_snapshots(spark: SparkSession, sf: str) -> VersionedTables:
+    """The edited orders arrive as a stream of snapshots and are folded into the stored tables."""
     root = workdir(spark)
-    stored = postings(spark, sf).drop("num")
-    tables = VersionedTables(spark, f"{root}/tables", {"postings": stored.schema})
-    tables.publish({"postings": stored}, bucket_by={"postings": bucket_of(F.col("board"))}, buckets=[])
+    stored = cut(postings(spark, sf).drop("num"))
+    first = {"postings": stored, "places": place_rows(stored), "terms": title_terms(stored)}
+    tables = VersionedTables(spark, f"{root}/tables", {name: df.schema for name, df in first.items()})
+    tables.publish(first, bucket_by={name: bucket_of(F.col("board")) for name in first})
     arriving = changes.edited(postings(spark, sf))
     arriving.write.parquet(f"{root}/landed")
     stream = spark.readStream.schema(arriving.schema).parquet(f"{root}/landed")
     complete = F.substring_index("board", "/", -1).cast("int") % 4 != 2
-    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, complete, binding.as_of(spark, sf)))
-    return tables.read("postings").select(
+    derived = {"places": folds.Derived("job_id", place_rows, only_location=True), "terms": folds.Derived("doc_id", title_terms)}
+    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, complete, binding.as_of(spark, sf), derived))
+    return tables
+
+
+@query(changes.SQL["upsert_result"])
+def stream_cdc(spark, sf):
+    return folded_snapshots(spark, sf).read("postings").select(
         "id", "title", "company", "city", stamp("posted_at").alias("posted_at"), stamp("created_at").alias("created_at")
     )
 
 
+RESULT = f"""{changes.CHANGES}, result AS (SELECT c.id, CASE WHEN action IN ('insert', 'update') THEN new_title ELSE old_title END AS title,
+CASE WHEN action IN ('insert', 'update') THEN new_city ELSE old_city END AS city FROM changes c WHERE c.id NOT IN (SELECT id FROM deletes))"""
+
+
+@query(f"{RESULT} SELECT id AS job_id, coalesce(city, '') AS city FROM result")
+def stream_cdc_places(spark, sf):
+    return folded_snapshots(spark, sf).read("places").select("job_id", "city")
+
+
+@query(f"{RESULT} SELECT id AS doc_id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS term FROM result) GROUP BY 1, 2")
+def stream_cdc_terms(spark, sf):
+    return folded_snapshots(spark, sf).read("terms").select("doc_id", "term", F.size("positions").cast("long").alias("tf"))
+
+
 @query(f"""WITH {binding.LOG_SQL}, hours AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, status, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms FROM log GROUP BY 1, 2)
 SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, status, n, mean_ms FROM hours
 WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM log) - INTERVAL 30 MINUTE""")

@@ -6,6 +6,8 @@ the token of the batch makes a repeated batch a no-op.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +39,27 @@ def fold_boards(log: DataFrame, tables: VersionedTables, checkpoint: str) -> Str
     return _start(log, step, checkpoint)
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A table computed from postings and kept in step with them: facets, search terms.
+
+    `compute` returns rows with `board` and the posting id in `key`.
+    """
+
+    key: str
+    compute: Callable[[DataFrame], DataFrame]
+    only_location: bool = False  # recomputed only where a location field changed
+
+
 def apply_snapshots(
     fetched: DataFrame, tables: VersionedTables, checkpoint: str, cutoff: datetime, complete: Column, created_at: datetime,
+    derived: Mapping[str, Derived] | None = None,
 ) -> StreamingQuery:
-    """Postings of arriving snapshots into the stored table, all boards of a batch at once.
+    """Postings of arriving snapshots into the stored tables, all boards of a batch at once.
 
-    Only the buckets of those boards are read and rewritten. Boards whose fetch did not change
-    anything, partial boards and suspicious boards follow the guard rules of `cdc`.
+    Only the buckets of those boards are read and rewritten, and all tables are published in one
+    commit. Boards whose fetch did not change anything, partial boards and suspicious boards follow
+    the guard rules of `cdc`.
     """
     def step(batch: DataFrame, number: int) -> None:
         rows = cut(batch)
@@ -51,35 +67,40 @@ def apply_snapshots(
         buckets = touched_buckets(crawled)
         stored = tables.read_buckets("postings", buckets)
         changes = cut(cdc.diff(cdc.stored_of(stored, crawled, cutoff), rows.select(*[c for c in stored.columns if c != "created_at"])))
-        guarded = cdc.guard(changes)
-        outcome = cdc.board_outcome(guarded, crawled)
-        if not outcome.filter("wrote").limit(1).count():
+        guarded = cut(cdc.guard(changes))
+        if not cdc.board_outcome(guarded, crawled).filter("wrote").limit(1).count():
             return
+        deletes = cut(cdc.allowed_deletes(changes, guarded, crawled))
         written = cdc.upsert(stored, cdc.puts_of(changes, F.lit(created_at)))
-        left = cdc.without_ids(written, cdc.allowed_deletes(changes, guarded, crawled))
-        tables.publish({"postings": left}, f"snapshots-{number}", buckets, {"postings": bucket_of(F.col("board"))})
+        out = {"postings": cdc.without_ids(written, deletes)}
+        for name, spec in (derived or {}).items():
+            puts = changes.filter(F.col("action").isin("insert", "update"))
+            if spec.only_location:
+                puts = puts.filter((F.col("action") == "insert") | F.col("location_changed"))
+            cleared = puts.select("id").unionByName(deletes)
+            kept = cdc.without_ids(tables.read_buckets(name, buckets), cleared, spec.key)
+            out[name] = kept.unionByName(spec.compute(puts).select(*kept.columns))
+        tables.publish(out, f"snapshots-{number}", buckets, {name: bucket_of(F.col("board")) for name in out})
 
     return _start(fetched, step, checkpoint)
 
 
-def flag_requests(requests: DataFrame, tables: VersionedTables, checkpoint: str, window_seconds: int) -> StreamingQuery:
-    """T11 over a stream: decisions are appended, the requests that still count are carried over."""
+def flag_requests(
+    requests: DataFrame, tables: VersionedTables, out: str, checkpoint: str, window_seconds: int,
+) -> StreamingQuery:
+    """T11 over a stream: each batch writes its decisions to its own folder under `out`, and the
+    allowed requests that later ones still have to count are carried over."""
     def step(batch: DataFrame, number: int) -> None:
-        decided = cut(throttle(cut(batch), window_seconds, tables.read("counting")))
+        carried = tables.read("counting")
+        decided = cut(throttle(cut(batch), window_seconds, carried))
+        decided.select("event_id", "allowed", "retry_micros").write.mode("overwrite").parquet(f"{out}/batch={number}")
         allowed = decided.filter("allowed").select("limit_name", "client", "at")
-        counting = still_counting(tables.read("counting").unionByName(allowed), window_seconds)
-        tables.publish({
-            "decisions": tables.read("decisions").unionByName(decided.select("event_id", "allowed", "retry_micros")),
-            "counting": counting,
-        }, f"requests-{number}")
+        tables.publish({"counting": still_counting(carried.unionByName(allowed), window_seconds)}, f"requests-{number}")
 
     return _start(requests, step, checkpoint)
 
 
-THROTTLE_TABLES = {
-    "decisions": "event_id bigint, allowed boolean, retry_micros bigint",
-    "counting": "limit_name string, client string, at bigint",
-}
+THROTTLE_TABLES = {"counting": "limit_name string, client string, at bigint"}
 
 VIEWS = {
     "recent_links": "id string, title string, company string, url string, location string, posted_at timestamp",
