@@ -3,32 +3,48 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import vocab
-from freshet.functions.text import WORD_END, WORD_START, fold, squeeze
+from freshet.functions.text import WORD_END, WORD_START, fold, let, squeeze
 
 
 def word_pattern(words: tuple[str, ...], start: str = WORD_START, end: str = WORD_END) -> str:
-    """One alternation; see `vocab.DEPARTMENT_WORDS` for the word notation."""
-    def one(word: str) -> str:
-        if word.endswith("*"):
-            return re.escape(word[:-1])
-        if word.endswith(">"):
-            return re.escape(word[:-1]) + end
-        return start + re.escape(word) + end
+    """The words of one rule; see `vocab.DEPARTMENT_WORDS` for the word notation."""
+    whole = [re.escape(w) for w in words if w[-1] not in "*>"]
+    ending = [re.escape(w[:-1]) for w in words if w[-1] == ">"]
+    parts = [re.escape(w[:-1]) for w in words if w[-1] == "*"]
+    edged = [f"{start}(?:{'|'.join(whole)}){end}"] if whole else []
+    edged += [f"(?:{'|'.join(ending)}){end}"] if ending else []
+    return "|".join(edged + parts)
 
-    return "|".join(one(w) for w in words)
+
+def names_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands in the text.
+
+    A word part needs only a substring search, and the pattern for whole words runs only over
+    texts that contain one of them at all.
+    """
+    parts = [text.contains(w[:-1]) for w in words if w.endswith("*")]
+    strict = tuple(w for w in words if not w.endswith("*"))
+    if strict:
+        near = reduce(or_, [text.contains(w.rstrip(">")) for w in strict])
+        parts.append(near & text.rlike(word_pattern(strict)))
+    return reduce(or_, parts)
 
 
 def _first_rule(text: Column, rules, fallback: str) -> Column:
-    result = None
-    for name, words in rules:
-        hit = text.rlike(word_pattern(words))
-        result = F.when(hit, F.lit(name)) if result is None else result.when(hit, F.lit(name))
-    return result.otherwise(F.lit(fallback))
+    def pick(value: Column) -> Column:
+        result = F.lit(fallback)
+        for name, words in reversed(rules):
+            result = F.when(names_any(value, words), F.lit(name)).otherwise(result)
+        return result
+
+    return let(text, pick)
 
 
 def level_of(title: Column) -> Column:

@@ -6,6 +6,7 @@ import functools
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,21 +19,31 @@ from freshet.functions.vocab import KEPT_LETTERS
 # at other letters.
 WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 ASCII_ONLY = r"\A\p{ASCII}*\z"
-_KEPT = str.maketrans(KEPT_LETTERS)
 
 
 @functools.cache
-def _marks() -> dict[int, None]:
-    return {i: None for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "M"}
+def _marks() -> re.Pattern[str]:
+    """One character class of all combining marks, as ranges."""
+    codes = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "M"]
+    starts = [c for c in codes if unicodedata.category(chr(c - 1))[0] != "M"]
+    ends = [c for c in codes if c == sys.maxunicode or unicodedata.category(chr(c + 1))[0] != "M"]
+    return re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in zip(starts, ends)) + "]+")
+
+
+_KEPT = re.compile(f"[{''.join(KEPT_LETTERS)}]")
 
 
 def strip_marks(text: str, form: str) -> str:
-    return unicodedata.normalize(form, text).translate(_marks())
+    return _marks().sub("", unicodedata.normalize(form, text))
+
+
+def _fold(text: str) -> str:
+    return _KEPT.sub(lambda found: KEPT_LETTERS[found.group()], strip_marks(text, "NFKD").lower())
 
 
 @F.pandas_udf(StringType())
 def _fold_wide(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: strip_marks(s, "NFKD").lower().translate(_KEPT), na_action="ignore")
+    return values.map(_fold, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -61,6 +72,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(unaccent(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -11,7 +11,7 @@ from freshet.functions.scalars import remap_level
 from freshet.operators import cdc, upkeep
 from freshet.plans.binding import BOARDS, FACETS_SQL, POSTINGS_SQL, as_of, facets, postings, stamp
 from freshet.plans.reads import cutoff_of
-from freshet.session import read_table
+from freshet.session import cut, read_table
 
 QUERIES, SQL = {}, {}
 WITH = f"WITH {POSTINGS_SQL}"
@@ -90,13 +90,15 @@ def snapshot(spark: SparkSession, sf: str):
     fetched = edited(stored)
     boards = snapshot_boards(fetched)
     live = cdc.stored_of(stored, boards, BEGINNING)
-    return stored, boards, cdc.diff(live, fetched)
+    return stored, boards, cut(cdc.diff(live, fetched))  # every later step reads the changes
 
 
 @query(f"""{CHANGES} SELECT id, board, action, location_changed, core_changed, {AT.format('changes.posted_at')} AS posted_at FROM changes
 WHERE action <> 'missing' UNION ALL SELECT id, board, action, FALSE, FALSE, NULL FROM changes WHERE action = 'missing'""")
 def snapshot_diff(spark, sf):
-    _, _, changes = snapshot(spark, sf)
+    stored = postings(spark, sf)
+    fetched = edited(stored)
+    changes = cdc.diff(cdc.stored_of(stored, snapshot_boards(fetched), BEGINNING), fetched)
     at = F.when(F.col("action") != "missing", stamp("posted_at"))
     return changes.select("id", "board", "action", "location_changed", "core_changed", at.alias("posted_at"))
 

@@ -77,6 +77,8 @@ class Provider:
     envelope_checks: tuple[Check, ...] = ()
     envelope_optional: bool = False
     paged: bool = False
+    # Helper columns that `more_reasons` and `fields` use; each step may use those before it.
+    prepare: tuple[Callable[[Column], dict[str, Column]], ...] = ()
 
     @property
     def prefix(self) -> str:
@@ -107,58 +109,65 @@ PAY_FIELD = r"(?i)pay|salary|compensation"
 PAY_TYPE = r"currency|range"
 
 
-def _metadata(v: Column) -> Column:
-    return F.try_variant_get(v, "$.metadata", "array<variant>")
+FIELD = "struct<name:variant,value:variant,value_type:variant>"
 
 
-def _range_text(m: Column) -> Column:
-    money = at(m, "$.value.currency")
-    numbers = is_a(at(m, "$.value.min"), "NUMBER") & is_a(at(m, "$.value.max"), "NUMBER")
+def _text_of(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def _range_text(field: Column) -> Column:
+    value = field["value"]
+    money = at(value, "$.currency")
+    numbers = is_a(at(value, "$.min"), "NUMBER") & is_a(at(value, "$.max"), "NUMBER")
     fine = numbers & (is_absent(money) | is_a(money, "STRING"))
-    low, high = F.try_variant_get(m, "$.value.min", "double"), F.try_variant_get(m, "$.value.max", "double")
-    return F.when(fine, salary_range(low, high, text(m, "$.value.currency")))
+    low, high = F.try_variant_get(value, "$.min", "double"), F.try_variant_get(value, "$.max", "double")
+    return F.when(fine, salary_range(low, high, _text_of(money)))
 
 
-def _first_field(v: Column, name_pattern: str, type_pattern: str | None = None) -> Column:
+def _first_field(name_pattern: str, type_pattern: str | None = None) -> Column:
     """F16: first custom field with a matching name (and type)."""
-    def fits(m: Column) -> Column:
-        named = text(m, "$.name").rlike(name_pattern)
+    def fits(field: Column) -> Column:
+        named = _text_of(field["name"]).rlike(name_pattern)
         if type_pattern is None:
             return named
-        return named & F.coalesce(text(m, "$.value_type"), F.lit("")).rlike(type_pattern)
+        return named & F.coalesce(_text_of(field["value_type"]), F.lit("")).rlike(type_pattern)
+
+    return F.try_element_at(F.filter("_fields", fits), F.lit(1))
 
-    return F.try_element_at(F.filter(_metadata(v), fits), F.lit(1))
 
+def _is_range(field: Column) -> Column:
+    return F.coalesce(_text_of(field["value_type"]), F.lit("")) == "currency_range"
 
-def _field_text(m: Column) -> Column:
-    is_range = F.coalesce(text(m, "$.value_type"), F.lit("")) == "currency_range"
-    return F.coalesce(F.when(is_range, _range_text(m)).otherwise(text(m, "$.value")), F.lit(""))
+
+def _greenhouse_fields(v: Column) -> Column:
+    return F.try_variant_get(v, "$.metadata", f"array<{FIELD}>")
 
 
 def _greenhouse(v: Column, board: Column) -> dict[str, Column]:
-    pay = _first_field(v, PAY_FIELD, PAY_TYPE)
-    is_range = text(pay, "$.value_type") == "currency_range"
+    team, pay = F.col("_team"), F.col("_pay")
+    team_text = F.when(_is_range(team), _range_text(team)).otherwise(_text_of(team["value"]))
     return {
         "external": text(v, "$.id"),
         "title": text(v, "$.title"),
         **_primary(text(v, "$.location.name")),
-        "department": _field_text(_first_field(v, DEPARTMENT_FIELD)),
+        "department": F.coalesce(team_text, F.lit("")),
         "url": text(v, "$.absolute_url"),
         "posted_at": parse_date(F.coalesce(text(v, "$.first_published"), text(v, "$.updated_at"))),
-        "salary": F.coalesce(F.when(is_range, _range_text(pay)), F.lit("")),
+        "salary": F.coalesce(F.when(_is_range(pay), _range_text(pay)), F.lit("")),
     }
 
 
 def _greenhouse_fields_ok(v: Column) -> list[Column]:
     fields = at(v, "$.metadata")
 
-    def broken(m: Column) -> Column:
-        value_type = at(m, "$.value_type")
-        return ~is_a(at(m, "$.name"), "STRING") | ~(is_absent(value_type) | is_a(value_type, "STRING"))
+    def broken(field: Column) -> Column:
+        value_type = field["value_type"]
+        return field.isNull() | ~is_a(field["name"], "STRING") | ~(is_absent(value_type) | is_a(value_type, "STRING"))
 
     return [
         F.when(~is_absent(fields) & ~is_a(fields, "ARRAY"), F.lit("metadata: expected array")),
-        F.when(F.exists(_metadata(v), broken), F.lit("metadata: expected named fields")),
+        F.when(F.exists("_fields", broken), F.lit("metadata: expected named fields")),
     ]
 
 
@@ -250,6 +259,10 @@ PROVIDERS: dict[str, Provider] = {p.name: p for p in (
         (Check("id", "NUMBER"), Check("title", "STRING"), Check("location.name", "STRING"), Check("updated_at", "STRING"),
          Check("first_published", "STRING", True), Check("absolute_url", "STRING")),
         _greenhouse, _greenhouse_fields_ok,
+        prepare=(
+            lambda v: {"_fields": _greenhouse_fields(v)},
+            lambda v: {"_team": _first_field(DEPARTMENT_FIELD), "_pay": _first_field(PAY_FIELD, PAY_TYPE)},
+        ),
     ),
     Provider(
         "lever", "$",
@@ -295,10 +308,12 @@ def pages(landed: DataFrame, spec: Provider) -> DataFrame:
     """Parsed pages of one provider with a flag for a broken envelope."""
     own = landed.filter(F.col("provider") == spec.name).withColumn("v", F.try_parse_json("body"))
     items = F.try_variant_get("v", spec.envelope, "array<variant>")
-    listed = at(F.col("v"), spec.envelope)
-    broken = ~is_a(listed, "ARRAY")
+    # A cast tells an array or object from anything else without walking through its contents.
+    broken = items.isNull()
     if spec.envelope_optional:
-        broken = broken & ~(is_a(F.col("v"), "OBJECT") & is_absent(listed))
+        is_object = F.try_variant_get("v", "$", "map<string,variant>").isNotNull()
+        listed = at(F.col("v"), spec.envelope)
+        broken = broken & ~(is_object & (listed.isNull() | F.is_variant_null(listed)))
     for check in spec.envelope_checks:
         broken = broken | check.reason(check.found(F.col("v"))).isNotNull()
     return own.select("provider", "board", "page", "validator", "v", items.alias("items"), broken.alias("broken"))
@@ -309,11 +324,12 @@ def parsed(landed: DataFrame, spec: Provider) -> DataFrame:
     whole = pages(landed, spec).filter(~F.col("broken"))
     items = whole.select("provider", "board", "page", F.posexplode("items").alias("pos", "p"))
     p = F.col("p")
+    for step in spec.prepare:
+        items = items.select("*", *[c.alias(name) for name, c in step(p).items()])
     # The type of each field is its own column, so it is looked up once and not once per use.
     types = [c.found(p).alias(f"_k{i}") for i, c in enumerate(spec.checks)]
     reasons = [c.reason(F.col(f"_k{i}")) for i, c in enumerate(spec.checks)] + spec.more_reasons(p)
-    is_object = F.when(~is_a(p, "OBJECT"), F.lit("expected object"))
-    return items.select("*", *types).select(*items.columns, F.coalesce(is_object, *reasons).alias("reason"))
+    return items.select("*", *types).select(*items.columns, F.coalesce(*reasons).alias("reason"))
 
 
 def _postings(landed: DataFrame, spec: Provider) -> DataFrame:
