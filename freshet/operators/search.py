@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from freshet.functions import vocab
 from freshet.functions.scalars import freshness_cutoff
 from freshet.functions.text import strip_marks, tokens
-from freshet.operators.listing import SearchRequest, page
+from freshet.operators.listing import SearchRequest, list_order, page, total
 from freshet.session import cut
 
 # The usual bm25 constants and the floor for very common phrases.
@@ -105,10 +105,18 @@ def _occurrences(phrase: Phrase, places: dict[str, Column]) -> Column:
     return F.coalesce(F.size(starts), F.lit(0)).cast("long")
 
 
+def _places_by_term(terms: Sequence[str], prefix: str) -> dict[str, Column]:
+    return {t: F.col(f"{prefix}{i}") for i, t in enumerate(terms)}
+
+
+def _exact_terms(phrases: Sequence[Phrase]) -> list[str]:
+    return sorted({t for p in phrases if not p.prefix for t in p.terms})
+
+
 def phrase_counts(index: SearchIndex, phrases: Sequence[Phrase], title: str, fields: Sequence[str]) -> DataFrame:
     """Per document: occurrences of phrase i in the title (t_i) and in all searched fields (a_i)."""
     hits = index.terms.filter(F.col("field").isin(*fields) & _term_filter(phrases))
-    exact = sorted({t for p in phrases if not p.prefix for t in p.terms})
+    exact = _exact_terms(phrases)
     term = F.col("term")
     found = [F.max(F.when(term == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(exact)]
     found += [
@@ -116,7 +124,7 @@ def phrase_counts(index: SearchIndex, phrases: Sequence[Phrase], title: str, fie
         for i, p in enumerate(phrases) if p.prefix
     ]
     per_field = hits.groupBy("doc_id", "field").agg(*found)
-    places = {t: F.col(f"p{i}") for i, t in enumerate(exact)}
+    places = _places_by_term(exact, "p")
     counts = [F.col(f"x{i}") if p.prefix else _occurrences(p, places) for i, p in enumerate(phrases)]
     in_title = F.col("field") == title
     per_field = per_field.select("doc_id", "field", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
@@ -126,24 +134,84 @@ def phrase_counts(index: SearchIndex, phrases: Sequence[Phrase], title: str, fie
     )
 
 
-def match_ids(index: SearchIndex, phrases: Sequence[Phrase], title: str, fields: Sequence[str]) -> DataFrame:
+def _count_in(words: Column, phrase: Phrase) -> Column:
+    """Occurrences of a phrase in an array of words."""
+    if phrase.prefix:
+        return F.size(F.filter(words, lambda w: w.startswith(phrase.terms[0]))).cast("long")
+    if len(phrase.terms) == 1:
+        return F.size(F.filter(words, lambda w: w == phrase.terms[0])).cast("long")
+
+    def starts(word: Column, at: Column) -> Column:
+        rest = [F.get(words, at + k) == t for k, t in enumerate(phrase.terms) if k]
+        return reduce(lambda a, b: a & b, [word == phrase.terms[0], *rest])
+
+    return F.size(F.filter(words, starts)).cast("long")
+
+
+@dataclass(frozen=True)
+class TextScan:
+    """Search without an index: one pass over the documents, no shuffle.
+
+    For a single query over texts that have no stored index; an index pays off when it is kept.
+    """
+
+    docs: DataFrame
+    id_col: str
+    fields: Sequence[str]
+    unsearched: Sequence[str] = ()
+
+    def counts(self, phrases: Sequence[Phrase], title: str) -> DataFrame:
+        """Every document with its length and the columns of `phrase_counts`."""
+        every = (*self.fields, *self.unsearched)
+        none = F.array().cast("array<string>")
+        words = self.docs.select(
+            F.col(self.id_col).alias("doc_id"),
+            *[F.coalesce(tokens(F.col(f).cast("string")), none).alias(f"w{j}") for j, f in enumerate(every)],
+        )
+        searched = range(len(self.fields))
+        in_title = F.col(f"w{list(self.fields).index(title)}")
+
+        def add(parts: list[Column]) -> Column:
+            return reduce(lambda a, b: a + b, parts)
+
+        return words.select(
+            "doc_id", add([F.size(f"w{j}") for j in range(len(every))]).cast("long").alias("length"),
+            *[_count_in(in_title, p).alias(f"t{i}") for i, p in enumerate(phrases)],
+            *[add([_count_in(F.col(f"w{j}"), p) for j in searched]).alias(f"a{i}") for i, p in enumerate(phrases)],
+        )
+
+
+def _every_phrase(phrases: Sequence[Phrase]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"a{i}") > 0 for i in range(len(phrases))])
+
+
+def match_ids(source: SearchIndex | TextScan, phrases: Sequence[Phrase], title: str, fields: Sequence[str]) -> DataFrame:
     """Documents in which every phrase stands somewhere; none for an empty query."""
     if not phrases:
-        return index.lengths.select("doc_id").filter(F.lit(False))
-    counts = phrase_counts(index, phrases, title, fields)
-    return counts.filter(reduce(lambda a, b: a & b, [F.col(f"a{i}") > 0 for i in range(len(phrases))])).select("doc_id")
+        ids = source.docs.select(F.col(source.id_col).alias("doc_id")) if isinstance(source, TextScan) else source.lengths.select("doc_id")
+        return ids.filter(F.lit(False))
+    counts = source.counts(phrases, title) if isinstance(source, TextScan) else phrase_counts(source, phrases, title, fields)
+    return counts.filter(_every_phrase(phrases)).select("doc_id")
 
 
-def bm25(index: SearchIndex, phrases: Sequence[Phrase], title: str, fields: Sequence[str]) -> DataFrame:
+def bm25(source: SearchIndex | TextScan, phrases: Sequence[Phrase], title: str, fields: Sequence[str]) -> DataFrame:
     """(doc_id, title_score, score), lower is better, for documents matching every phrase."""
     if not phrases:
-        return match_ids(index, phrases, title, fields).select(
+        return match_ids(source, phrases, title, fields).select(
             "doc_id", F.lit(0.0).alias("title_score"), F.lit(0.0).alias("score"))
-    counts = cut(phrase_counts(index, phrases, title, fields))  # only documents with a query term
-    n_docs, mean = index.stats()
     wide = range(len(phrases))
-    having = counts.agg(*[F.count_if(F.col(f"a{i}") > 0) for i in wide]).first()
-    idf = [math.log((n_docs - n + 0.5) / (n + 0.5)) for n in having]
+    having = [F.count_if(F.col(f"a{i}") > 0) for i in wide]
+    # The counts are read twice, for the statistics and for the scores, so they are written once: a
+    # few numbers per document.
+    if isinstance(source, TextScan):
+        counts = cut(source.counts(phrases, title))
+        n_docs, mean, *found = counts.agg(F.count("*"), F.avg("length"), *having).first()
+        matched = counts.filter(_every_phrase(phrases))
+    else:
+        counts = cut(phrase_counts(source, phrases, title, fields))
+        (n_docs, mean), found = source.stats(), counts.agg(*having).first()
+        matched = counts.filter(_every_phrase(phrases)).join(source.lengths, "doc_id")
+    idf = [math.log((n_docs - n + 0.5) / (n + 0.5)) for n in found]
     idf = [x if x > 0 else BM25_MIN_IDF for x in idf]
     norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.lit(mean or 1.0))
 
@@ -151,10 +219,7 @@ def bm25(index: SearchIndex, phrases: Sequence[Phrase], title: str, fields: Sequ
         parts = [F.lit(idf[i]) * F.col(f"{kind}{i}") * (BM25_K1 + 1) / (F.col(f"{kind}{i}") + norm) for i in wide]
         return -reduce(lambda a, b: a + b, parts)
 
-    matched = counts.filter(reduce(lambda a, b: a & b, [F.col(f"a{i}") > 0 for i in wide]))
-    return matched.join(index.lengths, "doc_id").select(
-        "doc_id", scored("t").alias("title_score"), scored("a").alias("score")
-    )
+    return matched.select("doc_id", scored("t").alias("title_score"), scored("a").alias("score"))
 
 
 def boost(posted_at: Column, cutoff: datetime, days: int) -> Column:
@@ -178,7 +243,7 @@ def relevance_order() -> list[Column]:
 
 def search(
     postings: DataFrame,
-    index: SearchIndex,
+    index: SearchIndex | TextScan,
     request: SearchRequest,
     as_of: datetime,
     title: str,
@@ -186,8 +251,6 @@ def search(
     days: int = vocab.FRESHNESS_DAYS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """A ranked or sorted page of already filtered postings, and the total on the first page."""
-    from freshet.operators.listing import list_order, total
-
     phrases = read_query(request.q)
     rows = postings
     if request.q and phrases and not request.sort:

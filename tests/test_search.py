@@ -32,8 +32,9 @@ def docs(spark):
     return rows, spark.createDataFrame(rows, "id string, title string, company string, location string, department string")
 
 
+@pytest.mark.parametrize("indexed", [True, False])
 @pytest.mark.parametrize("query", ["front", "senior data", "full-stack", "engineer full-stack go", "c++", "munchen straße", "strasse", "lead de"])
-def test_bm25_like_a_text_index(spark, docs, query):
+def test_bm25_like_a_text_index(spark, docs, query, indexed):
     rows, df = docs
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(title, company, location, department, id)")
@@ -46,7 +47,7 @@ def test_bm25_like_a_text_index(spark, docs, query):
         r[0]: (r[1], r[2])
         for r in con.execute("SELECT id, bm25(t, 1, 0, 0, 0, 0), bm25(t, 1, 1, 1, 1, 0) FROM t WHERE t MATCH ?", (match,))
     }
-    index = search.build_index(df, "id", FIELDS, ["id"])
+    index = search.build_index(df, "id", FIELDS, ["id"]) if indexed else search.TextScan(df, "id", FIELDS, ["id"])
     found = {r["doc_id"]: (r["title_score"], r["score"]) for r in search.bm25(index, read_query(query), "title", FIELDS).collect()}
     assert set(found) == set(expected)
     for doc, scores in expected.items():
