@@ -11,7 +11,7 @@ from freshet.functions import vocab
 from freshet.functions.scalars import place_text
 from freshet.functions.text import WORD_END, WORD_START, fold, squeeze
 from freshet.operators.listing import Place
-from freshet.operators.skew import salted_join
+from freshet.operators.skew import checked_broadcast, salted_join
 
 GAZETTEER = (
     "token string, country string, region_country string, city string, city_country string, "
@@ -132,6 +132,7 @@ def _fuzzy(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def resolve_places(raws: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(raw, resolved, city, country, remote) for distinct texts in column `raw`."""
+    gazetteer = checked_broadcast(gazetteer)
     trimmed = F.trim("raw")
     texts = raws.select("raw", trimmed.alias("text"), fold(trimmed).alias("folded")).withColumns({
         "garbage": (F.col("text") == "") | F.lower("text").rlike(_garbage_pattern()),

@@ -18,9 +18,12 @@ MAX_SALTS = 512
 BROADCAST_ROWS = 200_000  # of a few short columns
 
 
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows, else as it is for a shuffle join."""
-    df = cut(df)
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, costly: bool = False) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, else as it is for a shuffle join.
+
+    The rows are counted, up to the bound. `costly` input is written once instead of computed twice.
+    """
+    df = cut(df) if costly else df
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

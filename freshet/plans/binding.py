@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.session import read_table
+from freshet.session import read_table, spread
 
 DAYS = 90  # freshness window of the registered queries, the longest one that is accepted
 BOARDS = 16
@@ -61,12 +61,14 @@ STATUS_LEVELS = {"F": "senior", "O": "mid"}
 STATUS_SOURCES = {"F": "greenhouse", "O": "lever"}
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    """`busy`: the caller does costly work per row."""
     places = read_table(spark, sf_dir, "nation").join(
         read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("nation"), F.lower("r_name").alias("region"))
     customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(places, "c_nationkey")
-    orders = read_table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    orders = read_table(spark, sf_dir, "orders")
+    orders = (spread(orders) if busy else orders).withColumnRenamed("o_custkey", "c_custkey")
     key = F.col("o_orderkey")
     remote = F.pmod("c_custkey", F.lit(7)) == 0
     identity = order_id("o_orderkey")

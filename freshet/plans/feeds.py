@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freshet.functions.classify import department_dictionary
 from freshet.plans.binding import DAYS, POSTINGS_SQL, as_of, postings, stamp
 from freshet.plans.texts import TITLE_DEPARTMENT
-from freshet.session import cut, read_table
+from freshet.session import cut, read_table, spread
 from freshet.sources import feeds
 from freshet.sources.ingest import Ingested, ingest, last_per_id
 
@@ -121,8 +121,13 @@ def landed(rows: DataFrame, turns: dict[str, Column]) -> DataFrame:
     return pages.select("provider", "board", "page", etag.alias("validator"), body.alias("body"))
 
 
+def arrived(pages: DataFrame) -> DataFrame:
+    """The payloads as a landed table, which readers scan more than once."""
+    return spread(cut(pages))
+
+
 def read(spark: SparkSession, sf: str, provider: str) -> DataFrame:
-    rows = feeds.read_feeds(cut(landed(postings(spark, sf), {provider: F.lit(True)})), [provider])
+    rows = feeds.read_feeds(arrived(landed(postings(spark, sf, busy=True), {provider: F.lit(True)})), [provider])
     return rows.select(
         "id", "title", "company", "location", F.array_join("locations", "|").alias("locations"), "department",
         F.array_join("hints", "|").alias("hints"), "url", stamp("posted_at").alias("posted_at"), "source", "salary", "is_remote",
@@ -196,7 +201,7 @@ def parse_workable(spark, sf):
 
 
 def each(spark: SparkSession, sf: str, run) -> DataFrame:
-    pages = cut(landed(postings(spark, sf), {name: F.lit(True) for name in feeds.PROVIDERS}))
+    pages = arrived(landed(postings(spark, sf, busy=True), {name: F.lit(True) for name in feeds.PROVIDERS}))
     return reduce(DataFrame.unionByName, [run(pages, name) for name in feeds.PROVIDERS])
 
 
@@ -228,7 +233,7 @@ def failed_boards(spark, sf):
 @query(f"{WITH}, {PAGED_SQL} SELECT DISTINCT feed_board AS board, page FROM paged WHERE page % 2 <> 0 OR CAST(substr(feed_board, 2) AS INT) % 3 = 0")
 def unchanged_snapshot(spark, sf):
     """Even pages were seen before, but boards with a number divisible by three have changed since."""
-    pages = landed(postings(spark, sf), {"ashby": F.lit(True)})
+    pages = landed(postings(spark, sf, busy=True), {"ashby": F.lit(True)})
     mark = F.coalesce("validator", F.sha2("body", 256))
     number = F.substr("board", F.lit(2)).cast("int")
     seen = pages.filter(F.col("page") % 2 == 0).select("board", "page", F.when(number % 3 == 0, F.lit("old")).otherwise(mark).alias("mark"))
@@ -260,7 +265,7 @@ def feed_registry(pages: DataFrame) -> DataFrame:
 
 def ingested(spark: SparkSession, sf: str) -> Ingested:
     """Every order goes through one of the five feeds."""
-    pages = cut(landed(postings(spark, sf), {name: F.col("num") % 5 == i for i, name in enumerate(feeds.PROVIDERS)}))
+    pages = arrived(landed(postings(spark, sf, busy=True), {name: F.col("num") % 5 == i for i, name in enumerate(feeds.PROVIDERS)}))
     return ingest(feeds.read_feeds(pages), feed_registry(pages), place_dictionary(spark, sf), department_dictionary(spark), as_of(spark, sf), DAYS)
 
 

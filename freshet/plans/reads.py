@@ -14,7 +14,7 @@ from freshet.operators import exports, facets as facet_ops, listing
 from freshet.plans.binding import (
     DAYS, FACETS_SQL, POSTINGS_SQL, as_of, facets, postings, stamp,
 )
-from freshet.session import read_table
+from freshet.session import read_table, spread
 
 QUERIES, SQL = {}, {}
 
@@ -236,7 +236,7 @@ for _letter, _plain in {"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d"
 
 @query(f"SELECT doc_id, md5({ACCENT_SQL.format('text')}) AS folded FROM documents")
 def fold_keys(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(fold(F.col("text"))).alias("folded"))
 
 

@@ -12,7 +12,7 @@ from freshet.functions.classify import (
 from freshet.functions.scalars import place_text
 from freshet.operators import listing, places, search
 from freshet.plans.binding import DAYS, POSTINGS_SQL, as_of, facets, postings, stamp
-from freshet.session import read_table
+from freshet.session import read_table, spread
 from freshet.sources.ingest import unmapped_report
 
 QUERIES, SQL = {}, {}
@@ -28,6 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 # Classification ----------------------------------------------------------------------------------
 
 @query(f"""{WITH} SELECT id, CASE WHEN title LIKE 'Principal%' THEN 'lead' WHEN title LIKE 'Senior%' THEN 'senior'
@@ -61,7 +65,7 @@ def _rules_sql(rules, column: str, fallback: str) -> str:
 def classify_documents(spark, sf):
     """The title rules over whole texts."""
     text = F.col("text")
-    docs = read_table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select("doc_id", level_of(text).alias("level"), department_of_title(text).alias("department"))
 
 
@@ -217,7 +221,7 @@ FIELDS = ("title", "company", "location", "department")
 
 
 def scan(spark: SparkSession, sf: str) -> search.TextScan:
-    return search.TextScan(postings(spark, sf), "id", FIELDS, ["id"])
+    return search.TextScan(postings(spark, sf, busy=True), "id", FIELDS, ["id"])
 
 
 def part_index(spark: SparkSession, sf: str) -> search.SearchIndex:
@@ -269,7 +273,7 @@ def index_stats(spark, sf):
 SELECT doc_id, term, count(*) AS tf, CAST(min(pos) AS BIGINT) AS first_pos, CAST(sum(pos) AS BIGINT) AS pos_sum FROM words GROUP BY 1, 2""")
 def build_index(spark, sf):
     """Every term of every document with its positions."""
-    terms = search.build_index(read_table(spark, sf, "documents"), "doc_id", ["text"]).terms
+    terms = search.build_index(documents(spark, sf), "doc_id", ["text"]).terms
     return terms.select(
         "doc_id", "term", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"),
         F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("pos_sum"),
@@ -290,7 +294,7 @@ DOC_QUERY = "that the-and er"
 
 @query(f"WITH {ranking_sql('documents', 'doc_id', ['text'], [], DOC_QUERY)} SELECT doc_id, round(score, 6) AS score FROM scored")
 def bm25_documents(spark, sf):
-    found = search.bm25(search.TextScan(read_table(spark, sf, "documents"), "doc_id", ["text"]), search.read_query(DOC_QUERY), "text", ["text"])
+    found = search.bm25(search.TextScan(documents(spark, sf), "doc_id", ["text"]), search.read_query(DOC_QUERY), "text", ["text"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -41,6 +41,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with costly work per row, given a task per core where its files have fewer splits.
+
+    A table of many files already has more splits than there are cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a local folder only where a local master names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

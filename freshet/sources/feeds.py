@@ -350,7 +350,7 @@ def read_feeds(landed: DataFrame, names: Sequence[str] = tuple(PROVIDERS)) -> Da
     """
     rows = reduce(DataFrame.unionByName, [_postings(landed, provider(n)) for n in names])
     failed = reduce(DataFrame.unionByName, [failed_boards(landed, n) for n in names])
-    return rows.join(checked_broadcast(failed), ["provider", "board"], "left_anti")
+    return rows.join(checked_broadcast(failed, costly=True), ["provider", "board"], "left_anti")
 
 
 def failed_boards(landed: DataFrame, name: str) -> DataFrame:
