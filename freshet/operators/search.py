@@ -78,6 +78,11 @@ def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], unsearched:
     return SearchIndex(terms, lengths)
 
 
+def index_rows(postings: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored rows of the given ids, to be indexed again."""
+    return postings.join(ids.select("id"), "id", "left_semi")
+
+
 def update_index(index: SearchIndex, touched: SearchIndex, touched_ids: DataFrame) -> SearchIndex:
     """K7: drop the rows of the touched documents, add their new rows. `touched_ids` has `doc_id`."""
     return SearchIndex(

@@ -6,7 +6,6 @@ Every function has its SQL twin, so that each registered query can be checked on
 from __future__ import annotations
 
 from datetime import datetime
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +16,24 @@ DAYS = 90  # freshness window of the registered queries, the longest one that is
 BOARDS = 16
 
 
-@lru_cache(maxsize=16)
-def _latest(app_id: str, sf_dir: str, table: str, column: str) -> datetime:
-    spark = SparkSession.getActiveSession()
-    return read_table(spark, sf_dir, table).agg(F.max(F.col(column).cast("timestamp_ntz"))).first()[0]
+_CLOCKS: dict[tuple[str, str, str], datetime] = {}
+
+
+def _latest(spark: SparkSession, sf_dir: str, table: str, column: str) -> datetime:
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _CLOCKS:
+        newest = read_table(spark, sf_dir, table).agg(F.max(F.col(column).cast("timestamp_ntz")))
+        _CLOCKS[key] = newest.first()[0]
+    return _CLOCKS[key]
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     """The newest order date stands in for the clock."""
-    return _latest(spark.sparkContext.applicationId, sf_dir, "orders", "o_orderdate")
+    return _latest(spark, sf_dir, "orders", "o_orderdate")
 
 
 def events_as_of(spark: SparkSession, sf_dir: str) -> datetime:
-    return _latest(spark.sparkContext.applicationId, sf_dir, "events", "ts")
+    return _latest(spark, sf_dir, "events", "ts")
 
 
 def stamp(column: str | Column) -> Column:

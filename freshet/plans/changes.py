@@ -86,7 +86,7 @@ CHANGES = f"WITH {POSTINGS_SQL}, {EDITS_SQL}"
 
 
 def snapshot(spark: SparkSession, sf: str):
-    stored = postings(spark, sf)
+    stored = cut(postings(spark, sf))  # the stored table; both sides of the diff read it
     fetched = edited(stored)
     boards = snapshot_boards(fetched)
     live = cdc.stored_of(stored, boards, BEGINNING)
@@ -96,7 +96,7 @@ def snapshot(spark: SparkSession, sf: str):
 @query(f"""{CHANGES} SELECT id, board, action, location_changed, core_changed, {AT.format('changes.posted_at')} AS posted_at FROM changes
 WHERE action <> 'missing' UNION ALL SELECT id, board, action, FALSE, FALSE, NULL FROM changes WHERE action = 'missing'""")
 def snapshot_diff(spark, sf):
-    stored = postings(spark, sf)
+    stored = cut(postings(spark, sf))
     fetched = edited(stored)
     changes = cdc.diff(cdc.stored_of(stored, snapshot_boards(fetched), BEGINNING), fetched)
     at = F.when(F.col("action") != "missing", stamp("posted_at"))

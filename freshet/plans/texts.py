@@ -353,9 +353,10 @@ def search_newest(spark, sf):
 SELECT p_partkey AS doc_id, term, count(*) AS tf FROM docs GROUP BY 1, 2""")
 def index_update(spark, sf):
     """A quarter of the documents change; only their rows are replaced."""
-    part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    touched = part.filter("p_partkey % 4 = 0")
-    renamed = touched.withColumn("p_name", F.concat("p_name", F.lit(" renewed")))
-    old, new = (search.build_index(d, "p_partkey", ("p_name", "p_brand")) for d in (part, renamed))
-    merged = search.update_index(old, new, touched.select(F.col("p_partkey").alias("doc_id")))
+    part = read_table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    renamed = part.withColumn("p_name", F.when(F.col("id") % 4 == 0, F.concat("p_name", F.lit(" renewed"))).otherwise(F.col("p_name")))
+    touched = part.filter("id % 4 = 0").select("id")
+    old = search.build_index(part, "id", ("p_name", "p_brand"))
+    new = search.build_index(search.index_rows(renamed, touched), "id", ("p_name", "p_brand"))
+    merged = search.update_index(old, new, touched.select(F.col("id").alias("doc_id")))
     return merged.terms.groupBy("doc_id", "term").agg(F.sum(F.size("positions")).alias("tf"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import vocab
 from freshet.functions.classify import department_of_title, level_of, map_department
 from freshet.functions.scalars import freshness_cutoff, is_fresh, is_http_url
 from freshet.functions.text import sanitize
+from freshet.operators.listing import to_stored
 from freshet.operators.places import derive_location, location_facets, office_places
 from freshet.operators.skew import salted_join
 from freshet.session import cut
@@ -56,8 +57,6 @@ def unmapped_report(names: DataFrame, group: str, sample: int = vocab.UNMAPPED_S
     `names` has `group` and `name`. The sample is taken by a top-k window over distinct names, whose
     partial top-k runs before the shuffle; the list itself has at most `sample` entries.
     """
-    from pyspark.sql import Window
-
     distinct = names.select(group, "name").distinct()
     counts = distinct.groupBy(group).agg(F.count("*").alias("distinct_names"))
     place = F.row_number().over(Window.partitionBy(group).orderBy("name"))
@@ -86,9 +85,8 @@ def ingest(
             "company": sanitize(F.col("company")),
             "level": level_of(F.col("title")),
             "department": F.coalesce("department", department_of_title(F.col("title"))),
-            "locations": F.col("locations"),
             "created_at": F.lit(as_of),
         })
     )
     names = postings.select("company", F.explode("unmapped").alias("name"))
-    return Ingested(postings.drop("unmapped"), location_facets(placed), unmapped_report(names, "company"), rejected_urls(labelled))
+    return Ingested(to_stored(postings.drop("unmapped")), location_facets(placed), unmapped_report(names, "company"), rejected_urls(labelled))
