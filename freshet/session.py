@@ -1,8 +1,9 @@
-"""Session settings, table access and lineage cutting shared by every job."""
+"""Session settings, table access and intermediate tables shared by every job."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,13 +65,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable storage and go on from there.
+    """Write `df` as a table in the shared folder and go on from there.
 
-    Needed where a later step must see exactly the same row order or partition ids twice; survives
-    the loss of executors because the data is on the shared folder, not on executor disks.
+    Needed where a result is read several times, or where a later step must see exactly the same
+    rows twice. It survives the loss of executors, later steps read only the columns they use, and
+    Spark knows the size when it plans a join.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/freshet-cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
