@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import common, pfor_tokens, piece_bpe, subword_langid, winnow_decontam
+from freshet.llm import common, pfor_tokens, piece_bpe, subword_langid, toxic_channel, winnow_decontam
 from freshet.session import read_table, spread
 
 
@@ -44,11 +44,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 10: scores of all documents, learned from four fifths of the labels."""
+    documents = spread(read_table(spark, sf_dir, "documents"))
+    scorer = toxic_channel.train(documents, read_table(spark, sf_dir, "labels"), common.remainder("doc_id", 5) != 0)
+    return toxic_channel.score(documents, scorer).withColumn("held_out", common.remainder("doc_id", 5) == 0).drop("_sign")
+
+
 QUERIES = {
     "op4_token_output": op4_token_output,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 # Words of a text as the contract defines them.
