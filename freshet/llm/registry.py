@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import common, pfor_tokens, piece_bpe, subword_langid, toxic_channel, winnow_decontam
+from freshet.llm import common, html_blocks, pfor_tokens, piece_bpe, subword_langid, toxic_channel, winnow_decontam
 from freshet.session import read_table, spread
 
 
@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 3: the main text of every page."""
+    return html_blocks.extract(spread(read_table(spark, sf_dir, "pages")))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 4: every document's place and checksum, read back from the token files."""
     written = pfor_tokens.write(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -52,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_html_extraction": op3_html_extraction,
     "op4_token_output": op4_token_output,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
