@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import common, html_blocks, pfor_tokens, piece_bpe, subword_langid, toxic_channel, winnow_decontam
+from freshet.llm import common, html_blocks, pfor_tokens, piece_bpe, subword_langid, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
 from freshet.session import read_table, spread
 
 
@@ -18,6 +18,20 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(folder, name)
 
 
+ARCHIVE_DATE = "2024-01-01T00:00:00Z"
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 1: every page archived and read back."""
+    files = warc_dictionary.write(spread(read_table(spark, sf_dir, "pages")), ARCHIVE_DATE)
+    return warc_dictionary.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 2: fingerprints of every text and of its edited text."""
+    return winnow_fingerprint.compare(read_table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 3: the main text of every page."""
     return html_blocks.extract(spread(read_table(spark, sf_dir, "pages")))
@@ -57,6 +71,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_fingerprints": op2_fingerprints,
     "op3_html_extraction": op3_html_extraction,
     "op4_token_output": op4_token_output,
     "op6_sentencepiece": op6_sentencepiece,
@@ -69,6 +85,18 @@ QUERIES = {
 _WORDS8 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest, CAST(CAST(from_hex(sha1(payload)) AS BIT) AS VARCHAR) AS bits FROM p),
+r AS (SELECT digest, max(page_id) AS response FROM h GROUP BY digest)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+    + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+FROM h JOIN r USING (digest)
+""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS8} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS8} AS w FROM benchmark),
