@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import common, html_blocks, pfor_tokens, piece_bpe, subword_langid, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
+from freshet.llm import chat_query, common, html_blocks, pfor_tokens, piece_bpe, subword_langid, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
 from freshet.session import read_table, spread
 
 
@@ -63,6 +63,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls of all conversations linked, checked, ordered and written as canonical JSON."""
+    return chat_query.steps(read_table(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 10: scores of all documents, learned from four fifths of the labels."""
     documents = spread(read_table(spark, sf_dir, "documents"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -85,6 +91,7 @@ QUERIES = {
 _WORDS8 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op9_chat_formatting": chat_query.SQL,
     "op1_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest, CAST(CAST(from_hex(sha1(payload)) AS BIT) AS VARCHAR) AS bits FROM p),
