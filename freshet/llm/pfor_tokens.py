@@ -228,7 +228,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id",
         if writer is not None:
             writer.close()
 
-    ordered = common.texts(df, key, text).repartitionByRange(shuffle_width(spark), "_key", "_text").sortWithinPartitions("_key", "_text")
+    ordered = common.texts(df, key, text).repartitionByRange(shuffle_width(spark), "_key").sortWithinPartitions("_key", "_text")
     return cut(ordered.mapInArrow(run, "_key long, part int, file string, at long, n_tokens long")).withColumn("folder", F.lit(folder))
 
 
