@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_query, common, html_blocks, pfor_tokens, piece_bpe, subword_langid, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
+from freshet.llm import chat_query, common, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
 from freshet.session import read_table, spread
 
 
@@ -43,6 +43,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_tokens.read(written).withColumnRenamed("_key", "doc_id")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 5: set size and component of every document."""
+    return signature_tree.components(spread(read_table(spark, sf_dir, "documents")))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 6: digests of the ids and of the text decoded from them."""
     return piece_bpe.digests(spread(read_table(spark, sf_dir, "documents")), tokenizer_file("piece_bpe_32k.model"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_html_extraction": op3_html_extraction,
     "op4_token_output": op4_token_output,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
@@ -103,6 +109,22 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
 FROM h JOIN r USING (digest)
+""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS s FROM d WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingle a JOIN shingle b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM shared JOIN size i ON i.doc_id = x JOIN size j ON j.doc_id = y WHERE 100 * o >= 75 * (i.n + j.n - o)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(a, b) AS (SELECT x, x FROM edge UNION SELECT r.a, e.y FROM reach r JOIN edge e ON e.x = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
 """,
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS8} AS w FROM documents),
