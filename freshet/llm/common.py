@@ -7,10 +7,11 @@ about 5e-20 a pair; results that rest on equality of hashes say so.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,29 @@ def lowest_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def filtered(df: DataFrame, text: str, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows, all columns as they are, for whose texts `keep` says so; null text is judged as empty."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = pa.compute.fill_null(batch.column(at).cast(pa.large_binary()), b"")
+            start = 0
+            for _, some in chunks(iter([pa.RecordBatch.from_arrays([data], ["_text"])])):
+                yield batch.slice(start, len(some)).filter(pa.array(keep(some)))
+                start += len(some)
+
+    return lean(df).mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows whose (key, xxhash64 of the text) is not among `gone` (_key, _sign)."""
+    marked = df.withColumn("_own_sign", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    gone = gone.select(F.col("_key").alias("_gone_key"), F.col("_sign").alias("_gone_sign"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")) & (F.col("_own_sign") == F.col("_gone_sign"))
+    return marked.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the group, place in the group) for groups of the given sizes, laid end to end."""
     group = np.repeat(np.arange(len(counts)), counts)

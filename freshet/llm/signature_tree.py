@@ -423,6 +423,22 @@ def links_of(df: DataFrame, survey: DataFrame, key: str, text: str) -> tuple[Dat
     return contract(links), links
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` without those that link, directly or through others, with a row of lesser key.
+
+    Of rows with equal keys and texts one stays. Rows without words all stay.
+    """
+    placed = cut(components(df, key, text).select(F.col(f"`{key}`").alias("_key"), "n_shingles", "component_id"))
+    later = placed.filter(~F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key").alias("_later")).distinct()
+    kept = df.join(later, F.col(f"`{key}`").eqNullSafe(F.col("_later")), "left_anti")
+    twice = placed.filter((F.col("n_shingles") > 0) & F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    if twice.isEmpty():
+        return kept
+    again = twice.select(F.col("_key").alias("_again"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, text]))
+
+
 def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: key, n_shingles, component_id (least key reachable by links, its own included)."""
     survey = cut(common.texts(df, key, text).mapInArrow(_survey, "_key long, mark long, n long, shingle long, repeats long"))

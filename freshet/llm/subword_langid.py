@@ -182,3 +182,8 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     rows = common.texts(df, key, text).select("_key", F.xxhash64("_text").alias("_sign"), "_text")
     return rows.mapInArrow(run, f"`{key}` long, _sign long, lang_pred string, score double, rejected boolean")
+
+
+def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not rejected."""
+    return common.filtered(df, text, lambda data: ~model.predict(data)[2])

@@ -339,3 +339,8 @@ def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text"
 
     rows = common.texts(df, key, text).select("_key", F.xxhash64("_text").alias("_sign"), "_text")
     return rows.mapInArrow(run, f"`{key}` long, _sign long, score double, predicted int")
+
+
+def clean(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic."""
+    return common.filtered(df, text, lambda data: scorer.score(data) < 0.5)

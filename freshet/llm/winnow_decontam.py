@@ -146,3 +146,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_key: str = "do
         F.col("_key").alias(doc_key), "_sign", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"),
     ).withColumn("n_items", F.size("items").cast("long"))
+
+
+def untouched(documents: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without any benchmark window."""
+    found = contamination(documents, benchmark, doc_key=doc_key, text=text).filter(F.col("n_hit") > 0)
+    return common.without(documents, found.select(F.col(doc_key).alias("_key"), "_sign").distinct(), doc_key, text)
