@@ -31,11 +31,13 @@ def is_fresh(posted_at: Column, cutoff: datetime) -> Column:
     return posted_at >= F.lit(cutoff)
 
 
+# A scheme, optional user and port, and a host of any characters that a browser accepts in one.
+HTTP_URL = r"(?i)^https?://(?:[^\s/?#@]*@)?(?:[^\s/?#@:<>^|%\\\[\]]+|\[[0-9a-f:.]+\])(?::[0-9]*)?(?:[/?#\\]|$)"
+
+
 def is_http_url(url: Column) -> Column:
-    """P10: absolute http(s) link."""
-    scheme = F.lower(F.try_parse_url(F.trim(url), F.lit("PROTOCOL")))
-    host = F.try_parse_url(F.trim(url), F.lit("HOST"))
-    return F.coalesce(scheme.isin("http", "https") & (host.isNotNull()), F.lit(False))
+    """P10: absolute http(s) link: scheme and host, whatever stands in path, query and fragment."""
+    return F.coalesce(F.trim(url).rlike(HTTP_URL), F.lit(False))
 
 
 def age_seconds(posted_at: Column, as_of: Column) -> Column:
@@ -64,13 +66,14 @@ def _amount(value: Column) -> Column:
 
 
 def salary_range(low: Column, high: Column, currency: Column) -> Column:
-    """two amounts with the currency's sign; an unknown or missing code gives bare numbers."""
+    """two amounts with the currency's sign, or its code where no sign is known; without a code of
+    three letters bare numbers. Equal amounts are printed once, as an approximate one."""
     signs = F.create_map(*[F.lit(x) for pair in vocab.CURRENCY_SYMBOLS.items() for x in pair])
-    sign = F.coalesce(F.try_element_at(signs, F.upper(currency)), F.lit(""))
-    return F.when(
-        low.isNotNull() & high.isNotNull(),
-        F.concat(sign, _amount(low), F.lit(" – "), sign, _amount(high)),
-    )
+    code = F.when(currency.rlike("^[A-Za-z]{3}$"), F.concat(F.upper(currency), F.lit("\u00a0")))
+    sign = F.coalesce(F.try_element_at(signs, F.upper(currency)), code, F.lit(""))
+    least, most = F.concat(sign, _amount(low)), F.concat(sign, _amount(high))
+    both = F.when((least == most) & (sign != ""), F.concat(F.lit("~"), least)).otherwise(F.concat(least, F.lit(" – "), most))
+    return F.when(low.isNotNull() & high.isNotNull(), both)
 
 
 ISO_FORMATS = (

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from freshet.functions import vocab
 from freshet.functions.scalars import is_fresh
-from freshet.operators.skew import salted_join
+from freshet.operators.skew import checked_broadcast, salted_join
 
 LOCATION_FIELDS = ("location", "city", "country", "is_remote")
 CORE_FIELDS = ("company", "title", "department", "url", "salary", "level")
 # Columns an existing row keeps when it is written again.
-KEPT_ON_CONFLICT = ("company", "source", "created_at")
+KEPT_ON_CONFLICT = ("source", "created_at")
 DRIFT_MICROS = vocab.POSTED_DRIFT_SECONDS * 1_000_000
 
 
@@ -40,8 +40,7 @@ def same_date(a: Column, b: Column) -> Column:
 def stored_of(stored: DataFrame, boards: DataFrame, cutoff: datetime) -> DataFrame:
     """Fresh stored rows of the boards in this run. Expired rows belong to the stale sweep."""
     live = stored.filter(is_fresh(F.col("posted_at"), cutoff))
-    sizes = live.groupBy("board").agg(F.count("*").alias("_n"))
-    return salted_join(live, boards.select("board").distinct().join(sizes, "board"), ["board"], "_n", ["id"]).drop("_n")
+    return live.join(checked_broadcast(boards.select("board").distinct()), "board", "left_semi")
 
 
 def diff(stored: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -53,7 +52,9 @@ def diff(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     old, new = stored.alias("old"), fetched.alias("new")
     both = old.join(new, F.col("old.id") == F.col("new.id"), "full_outer")
     date = reconciled_date(F.col("old.posted_at"), F.col("new.posted_at"))
-    offices = ~F.array_sort("old.locations").eqNullSafe(F.array_sort("new.locations"))
+    none = F.array().cast("array<string>")  # no list and an empty one are the same offices
+    listed = [F.array_sort(F.coalesce(f"{side}.locations", none)) for side in ("old", "new")]
+    offices = ~listed[0].eqNullSafe(listed[1])
     location_changed = _differs(LOCATION_FIELDS) | offices
     core_changed = _differs(CORE_FIELDS)
     action = (

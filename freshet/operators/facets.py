@@ -26,21 +26,28 @@ def fresh_facets(facets: DataFrame, postings: DataFrame, cutoff: datetime) -> Da
     return facets.join(ids, "job_id")
 
 
+def place_counts(located: DataFrame) -> DataFrame:
+    """(country, city, count) of postings: a row per city, and one with a null city per country.
+
+    One pass over the join. A posting's cities in a country are gathered first, so that it counts once
+    for the country; location rows are unique, so a city's rows are its postings.
+    """
+    per_posting = located.groupBy("job_id", "country").agg(F.collect_set(F.when(F.col("city") != "", F.col("city"))).alias("cities"))
+    none = F.lit(None).cast("string")
+    each = per_posting.select("country", F.explode(F.concat(F.array(none), "cities")).alias("city"))
+    return each.groupBy("country", "city").agg(F.count("*").alias("count"))
+
+
 def country_counts(located: DataFrame) -> DataFrame:
     """A2: a posting with several offices in a country counts once there."""
-    return (
-        located.groupBy("country").agg(F.count_distinct("job_id").alias("count"))
-        .orderBy(F.desc("count"), "country")
-    )
+    once = located.select("job_id", "country").distinct()
+    return once.groupBy("country").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "country")
 
 
 def city_counts(located: DataFrame) -> DataFrame:
-    """A3."""
-    return (
-        located.filter(F.col("city") != "").groupBy("country", "city")
-        .agg(F.count_distinct("job_id").alias("count"))
-        .orderBy(F.desc("count"), "country", "city")
-    )
+    """A3: location rows are unique per posting, city and country, so a plain count combines map-side."""
+    rows = located.filter(F.col("city") != "")
+    return rows.groupBy("country", "city").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "country", "city")
 
 
 def facet_tree(located: DataFrame) -> DataFrame:
@@ -48,16 +55,11 @@ def facet_tree(located: DataFrame) -> DataFrame:
 
     Only aggregated rows are nested: one per city that the gazetteer can name.
     """
-    cities = city_counts(located).groupBy("country").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("rank"), "city", "count"))),
-            lambda c: F.struct(c["city"].alias("value"), c["count"].alias("count")),
-        ).alias("cities")
-    )
-    no_cities = F.array().cast("array<struct<value:string,count:bigint>>")
+    of_city = F.when(F.col("city").isNotNull(), F.struct((-F.col("count")).alias("rank"), "city", "count"))
+    nested = F.transform(F.array_sort(F.collect_list(of_city)), lambda c: F.struct(c["city"].alias("value"), c["count"].alias("count")))
     return (
-        country_counts(located).join(cities, "country", "left")
-        .select(F.col("country").alias("value"), "count", F.coalesce("cities", no_cities).alias("cities"))
+        place_counts(located).groupBy(F.col("country").alias("value"))
+        .agg(F.max(F.when(F.col("city").isNull(), F.col("count"))).alias("count"), nested.alias("cities"))
         .orderBy(F.desc("count"), "value")
     )
 
@@ -66,11 +68,10 @@ def location_options(located: DataFrame) -> DataFrame:
     """U2/O9: "remote", then countries by count, then "city, country" by count."""
     spark = located.sparkSession
     remote = spark.range(1).select(F.lit(0).alias("section"), F.lit("remote").alias("value"), F.lit(0).cast("long").alias("count"))
-    countries = country_counts(located).select(F.lit(1).alias("section"), F.col("country").alias("value"), "count")
-    cities = city_counts(located).select(
-        F.lit(2).alias("section"), F.concat_ws(", ", "city", "country").alias("value"), "count"
+    counted = place_counts(located).select(
+        F.when(F.col("city").isNull(), 1).otherwise(2).alias("section"), F.concat_ws(", ", "city", "country").alias("value"), "count"
     )
-    return remote.unionByName(countries).unionByName(cities).orderBy("section", F.desc("count"), "value")
+    return remote.unionByName(counted).orderBy("section", F.desc("count"), "value")
 
 
 def company_index(postings: DataFrame, cutoff: datetime) -> DataFrame:

@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.functions import vocab
 from freshet.functions.scalars import is_fresh
 from freshet.operators.skew import grouped_rank, salted_join
 
@@ -18,12 +17,11 @@ def stale_ids(postings: DataFrame, cutoff: datetime) -> DataFrame:
     return postings.filter(F.col("posted_at") < F.lit(cutoff)).select("id", "posted_at")
 
 
-def bounded_round(doomed: DataFrame, order: Sequence[str], rounds: int = vocab.CLEANUP_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """The ids one run may delete, and a row with how many were taken and how many are left.
+def bounded_round(doomed: DataFrame, order: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first `most` ids, and a row with how many were taken and how many are left.
 
-    The limit belongs to the operator; a job that should clear everything uses `doomed` itself.
+    For a caller that can only delete so many at once; the clean-up jobs take all of `doomed`.
     """
-    most = rounds * vocab.CLEANUP_BATCH
     taken = doomed.orderBy(*order).limit(most)
     counts = doomed.agg(
         F.least(F.count("*"), F.lit(most)).alias("taken"),
@@ -32,6 +30,12 @@ def bounded_round(doomed: DataFrame, order: Sequence[str], rounds: int = vocab.C
     return taken, counts
 
 
+def without_stale(postings: DataFrame, cutoff: datetime) -> DataFrame:
+    """K4: the table after expiry; a row without a date stays."""
+    at = F.col("posted_at")
+    return postings.filter(at.isNull() | (at >= F.lit(cutoff)))
+
+
 def cross_source_duplicates(rows: DataFrame, keys: dict[str, Column], order: Sequence[str], source: str) -> DataFrame:
     """Rows to delete where one role is listed by several sources.
 

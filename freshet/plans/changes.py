@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions import vocab
 from freshet.functions.scalars import remap_level
 from freshet.operators import cdc, upkeep
 from freshet.plans.binding import BOARDS, FACETS_SQL, POSTINGS_SQL, as_of, facets, postings, stamp
@@ -29,6 +30,12 @@ def query(sql: str | None = None):
     return add
 
 
+def stored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored postings; some have an empty list of offices, which a feed sends as null."""
+    none = F.array().cast("array<string>")
+    return postings(spark, sf).withColumn("locations", F.when(F.col("num") % 17 == 0, none).otherwise(F.col("locations")))
+
+
 def edited(stored: DataFrame) -> DataFrame:
     """A later snapshot of the stored postings: rows gone, re-dated, renamed, moved and added."""
     n = F.col("num")
@@ -41,7 +48,8 @@ def edited(stored: DataFrame) -> DataFrame:
         "posted_at": F.timestamp_seconds(F.unix_seconds("posted_at") + shift),
         "title": F.when(n % 6 == 1, F.concat("title", F.lit(" II"))).otherwise(F.col("title")),
         "city": F.when(moved, F.lit("elsewhere")).otherwise(F.col("city")),
-        "locations": F.when(n % 9 == 4, F.array(F.lit("a"), "location")).otherwise(F.col("locations")),
+        "company": F.when(n % 8 == 2, F.concat("company", F.lit(" group"))).otherwise(F.col("company")),
+        "locations": F.when(n % 17 != 0, F.when(n % 9 == 4, F.array(F.lit("a"), "location")).otherwise(F.col("locations"))),
     })
     added = stored.filter(n % 20 == 0).withColumn("id", F.concat_ws("-", F.lit("od"), board.cast("string"), F.concat(F.lit("n"), n.cast("string"))))
     return kept.unionByName(added).select("id", "board", "posted_at", *ROW)
@@ -54,22 +62,24 @@ def snapshot_boards(rows: DataFrame) -> DataFrame:
 
 
 EDITS_SQL = f"""
+stored AS (SELECT * REPLACE (CASE WHEN num % 17 = 0 THEN CAST([] AS VARCHAR[]) ELSE locations END AS locations) FROM postings),
 kept AS (SELECT * REPLACE (
     posted_at + CASE num % 7 WHEN 1 THEN INTERVAL 30 SECOND WHEN 2 THEN INTERVAL 1 DAY WHEN 3 THEN INTERVAL (-1) DAY ELSE INTERVAL 0 SECOND END AS posted_at,
     CASE WHEN num % 6 = 1 THEN title || ' II' ELSE title END AS title,
     CASE WHEN num % 12 = 5 THEN 'elsewhere' ELSE city END AS city,
-    CASE WHEN num % 9 = 4 THEN ['a', location] ELSE locations END AS locations)
-  FROM postings WHERE NOT (num % 10 = 3 OR (num % {BOARDS} = 5 AND (num // {BOARDS}) % 3 <> 0))),
+    CASE WHEN num % 8 = 2 THEN company || ' group' ELSE company END AS company,
+    CASE WHEN num % 17 = 0 THEN NULL WHEN num % 9 = 4 THEN ['a', location] ELSE locations END AS locations)
+  FROM stored WHERE NOT (num % 10 = 3 OR (num % {BOARDS} = 5 AND (num // {BOARDS}) % 3 <> 0))),
 fetched AS (SELECT * FROM kept UNION ALL BY NAME
-  SELECT * REPLACE ('od-' || (num % {BOARDS}) || '-n' || num AS id) FROM postings WHERE num % 20 = 0),
+  SELECT * REPLACE ('od-' || (num % {BOARDS}) || '-n' || num AS id) FROM stored WHERE num % 20 = 0),
 joined AS (
   SELECT coalesce(n.id, o.id) AS id, coalesce(n.board, o.board) AS board, o.id IS NOT NULL AS was_stored, n.id IS NOT NULL AS was_fetched,
          o.posted_at AS old_at, n.title AS new_title, n.city AS new_city, o.company AS old_company, n.company AS new_company, o.title AS old_title, o.city AS old_city,
          o.created_at AS old_created,
          CASE WHEN o.id IS NULL THEN n.posted_at WHEN n.posted_at > o.posted_at + INTERVAL 60 SECOND THEN o.posted_at ELSE n.posted_at END AS posted_at,
-         o.id IS NOT NULL AND n.id IS NOT NULL AND (o.city IS DISTINCT FROM n.city OR list_sort(o.locations) <> list_sort(n.locations)) AS location_changed,
-         o.id IS NOT NULL AND n.id IS NOT NULL AND o.title <> n.title AS core_changed
-  FROM postings o FULL JOIN fetched n ON o.id = n.id),
+         o.id IS NOT NULL AND n.id IS NOT NULL AND (o.city IS DISTINCT FROM n.city OR list_sort(coalesce(o.locations, [])) <> list_sort(coalesce(n.locations, []))) AS location_changed,
+         o.id IS NOT NULL AND n.id IS NOT NULL AND (o.title <> n.title OR o.company <> n.company) AS core_changed
+  FROM stored o FULL JOIN fetched n ON o.id = n.id),
 changes AS (
   SELECT *, CASE WHEN NOT was_stored THEN 'insert' WHEN NOT was_fetched THEN 'missing'
     WHEN location_changed OR core_changed OR abs(epoch(posted_at) - epoch(old_at)) >= 60 THEN 'update' ELSE 'unchanged' END AS action
@@ -86,7 +96,7 @@ CHANGES = f"WITH {POSTINGS_SQL}, {EDITS_SQL}"
 
 
 def snapshot(spark: SparkSession, sf: str):
-    stored = cut(postings(spark, sf))  # the stored table; both sides of the diff read it
+    stored = stored_rows(spark, sf)
     fetched = edited(stored)
     boards = snapshot_boards(fetched)
     live = cdc.stored_of(stored, boards, BEGINNING)
@@ -96,7 +106,7 @@ def snapshot(spark: SparkSession, sf: str):
 @query(f"""{CHANGES} SELECT id, board, action, location_changed, core_changed, {AT.format('changes.posted_at')} AS posted_at FROM changes
 WHERE action <> 'missing' UNION ALL SELECT id, board, action, FALSE, FALSE, NULL FROM changes WHERE action = 'missing'""")
 def snapshot_diff(spark, sf):
-    stored = cut(postings(spark, sf))
+    stored = stored_rows(spark, sf)
     fetched = edited(stored)
     changes = cdc.diff(cdc.stored_of(stored, snapshot_boards(fetched), BEGINNING), fetched)
     at = F.when(F.col("action") != "missing", stamp("posted_at"))
@@ -118,7 +128,7 @@ def allowed_deletes(spark, sf):
 
 
 @query(f"""{CHANGES} SELECT c.id, CASE WHEN action IN ('insert', 'update') THEN new_title ELSE old_title END AS title,
-coalesce(old_company, new_company) AS company, CASE WHEN action IN ('insert', 'update') THEN new_city ELSE old_city END AS city,
+CASE WHEN action IN ('insert', 'update') THEN new_company ELSE old_company END AS company, CASE WHEN action IN ('insert', 'update') THEN new_city ELSE old_city END AS city,
 {AT.format("CASE WHEN action IN ('insert', 'update') THEN c.posted_at ELSE old_at END")} AS posted_at,
 {AT.format('coalesce(old_created, as_of)')} AS created_at
 FROM changes c, clock WHERE c.id NOT IN (SELECT id FROM deletes)""")
@@ -170,18 +180,18 @@ STALE = f"{WITH}, stale AS (SELECT id, posted_at FROM postings, clock WHERE post
 @query(f"{STALE} SELECT p.id, {AT.format('p.posted_at')} AS posted_at FROM postings p WHERE id NOT IN (SELECT id FROM stale)")
 def stale_sweep(spark, sf):
     rows = postings(spark, sf)
-    return cdc.without_ids(rows, upkeep.stale_ids(rows, cutoff_of(spark, sf))).select("id", stamp("posted_at").alias("posted_at"))
+    return upkeep.without_stale(rows, cutoff_of(spark, sf)).select("id", stamp("posted_at").alias("posted_at"))
 
 
 @query(f"{STALE} SELECT id FROM stale ORDER BY posted_at, id LIMIT 1500")
 def stale_round(spark, sf):
-    taken, _ = upkeep.bounded_round(upkeep.stale_ids(postings(spark, sf), cutoff_of(spark, sf)), ["posted_at", "id"])
+    taken, _ = upkeep.bounded_round(upkeep.stale_ids(postings(spark, sf), cutoff_of(spark, sf)), ["posted_at", "id"], vocab.CLEANUP_ROUND)
     return taken.select("id")
 
 
 @query(f"{STALE} SELECT least(count(*), 1500) AS taken, greatest(count(*) - 1500, 0) AS deferred FROM stale")
 def stale_deferred(spark, sf):
-    _, counts = upkeep.bounded_round(upkeep.stale_ids(postings(spark, sf), cutoff_of(spark, sf)), ["posted_at", "id"])
+    _, counts = upkeep.bounded_round(upkeep.stale_ids(postings(spark, sf), cutoff_of(spark, sf)), ["posted_at", "id"], vocab.CLEANUP_ROUND)
     return counts
 
 
@@ -227,9 +237,13 @@ def backfill_normalise(spark, sf):
     return upkeep.normalise_stored(rows)
 
 
-@query(f"""WITH {FACETS_SQL} SELECT DISTINCT job_id, lower(substr(city, 1, 8)) AS city,
-CASE WHEN country = 'asia' THEN 'south korea' ELSE country END AS country FROM facets""")
+@query(f"""WITH {FACETS_SQL} SELECT DISTINCT job_id, city, CASE WHEN country = 'asia' THEN 'south korea' ELSE country END AS country FROM facets""")
 def backfill_facets(spark, sf):
-    country = F.when(F.col("country") == "asia", F.lit("Korea")).otherwise(F.upper("country"))
-    raw = facets(spark, sf).select("job_id", F.upper(F.substring("city", 1, 8)).alias("city"), country.alias("country"))
+    """Every row stands twice, in two spellings of city and country."""
+    asia = F.col("country") == "asia"
+    spellings = F.array(
+        F.struct(F.upper("city").alias("city"), F.when(asia, F.lit("Korea")).otherwise(F.upper("country")).alias("country")),
+        F.struct(F.initcap("city").alias("city"), F.when(asia, F.lit("South Korea")).otherwise(F.initcap("country")).alias("country")),
+    )
+    raw = facets(spark, sf).select("job_id", F.explode(spellings).alias("s")).select("job_id", "s.city", "s.country")
     return upkeep.normalise_facets(raw)

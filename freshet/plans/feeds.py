@@ -127,7 +127,8 @@ def arrived(pages: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf: str, provider: str) -> DataFrame:
-    rows = feeds.read_feeds(arrived(landed(postings(spark, sf, busy=True), {provider: F.lit(True)})), [provider])
+    opened = feeds.open_pages(arrived(landed(postings(spark, sf, busy=True), {provider: F.lit(True)})), [provider])
+    rows = feeds.read_feeds(opened, [provider])
     return rows.select(
         "id", "title", "company", "location", F.array_join("locations", "|").alias("locations"), "department",
         F.array_join("hints", "|").alias("hints"), "url", stamp("posted_at").alias("posted_at"), "source", "salary", "is_remote",
@@ -202,7 +203,8 @@ def parse_workable(spark, sf):
 
 def each(spark: SparkSession, sf: str, run) -> DataFrame:
     pages = arrived(landed(postings(spark, sf, busy=True), {name: F.lit(True) for name in feeds.PROVIDERS}))
-    return reduce(DataFrame.unionByName, [run(pages, name) for name in feeds.PROVIDERS])
+    opened = feeds.open_pages(pages)
+    return reduce(DataFrame.unionByName, [run(opened, name) for name in feeds.PROVIDERS])
 
 
 NAMES = "providers(provider, field) AS (VALUES ('greenhouse', 'title'), ('lever', 'text'), ('ashby', 'title'), ('smartrecruiters', 'name'), ('workable', 'title'))"
@@ -219,7 +221,8 @@ def skip_summary(spark, sf):
 
 
 @query(f"""{WITH}, {PAGED_SQL}, {NAMES} SELECT provider, feed_board AS board,
-provider <> 'smartrecruiters' OR max((page + 1) * {PER_PAGE}) >= {TOTAL_FOUND} AS complete
+provider <> 'smartrecruiters' OR (max((page + 1) * {PER_PAGE}) >= {TOTAL_FOUND}
+  AND count(DISTINCT page) FILTER ((page + 1) * {PER_PAGE} <= {TOTAL_FOUND}) = {TOTAL_FOUND // PER_PAGE}) AS complete
 FROM paged, providers WHERE NOT (feed_board = '{BROKEN_BOARD}' AND page = 0) GROUP BY 1, 2""")
 def completeness(spark, sf):
     return each(spark, sf, feeds.completeness)
@@ -230,14 +233,20 @@ def failed_boards(spark, sf):
     return each(spark, sf, feeds.failed_boards)
 
 
-@query(f"{WITH}, {PAGED_SQL} SELECT DISTINCT feed_board AS board, page FROM paged WHERE page % 2 <> 0 OR CAST(substr(feed_board, 2) AS INT) % 3 = 0")
+@query(f"""{WITH}, {PAGED_SQL}, p AS (SELECT DISTINCT provider, feed_board AS board, page, CAST(substr(feed_board, 2) AS INT) AS n
+  FROM paged, (VALUES ('ashby'), ('lever')) f(provider)),
+changed AS (SELECT DISTINCT provider, board FROM p WHERE provider = 'lever' OR (n % 3 = 0 AND page % 2 = 1) OR n % 5 = 0 OR n % 7 = 0)
+SELECT provider, board, page FROM p JOIN changed USING (provider, board)""")
 def unchanged_snapshot(spark, sf):
-    """Even pages were seen before, but boards with a number divisible by three have changed since."""
-    pages = landed(postings(spark, sf, busy=True), {"ashby": F.lit(True)})
-    mark = F.coalesce("validator", F.sha2("body", 256))
+    """One feed was seen before and the other, of the same board names, was not. Of the seen boards some
+    have changed on odd pages only, some have lost a page since, and of some one page had not been seen."""
+    pages = arrived(landed(postings(spark, sf, busy=True), {"ashby": F.lit(True), "lever": F.lit(True)}))
     number = F.substr("board", F.lit(2)).cast("int")
-    seen = pages.filter(F.col("page") % 2 == 0).select("board", "page", F.when(number % 3 == 0, F.lit("old")).otherwise(mark).alias("mark"))
-    return feeds.changed_pages(pages, seen).select("board", "page")
+    last = pages.filter(F.col("provider") == "ashby").select("provider", "board", "page", feeds.page_mark().alias("mark"))
+    old = F.when((number % 3 == 0) & (F.col("page") % 2 == 1), F.lit("old")).otherwise(F.col("mark"))
+    extra = last.filter((number % 5 == 0) & (F.col("page") == 0)).select("provider", "board", F.lit(9999).alias("page"), F.lit("gone").alias("mark"))
+    seen = last.withColumn("mark", old).filter(~((number % 7 == 0) & (F.col("page") == 0))).unionByName(extra)
+    return feeds.changed_boards(pages, seen).select("provider", "board", "page")
 
 
 def place_dictionary(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +275,7 @@ def feed_registry(pages: DataFrame) -> DataFrame:
 def ingested(spark: SparkSession, sf: str) -> Ingested:
     """Every order goes through one of the five feeds."""
     pages = arrived(landed(postings(spark, sf, busy=True), {name: F.col("num") % 5 == i for i, name in enumerate(feeds.PROVIDERS)}))
-    return ingest(feeds.read_feeds(pages), feed_registry(pages), place_dictionary(spark, sf), department_dictionary(spark), as_of(spark, sf), DAYS)
+    return ingest(feeds.read_feeds(feeds.open_pages(pages)), feed_registry(pages), place_dictionary(spark, sf), department_dictionary(spark), as_of(spark, sf), DAYS)
 
 
 _ORDER = ", ".join(f"('{name}', '{prefix}', {i})" for i, (name, prefix) in enumerate(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -309,7 +308,3 @@ def list_position(spark, sf):
     from freshet.operators.upkeep import list_positions
 
     return list_positions(postings(spark, sf)).select("id", "company", "position")
-
-
-def relevance_request(q: str) -> listing.SearchRequest:
-    return replace(listing.SearchRequest(), q=q)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.operators import boards, search
-from freshet.plans import binding, changes, health
+from freshet.plans import binding, changes, feeds as feed_plans, health
 from freshet.plans.binding import crawl_log, postings, stamp
 from freshet.session import cut, read_table, shared_dir
-from freshet.sources import telemetry
-from freshet.sources.store import VersionedTables, bucket_of
+from freshet.sources import feeds, telemetry
+from freshet.sources.ingest import last_per_id
+from freshet.sources.store import PublishedTables
 from freshet.streaming import folds
 from freshet.streaming.metrics import live_rows, request_metrics_stream
 
@@ -55,7 +56,7 @@ def written(spark: SparkSession, stream: DataFrame, root: str) -> DataFrame:
 @query(health.SQL["status_fold"])
 def stream_status_fold(spark, sf):
     root = workdir(spark)
-    tables = VersionedTables(spark, f"{root}/tables", folds.SUMMARY_TABLE)
+    tables = PublishedTables(spark, f"{root}/tables", folds.SUMMARY_TABLE)
     finish(folds.fold_boards(crawl_log(stream_of(spark, sf, "events")), tables, f"{root}/checkpoint"))
     return health.printed(boards.board_state(tables.read("board_summary")))
 
@@ -63,7 +64,7 @@ def stream_status_fold(spark, sf):
 @query(health.SQL["throttle_flags"])
 def stream_throttle(spark, sf):
     root = workdir(spark)
-    tables = VersionedTables(spark, f"{root}/tables", folds.THROTTLE_TABLES)
+    tables = PublishedTables(spark, f"{root}/tables", folds.THROTTLE_TABLES)
     requests = health.requests(stream_of(spark, sf, "events"))
     finish(folds.flag_requests(requests, tables, f"{root}/decisions", f"{root}/checkpoint", health.WINDOW_SECONDS))
     return spark.read.parquet(f"{root}/decisions").select("event_id", "allowed")
@@ -80,22 +81,52 @@ def title_terms(rows: DataFrame) -> DataFrame:
     return terms.join(rows.select(F.col("id").alias("doc_id"), "board"), "doc_id")
 
 
-def folded_snapshots(spark: SparkSession, sf: str) -> VersionedTables:
-    """The edited orders arrive as a stream of snapshots and are folded into the stored tables."""
+SNAPSHOT_PAGES = 3
+
+
+def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
+    """The edited orders arrive page by page, a board's pages in different micro-batches."""
     root = workdir(spark)
-    stored = cut(postings(spark, sf).drop("num"))
+    stored = cut(changes.stored_rows(spark, sf).drop("num"))
     first = {"postings": stored, "places": place_rows(stored), "terms": title_terms(stored)}
-    tables = VersionedTables(spark, f"{root}/tables", {name: df.schema for name, df in first.items()})
-    tables.publish(first, bucket_by={name: bucket_of(F.col("board")) for name in first})
-    arriving = changes.edited(postings(spark, sf))
-    arriving.write.parquet(f"{root}/landed")
-    stream = spark.readStream.schema(arriving.schema).parquet(f"{root}/landed")
-    complete = F.substring_index("board", "/", -1).cast("int") % 4 != 2
+    arriving = changes.edited(changes.stored_rows(spark, sf))
+    item = F.struct(*[c for c in arriving.columns if c != "board"])
+    page = F.pmod(F.xxhash64("id"), F.lit(SNAPSHOT_PAGES)).cast("int")
+    pages = arriving.withColumn("page", page).groupBy("board", "page").agg(F.collect_list(item).alias("items"))
+    boards_seen = arriving.select("board").distinct().crossJoin(spark.range(SNAPSHOT_PAGES).select(F.col("id").cast("int").alias("page")))
+    pages = boards_seen.join(pages, ["board", "page"], "left").select(
+        F.substring_index("board", "/", 1).alias("provider"), F.substring_index("board", "/", -1).alias("board"), F.lit(1).cast("long").alias("snapshot"),
+        "page", F.lit(SNAPSHOT_PAGES).alias("pages"), F.coalesce("items", F.array().cast(pages.schema["items"].dataType)).alias("items"),
+    )
+    schemas = {**{name: df.schema for name, df in first.items()}, "waiting": pages.schema}
+    tables = PublishedTables(spark, f"{root}/tables", schemas, {name: "board" for name in first})
+    tables.publish(first)
+    land(pages, f"{root}/landed")
+
+    def parse(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+        board = F.concat_ws("/", "provider", "board")
+        crawled = whole.groupBy(board.alias("board")).agg((F.max(F.col("board").cast("int")) % 4 != 2).alias("complete"))
+        return whole.select(board.alias("board"), F.explode("items").alias("i")).select("board", "i.*"), crawled
+
     derived = {"places": folds.Derived("job_id", place_rows, only_location=True), "terms": folds.Derived("doc_id", title_terms)}
-    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, complete, binding.as_of(spark, sf), derived))
+    stream = stream_of_pages(spark, f"{root}/landed", pages.schema)
+    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse, binding.as_of(spark, sf), derived))
     return tables
 
 
+def land(pages: DataFrame, path: str) -> None:
+    """A file per page number and snapshot; each file is a micro-batch of its own."""
+    files = pages.select("snapshot", "page").distinct().orderBy("snapshot", "page").collect()  # a handful
+    pages = cut(pages)
+    for row in files:
+        own = pages.filter((F.col("snapshot") == row["snapshot"]) & (F.col("page") == row["page"]))
+        own.coalesce(1).write.mode("append").parquet(path)
+
+
+def stream_of_pages(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(changes.SQL["upsert_result"])
 def stream_cdc(spark, sf):
     return folded_snapshots(spark, sf).read("postings").select(
@@ -117,6 +148,92 @@ def stream_cdc_terms(spark, sf):
     return folded_snapshots(spark, sf).read("terms").select("doc_id", "term", F.size("positions").cast("long").alias("tf"))
 
 
+# Landed feed pages to stored postings, end to end ---------------------------------------------------
+
+EMPTY_BOARD, SMALL_BOARD, LOST_BOARD = "b3", "b9", "b5"
+
+
+def landed_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Two snapshots of the ashby boards. In the second one a board has nothing, another little, both have
+    lost all they had, one lacks a page, and every board whose number is divisible by four is as before."""
+    rows = postings(spark, sf, busy=True)
+    number = F.pmod(F.floor(F.col("num") / feed_plans.PER_PAGE), F.lit(feed_plans.FEED_BOARDS))
+    small = number == int(SMALL_BOARD[1:])
+    first = rows.filter(~small | (F.col("num") % 500 == 0))
+    n = F.col("num")
+    same = number % 4 == 0
+    second = first.filter(same | ((n % 10 != 3) & ~number.isin(int(EMPTY_BOARD[1:]), int(SMALL_BOARD[1:]))))
+    second = second.withColumn("title", F.when(~same & (n % 6 == 1), F.concat("title", F.lit(" II"))).otherwise(F.col("title")))
+    turns = {"ashby": F.lit(True)}
+    one, two = (cut(feed_plans.landed(part, turns)) for part in (first, second))
+    nothing = one.filter(F.col("board").isin(EMPTY_BOARD, SMALL_BOARD)).groupBy("provider", "board").agg(F.first("validator").alias("validator"))
+    nothing = nothing.select("provider", "board", F.lit(0).alias("page"), "validator", F.lit('{"jobs":[]}').alias("body"))
+    both = one.withColumn("snapshot", F.lit(1).cast("long")).unionByName(two.unionByName(nothing).withColumn("snapshot", F.lit(2).cast("long")))
+    # Pages are numbered anew, so that a snapshot's pages are 0 to n - 1; a changed page has no validator of the old one.
+    place = Window.partitionBy("provider", "board", "snapshot").orderBy("page")
+    every = Window.partitionBy("provider", "board", "snapshot")
+    numbered = both.withColumn("pages", F.count("*").over(every).cast("int")).withColumn("page", (F.row_number().over(place) - 1).cast("int"))
+    lost = (F.col("board") == LOST_BOARD) & (F.col("snapshot") == 2) & (F.col("page") == F.col("pages") - 1)
+    return numbered.filter(~lost).withColumn("validator", F.lit(None).cast("string"))
+
+
+def parse_pages(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole landed pages to postings and boards; a board with a broken page is not compared at all."""
+    opened = feeds.open_pages(whole.select("provider", "board", "page", "validator", "body"), ["ashby"])
+    board = F.concat_ws("/", "provider", "board").alias("board")
+    none = F.lit(None).cast("string")
+    rows = last_per_id(feeds.read_feeds(opened, ["ashby"])).select(
+        "id", board, "posted_at", "title", "company", "location", "department", "url", "source", "salary", "locations",
+        none.alias("level"), none.alias("city"), none.alias("country"), "is_remote",
+    )
+    good = feeds.completeness(opened, "ashby").join(feeds.failed_boards(opened, "ashby"), ["provider", "board"], "left_anti")
+    return rows, good.select(board, "complete")
+
+
+def crawled_boards(spark: SparkSession, sf: str) -> PublishedTables:
+    root = workdir(spark)
+    pages = landed_snapshots(spark, sf)
+    none, at = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    shape = changes.edited(changes.stored_rows(spark, sf)).select(
+        "id", "board", "posted_at", "title", "company", "location", "department", "url", "source", "salary", "locations",
+        none.alias("level"), none.alias("city"), none.alias("country"), "is_remote", at.alias("created_at"),
+    ).schema
+    schemas = {"postings": shape, "waiting": pages.schema, "seen": "provider string, board string, page int, mark string", **folds.SUMMARY_TABLE}
+    tables = PublishedTables(spark, f"{root}/tables", schemas, {"postings": "board"})
+    land(pages, f"{root}/landed")
+    stream = stream_of_pages(spark, f"{root}/landed", pages.schema)
+    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse_pages, binding.as_of(spark, sf)))
+    return tables
+
+
+CRAWL_SQL = f"""WITH {binding.POSTINGS_SQL}, {feed_plans.PAGED_SQL},
+rows AS (SELECT num, title, feed_board, CAST(substr(feed_board, 2) AS INT) % 4 = 0 AS same, num % 23 <> 0 AS good FROM paged
+  WHERE feed_board NOT IN (FROM broken) AND (feed_board <> '{SMALL_BOARD}' OR num % 500 = 0)),
+one AS (SELECT * FROM rows WHERE good),
+two AS (SELECT * REPLACE (CASE WHEN NOT same AND num % 6 = 1 THEN title || ' II' ELSE title END AS title) FROM one
+  WHERE same OR (num % 10 <> 3 AND feed_board NOT IN ('{EMPTY_BOARD}', '{SMALL_BOARD}'))),
+boards AS (SELECT feed_board, count(*) AS n, count(*) FILTER (num NOT IN (SELECT num FROM two)) AS missing FROM one GROUP BY 1),
+left_alone AS (SELECT feed_board FROM boards WHERE feed_board = '{LOST_BOARD}'),
+guarded AS (SELECT feed_board FROM boards WHERE n >= 10 AND missing > n * 0.5),
+final AS (
+  SELECT num, title, feed_board FROM one WHERE feed_board IN (FROM left_alone)
+  UNION ALL SELECT num, title, feed_board FROM two WHERE feed_board NOT IN (FROM left_alone)
+  UNION ALL SELECT num, title, feed_board FROM one WHERE feed_board IN (FROM guarded) AND feed_board NOT IN (FROM left_alone) AND num NOT IN (SELECT num FROM two))"""
+
+
+@query(f"{CRAWL_SQL} SELECT 'ab-' || feed_board || '-' || num AS id, 'ashby/' || feed_board AS board, title FROM final")
+def stream_crawl(spark, sf):
+    """Landed pages in many micro-batches: skip-unchanged, parse, compare, guard, write, fold."""
+    return crawled_boards(spark, sf).read("postings").select("id", "board", "title")
+
+
+@query(f"""{CRAWL_SQL}, last AS (SELECT feed_board, count(*) AS jobs FROM one WHERE feed_board IN (FROM left_alone) GROUP BY 1
+UNION ALL SELECT b.feed_board, count(t.num) FROM boards b LEFT JOIN two t USING (feed_board) WHERE b.feed_board NOT IN (FROM left_alone) GROUP BY 1)
+SELECT 'ashby/' || feed_board AS board, jobs AS jobs_found, CAST(CASE WHEN jobs = 0 THEN 1 ELSE 0 END AS BIGINT) AS consecutive_empty FROM last""")
+def stream_crawl_state(spark, sf):
+    return boards.board_state(crawled_boards(spark, sf).read("board_summary")).select("board", "jobs_found", "consecutive_empty")
+
+
 @query(f"""WITH {binding.LOG_SQL}, hours AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, status, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms FROM log GROUP BY 1, 2)
 SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, status, n, mean_ms FROM hours
 WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM log) - INTERVAL 30 MINUTE""")
@@ -127,11 +244,28 @@ def stream_metrics(spark, sf):
     return closed.select(stamp("start").alias("hour"), "status", "n", F.round("mean_ms", 6).alias("mean_ms"))
 
 
-@query("SELECT DISTINCT 'o' || o_orderkey AS id FROM orders")
+LIVE_DAYS = 15
+
+
+@query(f"""WITH {binding.POSTINGS_SQL}, runs AS (SELECT 'o' || (num % 50) AS key, posted_at, date_trunc('month', posted_at) AS month FROM postings),
+months AS (SELECT month, row_number() OVER (ORDER BY month) AS k FROM (SELECT DISTINCT month FROM runs)),
+firsts AS (SELECT DISTINCT key, month FROM runs WHERE month IN (SELECT month FROM months WHERE k <= 12 AND k % 3 = 1))
+SELECT key AS id, count(*) AS times FROM firsts GROUP BY 1""")
 def stream_live_rows(spark, sf):
-    orders = stream_of(spark, sf, "orders")
-    rows = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderdate").cast("timestamp").alias("posted_at"))
-    return written(spark, live_rows(rows, 15), workdir(spark)).select("id")
+    """Every third month of the first year in a micro-batch, each followed by two with a later row of another
+    id (the first moves the watermark, the second drops what has expired): an id that comes back in a later
+    month is live anew."""
+    rows = postings(spark, sf).select(F.concat(F.lit("o"), (F.col("num") % 50).cast("string")).alias("id"), "posted_at")
+    rows = rows.withColumn("month", F.date_trunc("month", "posted_at"))
+    months = [r["month"] for r in rows.select("month").distinct().orderBy("month").limit(12).collect()][::3]
+    root = workdir(spark)
+    for month in months:
+        late = spark.range(1).select(F.lit("clock").alias("id"), (F.lit(month) + F.expr("INTERVAL 80 DAYS")).alias("posted_at"))
+        for part in (rows.filter(F.col("month") == F.lit(month)).select("id", "posted_at"), late, late):
+            part.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    stream = spark.readStream.schema("id string, posted_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    live = written(spark, live_rows(stream, LIVE_DAYS), root).filter("id <> 'clock'")
+    return live.groupBy("id").agg(F.count("*").alias("times"))
 
 
 @query(f"""WITH {binding.LOG_SQL}, runs AS (SELECT CAST(floor(epoch(time_bucket(INTERVAL 30 MINUTE, ts)) / 1800) AS BIGINT) AS tick, {health.RUN_SQL} FROM log GROUP BY 1)

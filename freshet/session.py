@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +32,37 @@ def build_session(app: str = "freshet", master: str | None = None, **extra: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on (UTC) and the ones the plans rely on (AQE)."""
+    """Pin the settings the results depend on (UTC) and the ones the plans rely on (AQE), and send the
+    package to the executors."""
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; Spark's own file server carries it."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    top = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(top)))
+    local = tempfile.mkdtemp(prefix="freshet-ship-")  # read by the driver alone
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    with open(os.path.join(local, "freshet-package.zip"), "wb") as file:
+        file.write(packed.getvalue())
+    spark.sparkContext.addPyFile(os.path.join(local, "freshet-package.zip"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,8 +80,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local folder only where a local master names none."""
+    """The shared folder named by the cluster in spark.checkpoint.dir.
+
+    Where a local master names none (tests, one machine), one folder per application stands in for it;
+    it goes with everything in it when the application ends.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -61,11 +97,15 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="freshet-")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIRS:
+        _OWN_DIRS[application] = tempfile.mkdtemp(prefix="freshet-")
+        atexit.register(shutil.rmtree, _OWN_DIRS[application], ignore_errors=True)
+    return _OWN_DIRS[application]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and go on from there.
+def cut(df: DataFrame, *folders: str) -> DataFrame:
+    """Write `df` as a table in the shared folder, in folders by the given columns, and go on from there.
 
     Needed where a result is read several times, or where a later step must see exactly the same
     rows twice. It survives the loss of executors, later steps read only the columns they use, and
@@ -73,5 +113,5 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/freshet-cut/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -17,6 +17,7 @@ from freshet.functions import vocab
 from freshet.functions.scalars import parse_date, salary_range
 from freshet.operators.places import split_offices
 from freshet.operators.skew import checked_broadcast
+from freshet.session import cut
 
 LANDED = "provider string, board string, page int, validator string, body string"
 POSTING_COLUMNS = (
@@ -304,24 +305,49 @@ def provider(name: str) -> Provider:
     return PROVIDERS[name]
 
 
-def pages(landed: DataFrame, spec: Provider) -> DataFrame:
-    """Parsed pages of one provider with a flag for a broken envelope."""
-    own = landed.filter(F.col("provider") == spec.name).withColumn("v", F.try_parse_json("body"))
-    items = F.try_variant_get("v", spec.envelope, "array<variant>")
+def _items(spec: Provider) -> Column:
+    return F.try_variant_get("v", spec.envelope, "array<variant>")
+
+
+def _broken(spec: Provider) -> Column:
     # A cast tells an array or object from anything else without walking through its contents.
-    broken = items.isNull()
+    broken = F.col("items").isNull()
     if spec.envelope_optional:
         is_object = F.try_variant_get("v", "$", "map<string,variant>").isNotNull()
         listed = at(F.col("v"), spec.envelope)
         broken = broken & ~(is_object & (listed.isNull() | F.is_variant_null(listed)))
     for check in spec.envelope_checks:
         broken = broken | check.reason(check.found(F.col("v"))).isNotNull()
-    return own.select("provider", "board", "page", "validator", "v", items.alias("items"), broken.alias("broken"))
+    return broken
+
+
+def open_pages(landed: DataFrame, names: Sequence[str] = tuple(PROVIDERS)) -> DataFrame:
+    """The landed pages with their bodies parsed, once, and a flag for a broken envelope.
+
+    Written as a table in folders by provider, so that every reader opens only its own pages and no
+    body is parsed again: provider, board, page, validator, found (total of a paged feed), items, broken.
+    """
+    specs = [provider(n) for n in names]
+
+    def by_provider(part: Callable[[Provider], Column]) -> Column:
+        result = F.when(F.col("provider") == specs[0].name, part(specs[0]))
+        for spec in specs[1:]:
+            result = result.when(F.col("provider") == spec.name, part(spec))
+        return result
 
+    own = landed.filter(F.col("provider").isin(*names)).withColumn("v", F.try_parse_json("body"))
+    whole = own.withColumn("items", by_provider(_items)).withColumn("broken", by_provider(_broken))
+    found = F.try_variant_get("v", "$.totalFound", "double")
+    return cut(whole.select("provider", "board", "page", "validator", found.alias("found"), "items", "broken"), "provider")
 
-def parsed(landed: DataFrame, spec: Provider) -> DataFrame:
+
+def pages(opened: DataFrame, spec: Provider) -> DataFrame:
+    return opened.filter(F.col("provider") == spec.name)
+
+
+def parsed(opened: DataFrame, spec: Provider) -> DataFrame:
     """Every posting of every page with the first reason it fails, if it does."""
-    whole = pages(landed, spec).filter(~F.col("broken"))
+    whole = pages(opened, spec).filter(~F.col("broken"))
     items = whole.select("provider", "board", "page", F.posexplode("items").alias("pos", "p"))
     p = F.col("p")
     for step in spec.prepare:
@@ -332,8 +358,8 @@ def parsed(landed: DataFrame, spec: Provider) -> DataFrame:
     return items.select("*", *types).select(*items.columns, F.coalesce(*reasons).alias("reason"))
 
 
-def _postings(landed: DataFrame, spec: Provider) -> DataFrame:
-    good = parsed(landed, spec).filter(F.col("reason").isNull())
+def _postings(opened: DataFrame, spec: Provider) -> DataFrame:
+    good = parsed(opened, spec).filter(F.col("reason").isNull())
     defaults = {
         "hints": F.array().cast("array<string>"), "salary": F.lit(""), "is_remote": F.lit(False),
     }
@@ -343,43 +369,54 @@ def _postings(landed: DataFrame, spec: Provider) -> DataFrame:
     return good.select("provider", "board", "page", "pos", *[fields[c].alias(c) for c in POSTING_COLUMNS])
 
 
-def read_feeds(landed: DataFrame, names: Sequence[str] = tuple(PROVIDERS)) -> DataFrame:
-    """Valid postings; a board with one broken page is left out whole.
+def read_feeds(opened: DataFrame, names: Sequence[str] = tuple(PROVIDERS)) -> DataFrame:
+    """Valid postings of opened pages; a board with one broken page is left out whole."""
+    rows = reduce(DataFrame.unionByName, [_postings(opened, provider(n)) for n in names])
+    failed = opened.filter("broken").select("provider", "board").distinct()
+    return rows.join(checked_broadcast(failed), ["provider", "board"], "left_anti")
 
-    Each provider reads only its own pages, so keep the landed table partitioned by provider.
-    """
-    rows = reduce(DataFrame.unionByName, [_postings(landed, provider(n)) for n in names])
-    failed = reduce(DataFrame.unionByName, [failed_boards(landed, n) for n in names])
-    return rows.join(checked_broadcast(failed, costly=True), ["provider", "board"], "left_anti")
 
+def failed_boards(opened: DataFrame, name: str) -> DataFrame:
+    return pages(opened, provider(name)).filter("broken").select("provider", "board").distinct()
 
-def failed_boards(landed: DataFrame, name: str) -> DataFrame:
-    return pages(landed, provider(name)).filter("broken").select("provider", "board").distinct()
 
-
-def skip_summary(landed: DataFrame, name: str) -> DataFrame:
+def skip_summary(opened: DataFrame, name: str) -> DataFrame:
     """Skipped postings per board and the reason of the first one."""
-    bad = parsed(landed, provider(name)).filter(F.col("reason").isNotNull())
+    bad = parsed(opened, provider(name)).filter(F.col("reason").isNotNull())
     return bad.groupBy("provider", "board").agg(
         F.count("*").alias("skipped"), F.min_by("reason", F.struct("page", "pos")).alias("reason")
     )
 
 
-def completeness(landed: DataFrame, name: str) -> DataFrame:
-    """A paged board is complete when a page reaches the total or comes back empty."""
+def completeness(opened: DataFrame, name: str) -> DataFrame:
+    """A paged board is complete when a page reaches the total or comes back empty, and every page
+    before that one is there and whole."""
     spec = provider(name)
-    rows = pages(landed, spec).filter(~F.col("broken"))
-    done = F.lit(True)
-    if spec.paged:
-        reached = (F.col("page") + 1) * vocab.SMARTRECRUITERS_PAGE >= F.try_variant_get("v", "$.totalFound", "double")
-        done = reached | (F.size("items") == 0)
-    return rows.groupBy("provider", "board").agg(F.bool_or(done).alias("complete"))
+    rows = pages(opened, spec).filter(~F.col("broken"))
+    if not spec.paged:
+        return rows.groupBy("provider", "board").agg(F.lit(True).alias("complete"))
+    reached = (F.col("page") + 1) * vocab.SMARTRECRUITERS_PAGE >= F.col("found")
+    once = rows.groupBy("provider", "board", "page").agg(F.bool_or(reached | (F.size("items") == 0)).alias("last"))
+    ends = once.groupBy("provider", "board").agg(F.min(F.when(F.col("last"), F.col("page"))).alias("end"))
+    before = F.count_if(F.col("page") <= F.col("end"))
+    met = once.join(ends, ["provider", "board"]).groupBy("provider", "board", "end").agg(before.alias("n"))
+    return met.select("provider", "board", F.coalesce(F.col("n") == F.col("end") + 1, F.lit(False)).alias("complete"))
+
+
+def page_mark() -> Column:
+    """What tells one version of a page from another: its validator, else the hash of its content."""
+    return F.coalesce("validator", F.sha2("body", 256))
 
 
-def changed_pages(landed: DataFrame, seen: DataFrame) -> DataFrame:
-    """Landed pages whose board has another validator than the stored one.
+def changed_boards(landed: DataFrame, seen: DataFrame) -> DataFrame:
+    """All landed pages of every board that differs from what was seen last.
 
-    Without a validator the content hash of the page stands in for it.
+    A board has changed if any of its pages is new or has another mark, or if a page that was seen is
+    gone. `seen` has provider, board, page and mark.
     """
-    mark = F.coalesce("validator", F.sha2("body", 256))
-    return landed.withColumn("mark", mark).join(seen.select("board", "page", "mark"), ["board", "page", "mark"], "left_anti")
+    key = ["provider", "board", "page", "mark"]
+    now = landed.withColumn("mark", page_mark())
+    fresh = now.select(*key).join(seen.select(*key), key, "left_anti").select("provider", "board")
+    gone = seen.select(*key).join(now.select(*key), key, "left_anti").select("provider", "board")
+    changed = fresh.unionByName(gone).distinct()
+    return now.join(changed, ["provider", "board"], "left_semi")

@@ -1,106 +1,100 @@
-"""Tables that are published together: Parquet folders plus one commit file per version.
+"""Tables that are published together: Parquet folders and one pointer file that names them.
 
-A version writes only the buckets it touches and then creates its commit file, which lists the
-folder of every bucket of every table. Readers take the newest commit file, so they see all tables
-of one version or none of it. Everything lies on the shared file system that Spark is given.
+A publication writes new folders and then swaps the pointer, so readers see all tables of it or none.
+Rows lie in slices by a hash of a column; a table's number of slices follows its size when it is first
+written, and a publication may replace single slices only. For one writer at a time, which is what a
+stream's micro-batches are; several writers need a table format made for them.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+SLICE_ROWS = 200_000
 
 
-def bucket_of(board: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(board), F.lit(buckets)).cast("int")
+def slice_of(column: str, slices: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(slices)).cast("int")
 
 
-class VersionedTables:
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+class PublishedTables:
+    """`by`: the column that slices a table; tables without one are a single slice."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict, by: dict[str, str] | None = None):
+        self.spark, self.root, self.schemas, self.by = spark, root.rstrip("/"), schemas, by or {}
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.commons.io.IOUtils
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
-
-    def _commits(self) -> list[str]:
-        return sorted(
-            s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/commits"))
-            if s.getPath().getName().endswith(".json")
-        )
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._fs.mkdirs(self._path(self.root))
+        self._pointer = self._path(f"{self.root}/current.json")
 
     def current(self) -> dict:
-        """The newest commit: version, token and the folders of each table."""
-        names = self._commits()
-        if not names:
-            return {"version": 0, "token": None, "tables": {}}
-        stream = self._fs.open(self._path(f"{self.root}/commits/{names[-1]}"))
+        """Token of the last publication, and of each table its slice number and the folder of each slice."""
+        if not self._fs.exists(self._pointer):
+            return {"token": None, "tables": {}, "retired": []}
+        stream = self._fs.open(self._pointer)
         try:
-            return json.loads(bytes(self._io.toByteArray(stream)).decode())
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def read(self, name: str) -> DataFrame:
-        folders = self.current()["tables"].get(name, {})
+    def _folders(self, name: str, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*sorted(folders.values()))
+        return self.spark.read.schema(self.schemas[name]).parquet(*sorted(folders))
 
-    def read_buckets(self, name: str, buckets: list[int]) -> DataFrame:
-        """Only the buckets that a change can concern."""
-        folders = self.current()["tables"].get(name, {})
-        wanted = sorted(folders[str(b)] for b in buckets if str(b) in folders)
-        if not wanted:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*wanted)
+    def read(self, name: str) -> DataFrame:
+        return self._folders(name, list(self.current()["tables"].get(name, {}).get("folders", {}).values()))
 
-    def publish(
-        self, tables: dict[str, DataFrame], token: str | None = None,
-        buckets: list[int] | None = None, bucket_by: dict[str, Column] | None = None,
-    ) -> int:
-        """K6: write new folders, then the commit file; `buckets` limits what is replaced.
+    def slices_with(self, name: str, keys: DataFrame, column: str) -> list[int]:
+        """Slices of a table that may hold the keys; at most as many as it has."""
+        slices = self.current()["tables"].get(name, {}).get("slices", 1)
+        return sorted(r[0] for r in keys.select(slice_of(column, slices)).distinct().collect())
 
-        Without `bucket_by` a table is one bucket. A rebalance hint keeps a bucket that holds a
-        large part of the rows from being written by one task.
-        """
+    def read_slices(self, name: str, wanted: list[int]) -> DataFrame:
+        folders = self.current()["tables"].get(name, {}).get("folders", {})
+        return self._folders(name, [folders[str(s)] for s in wanted if str(s) in folders])
+
+    def publish(self, tables: dict[str, DataFrame], token: str | None = None, replace: dict[str, list[int]] | None = None) -> None:
+        """K6: write the tables, then swap the pointer. `replace` names the slices that a table's rows replace;
+        without it they replace the table. A token that is published already is not published again."""
         now = self.current()
         if token is not None and now["token"] == token:
-            return now["version"]  # this batch is already in
-        version = now["version"] + 1
-        listed = {name: dict(folders) for name, folders in now["tables"].items()}
+            return
+        listed, retired = dict(now["tables"]), []
         for name, df in tables.items():
-            column = (bucket_by or {}).get(name)
-            folder = f"{self.root}/{name}/v{version:08d}"
-            rows = df.withColumn("_bucket", column if column is not None else F.lit(0))
-            rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+            old = listed.get(name, {"slices": None, "folders": {}})
+            column, wanted = self.by.get(name), (replace or {}).get(name)
+            slices = 1
+            if column is not None:
+                slices = old["slices"] if wanted is not None and old["slices"] else max(1, -(-df.count() // SLICE_ROWS))
+            folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            rows = df.withColumn("_slice", slice_of(column, slices) if column is not None else F.lit(0))
+            rows.hint("rebalance", "_slice").write.partitionBy("_slice").parquet(folder)
             written = {
                 s.getPath().getName().split("=")[1]: s.getPath().toString()
-                for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("_bucket=")
+                for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("_slice=")
             }
-            replaced = set(written) if column is not None and buckets is not None else set(listed.get(name, {}))
-            replaced |= {str(b) for b in buckets or []}
-            kept = {b: p for b, p in listed.get(name, {}).items() if b not in replaced}
-            listed[name] = {**kept, **written}
-        commit = {"version": version, "token": token, "tables": listed}
-        # Created without overwrite: of two writers of one version only the first one succeeds.
-        out = self._fs.create(self._path(f"{self.root}/commits/{version:08d}.json"), False)
+            kept = {s: f for s, f in old["folders"].items() if wanted is not None and int(s) not in wanted}
+            retired += [f for s, f in old["folders"].items() if s not in kept]
+            listed[name] = {"slices": slices, "folders": {**kept, **written}}
+        self._swap({"token": token, "tables": listed, "retired": retired})
+        for folder in now["retired"]:  # replaced by the publication before; its readers have had a whole one to finish
+            self._fs.delete(self._path(folder), True)
+
+    def _swap(self, pointer: dict) -> None:
+        fresh = self._path(f"{self.root}/next-{uuid.uuid4().hex}.json")
+        out = self._fs.create(fresh, False)
         try:
-            out.write(bytearray(json.dumps(commit).encode()))
+            out.write(bytearray(json.dumps(pointer).encode()))
         finally:
             out.close()
-        return version
-
-
-def touched_buckets(boards: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """Bucket numbers of the boards; at most `buckets` of them."""
-    return sorted(r[0] for r in boards.select(bucket_of(F.col("board"), buckets)).distinct().collect())
-
-
-def with_board(facets: DataFrame, postings: DataFrame) -> DataFrame:
-    """Facet rows with the board of their posting, for bucketing them alike."""
-    return facets.join(postings.select(F.col("id").alias("job_id"), "board"), "job_id")
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self._conf).rename(fresh, self._pointer, rename)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +18,8 @@ from freshet.functions import vocab
 from freshet.operators import boards, cdc, facets as facet_ops, listing, upkeep
 from freshet.operators.throttle import still_counting, throttle
 from freshet.session import cut
-from freshet.sources.store import VersionedTables, bucket_of, touched_buckets
+from freshet.sources import feeds
+from freshet.sources.store import PublishedTables
 
 SUMMARY_TABLE = {"board_summary": boards.SUMMARY}
 
@@ -30,7 +31,7 @@ def _start(stream: DataFrame, step, checkpoint: str) -> StreamingQuery:
     )
 
 
-def fold_boards(log: DataFrame, tables: VersionedTables, checkpoint: str) -> StreamingQuery:
+def fold_boards(log: DataFrame, tables: PublishedTables, checkpoint: str) -> StreamingQuery:
     """Crawl log into one summary per board."""
     def step(batch: DataFrame, number: int) -> None:
         newer = boards.summarise_log(cut(batch))
@@ -51,42 +52,97 @@ class Derived:
     only_location: bool = False  # recomputed only where a location field changed
 
 
+#: What a stream of snapshots carries besides the page itself: pages of a board's snapshot arrive in any
+#: number of micro-batches, `pages` says how many there are. A board that has nothing sends one empty page.
+PAGE_KEY = ("provider", "board", "snapshot", "page")
+
+#: Whole pages to (postings, boards); boards have board (provider/board) and complete, also those without any posting.
+Parse = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def whole_snapshots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages of each board's newest whole snapshot, pages that have to wait).
+
+    A snapshot is whole once every one of its pages is there. Pages of older snapshots of a board than
+    its newest whole one are dropped; those of newer ones wait for the rest.
+    """
+    own = ["provider", "board"]
+    counts = pages.groupBy(*own, "snapshot").agg(F.count("*").alias("n"), F.max("pages").alias("pages"))
+    newest = counts.filter(F.col("n") >= F.col("pages")).groupBy(*own).agg(F.max("snapshot").alias("newest"))
+    met = cut(pages.join(newest, own, "left"))
+    whole = met.filter(F.col("snapshot") == F.col("newest")).drop("newest")
+    waiting = met.filter(F.col("newest").isNull() | (F.col("snapshot") > F.col("newest"))).drop("newest")
+    return whole, waiting
+
+
 def apply_snapshots(
-    fetched: DataFrame, tables: VersionedTables, checkpoint: str, cutoff: datetime, complete: Column, created_at: datetime,
+    pages: DataFrame, tables: PublishedTables, checkpoint: str, cutoff: datetime, parse: Parse, created_at: datetime,
     derived: Mapping[str, Derived] | None = None,
 ) -> StreamingQuery:
-    """Postings of arriving snapshots into the stored tables, all boards of a batch at once.
+    """Arriving pages of board snapshots into the stored tables.
 
-    Only the buckets of those boards are read and rewritten, and all tables are published in one
-    commit. Boards whose fetch did not change anything, partial boards and suspicious boards follow
-    the guard rules of `cdc`.
+    A board is compared only when a snapshot of it is whole; until then its pages wait in the table
+    `waiting`. An empty snapshot counts as one. Where `tables` has `seen`, boards whose pages all carry
+    the marks of the last time are left alone (S9). Only the slices of the boards at hand are read and
+    rewritten, and all tables, `board_summary` too where there is one, are published together.
     """
     def step(batch: DataFrame, number: int) -> None:
-        rows = cut(batch)
-        crawled = cut(rows.groupBy("board").agg(F.bool_and(complete).alias("complete")))
-        buckets = touched_buckets(crawled)
-        stored = tables.read_buckets("postings", buckets)
-        changes = cut(cdc.diff(cdc.stored_of(stored, crawled, cutoff), rows.select(*[c for c in stored.columns if c != "created_at"])))
-        guarded = cut(cdc.guard(changes))
-        if not cdc.board_outcome(guarded, crawled).filter("wrote").limit(1).count():
+        token = f"snapshots-{number}"
+        if tables.current()["token"] == token:
             return
-        deletes = cut(cdc.allowed_deletes(changes, guarded, crawled))
-        written = cdc.upsert(stored, cdc.puts_of(changes, F.lit(created_at)))
-        out = {"postings": cdc.without_ids(written, deletes)}
-        for name, spec in (derived or {}).items():
-            puts = changes.filter(F.col("action").isin("insert", "update"))
-            if spec.only_location:
-                puts = puts.filter((F.col("action") == "insert") | F.col("location_changed"))
-            cleared = puts.select("id").unionByName(deletes)
-            kept = cdc.without_ids(tables.read_buckets(name, buckets), cleared, spec.key)
-            out[name] = kept.unionByName(spec.compute(puts).select(*kept.columns))
-        tables.publish(out, f"snapshots-{number}", buckets, {name: bucket_of(F.col("board")) for name in out})
-
-    return _start(fetched, step, checkpoint)
+        whole, waiting = whole_snapshots(cut(tables.read("waiting").unionByName(batch).dropDuplicates([*PAGE_KEY])))
+        out, replace = {"waiting": waiting}, {}
+        if "seen" in tables.schemas:
+            marked = cut(whole.withColumn("mark", feeds.page_mark()))
+            key = ["provider", "board", "page", "mark"]
+            seen = tables.read("seen")
+            last = seen.join(marked.select("provider", "board").distinct(), ["provider", "board"], "left_semi")
+            whole = cut(feeds.changed_boards(whole, last).drop("mark"))
+            others = seen.join(marked.select("provider", "board").distinct(), ["provider", "board"], "left_anti")
+            out["seen"] = others.unionByName(marked.select(*key))
+        rows, crawled = parse(whole)
+        rows, crawled = cut(rows), cut(crawled)
+        if not crawled.isEmpty():
+            touched = {name: tables.slices_with(name, crawled, "board") for name in ("postings", *(derived or {}))}
+            stored = tables.read_slices("postings", touched["postings"])
+            fetched = rows.select(*[c for c in stored.columns if c != "created_at"])
+            changes = cut(cdc.diff(cdc.stored_of(stored, crawled, cutoff), fetched))
+            guarded = cut(cdc.guard(changes))
+            outcome = cut(cdc.board_outcome(guarded, crawled))
+            if "board_summary" in tables.schemas:
+                out["board_summary"] = boards.merge_state(tables.read("board_summary"), boards.summarise_log(_crawl_rows(whole, rows, outcome)))
+            if not outcome.filter("wrote").isEmpty():
+                deletes = cut(cdc.allowed_deletes(changes, guarded, crawled))
+                written = cdc.upsert(stored, cdc.puts_of(changes, F.lit(created_at)))
+                out["postings"] = cdc.without_ids(written, deletes)
+                for name, spec in (derived or {}).items():
+                    puts = changes.filter(F.col("action").isin("insert", "update"))
+                    if spec.only_location:
+                        puts = puts.filter((F.col("action") == "insert") | F.col("location_changed"))
+                    cleared = puts.select("id").unionByName(deletes)
+                    kept = cdc.without_ids(tables.read_slices(name, touched[name]), cleared, spec.key)
+                    out[name] = kept.unionByName(spec.compute(puts).select(*kept.columns))
+                replace = {name: touched[name] for name in touched if name in out}
+        tables.publish(out, token, replace)
+
+    return _start(pages, step, checkpoint)
+
+
+def _crawl_rows(whole: DataFrame, rows: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Crawl-log rows of the boards at hand: the snapshot number is the time in seconds."""
+    found = rows.groupBy("board").agg(F.count("*").alias("jobs_found"))
+    at = whole.groupBy(F.concat_ws("/", "provider", "board").alias("board")).agg(F.max("snapshot").alias("snapshot"))
+    own = outcome.join(found, "board", "left").join(at, "board")
+    none = F.lit(None).cast("string")
+    return own.select(
+        "board", F.timestamp_seconds("snapshot").alias("ts"), F.col("snapshot").cast("long").alias("seq"), F.lit("ok").alias("status"),
+        F.coalesce("jobs_found", F.lit(0)).cast("long").alias("jobs_found"), F.lit(0).cast("long").alias("duration_ms"), none.alias("error"),
+        none.alias("validator"), F.col("wrote").alias("changed"),
+    )
 
 
 def flag_requests(
-    requests: DataFrame, tables: VersionedTables, out: str, checkpoint: str, window_seconds: int,
+    requests: DataFrame, tables: PublishedTables, out: str, checkpoint: str, window_seconds: int,
 ) -> StreamingQuery:
     """T11 over a stream: each batch writes its decisions to its own folder under `out`, and the
     allowed requests that later ones still have to count are carried over."""
@@ -110,7 +166,7 @@ VIEWS = {
 
 
 def refresh_views(
-    postings: DataFrame, located: DataFrame, views: VersionedTables, cutoff: datetime, changed: bool, full: bool, token: str,
+    postings: DataFrame, located: DataFrame, views: PublishedTables, cutoff: datetime, changed: bool, full: bool, token: str,
 ) -> list[str]:
     """Nothing without a change; recent links after any change; the rest at a sweep start."""
     if not changed:
@@ -130,9 +186,9 @@ def sweep(postings: DataFrame, facets: DataFrame, cutoff: datetime) -> tuple[Dat
     Returns the postings and facets that stay and one row of counts (removed, deduped).
     """
     stale = cut(upkeep.stale_ids(postings, cutoff).select("id"))
-    live = cdc.without_ids(postings, stale)
+    live = upkeep.without_stale(postings, cutoff)
     twins = cut(upkeep.duplicate_postings(live, cutoff).select("id"))
     gone = stale.unionByName(twins)
     kinds = stale.select(F.lit("removed").alias("kind")).unionByName(twins.select(F.lit("deduped").alias("kind")))
     counts = kinds.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("removed", "deduped")])
-    return cdc.without_ids(postings, gone), cdc.without_ids(facets, gone, "job_id"), counts
+    return cdc.without_ids(live, twins), cdc.without_ids(facets, gone, "job_id"), counts

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import boards
 from freshet.session import shared_dir
-from freshet.sources.store import VersionedTables, bucket_of, touched_buckets
+from freshet.sources import store
 from freshet.streaming import folds
 
 START = datetime(2024, 1, 1)
@@ -57,10 +57,10 @@ def test_stream_of_small_batches_equals_batch(spark):
     root = f"{shared_dir(spark)}/boards-{random.getrandbits(60)}"
     for i in range(3):
         spark.createDataFrame(rows[i * 30:(i + 1) * 30], LOG).coalesce(1).write.parquet(f"{root}/log/part={i}")
-    tables = VersionedTables(spark, f"{root}/tables", folds.SUMMARY_TABLE)
+    tables = store.PublishedTables(spark, f"{root}/tables", folds.SUMMARY_TABLE)
     log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{root}/log/*")
     folds.fold_boards(log, tables, f"{root}/checkpoint").awaitTermination()
-    assert tables.current()["version"] == 3
+    assert tables.current()["token"] == "boards-2"
     assert collected(boards.board_state(tables.read("board_summary"))) == brute(rows)
 
 
@@ -100,39 +100,40 @@ def test_staleness_and_gate(spark):
     assert boards.changed_since(state.limit(0), START).first()[0] is False
 
 
-def test_versions(spark):
+def test_publish(spark, monkeypatch):
+    monkeypatch.setattr(store, "SLICE_ROWS", 10)
     root = f"{shared_dir(spark)}/store-{random.getrandbits(60)}"
-    tables = VersionedTables(spark, root, {"rows": "id int, board string", "names": "name string"})
+    tables = store.PublishedTables(spark, root, {"rows": "id int, board string", "names": "name string"}, {"rows": "board"})
     assert tables.read("rows").count() == 0
     rows = spark.range(40).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("b"), (F.col("id") % 5).cast("string")).alias("board"))
-    by = {"rows": bucket_of(F.col("board"))}
-    assert tables.publish({"rows": rows}, "one", bucket_by=by) == 1
-    assert tables.publish({"rows": rows.limit(0)}, "one", bucket_by=by) == 1  # repeated token
+    tables.publish({"rows": rows}, "one")
+    assert tables.current()["tables"]["rows"]["slices"] == 4  # as many as the rows ask for
+    tables.publish({"rows": rows.limit(0)}, "one")  # repeated token
     assert tables.read("rows").count() == 40
-    touched = touched_buckets(spark.createDataFrame([("b3",)], "board string"))
-    own = tables.read_buckets("rows", touched)
-    before = own.count()
+    touched = tables.slices_with("rows", spark.createDataFrame([("b3",)], "board string"), "board")
+    own = tables.read_slices("rows", touched)
     left = own.filter("board <> 'b3' or id < 10")
-    tables.publish({"rows": left, "names": spark.createDataFrame([("x",)], "name string")}, "two", touched, by | {"names": F.lit(touched[0])})
-    assert tables.read("rows").count() == 40 - 6
-    assert before >= 8 and tables.read("names").count() == 1
-    tables.publish({"rows": own.limit(0)}, "three", touched, by)  # a bucket that becomes empty goes
-    assert tables.read_buckets("rows", touched).count() == 0
+    tables.publish({"rows": left, "names": spark.createDataFrame([("x",)], "name string")}, "two", {"rows": touched})
+    assert tables.read("rows").count() == 40 - 6 and tables.read("names").count() == 1
+    tables.publish({"rows": tables.read("rows").limit(0)}, "three", {"rows": touched})  # a slice that becomes empty goes
+    assert tables.read_slices("rows", touched).count() == 0
+    tables.publish({"names": spark.createDataFrame([("y",)], "name string")}, "four")
+    assert [r[0] for r in tables.read("names").collect()] == ["y"]
 
 
 def test_failed_write_leaves_the_old_version(spark):
     root = f"{shared_dir(spark)}/store-{random.getrandbits(60)}"
-    tables = VersionedTables(spark, root, {"rows": "id bigint", "other": "id bigint"})
+    tables = store.PublishedTables(spark, root, {"rows": "id bigint", "other": "id bigint"})
     tables.publish({"rows": spark.range(3), "other": spark.range(3)}, "one")
     broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
     with pytest.raises(Exception):  # noqa: B017
         tables.publish({"rows": spark.range(9), "other": broken}, "two")
-    assert tables.read("rows").count() == 3 and tables.current()["version"] == 1
+    assert tables.read("rows").count() == 3 and tables.current()["token"] == "one"
 
 
 def test_views_follow_changes(spark):
     root = f"{shared_dir(spark)}/views-{random.getrandbits(60)}"
-    views = VersionedTables(spark, root, folds.VIEWS)
+    views = store.PublishedTables(spark, root, folds.VIEWS)
     rows = spark.createDataFrame([("1", "t", "c", "https://a.example", "berlin", START)], "id string, title string, company string, url string, location string, posted_at timestamp")
     located = spark.createDataFrame([("1", "berlin", "germany")], "job_id string, city string, country string")
     cutoff = START - timedelta(days=1)
@@ -140,3 +141,40 @@ def test_views_follow_changes(spark):
     assert folds.refresh_views(rows, located, views, cutoff, True, False, "b") == ["recent_links"]
     assert folds.refresh_views(rows, located, views, cutoff, True, True, "c") == ["company_index", "location_counts", "recent_links"]
     assert views.read("company_index").count() == 1
+
+
+def test_snapshots_split_over_batches(spark):
+    """Boards split over batches, in any order; a lost page; an empty board; a repeated page."""
+    at = START - timedelta(days=1)
+    item = "id string, title string, company string, location string, locations array<string>, department string, url string, posted_at timestamp, source string, salary string, level string, city string, country string, is_remote boolean"
+    page = f"provider string, board string, snapshot bigint, page int, pages int, items array<struct<{item.replace(' string', ':string').replace(' array', ':array').replace(' timestamp', ':timestamp').replace(' boolean', ':boolean')}>>"
+    stored_schema = f"{item}, board string, created_at timestamp"
+
+    def posting(board, i, title="t"):
+        return (f"{board}-{i}", title, "c", "l", ["l"], "d", "https://a.example", at, "gh", "", "mid", None, "x", False)
+
+    stored = spark.createDataFrame([(*posting(b, i), f"gh/{b}", at) for b, n in (("a", 40), ("b", 8), ("c", 6)) for i in range(n)], stored_schema)
+    batches = [
+        [("gh", "a", 1, 0, 2, [posting("a", i) for i in range(15)]), ("gh", "c", 1, 0, 2, [posting("c", 0)])],
+        [("gh", "b", 1, 0, 1, [])],
+        [("gh", "a", 1, 1, 2, [posting("a", i) for i in range(15, 40)]), ("gh", "a", 1, 0, 2, [posting("a", i) for i in range(15)])],
+        [("gh", "a", 2, 0, 1, [posting("a", i, "new" if i == 3 else "t") for i in range(39)])],
+    ]
+    root = f"{shared_dir(spark)}/pages-{random.getrandbits(60)}"
+    for rows in batches:
+        spark.createDataFrame(rows, page).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    tables = store.PublishedTables(spark, f"{root}/tables", {"postings": stored.schema, "waiting": page}, {"postings": "board"})
+    tables.publish({"postings": stored})
+
+    def parse(whole):
+        board = F.concat_ws("/", "provider", "board").alias("board")
+        return whole.select(board, F.explode("items").alias("i")).select("board", "i.*"), whole.select(board, F.lit(True).alias("complete")).distinct()
+
+    stream = spark.readStream.schema(page).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    folds.apply_snapshots(stream, tables, f"{root}/checkpoint", at - timedelta(days=9), parse, START).awaitTermination()
+    rows = {r["id"]: r for r in tables.read("postings").collect()}
+    assert {k for k in rows if k.startswith("a")} == {f"a-{i}" for i in range(39)}
+    assert rows["a-3"]["title"] == "new" and all(r["created_at"] == at for r in rows.values())
+    assert not [k for k in rows if k.startswith("b")]  # an empty board of less than ten rows is cleared
+    assert len([k for k in rows if k.startswith("c")]) == 6  # its second page never came
+    assert [(r["board"], r["page"]) for r in tables.read("waiting").collect()] == [("c", 0)]

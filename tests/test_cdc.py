@@ -85,9 +85,9 @@ def test_upsert_keeps_some_columns(spark):
     later = AT + timedelta(days=2)
     puts = table(spark, [{"id": "1", "title": "Lead", "company": "z", "source": "lever", "created_at": later}, {"id": "3", "company": "n", "created_at": later}])
     rows = {r["id"]: (r["title"], r["company"], r["source"], r["created_at"]) for r in cdc.upsert(stored, puts).collect()}
-    assert rows == {"1": ("Lead", "x", "greenhouse", AT), "2": ("Clerk", "x", "greenhouse", AT), "3": ("Clerk", "n", "greenhouse", later)}
-    taken = {r["id"]: r["company"] for r in cdc.upsert(stored, puts, kept=("created_at",)).collect()}
-    assert taken["1"] == "z"
+    assert rows == {"1": ("Lead", "z", "greenhouse", AT), "2": ("Clerk", "x", "greenhouse", AT), "3": ("Clerk", "n", "greenhouse", later)}
+    taken = {r["id"]: (r["company"], r["source"]) for r in cdc.upsert(stored, puts, kept=("company", "created_at")).collect()}
+    assert taken["1"] == ("x", "lever")
 
 
 def test_duplicates_need_two_sources(spark):
@@ -105,6 +105,6 @@ def test_duplicates_need_two_sources(spark):
 
 def test_bounded_round(spark):
     doomed = spark.range(1700).select(F.col("id").cast("string").alias("id"), F.col("id").alias("at"))
-    taken, counts = upkeep.bounded_round(doomed, ["at", "id"])
+    taken, counts = upkeep.bounded_round(doomed, ["at", "id"], 1500)
     assert taken.agg(F.max("at")).first()[0] == 1499
     assert tuple(counts.first()) == (1500, 200)

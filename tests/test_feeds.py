@@ -36,7 +36,7 @@ def landed(spark, rows):
 
 def read(spark, provider, *postings):
     pages = landed(spark, [(provider, "x", 0, body(provider, list(postings)))])
-    return feeds.read_feeds(pages, [provider]).orderBy("pos").collect()
+    return feeds.read_feeds(feeds.open_pages(pages, [provider]), [provider]).orderBy("pos").collect()
 
 
 @pytest.mark.parametrize("provider", sorted(GOOD))
@@ -61,7 +61,7 @@ def test_good_posting(spark, provider):
 ])
 def test_bad_posting_is_skipped_alone(spark, provider, change, reason):
     postings = [GOOD[provider], {**GOOD[provider], **change}, {**GOOD[provider], **change}, "nonsense"]
-    pages = landed(spark, [(provider, "x", 0, body(provider, postings))])
+    pages = feeds.open_pages(landed(spark, [(provider, "x", 0, body(provider, postings))]), [provider])
     assert feeds.read_feeds(pages, [provider]).count() == 1
     summary = feeds.skip_summary(pages, provider).first()
     assert (summary["skipped"], summary["reason"]) == (3, reason)
@@ -71,6 +71,7 @@ def test_bad_posting_is_skipped_alone(spark, provider, change, reason):
 def test_broken_page_fails_the_board_only(spark, provider):
     good = body(provider, [GOOD[provider]])
     pages = landed(spark, [(provider, "x", 0, good), (provider, "x", 1, "<html>"), (provider, "y", 0, good), (provider, "z", 0, '{"other":1}'), (provider, "n", 0, None)])
+    pages = feeds.open_pages(pages, [provider])
     found = {r["board"] for r in feeds.read_feeds(pages, [provider]).collect()}
     failed = {r["board"] for r in feeds.failed_boards(pages, provider).collect()}
     assert found == {"y"}
@@ -105,10 +106,13 @@ def test_pages_and_completeness(spark):
     hundred = [{**posting, "id": str(i)} for i in range(100)]
     fifty = [{**posting, "id": str(i)} for i in range(100, 150)]
     rows = [("a", 0, body("smartrecruiters", hundred, 150)), ("a", 1, body("smartrecruiters", fifty, 150)), ("b", 0, body("smartrecruiters", hundred, 150)),
-            ("c", 0, body("smartrecruiters", hundred, 900)), ("c", 1, body("smartrecruiters", [], 900))]
-    pages = landed(spark, [("smartrecruiters", *r) for r in rows])
+            ("c", 0, body("smartrecruiters", hundred, 900)), ("c", 1, body("smartrecruiters", [], 900)),
+            ("d", 0, body("smartrecruiters", hundred, 250)), ("d", 2, body("smartrecruiters", fifty, 250)),
+            ("e", 0, body("smartrecruiters", fifty, 50)), ("e", 0, body("smartrecruiters", fifty, 50))]
+    pages = feeds.open_pages(landed(spark, [("smartrecruiters", *r) for r in rows]), ["smartrecruiters"])
     assert feeds.read_feeds(pages, ["smartrecruiters"]).filter("board = 'a'").count() == 150
-    assert {r["board"]: r["complete"] for r in feeds.completeness(pages, "smartrecruiters").collect()} == {"a": True, "b": False, "c": True}
+    assert {r["board"]: r["complete"] for r in feeds.completeness(pages, "smartrecruiters").collect()} == {
+        "a": True, "b": False, "c": True, "d": False, "e": True}
 
 
 def test_unknown_provider():
@@ -116,12 +120,16 @@ def test_unknown_provider():
         feeds.provider("other")
 
 
-def test_changed_pages(spark):
-    rows = [("lever", "a", 0, "v1", "x"), ("lever", "b", 0, None, "x"), ("lever", "c", 0, "v2", "x"), ("lever", "d", 0, None, "y")]
+def test_changed_boards(spark):
+    rows = [("lever", "a", 0, "v1", "x"), ("lever", "b", 0, None, "x"), ("lever", "c", 0, "v2", "x"), ("lever", "d", 0, None, "y"),
+            ("ashby", "a", 0, "v1", "x"), ("lever", "e", 0, "v1", "x"), ("lever", "e", 1, "v2", "x"), ("lever", "f", 0, "v1", "x")]
     pages = spark.createDataFrame(rows, feeds.LANDED)
     digest = pages.select(F.sha2(F.lit("x"), 256)).first()[0]
-    seen = spark.createDataFrame([("a", 0, "v1"), ("b", 0, digest), ("c", 0, "v1"), ("d", 0, digest)], "board string, page int, mark string")
-    assert sorted(r["board"] for r in feeds.changed_pages(pages, seen).collect()) == ["c", "d"]
+    marks = [("a", 0, "v1"), ("b", 0, digest), ("c", 0, "v1"), ("d", 0, digest), ("e", 0, "v1"), ("e", 1, "v1"), ("f", 0, "v1"), ("f", 1, "v1")]
+    seen = spark.createDataFrame([("lever", *m) for m in marks], "provider string, board string, page int, mark string")
+    found = sorted((r["provider"], r["board"], r["page"]) for r in feeds.changed_boards(pages, seen).collect())
+    # another feed's board of the same name, a whole board for one changed page, a board that lost a page
+    assert found == [("ashby", "a", 0), ("lever", "c", 0), ("lever", "d", 0), ("lever", "e", 0), ("lever", "e", 1), ("lever", "f", 0)]
 
 
 def test_ingest(spark):
@@ -133,7 +141,7 @@ def test_ingest(spark):
     ]
     pages = landed(spark, [("ashby", "x", 0, body("ashby", postings))])
     registry = spark.createDataFrame([("ashby", "x", "North Star (Holding)")], "provider string, name string, label string")
-    done = ingest(feeds.read_feeds(pages), registry, default_gazetteer(spark), department_dictionary(spark), datetime(2024, 5, 10, 12, 30))
+    done = ingest(feeds.read_feeds(feeds.open_pages(pages)), registry, default_gazetteer(spark), department_dictionary(spark), datetime(2024, 5, 10, 12, 30))
     rows = {r["id"]: r for r in done.postings.collect()}
     assert set(rows) == {"ab-x-1", "ab-x-5"}
     one, five = rows["ab-x-1"], rows["ab-x-5"]
