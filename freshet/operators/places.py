@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +29,6 @@ ZIP_TAIL = r"\s+\d{5}(?:-\d{4})?$"
 NOISE = r"^[\s\-().]*$"
 
 
-def _garbage_pattern() -> str:
-    words = [re.escape(w[:-1]) + ".*" if w.endswith("*") else re.escape(w) for w in vocab.PLACE_GARBAGE]
-    return f"^(?:{'|'.join([*words, COUNT_OF_PLACES])})$"
-
-
 def default_gazetteer(spark: SparkSession) -> DataFrame:
     """Our own small gazetteer; a larger one with the same columns can take its place."""
     rows: dict[str, dict] = {}
@@ -130,12 +125,15 @@ def _fuzzy(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def resolve_places(raws: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """(raw, resolved, city, country, remote) for distinct texts in column `raw`."""
+def resolve_places(raws: DataFrame, gazetteer: DataFrame, no_places: Sequence[str] = vocab.NO_PLACES) -> DataFrame:
+    """(raw, resolved, city, country, remote) for distinct texts in column `raw`.
+
+    Empty texts, `no_places` (lower case) and bare numbers of places name none.
+    """
     gazetteer = checked_broadcast(gazetteer)
     trimmed = F.trim("raw")
     texts = raws.select("raw", trimmed.alias("text"), fold(trimmed).alias("folded")).withColumns({
-        "garbage": (F.col("text") == "") | F.lower("text").rlike(_garbage_pattern()),
+        "garbage": F.lower("text").isin("", *no_places) | F.lower("text").rlike(f"^{COUNT_OF_PLACES}$"),
         "street": F.col("text").rlike(STREET),
         "whole": clean_segment(F.col("folded")),
         "lowered": F.regexp_replace("folded", r"^us-([a-z]{2})-(.+)$", "$2, $1"),

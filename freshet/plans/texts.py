@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,21 +72,21 @@ def classify_documents(spark, sf):
 
 
 HINTS_SQL = """hints AS (SELECT id, company,
-CASE num % 5 WHEN 0 THEN '12001 - Sales' WHEN 1 THEN 'R&D' WHEN 2 THEN 'Other' WHEN 3 THEN 'Foundry ' || (num % 31) ELSE 'Müller  Werk' END AS first,
-CASE num % 3 WHEN 0 THEN 'Human Resources' WHEN 1 THEN 'n/a' ELSE 'Squad ' || (num % 23) END AS second FROM postings),
+CASE num % 5 WHEN 0 THEN '77 - Commercial' WHEN 1 THEN 'Technology' WHEN 2 THEN 'None' WHEN 3 THEN 'Foundry ' || (num % 31) ELSE 'Müller  Werk' END AS first,
+CASE num % 3 WHEN 0 THEN 'Personnel' WHEN 1 THEN 'n/a' ELSE 'Squad ' || (num % 23) END AS second FROM postings),
 keyed AS (SELECT id, company, lower(regexp_replace(first, '^[0-9]+ - ', '')) AS k1, lower(second) AS k2 FROM hints),
-mapped AS (SELECT id, company, CASE WHEN k1 = 'sales' THEN 'sales' WHEN k1 = 'r&d' THEN 'engineering' END AS b1,
-CASE WHEN k2 = 'human resources' THEN 'people' END AS b2,
+mapped AS (SELECT id, company, CASE WHEN k1 = 'commercial' THEN 'sales' WHEN k1 = 'technology' THEN 'engineering' END AS b1,
+CASE WHEN k2 = 'personnel' THEN 'people' END AS b2,
 CASE WHEN k1 = 'müller  werk' THEN 'muller werk' WHEN k1 LIKE 'foundry%' THEN k1 END AS u1, CASE WHEN k2 LIKE 'squad%' THEN k2 END AS u2 FROM keyed)"""
 
 
 def hinted(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("num")
     first = (
-        F.when(n % 5 == 0, "12001 - Sales").when(n % 5 == 1, "R&D").when(n % 5 == 2, "Other")
+        F.when(n % 5 == 0, "77 - Commercial").when(n % 5 == 1, "Technology").when(n % 5 == 2, "None")
         .when(n % 5 == 3, F.concat(F.lit("Foundry "), (n % 31).cast("string"))).otherwise("Müller  Werk")
     )
-    second = F.when(n % 3 == 0, "Human Resources").when(n % 3 == 1, "n/a").otherwise(F.concat(F.lit("Squad "), (n % 23).cast("string")))
+    second = F.when(n % 3 == 0, "Personnel").when(n % 3 == 1, "n/a").otherwise(F.concat(F.lit("Squad "), (n % 23).cast("string")))
     return postings(spark, sf).select("id", "company", F.array(first, second).alias("hints"))
 
 
@@ -117,31 +119,31 @@ def department_keys(spark, sf):
 
 # Location text per nation number, and the place it should resolve to under the default gazetteer.
 PLACE_CASES = (
-    ("München", "munich", "germany", False),
-    ("Berlin, Germany", "berlin", "germany", False),
-    ("us-tx-austin", "austin", "united states", False),
-    ("US-CA-Menlo Park", None, "united states", False),
-    ("Remote — Croatia", None, "croatia", True),
-    ("Distributed", None, None, True),
-    ("Distributed Systems, Berlin", "berlin", "germany", False),
-    ("Reading, PA 19601", "reading", "united states", False),
-    ("Reading", "reading", "united kingdom", False),
-    ("Cambridge, United Kingdom", "cambridge", "united kingdom", False),
-    ("Cambridge", "cambridge", "united states", False),
-    ("Cambridge, Germany", None, "germany", False),
-    ("Hyderabad 04", "hyderabad", "india", False),
-    ("London or Dublin", "london", "united kingdom", False),
-    ("1122 Broadway, Eureka, California", None, "united states", False),
-    ("12 Main Street Zagreb", "zagreb", "croatia", False),
-    ("Multiple locations", None, None, False),
-    ("Korea", None, "south korea", False),
-    ("Georgia", None, None, False),
-    ("Ciudad de México", "mexico city", "mexico", False),
-    ("US (Remote)", None, "united states", True),
-    ("Bellevue, WA / Livingston, NJ", "bellevue", "united states", False),
-    ("add all locations here", None, None, False),
-    ("Washington, D.C.", None, "united states", False),
-    ("Toronto, Ontario", None, "canada", False),
+    ("Hamburg", "hamburg", "germany", False),  # a city by its name
+    ("Sao Paulo", "sao paulo", "brazil", False),
+    ("Singapore", "singapore", "singapore", False),
+    ("Zagreb, Croatia", "zagreb", "croatia", False),  # with its country
+    ("Manchester, England", "manchester", "united kingdom", False),
+    ("Deutschland", None, "germany", False),  # a country alone
+    ("Great Britain", None, "united kingdom", False),
+    ("Atlantis", None, None, False),  # neither
+    ("Portland, Oregon", None, "united states", False),  # a region stands for its country
+    ("Calgary, Alberta", None, "canada", False),
+    ("Boston, MA 02110", "boston", "united states", False),  # a postal code goes
+    ("us-wa-seattle", "seattle", "united states", False),  # dashes of a site code
+    ("US-NV-Henderson", None, "united states", False),
+    ("Remote — Portugal", None, "portugal", True),
+    ("UK (Remote)", None, "united kingdom", True),
+    ("Anywhere", None, None, True),
+    ("Remotely Ltd, Paris", "paris", "france", False),  # no whole word "remote"
+    ("Cambridge, UK", "cambridge", "united kingdom", False),  # the country chooses between two cities
+    ("Reading, USA", "reading", "united states", False),
+    ("Cambridge, Spain", None, "spain", False),
+    ("Stockholm Office 3", "stockholm", "sweden", False),  # a city's words inside other text
+    ("Paris or Berlin", "berlin", "germany", False),
+    ("40 Harbour Road, Atlanta", "atlanta", "united states", False),  # a street
+    ("7 Hill Lane, Vienna, Ohio", None, "united states", False),
+    ("worldwide", None, None, False),
 )
 
 
@@ -197,9 +199,16 @@ def derive_facets(spark, sf):
     return places.location_facets(places.office_places(jobs, places.default_gazetteer(spark)))
 
 
-@query("""SELECT l_orderkey, l_linenumber, 'Site ' || l_suppkey || '|A/B|' || l_returnflag AS offices, 3 AS n FROM lineitem""")
+@query("""WITH parts AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus, l_suppkey % 4 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, 'Site ' || l_suppkey || CASE k WHEN 0 THEN '|A/B|' || l_returnflag WHEN 1 THEN '/' || l_returnflag WHEN 2 THEN '|' || l_linestatus ELSE '' END AS offices,
+CASE k WHEN 0 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS n FROM parts""")
 def split_offices(spark, sf):
-    raw = F.concat(F.lit("Site "), F.col("l_suppkey").cast("string"), F.lit(" ; A/B  •"), F.lit(" | "), F.col("l_returnflag"), F.lit(" / "))
+    k = F.col("l_suppkey") % 4
+    tail = (
+        F.when(k == 0, F.concat(F.lit(" ; A/B  •"), F.lit(" | "), F.col("l_returnflag"), F.lit(" / "))).when(k == 1, F.concat(F.lit("/"), "l_returnflag"))
+        .when(k == 2, F.concat(F.lit(" / "), "l_linestatus")).otherwise(F.lit(" ;"))
+    )
+    raw = F.concat(F.lit("Site "), F.col("l_suppkey").cast("string"), tail)
     offices = places.split_offices(raw)
     return read_table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.array_join(offices, "|").alias("offices"), F.size(offices).alias("n")
@@ -312,9 +321,16 @@ def match_all_terms(spark, sf):
     return search.match_ids(part_index(spark, sf), search.read_query("brand blue"), "p_name", PART_FIELDS)
 
 
-@query("SELECT p_partkey AS doc_id FROM part WHERE FALSE")
+@query(f"""WITH {ranking_sql('part', 'p_partkey', PART_FIELDS, ['p_partkey'], 'brand blue')} SELECT q, count(s.doc_id) AS found
+FROM (VALUES ('+++ --'), ('brand blue'), ('brand nosuchword')) v(q) LEFT JOIN scored s ON q = 'brand blue' GROUP BY 1""")
 def match_nothing(spark, sf):
-    return search.match_ids(part_index(spark, sf), search.read_query("+++ --"), "p_name", PART_FIELDS)
+    """A query without words finds nothing, nor does one with a word that stands nowhere."""
+    index = part_index(spark, sf)
+    counts = [
+        search.match_ids(index, search.read_query(q), "p_name", PART_FIELDS).agg(F.count("*").alias("found")).select(F.lit(q).alias("q"), "found")
+        for q in ("+++ --", "brand blue", "brand nosuchword")
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 RANKED_QUERY = "senior data-analyst asia"

@@ -4,38 +4,43 @@ from pyspark.sql import functions as F
 from freshet.operators import places
 from freshet.operators.listing import Place
 
+# One case or more for each rule of the resolution.
 CASES = {
-    "bengaluru, karnataka, india": ("bengaluru", "india", False),
-    "bangalore - engineering": ("bengaluru", "india", False),
-    "(berlin, germany)": ("berlin", "germany", False),
-    "us, ca, san jose, somewhere": ("san jose", "united states", False),
-    "se-stockholm-hub": ("stockholm", "sweden", False),
-    "zürich, ch": ("zurich", "switzerland", False),
-    "ca - sacramento": ("sacramento", "united states", False),
-    "usa": (None, "united states", False),
-    "us remote": (None, "united states", True),
-    "work from home - emea": (None, None, True),
-    "-remote, bulgaria-": (None, "bulgaria", True),
-    "Anywhere in the US": (None, None, True),
-    "Remote, TX": (None, "united states", True),
-    "Wilmington, MA 01887": (None, "united states", False),
-    "Newark, NJ 07101-1234": (None, "united states", False),
-    "Austin, TX 78701": ("austin", "united states", False),
-    "Baton Rouge, LA": ("baton rouge", "united states", False),
-    "São Paulo": ("sao paulo", "brazil", False),
-    "Czech Republic": (None, "czechia", False),
-    "Singapore, SGP": ("singapore", "singapore", False),
-    "bellevue, wa / newark, nj / new york, ny": ("bellevue", "united states", False),
-    "Reading, Germany": (None, "germany", False),
-    "the greater london area": ("london", "united kingdom", False),
-    "londonderry": (None, None, None),
-    "North Korea": (None, None, None),
-    "12 locations": (None, None, None),
-    "Building 12345 Campus": (None, None, None),
-    "blank, multiple locations": (None, None, None),
+    # a city by alias, by accent-folded name, with its region and country, in brackets, with more behind a dash
+    "NYC": ("new york", "united states", False),
+    "MÜNCHEN": ("munich", "germany", False),
+    "Dublin, Leinster, Ireland": ("dublin", "ireland", False),
+    "(Zagreb, Croatia)": ("zagreb", "croatia", False),
+    "Stockholm - Finance": ("stockholm", "sweden", False),
+    # site codes, and segments in the other order
+    "us-ma-boston": ("boston", "united states", False),
+    "OH - Dayton": (None, "united states", False),
+    "Sweden, Stockholm": ("stockholm", "sweden", False),
+    # countries, regions, postal codes
+    "U.S.": (None, "united states", False),
+    "Brasil": (None, "brazil", False),
+    "Juneau, AK 99801": (None, "united states", False),
+    "Seattle, WA 98101-2345": ("seattle", "united states", False),
+    # remote forms
+    "Remote": (None, None, True),
+    "remote, Poland": (None, "poland", True),
+    "Norway (remote)": (None, "norway", True),
+    "WFH - south": (None, None, True),
+    "Remote, FL": (None, "united states", True),
+    # a name that two countries share
+    "Reading": ("reading", "united kingdom", False),
+    "Cambridge": ("cambridge", "united states", False),
+    "Reading, Poland": (None, "poland", False),
+    # several offices: the first city; words inside other text: the longest alias
+    "Zürich / Paris": ("zurich", "switzerland", False),
+    "our place near new delhi station": ("delhi", "india", False),
+    "parisian quarter": (None, None, None),
+    # texts that name no place
+    "8 locations": (None, None, None),
+    "Unspecified": (None, None, None),
+    "somewhere nice": (None, None, None),
     "": (None, None, None),
-    "   ": (None, None, None),
-    "HQ": (None, None, None),
+    " \t ": (None, None, None),
 }
 
 
