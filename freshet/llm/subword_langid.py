@@ -165,11 +165,12 @@ def train(df: DataFrame, labelled: Column, label: str = "lang", key: str = "doc_
         top = (1 << 63) - 1 if n <= SAMPLE_ROWS else int((SAMPLE_ROWS / n * 2 - 1) * ((1 << 63) - 1))
         wanted = wanted | ((F.col("_label") == name) & (F.col("_hash") <= top))
     # about SAMPLE_ROWS rows of each label: each is chosen with the same chance
-    sample = rows.filter(wanted).select("_label", "_hash", "_text").select("_label", "_text").mapInArrow(_sample_rows, "label string, at array<int>, n array<int>").toPandas()
-    sample["at"], sample["n"] = ([np.asarray(x) for x in sample[c]] for c in ("at", "n"))
-    sample["mark"] = [f"{a}/{len(x)}/{int(x[:9].sum()) if len(x) else 0}/{int(n.sum())}" for a, x, n in zip(sample["label"], sample["at"], sample["n"])]
-    sample = sample.sort_values("mark")  # the order in which tasks end does not matter
-    return fit(list(sample["label"]), list(sample["at"]), list(sample["n"]))
+    sample = rows.filter(wanted).select("_label", "_text").mapInArrow(_sample_rows, "label string, at array<int>, n array<int>").toArrow()
+    labels = sample["label"].to_pylist()
+    at, counts = ([x.values.to_numpy() for x in sample[c].combine_chunks()] if len(labels) else [] for c in ("at", "n"))
+    # the order in which tasks end does not matter
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], len(at[i]), int(at[i][:9].sum()), int(counts[i].sum())))
+    return fit([labels[i] for i in order], [at[i] for i in order], [counts[i] for i in order])
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
