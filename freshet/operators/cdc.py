@@ -40,7 +40,7 @@ def same_date(a: Column, b: Column) -> Column:
 def stored_of(stored: DataFrame, boards: DataFrame, cutoff: datetime) -> DataFrame:
     """Fresh stored rows of the boards in this run. Expired rows belong to the stale sweep."""
     live = stored.filter(is_fresh(F.col("posted_at"), cutoff))
-    return live.join(checked_broadcast(boards.select("board").distinct()), "board", "left_semi")
+    return live.join(checked_broadcast(boards.select("board")), "board", "left_semi")
 
 
 def diff(stored: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import vocab
@@ -52,13 +52,31 @@ def read_query(raw: str) -> list[Phrase]:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    terms: DataFrame  # doc_id, field, term, positions
+    terms: DataFrame  # doc_id, field, term, length, positions
     lengths: DataFrame  # doc_id, length (tokens of every indexed field)
+    summary: DataFrame | None = None  # one row: n, total; where it is kept, no search reads the lengths
 
     def stats(self) -> tuple[int, float]:
         """Number of documents and mean length, one row."""
-        row = self.lengths.agg(F.count("*"), F.avg("length")).first()
-        return row[0], row[1] or 0.0
+        n, total = (self.summary or summary_of(self.lengths)).first()
+        return n, total / n if n else 0.0
+
+
+def summary_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+
+
+def store_index(index: SearchIndex, folder: str) -> None:
+    """Write an index for searching by term: terms in ranges, sorted, so that a search opens only the row
+    groups whose statistics admit its words; each row carries its document's length."""
+    index.terms.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/terms")
+    index.lengths.write.parquet(f"{folder}/lengths")
+    lengths = index.lengths.sparkSession.read.parquet(f"{folder}/lengths")
+    summary_of(lengths).coalesce(1).write.parquet(f"{folder}/summary")
+
+
+def stored_index(spark: SparkSession, folder: str) -> SearchIndex:
+    return SearchIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("terms", "lengths", "summary")])
 
 
 def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], unsearched: Sequence[str] = ()) -> SearchIndex:
@@ -68,14 +86,14 @@ def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], unsearched:
     what crosses the network is the text and not its exploded tokens.
     """
     placed = docs.repartition(id_col)
-    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields]))
-    words = placed.select(F.col(id_col).alias("doc_id"), per_field.alias("f")).select(
-        "doc_id", "f.field", F.posexplode("f.words").alias("pos", "term")
-    )
-    terms = words.groupBy("doc_id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    sizes = [F.size(F.coalesce(tokens(F.col(f).cast("string")), F.array())) for f in (*fields, *unsearched)]
-    lengths = docs.select(F.col(id_col).alias("doc_id"), reduce(lambda a, b: a + b, sizes).cast("long").alias("length"))
-    return SearchIndex(terms, lengths)
+    every = (*fields, *unsearched)
+    none = F.array().cast("array<string>")
+    split = placed.select(F.col(id_col).alias("doc_id"), *[F.coalesce(tokens(F.col(f).cast("string")), none).alias(f"w{i}") for i, f in enumerate(every)])
+    length = reduce(lambda a, b: a + b, [F.size(f"w{i}") for i in range(len(every))]).cast("long").alias("length")
+    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"w{i}").alias("words")) for i, f in enumerate(fields)]))
+    words = split.select("doc_id", length, per_field.alias("f")).select("doc_id", "length", "f.field", F.posexplode("f.words").alias("pos", "term"))
+    terms = words.groupBy("doc_id", "field", "term").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return SearchIndex(terms, split.select("doc_id", length))
 
 
 def index_rows(postings: DataFrame, ids: DataFrame) -> DataFrame:
@@ -128,12 +146,13 @@ def phrase_counts(index: SearchIndex, phrases: Sequence[Phrase], title: str, fie
         F.sum(F.when(term.startswith(p.terms[0]), F.size("positions")).otherwise(0)).alias(f"x{i}")
         for i, p in enumerate(phrases) if p.prefix
     ]
-    per_field = hits.groupBy("doc_id", "field").agg(*found)
+    per_field = hits.groupBy("doc_id", "field").agg(F.first("length").alias("length"), *found)
     places = _places_by_term(exact, "p")
     counts = [F.col(f"x{i}") if p.prefix else _occurrences(p, places) for i, p in enumerate(phrases)]
     in_title = F.col("field") == title
-    per_field = per_field.select("doc_id", "field", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
+    per_field = per_field.select("doc_id", "field", "length", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
     return per_field.groupBy("doc_id").agg(
+        F.first("length").alias("length"),
         *[F.sum(F.when(in_title, F.col(f"c{i}")).otherwise(0)).alias(f"t{i}") for i in range(len(counts))],
         *[F.sum(f"c{i}").alias(f"a{i}") for i in range(len(counts))],
     )
@@ -215,7 +234,7 @@ def bm25(source: SearchIndex | TextScan, phrases: Sequence[Phrase], title: str,
     else:
         counts = cut(phrase_counts(source, phrases, title, fields))
         (n_docs, mean), found = source.stats(), counts.agg(*having).first()
-        matched = counts.filter(_every_phrase(phrases)).join(source.lengths, "doc_id")
+        matched = counts.filter(_every_phrase(phrases))
     idf = [math.log((n_docs - n + 0.5) / (n + 0.5)) for n in found]
     idf = [x if x > 0 else BM25_MIN_IDF for x in idf]
     norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.lit(mean or 1.0))

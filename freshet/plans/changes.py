@@ -56,9 +56,9 @@ def edited(stored: DataFrame) -> DataFrame:
 
 
 def snapshot_boards(rows: DataFrame) -> DataFrame:
-    """Boards in the snapshot; every fourth one is only partly fetched."""
+    """Boards in the snapshot, a small table; every fourth one is only partly fetched."""
     number = F.substring_index("board", "/", -1).cast("int")
-    return rows.select("board").distinct().withColumn("complete", number % 4 != 2)
+    return cut(rows.select("board").distinct().withColumn("complete", number % 4 != 2))
 
 
 EDITS_SQL = f"""

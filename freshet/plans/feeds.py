@@ -52,7 +52,7 @@ def _posting_json(provider: str) -> Column:
     if provider == "greenhouse":
         pay = _object(
             min=(n + 50000).cast("string"), max=(n + 60000).cast("string"),
-            currency=F.when(n % 3 == 0, F.lit('"USD"')).otherwise(F.lit("null")),
+            currency=F.when(n % 3 == 0, F.lit('"USD"')).when(n % 6 == 1, F.lit('"CHF"')).otherwise(F.lit("null")),
         )
         fields = F.concat(
             F.lit("["), _object(name=F.lit('"Team"'), value=_json(F.col("department")), value_type=F.lit('"single_select"')),
@@ -149,7 +149,7 @@ def feed_sql(prefix: str, source: str, **columns: str) -> str:
 
 
 HOUR_LATER = "(valid.posted_at + INTERVAL 1 HOUR)"
-_SIGN = "CASE WHEN num % 3 = 0 THEN '$' ELSE '' END"
+_SIGN = "CASE WHEN num % 3 = 0 THEN '$' WHEN num % 6 = 1 THEN 'CHF' || chr(160) ELSE '' END"
 
 
 @query(feed_sql(

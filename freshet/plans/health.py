@@ -167,12 +167,12 @@ def skipped_boards(spark, sf):
     return boards.skipped(asked(spark, sf), log(spark, sf))
 
 
-@query(f"WITH {LOG_SQL} SELECT {AT.format('time_bucket(INTERVAL 1 HOUR, ts)')} AS hour, status, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms FROM log GROUP BY 1, 2")
+@query(f"WITH {LOG_SQL} SELECT {AT.format('time_bucket(INTERVAL 1 HOUR, ts)')} AS hour, status, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM log GROUP BY 1, 2")
 def metrics_rollup(spark, sf):
     from freshet.streaming.metrics import request_metrics
 
     rows = request_metrics(log(spark, sf), ["status"], "1 hour")
-    return rows.select(stamp("start").alias("hour"), "status", "n", F.round("mean_ms", 6).alias("mean_ms"))
+    return rows.select(stamp("start").alias("hour"), "status", "n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p95_ms")])
 
 
 WINDOW_SECONDS, MOST = 2 * 86400, 3  # the events are sparse, so the window is long
@@ -188,7 +188,9 @@ def requests(events: DataFrame) -> DataFrame:
 @query(f"""WITH lists AS (SELECT user_id, event_type, list(event_id ORDER BY ts, event_id) AS ids, list(epoch_us(ts) ORDER BY ts, event_id) AS times
 FROM events GROUP BY 1, 2),
 taken AS (SELECT user_id, event_type, ids, times, list_reduce(list_transform(times, lambda t: [t]), lambda acc, x:
-  CASE WHEN len(list_filter(acc, lambda a: a > x[1] - {WINDOW_SECONDS}000000)) < {MOST} THEN list_concat(acc, x) ELSE acc END) AS allowed FROM lists)
-SELECT unnest(ids) AS event_id, list_contains(allowed, unnest(times)) AS allowed FROM taken""")
+  CASE WHEN len(list_filter(acc, lambda a: a > x[1] - {WINDOW_SECONDS}000000)) < {MOST} THEN list_concat(acc, x) ELSE acc END) AS allowed FROM lists),
+each AS (SELECT unnest(ids) AS event_id, unnest(times) AS t, allowed FROM taken)
+SELECT event_id, list_contains(allowed, t) AS allowed, CASE WHEN list_contains(allowed, t) THEN {WINDOW_SECONDS}000000
+  ELSE list_min(list_filter(allowed, lambda a: a > t - {WINDOW_SECONDS}000000 AND a <= t)) + {WINDOW_SECONDS}000000 - t END AS retry_micros FROM each""")
 def throttle_flags(spark, sf):
-    return throttle(requests(read_table(spark, sf, "events")), WINDOW_SECONDS).select("event_id", "allowed")
+    return throttle(requests(read_table(spark, sf, "events")), WINDOW_SECONDS).select("event_id", "allowed", "retry_micros")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from freshet.operators import exports, facets as facet_ops, listing
 from freshet.plans.binding import (
     DAYS, FACETS_SQL, POSTINGS_SQL, as_of, facets, postings, stamp,
 )
-from freshet.session import read_table, spread
+from freshet.session import cut, read_table, spread
 
 QUERIES, SQL = {}, {}
 
@@ -226,6 +228,62 @@ def company_page(spark, sf):
     return shown(listing.company_postings(postings(spark, sf), "machinery 3", cutoff_of(spark, sf)), "id", "posted_at")
 
 
+@query(f"""{WITH}, roles AS (SELECT company || '|' || lower(title) AS key, count(*) AS openings, arg_max(id, (posted_at, id)) AS id, max(posted_at) AS posted_at
+  FROM shown WHERE company = 'machinery 3' GROUP BY 1)
+SELECT id, openings, row_number() OVER (ORDER BY posted_at DESC, id DESC) AS position FROM roles""")
+def company_roles(spark, sf):
+    """A company's page: its postings, one row per role, in their places."""
+    from freshet.operators.upkeep import collapse_roles, list_positions
+
+    own = listing.company_postings(postings(spark, sf), "machinery 3", cutoff_of(spark, sf))
+    roles = collapse_roles(own, role_key(F.col("company"), F.col("title")), ["id", "company", "posted_at"], ["posted_at", "id"])
+    return list_positions(roles).select("id", "openings", "position")
+
+
+@query(f"""{WITH_FACETS} SELECT {PAGE_SQL} FROM shown WHERE level = 'senior'
+AND EXISTS (SELECT 1 FROM facets WHERE job_id = id AND country = 'europe') ORDER BY shown.posted_at DESC, id DESC LIMIT 500 OFFSET 5""")
+def typed_location_page(spark, sf):
+    """A strict request whose location text is resolved first."""
+    from freshet.operators.places import resolve_literal
+    from freshet.plans.feeds import place_dictionary
+
+    request = listing.read_request({"location": " Europe ", "level": "Senior", "limit": "900", "offset": " 5 rows"})
+    place = resolve_literal(spark, request.location, place_dictionary(spark, sf))
+    return shown(listing.page(filtered(spark, sf, request, place), listing.list_order(request.sort), request), *PAGE)
+
+
+@query(f"{WITH} SELECT {PAGE_SQL} FROM shown WHERE department = 'urgent' ORDER BY company, shown.posted_at DESC, id DESC LIMIT 50")
+def lenient_page(spark, sf):
+    """Bad values of a request are dropped one by one."""
+    request = listing.read_lenient({"q": "x" * 201, "level": "boss", "sort": "company", "department": " Urgent ", "location": " "})
+    return shown(listing.page(filtered(spark, sf, request), listing.list_order(request.sort), request), *PAGE)
+
+
+@query(f"""{WITH}, placed AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC, id DESC) - 1 AS place FROM shown)
+SELECT id, CAST(place // 400 AS BIGINT) AS page FROM placed WHERE place < 10400""")
+def every_page(spark, sf):
+    """Page after page of 400 for as long as another one is worth asking for."""
+    request = listing.SearchRequest(limit=400)
+    rows = cut(filtered(spark, sf, request).select("id", "posted_at"))
+    total, pages = listing.total(rows).first()["total"], []
+    while True:
+        page = cut(listing.page(rows, listing.newest_order(), request).select("id", F.lit(len(pages)).cast("long").alias("page")))
+        pages.append(page)
+        if not listing.more_pages(page.count(), request.limit, request.offset, total):
+            return reduce(DataFrame.unionByName, pages)
+        request = replace(request, offset=request.offset + request.limit)
+
+
+@query(f"""{RECENT.format(100)}, marked AS (SELECT * REPLACE (title || ' <R&D> "' || company || chr(39) || 's"' AS title) FROM recent),
+safe AS (SELECT *, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS plain FROM marked)
+SELECT id, '<title>' || plain || ' at ' || company || '</title>' AS line FROM safe""")
+def rss_marks(spark, sf):
+    """Items whose titles hold the marks that XML gives a meaning."""
+    title = F.concat("title", F.lit(' <R&D> "'), "company", F.lit("'s\""))
+    items = exports.feed_items(recent(spark, sf, 100).withColumn("title", title))
+    return items.select("id", F.split("item", "\n")[1].alias("line"))
+
+
 # Scalar functions over whole tables ---------------------------------------------------------------
 
 ACCENT_SQL = "strip_accents(lower({}))"
@@ -263,8 +321,11 @@ def slug_roundtrip(spark, sf):
 @query(r"""WITH u AS (SELECT page_id, 'page' AS origin, url FROM pages
 UNION ALL SELECT page_id, 'script', 'javascript:' || url FROM pages
 UNION ALL SELECT page_id, 'upper', upper(substr(url, 1, 5)) || substr(url, 6) FROM pages
-UNION ALL SELECT page_id, 'path', regexp_replace(url, '^https?://[^/]*', '') FROM pages)
-SELECT page_id, origin, regexp_matches(url, '^(?i:https?)://[^/]+') AS safe FROM u""")
+UNION ALL SELECT page_id, 'path', regexp_replace(url, '^https?://[^/]*', '') FROM pages
+UNION ALL SELECT page_id, 'marks', url || ' b|{c}' FROM pages
+UNION ALL SELECT page_id, 'host', 'https://a_' || page_id || '.example/' FROM pages
+UNION ALL SELECT page_id, 'spaced', 'https://a ' || page_id || '.example/' FROM pages)
+SELECT page_id, origin, regexp_matches(url, '^(?i:https?)://[^/ ?#]+([/?#]|$)') AS safe FROM u""")
 def url_safety(spark, sf):
     page = read_table(spark, sf, "pages").select("page_id", "url")
     kinds = F.explode(F.array(
@@ -272,6 +333,9 @@ def url_safety(spark, sf):
         F.struct(F.lit("script").alias("origin"), F.concat(F.lit("javascript:"), "url").alias("link")),
         F.struct(F.lit("upper").alias("origin"), F.concat(F.upper(F.substring("url", 1, 5)), F.substr("url", F.lit(6))).alias("link")),
         F.struct(F.lit("path").alias("origin"), F.regexp_replace("url", "^https?://[^/]*", "").alias("link")),
+        F.struct(F.lit("marks").alias("origin"), F.concat("url", F.lit(" b|{c}")).alias("link")),
+        F.struct(F.lit("host").alias("origin"), F.concat(F.lit("https://a_"), F.col("page_id").cast("string"), F.lit(".example/")).alias("link")),
+        F.struct(F.lit("spaced").alias("origin"), F.concat(F.lit("https://a "), F.col("page_id").cast("string"), F.lit(".example/")).alias("link")),
     ))
     return page.select("page_id", kinds.alias("k")).select("page_id", "k.origin", is_http_url(F.col("k.link")).alias("safe"))
 

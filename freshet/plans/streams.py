@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.operators import boards, search
+from freshet.functions.scalars import freshness_cutoff
+from freshet.operators import boards, facets as facet_ops, search
 from freshet.plans import binding, changes, feeds as feed_plans, health
 from freshet.plans.binding import crawl_log, postings, stamp
 from freshet.session import cut, read_table, shared_dir
@@ -67,7 +69,7 @@ def stream_throttle(spark, sf):
     tables = PublishedTables(spark, f"{root}/tables", folds.THROTTLE_TABLES)
     requests = health.requests(stream_of(spark, sf, "events"))
     finish(folds.flag_requests(requests, tables, f"{root}/decisions", f"{root}/checkpoint", health.WINDOW_SECONDS))
-    return spark.read.parquet(f"{root}/decisions").select("event_id", "allowed")
+    return spark.read.parquet(f"{root}/decisions").select("event_id", "allowed", "retry_micros")
 
 
 def place_rows(rows: DataFrame) -> DataFrame:
@@ -234,14 +236,15 @@ def stream_crawl_state(spark, sf):
     return boards.board_state(crawled_boards(spark, sf).read("board_summary")).select("board", "jobs_found", "consecutive_empty")
 
 
-@query(f"""WITH {binding.LOG_SQL}, hours AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, status, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms FROM log GROUP BY 1, 2)
-SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, status, n, mean_ms FROM hours
+@query(f"""WITH {binding.LOG_SQL}, hours AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, status, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms,
+  round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM log GROUP BY 1, 2)
+SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, status, n, mean_ms, p95_ms FROM hours
 WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM log) - INTERVAL 30 MINUTE""")
 def stream_metrics(spark, sf):
     """Windows that the watermark has closed by the end of the table."""
     rows = crawl_log(stream_of(spark, sf, "events"))
     closed = written(spark, request_metrics_stream(rows, ["status"], "1 hour", "30 minutes"), workdir(spark))
-    return closed.select(stamp("start").alias("hour"), "status", "n", F.round("mean_ms", 6).alias("mean_ms"))
+    return closed.select(stamp("start").alias("hour"), "status", "n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p95_ms")])
 
 
 LIVE_DAYS = 15
@@ -281,6 +284,26 @@ def telemetry_points(spark, sf):
     return points.select("index", F.array_join("blobs", ",").alias("blobs"), F.array_join(F.col("doubles").cast("array<string>"), ",").alias("doubles"))
 
 
+def appended(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """Points by way of the store they are appended to, twice."""
+    root = workdir(spark)
+    telemetry.append(points, f"{root}/points")
+    telemetry.append(points, f"{root}/points")
+    found = spark.read.parquet(f"{root}/points")
+    return found.select("index", F.array_join("blobs", ",").alias("blobs"), F.array_join(F.col("doubles").cast("array<string>"), ",").alias("doubles"))
+
+
+@query("""WITH e AS (SELECT event_type, event_id, value FROM events UNION ALL SELECT event_type, event_id, value FROM events)
+SELECT 'api_request' AS index, '/' || event_type || ',' || CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS blobs,
+CAST(CAST(100 + event_id % 900 AS DOUBLE) AS VARCHAR) AS doubles FROM e""")
+def telemetry_requests(spark, sf):
+    rows = read_table(spark, sf, "events").select(
+        F.concat(F.lit("/"), "event_type").alias("path"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        (F.lit(100) + F.col("event_id") % 900).alias("duration_ms"),
+    )
+    return appended(spark, telemetry.request_points(rows))
+
+
 SWEEP = f"""WITH {binding.POSTINGS_SQL}, {binding.FACETS_SQL}, ranked AS (SELECT id, row_number() OVER g AS rn, min(source) OVER p AS lo, max(source) OVER p AS hi
 FROM fresh WHERE city IS NOT NULL AND country IS NOT NULL
 WINDOW p AS (PARTITION BY company, lower(title), city), g AS (PARTITION BY company, lower(title), city ORDER BY posted_at, source, id)),
@@ -304,6 +327,27 @@ def sweep_facets(spark, sf):
     return swept(spark, sf)[1].select("job_id", "city", "country")
 
 
+@query(f"""{SWEEP}, n AS (SELECT (SELECT count(*) FROM gone) - (SELECT count(*) FROM twins) AS removed, (SELECT count(*) FROM twins) AS deduped)
+SELECT 'crawl_cleanup' AS index, '' AS blobs, removed::DOUBLE || ',' || deduped::DOUBLE AS doubles FROM n, range(2)""")
+def telemetry_cleanup(spark, sf):
+    return appended(spark, telemetry.cleanup_points(swept(spark, sf)[2]))
+
+
+@query(f"""WITH {binding.POSTINGS_SQL}, {binding.FACETS_SQL}, located AS (SELECT f.* FROM facets f JOIN fresh ON job_id = id)
+SELECT 'recent_links' AS view, least(count(*), 200) AS rows FROM shown
+UNION ALL SELECT 'company_index', count(DISTINCT company) FROM fresh WHERE company <> ''
+UNION ALL SELECT 'location_counts', count(*) FROM (SELECT DISTINCT country, city FROM located WHERE city <> '')""")
+def view_refresh(spark, sf):
+    """Nothing without a change, links after one, all views at the start of a sweep."""
+    cutoff = freshness_cutoff(binding.as_of(spark, sf), binding.DAYS)
+    views = PublishedTables(spark, f"{workdir(spark)}/views", folds.VIEWS)
+    rows = cut(postings(spark, sf))
+    located = cut(facet_ops.fresh_facets(binding.facets(spark, sf), rows, cutoff))
+    for number, (changed, full) in enumerate(((False, True), (True, False), (True, True))):
+        folds.refresh_views(rows, located, views, cutoff, changed, full, f"tick-{number}")
+    return reduce(DataFrame.unionByName, [views.read(name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("view"), "rows") for name in folds.VIEWS])
+
+
 @query(f"{SWEEP} SELECT (SELECT count(*) FROM gone) - (SELECT count(*) FROM twins) AS removed, (SELECT count(*) FROM twins) AS deduped")
 def sweep_counts(spark, sf):
     return swept(spark, sf)[2]

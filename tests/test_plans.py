@@ -50,3 +50,15 @@ def test_facet_levels_come_from_one_join(spark, sf):
     text = plan(spark, sf, "facet_tree")
     assert len(re.findall(r"FileScan parquet \[l_orderkey", text)) == 1
     assert "count(distinct" not in plan(spark, sf, "facet_cities")
+
+
+def test_search_reads_the_index_by_term(spark, sf):
+    from freshet.operators import search
+    from freshet.plans.texts import FIELDS, kept_index
+
+    phrases = search.read_query("data-analyst eur")
+    counts = search.phrase_counts(kept_index(spark, sf, "postings"), phrases, "title", FIELDS)
+    text = counts._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet .*", text)
+    assert scans and all("freshet-index" in s and "StringStartsWith(term,eur)" in s and "term,analyst" in s.replace(" ", "") or "In(term" in s for s in scans), scans
+    assert "o_orderkey" not in text and "o_orderkey" not in plan(spark, sf, "bm25_index")
