@@ -134,12 +134,21 @@ def filtered(df: DataFrame, text: str, keep: Callable[[list[bytes]], np.ndarray]
     return lean(df).mapInArrow(run, df.schema)
 
 
-def without(df: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows whose (key, xxhash64 of the text) is not among `gone` (_key, _sign)."""
-    marked = df.withColumn("_own_sign", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    gone = gone.select(F.col("_key").alias("_gone_key"), F.col("_sign").alias("_gone_sign"))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")) & (F.col("_own_sign") == F.col("_gone_sign"))
-    return marked.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+def _signed(df: DataFrame, marked: DataFrame, key: str, text: str, how: str) -> DataFrame:
+    own = df.withColumn("_own_sign", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    marked = marked.select(F.col("_key").alias("_marked_key"), F.col("_sign").alias("_marked_sign"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_marked_key")) & (F.col("_own_sign") == F.col("_marked_sign"))
+    return own.join(marked, same, how).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def without(df: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows whose (key, xxhash64 of the text) is not among `marked` (_key, _sign)."""
+    return _signed(df, marked, key, text, "left_anti")
+
+
+def among(df: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows whose (key, xxhash64 of the text) is among `marked` (_key, _sign)."""
+    return _signed(df, marked, key, text, "left_semi")
 
 
 def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,18 +6,18 @@ Two sets link when they share at least SHARE percent of their union.
 1. Sets are marked by an order-free 64-bit hash; copies are one set from here on.
 2. Linked sets must share one of the first n - ceil(n * SHARE / 100) + 1 shingles of each in any common
    order. The order is rare first: a table of RARITY_BUCKETS counters, filled from the shingles that
-   repeat within a task, ranks them; the shuffle groups sets by these shingles. Groups are cut where
-   sizes part by more than the share, and groups with equal members are one block.
-3. Each block is searched through a signature tree: its nodes hold the OR-combined bitmaps of their
+   repeat within a task, ranks them; the shuffle groups sets by these shingles, and groups are cut where
+   sizes part by more than the share. The set of least mark is the hub of its group; all groups of a hub
+   are one neighbourhood, to which every text goes once. A neighbourhood of more than RUN sets is dealt
+   out as pairs of hashed parts, each in a task of its own.
+3. A neighbourhood is searched through a signature tree: its nodes hold the OR-combined bitmaps of their
    sets' shingles, the bits that all of them have, and the range of their sizes. Dual traversal goes
    down pairs of nodes and drops a pair when the greatest overlap that bitmaps and sizes allow is less
-   than the least sizes need, or when both lie within one component. Sets of a component stand
-   together, so a group of near copies costs little once it is joined up.
-4. Surviving pairs are checked exactly against the texts' shingles; links are contracted to components.
-   The first search asks for one likely partner per set, the second for every pair left between
-   different components: no link is lost, and a group of copies is never expanded into all its pairs.
-
-A block of more than BLOCK_MOST sets is searched as pairs of runs, each in a task of its own.
+   than the least sizes need, or when both lie within one component. Pairs of sets that are left are
+   checked exactly. First the hub is compared with all; then sets of one component stand together, so
+   that a group of near copies is joined up without comparing all its pairs.
+4. Links of all neighbourhoods are contracted to components. A pair that links shares a group and so a
+   neighbourhood, where it was checked unless both were connected by checked links: no link is lost.
 
 Defined cases: null text, and text without words, has an empty set, which links with nothing; a null key
 takes part, and the least key of a component leaves nulls out unless there are only nulls; repeated rows
@@ -44,9 +44,8 @@ RARITY_ROWS = 2_000_000  # shingles compared for repeats at once in a task
 LEAST_REPEATS = 8
 FILTER_BITS = 1 << 21  # of members' marks, to leave other texts out before a shuffle
 BITS_PER_SHINGLE = 4
-BLOCK_MOST, RUN = 2048, 1024
+RUN = 4096
 FAN = 8
-LIKELY = 0.8
 SEEN_MOST = 1_000_000
 
 
@@ -88,19 +87,19 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: key, mark and size of its set; and shingles that repeat within the task, with counts."""
-    names, held, n_held, seen = ["_key", "mark", "n", "shingle", "repeats"], [], 0, set()
+    """Per text: key, sign, mark and size of its set; and shingles that repeat within the task, with counts."""
+    names, held, n_held, seen = ["_key", "_sign", "mark", "n", "shingle", "repeats"], [], 0, set()
 
     def repeats() -> pa.RecordBatch:
         every, counts = np.unique(np.concatenate(held), return_counts=True)
         every, counts = every[counts > 1], counts[counts > 1]
         none = pa.nulls(len(every), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(every), pa.int64()), pa.array(every.view(np.int64)), pa.array(counts)], names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every.view(np.int64)), pa.array(counts)], names)
 
-    for (keys,), data in common.chunks(batches):
+    for (keys, signs), data in common.chunks(batches):
         found = sets_of(data)
         marks = [mark_of(x) for x in found]
-        rows = [keys.cast(pa.int64()), pa.array(marks, pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+        rows = [keys.cast(pa.int64()), signs, pa.array(marks, pa.int64()), pa.array([len(x) for x in found], pa.int64())]
         yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())], names)
         for mark, one in zip(marks, found):
             if mark not in seen and len(one):
@@ -139,52 +138,38 @@ def _postings(rarity: np.ndarray) -> Callable:
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of sets that share a shingle, from rows in order of shingle, size and mark."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, mark) of sets that share a shingle, from rows in order of shingle, size and mark."""
 
-    def cut_up(s: np.ndarray, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def cut_up(s: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])))
         s, k, n = s[fresh], k[fresh], n[fresh].astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (n[:-1] * 100 < n[1:] * SHARE))))
         sizes = np.diff(np.append(starts, len(s)))
-        names = np.add.reduceat(common.mix(k.view(np.uint64)), starts)
-        _, once = np.unique(names, return_index=True)
-        once = once[sizes[once] > 1]
-        small = once[sizes[once] <= BLOCK_MOST]
-        pieces = [(int(names[g].view(np.int64)), np.arange(starts[g], starts[g] + sizes[g])) for g in small]
-        for g in once[sizes[once] > BLOCK_MOST]:
-            runs = [np.arange(a, min(a + RUN, starts[g] + sizes[g])) for a in range(starts[g], starts[g] + sizes[g], RUN)]
-            for i, x in enumerate(runs):
-                for j in range(i + 1, len(runs)):
-                    y = runs[j]
-                    if n[x[-1]] * 100 >= n[y[0]] * SHARE:
-                        name = common.mix(names[g : g + 1] + np.uint64(i << 32 | j))[0]
-                        pieces.append((int(name.view(np.int64)), np.concatenate((x, y))))
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            ends = np.concatenate(([0], np.cumsum([len(p[1]) for p in some]))).astype(np.int32)
-            rows = np.concatenate([p[1] for p in some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in some], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(k[rows]))], ["block", "members"]
-            )
+        several = np.repeat(sizes > 1, sizes)
+        pairs = np.stack((np.repeat(np.minimum.reduceat(k, starts), sizes)[several], k[several]), axis=1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "mark"])
 
     held: list[tuple[np.ndarray, ...]] = []
+    n_held = 0
     for batch in batches:
         s, k, n = (batch.column(i).to_numpy() for i in range(3))
         if not len(s):
             continue
         last = np.searchsorted(s, s[-1])  # rows of the last shingle wait for the next batch
-        if last:
-            parts = [*held, (s[:last], k[:last], n[:last])]
-            yield from cut_up(*(np.concatenate(x) for x in zip(*parts)))
-            held = []
-        held.append((s[last:], k[last:], n[last:]))
+        if last and n_held + last >= 100_000:
+            yield cut_up(*(np.concatenate(x) for x in zip(*held, (s[:last], k[:last], n[:last]))))
+            held, n_held = [(s[last:], k[last:], n[last:])], len(s) - last
+        else:
+            held.append((s, k, n))
+            n_held += len(s)
     if held:
-        yield from cut_up(*(np.concatenate(x) for x in zip(*held)))
+        yield cut_up(*(np.concatenate(x) for x in zip(*held)))
 
 
 def _member_texts(wanted: np.ndarray) -> Callable:
-    """mark, size, bitmap and text of the sets whose marks may be wanted; copies once a task."""
+    """mark and text of the sets whose marks may be wanted; copies once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -197,10 +182,9 @@ def _member_texts(wanted: np.ndarray) -> Callable:
                 if len(seen) >= SEEN_MOST:
                     seen = set()
                 seen.add(mark)
-                rows.append((mark, len(one), bitmap_of(one).tobytes(), text))
+                rows.append((mark, text))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["mark", "n", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["mark", "text"])
 
     return run
 
@@ -253,106 +237,82 @@ class Tree:
             i, j = (np.concatenate(z) for z in zip(*out)) if out else (i[:0], j[:0])
         return (i, j) if len(self.levels) > 1 else (i[:0], j[:0])
 
-    def likeness(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Estimated Jaccard similarity of pairs of sets, from their bitmaps."""
-        bits, _, sizes, _, _ = self.levels[0]
-        width = bits.shape[1] * 64
-        out = np.zeros(len(i))
-        for a in range(0, len(i), 20_000):
-            x, y = i[a : a + 20_000], j[a : a + 20_000]
-            either = np.minimum(np.bitwise_count(bits[x] | bits[y]).sum(axis=1, dtype=np.int64), width - 1)
-            union = -width * np.log1p(-either / width)
-            out[a : a + 20_000] = np.clip((sizes[x] + sizes[y] - union) / union, 0, 1)
-        return out
-
 
-def _likely(tree: Tree, marks: np.ndarray) -> Iterator[tuple[int, int, float, bool]]:
-    """(set, partner, likeness, partner is the block's hub): a likely partner for every set.
-
-    Compared are the hub (the least mark) with all, and neighbours; pairs that the tree's bound excludes are left out.
-    """
-    m = len(marks)
-    hub = int(marks.argmin())
-    others = np.delete(np.arange(m), hub)
-    i = np.concatenate([np.full(m - 1, hub), *[np.arange(m - d) for d in range(1, min(5, m))]])
-    j = np.concatenate([others, *[np.arange(d, m) for d in range(1, min(5, m))]])
-    keep = tree._open(0, i, j)
-    i, j, of_hub = i[keep], j[keep], (np.arange(len(i)) < m - 1)[keep]
-    like = tree.likeness(i, j)
-    for x, y, l, h in zip(i.tolist(), j.tolist(), like.tolist(), of_hub.tolist()):
-        yield y, x, l, h
-        if not h:
-            yield x, y, l, h
-
-
-def _search(first: bool) -> Callable:
-    """Candidate pairs of blocks; rows are in order of block, component, size and mark."""
-
-    def of_block(block: tuple[np.ndarray, ...], out: list) -> None:
-        marks, sizes, parts, bits = block
-        if len(marks) < 2 or parts.min() == parts.max():
+class Neighbourhood:
+    """Sets that may link with one another, and what is known to link."""
+
+    def __init__(self, marks: list[int], sets: list[np.ndarray]) -> None:
+        order = sorted(range(len(marks)), key=lambda i: len(sets[i]))
+        self.marks, self.sets = [marks[i] for i in order], [sets[i] for i in order]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.bits = [bitmap_of(x) for x in self.sets]
+        self.up = list(range(len(marks)))
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def check(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Exact: which of the others link with set i."""
+        others = np.array([j for j in others.tolist() if self.top(j) != self.top(i)], np.int64)
+        for a in range(0, len(others), 500):
+            some = others[a : a + 500]
+            one, flat = self.sets[i], np.concatenate([self.sets[j] for j in some])
+            shared = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            sizes = self.sizes[some]
+            shared = np.add.reduceat(shared.astype(np.int64), np.cumsum(sizes) - sizes)
+            for j in some[100 * shared >= SHARE * (len(one) + sizes - shared)].tolist():
+                if self.top(i) != self.top(j):
+                    self.up[self.top(j)] = self.top(i)
+                yield self.marks[i], self.marks[j]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that connect all that is linked."""
+        n = len(self.marks)
+        tree = Tree(self.sizes, self.bits, np.arange(n))
+        hub = self.marks.index(min(self.marks))
+        others = np.delete(np.arange(n), hub)
+        yield from self.check(hub, others[tree._open(0, np.full(n - 1, hub), others)])
+        parts = np.array([self.top(i) for i in range(n)])
+        if (parts == parts[0]).all():
             return
-        tree = Tree(sizes, [np.frombuffer(b, np.uint64) for b in bits], parts)
-        if first:
-            out.extend((int(marks[x]), int(marks[y]), l, h) for x, y, l, h in _likely(tree, marks))
-        else:
-            i, j = tree.pairs()
-            out.extend((x, y, 0.0, False) for x, y in zip(marks[i].tolist(), marks[j].tolist()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple[int, int, float, bool]] = []
-
-        def flush() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["a", "b", "like", "hub"])
-            out.clear()
-            return batch
-
-        last_block: int | None = None
-        for batch in batches:
-            block, mark, size, part = (batch.column(i).to_numpy() for i in range(4))
-            bits = batch.column(4)
-            starts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])) if len(block) else []
-            for a, b in zip(starts[:-1], starts[1:]):
-                if held and block[a] != last_block:
-                    of_block(_joined(held), out)
-                    held = []
-                last_block = block[a]
-                held.append((mark[a:b], size[a:b], part[a:b], bits.slice(a, b - a).to_pylist()))
-                if len(out) > 50_000:
-                    yield flush()
-        if held:
-            of_block(_joined(held), out)
-        if out:
+        order = np.lexsort((self.sizes, parts))
+        i, j = Tree(self.sizes[order], [self.bits[k] for k in order], parts[order]).pairs()
+        i, j = order[i], order[j]
+        by = np.argsort(i, kind="stable")
+        i, j = i[by], j[by]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(i), 1), bool), i[1:] != i[:-1])))
+        for a, b in zip(starts, np.append(starts[1:], len(i))):
+            yield from self.check(int(i[a]), j[a:b])
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of neighbourhoods; rows (hub, part, other, mark, text) in order of the first three."""
+    held: list[tuple[int, np.ndarray]] = []
+    last: tuple | None = None
+    out: list[tuple[int, int]] = []
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        out.clear()
+        return batch
+
+    for keys, data in common.chunks(batches):
+        names = list(zip(*(k.to_pylist() for k in keys[:3])))
+        for name, mark, one in zip(names, keys[3].to_pylist(), sets_of(data)):
+            if name != last and held:
+                out.extend(Neighbourhood(*map(list, zip(*held))).links() if len(held) > 1 else ())
+                held = []
+            last = name
+            held.append((mark, one))
+        if len(out) > 50_000:
             yield flush()
-
-    return run
-
-
-def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    marks, sizes, parts = (np.concatenate([h[i] for h in held]) for i in range(3))
-    return marks, sizes.astype(np.int64), parts, [b for h in held for b in h[3]]
-
-
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose shingle sets link."""
-    kept: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        good = np.zeros(len(a), bool)
-        left, right = batch.column(2), batch.column(3)
-        for at in range(0, len(a), 200):
-            some = range(at, min(at + 200, len(a)))
-            others = sets_of([right[i].as_py() for i in some])
-            for i, y in zip(some, others):
-                if kept[0] != a[i]:
-                    kept = (a[i], sets_of([left[i].as_py()])[0])
-                x = kept[1]
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[place] == y).sum())
-                good[i] = 100 * shared >= SHARE * (len(x) + len(y) - shared)
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+    if len(held) > 1:
+        out.extend(Neighbourhood(*map(list, zip(*held))).links())
+    if out:
+        yield flush()
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -386,67 +346,53 @@ def rarity_table(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def links_of(df: DataFrame, survey: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(mark, component) of sets that link with another one, and the (a, b) links that were checked to find them."""
+def links_of(df: DataFrame, survey: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) between marks that connect every two sets that link, directly or through others."""
     rows = common.texts(df, key, text)
     postings = rows.mapInArrow(_postings(rarity_table(survey)), "shingle long, mark long, n int")
     grouped = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "mark")
-    blocks = cut(grouped.mapInArrow(_blocks, "block long, members array<long>").dropDuplicates(["block"]))
-    members = blocks.select("block", F.explode("members").alias("mark"))
-    marks = members.select("mark").distinct()
+    near = cut(grouped.mapInArrow(_neighbours, "hub long, mark long").distinct())
     wanted = np.zeros(FILTER_BITS, bool)
-    wanted[marks.select(F.col("mark").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
-    texts = cut(rows.mapInArrow(_member_texts(wanted), "mark long, n long, bits binary, text binary").join(marks, "mark", "left_semi").dropDuplicates(["mark"]))
-
-    def candidates(part: DataFrame, first: bool) -> DataFrame:
-        placed = members.join(part, "mark").join(texts.select("mark", "n", "bits"), "mark").select("block", "mark", "n", "part", "bits")
-        ordered = placed.repartition("block").sortWithinPartitions("block", "part", "n", "mark")
-        return ordered.mapInArrow(_search(first), "a long, b long, like double, hub boolean")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left, right = texts.select(F.col("mark").alias("a"), F.col("text").alias("x")), texts.select(F.col("mark").alias("b"), F.col("text").alias("y"))
-        both = sides.join(right, "b").join(left, "a").select("a", "b", "x", "y").sortWithinPartitions("a")
-        return cut(common.lean(both).mapInArrow(_check, "a long, b long"))
-
-    alone = texts.select("mark", F.col("mark").alias("part"))
-    likely = candidates(alone, True).groupBy("a").agg(
-        F.min(F.when(F.col("hub") & (F.col("like") >= LIKELY), F.col("b"))).alias("hub"), F.max(F.struct("like", F.col("b"))).alias("best")
-    )
-    first = checked(likely.select("a", F.coalesce("hub", "best.b").alias("b")))
-    found = contract(first)
-    part = texts.select("mark").join(found, "mark", "left").select("mark", F.coalesce("component", "mark").alias("part"))
-    several = members.join(part, "mark").groupBy("block").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter(F.col("low") != F.col("high"))
-    members = members.join(several.select("block"), "block", "left_semi")
-    second = checked(candidates(part, False))
-    links = first.unionByName(second)
-    return contract(links), links
+    wanted[near.select(F.col("mark").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
+    # A neighbourhood in k parts is searched as all pairs of parts; most have one.
+    parts = near.groupBy("hub").agg(F.ceil(F.count("*") / RUN).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("mark"), F.col("k")).cast("int")
+    placed = near.join(parts, "hub").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    placed = placed.select("hub", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "mark")
+    texts = rows.mapInArrow(_member_texts(wanted), "mark long, text binary").dropDuplicates(["mark"])
+    dealt = placed.join(texts, "mark").select("hub", "part", "other", "mark", "text").repartition("hub", "part", "other")
+    return cut(dealt.sortWithinPartitions("hub", "part", "other").mapInArrow(_search, "a long, b long"))
+
+
+def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per row: _key, _sign (hash of the text), n (set size), component (null for an empty set)."""
+    texts = common.texts(df, key, text).select("_key", F.xxhash64("_text").alias("_sign"), "_text")
+    survey = cut(texts.mapInArrow(_survey, "_key long, _sign long, mark long, n long, shingle long, repeats long"))
+    found = contract(links_of(df, survey, key, text)).withColumnRenamed("mark", "_mark")
+    rows = survey.filter(F.col("shingle").isNull()).select("_key", "_sign", "mark", "n")
+    part = F.when(F.col("n") > 0, F.coalesce("component", "mark"))
+    return cut(rows.join(found, rows["mark"] == found["_mark"], "left").select("_key", "_sign", "n", part.alias("component")))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` without those that link, directly or through others, with a row of lesser key.
+def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row: key, n_shingles, component_id (least key reachable by links, its own included)."""
+    placed = _placed(df, key, text)
+    least = placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("_key").alias("component_id"))
+    return placed.join(least, "component", "left").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id"))
 
-    Of rows with equal keys and texts one stays. Rows without words all stay.
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group that links, directly or through others: that of least key, of equal keys by hash of
+    the text, of equal rows any one. Null keys come last. Rows without words all stay.
     """
-    placed = cut(components(df, key, text).select(F.col(f"`{key}`").alias("_key"), "n_shingles", "component_id"))
-    later = placed.filter(~F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key").alias("_later")).distinct()
-    kept = df.join(later, F.col(f"`{key}`").eqNullSafe(F.col("_later")), "left_anti")
-    twice = placed.filter((F.col("n_shingles") > 0) & F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    if twice.isEmpty():
+    placed = _placed(df, key, text).filter(F.col("component").isNotNull())
+    each = placed.groupBy("component", "_key", "_sign").agg(F.count("*").alias("copies"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("_key").isNull().alias("no"), "_key", "_sign")).alias("first"))
+    several = each.groupBy("component").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("component")
+    met = cut(each.join(several, "component", "left_semi").join(first, "component"))
+    same = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_sign") == F.col("first._sign"))
+    kept = common.without(df, met.filter(~same), key, text)
+    again = met.filter(same & (F.col("copies") > 1))
+    if again.isEmpty():
         return kept
-    again = twice.select(F.col("_key").alias("_again"))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_again"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, text]))
-
-
-def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: key, n_shingles, component_id (least key reachable by links, its own included)."""
-    survey = cut(common.texts(df, key, text).mapInArrow(_survey, "_key long, mark long, n long, shingle long, repeats long"))
-    found, _ = links_of(df, survey, key, text)
-    rows = survey.filter(F.col("shingle").isNull()).select("_key", "mark", "n")
-    keys = rows.filter(F.col("n") > 0).groupBy("mark").agg(F.min("_key").alias("least"))
-    placed = keys.join(found, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_mark = placed.select("mark", "component").join(least, "component").select(F.col("mark").alias("_mark"), "component_id")
-    joined = rows.join(of_mark, (rows["mark"] == of_mark["_mark"]) & (rows["n"] > 0), "left")
-    return joined.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id"))
+    return common.without(kept, again, key, text).unionByName(common.among(kept, again, key, text).dropDuplicates([key, text]))

@@ -51,9 +51,8 @@ def test_like_all_pairs(spark):
     assert found(spark, texts) == brute(texts)
 
 
-def test_large_blocks_are_searched_by_runs(spark, monkeypatch):
-    monkeypatch.setattr(st, "BLOCK_MOST", 16)
-    monkeypatch.setattr(st, "RUN", 8)
+def test_large_neighbourhoods_are_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(st, "RUN", 16)
     texts = near_copies(np.random.default_rng(8), 2, 70, 4, 50)
     assert found(spark, texts) == brute(texts)
 
