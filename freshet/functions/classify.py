@@ -69,16 +69,14 @@ def department_dictionary(spark: SparkSession) -> DataFrame:
 def map_department(df: DataFrame, hints: str, id_col: str, dictionary: DataFrame) -> DataFrame:
     """(id, department, unmapped) from the first hint that the dictionary knows.
 
-    A hint after the first known one is not looked at. Keys are unique in the dictionary, which is
-    broadcast when it is small and shuffled when it is not.
+    A hint after the first known one is not looked at. Keys are unique in the dictionary, which Spark
+    broadcasts when it is small and shuffles when it is not.
     """
-    from freshet.operators.skew import checked_broadcast
-
     non_answers = ["", *vocab.DEPARTMENT_NON_ANSWERS]
     asked = (
         df.select(id_col, F.posexplode_outer(hints).alias("pos", "hint"))
         .withColumn("key", F.coalesce(department_key(F.col("hint")), F.lit("")))
-        .join(checked_broadcast(dictionary), "key", "left")
+        .join(dictionary, "key", "left")
     )
     known = F.when(F.col("bucket").isNotNull(), F.col("pos"))
     unknown = F.when(F.col("bucket").isNull() & ~F.col("key").isin(*non_answers), F.struct("pos", "key"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import vocab
 from freshet.functions.scalars import is_fresh
-from freshet.operators.skew import checked_broadcast, salted_join
+from freshet.operators.skew import salted_join
 
 LOCATION_FIELDS = ("location", "city", "country", "is_remote")
 CORE_FIELDS = ("company", "title", "department", "url", "salary", "level")
@@ -39,8 +39,8 @@ def same_date(a: Column, b: Column) -> Column:
 
 def stored_of(stored: DataFrame, boards: DataFrame, cutoff: datetime) -> DataFrame:
     """Fresh stored rows of the boards in this run. Expired rows belong to the stale sweep."""
-    live = stored.filter(is_fresh(F.col("posted_at"), cutoff))
-    return live.join(checked_broadcast(boards.select("board")), "board", "left_semi")
+    # `boards` is a written table of a run's boards: Spark knows its size and broadcasts it only if it is small.
+    return stored.filter(is_fresh(F.col("posted_at"), cutoff)).join(boards.select("board"), "board", "left_semi")
 
 
 def diff(stored: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -12,21 +12,10 @@ from freshet.session import cut, shuffle_width
 # At most this many groups can each hold more than 1/HOT_GROUPS of the rows, so a list of the
 # HOT_GROUPS largest groups is a broadcast of proven size and leaves no larger group unsalted.
 HOT_GROUPS = 1000
+HOT_ROWS = 10_000  # a smaller group does no harm in one task
 MAX_SALTS = 512
 
 
-BROADCAST_ROWS = 200_000  # of a few short columns
-
-
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, costly: bool = False) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows, else as it is for a shuffle join.
-
-    The rows are counted, up to the bound. `costly` input is written once instead of computed twice.
-    """
-    df = cut(df) if costly else df
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def salted_join(
     rows: DataFrame,
     groups: DataFrame,
@@ -43,7 +32,7 @@ def salted_join(
     keys = list(keys)
     salts = min(shuffle_width(rows.sparkSession), MAX_SALTS)
     hot = F.broadcast(
-        groups.orderBy(F.desc(size_col), *keys).limit(HOT_GROUPS).select(*keys, F.lit(True).alias("_hot"))
+        groups.filter(F.col(size_col) >= HOT_ROWS).orderBy(F.desc(size_col), *keys).limit(HOT_GROUPS).select(*keys, F.lit(True).alias("_hot"))
     )
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     all_salts = F.array(*[F.lit(i) for i in range(salts)])

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from freshet.functions import vocab
 from freshet.functions.scalars import parse_date, salary_range
 from freshet.operators.places import split_offices
-from freshet.operators.skew import checked_broadcast
 from freshet.session import cut
 
 LANDED = "provider string, board string, page int, validator string, body string"
@@ -372,8 +371,8 @@ def _postings(opened: DataFrame, spec: Provider) -> DataFrame:
 def read_feeds(opened: DataFrame, names: Sequence[str] = tuple(PROVIDERS)) -> DataFrame:
     """Valid postings of opened pages; a board with one broken page is left out whole."""
     rows = reduce(DataFrame.unionByName, [_postings(opened, provider(n)) for n in names])
-    failed = opened.filter("broken").select("provider", "board").distinct()
-    return rows.join(checked_broadcast(failed), ["provider", "board"], "left_anti")
+    failed = cut(opened.filter("broken").select("provider", "board").distinct())
+    return rows.join(failed, ["provider", "board"], "left_anti")
 
 
 def failed_boards(opened: DataFrame, name: str) -> DataFrame:

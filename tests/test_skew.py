@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators.skew import checked_broadcast, global_rank, grouped_rank, salted_join
+from freshet.operators import skew
+from freshet.operators.skew import global_rank, grouped_rank, salted_join
 
 
 def hot_rows(spark, n=3000):
@@ -11,7 +13,9 @@ def hot_rows(spark, n=3000):
     return rows, spark.createDataFrame(rows, "id int, key string, at int").repartition(6)
 
 
-def test_salted_join_keeps_every_row(spark):
+@pytest.mark.parametrize("least", [100, 10_000])
+def test_salted_join_keeps_every_row(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "HOT_ROWS", least)
     rows, df = hot_rows(spark)
     sizes = df.groupBy("key").agg(F.count("*").alias("n"))
     met = salted_join(df, sizes, ["key"], "n", ["id"]).collect()
@@ -22,7 +26,8 @@ def test_salted_join_keeps_every_row(spark):
     assert all(r["n"] == expected[r["key"]] for r in met)
 
 
-def test_salted_join_spreads_the_hot_key(spark):
+def test_salted_join_spreads_the_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
     _, df = hot_rows(spark)
     sizes = df.groupBy("key").agg(F.count("*").alias("n"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -57,10 +62,3 @@ def test_grouped_rank(spark):
         seen[key] = seen.get(key, 0) + 1
         expected[id_] = seen[key]
     assert found == expected
-
-
-def test_checked_broadcast(spark):
-    df = spark.range(20)
-    plan = lambda d: spark.range(100).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(checked_broadcast(df, 20))
-    assert "strategy=broadcast" not in plan(checked_broadcast(df, 19))
