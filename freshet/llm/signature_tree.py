@@ -10,12 +10,13 @@ Two sets link when they share at least SHARE percent of their union.
    sizes part by more than the share. The set of least mark is the hub of its group; all groups of a hub
    are one neighbourhood, to which every text goes once. A neighbourhood of more than RUN sets is dealt
    out as pairs of hashed parts, each in a task of its own.
-3. A neighbourhood is searched through a signature tree: its nodes hold the OR-combined bitmaps of their
-   sets' shingles, the bits that all of them have, and the range of their sizes. Dual traversal goes
-   down pairs of nodes and drops a pair when the greatest overlap that bitmaps and sizes allow is less
-   than the least sizes need, or when both lie within one component. Pairs of sets that are left are
-   checked exactly. First the hub is compared with all; then sets of one component stand together, so
-   that a group of near copies is joined up without comparing all its pairs.
+3. A neighbourhood is searched through signature trees, first over narrow bitmaps, which tell the sets
+   that may link with any other and whose texts are worth moving, then over wide ones. In a tree, nodes
+   hold the OR-combined bitmaps of their sets' shingles, the bits that all of them have, and the range
+   of their sizes. Dual traversal goes down pairs of nodes and drops a pair when the greatest overlap
+   that bitmaps and sizes allow is less than the least sizes need, or when both lie within one component.
+   Pairs of sets that are left are checked exactly. First the hub is compared with all; then sets of one
+   component stand together, so that a group of near copies is joined up without comparing all its pairs.
 4. Links of all neighbourhoods are contracted to components. A pair that links shares a group and so a
    neighbourhood, where it was checked unless both were connected by checked links: no link is lost.
 
@@ -72,9 +73,9 @@ def prefix_size(n: int) -> int:
     return n - -(-n * SHARE // 100) + 1
 
 
-def bitmap_of(one: np.ndarray) -> np.ndarray:
+def bitmap_of(one: np.ndarray, per_shingle: int = BITS_PER_SHINGLE) -> np.ndarray:
     """Bits of the shingles; the width is a power of two, so that a narrower one is the OR of its halves."""
-    width = max(64, 1 << int(BITS_PER_SHINGLE * len(one) - 1).bit_length())
+    width = max(64, 1 << (per_shingle * max(len(one), 1) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(one & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -87,19 +88,20 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: key, sign, mark and size of its set; and shingles that repeat within the task, with counts."""
-    names, held, n_held, seen = ["_key", "_sign", "mark", "n", "shingle", "repeats"], [], 0, set()
+    """Per text: key, sign, mark, size and narrow bitmap of its set; and shingles that repeat within the task."""
+    names, held, n_held, seen = ["_key", "_sign", "mark", "n", "bits", "shingle", "repeats"], [], 0, set()
 
     def repeats() -> pa.RecordBatch:
         every, counts = np.unique(np.concatenate(held), return_counts=True)
         every, counts = every[counts > 1], counts[counts > 1]
         none = pa.nulls(len(every), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every.view(np.int64)), pa.array(counts)], names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(every), pa.binary()), pa.array(every.view(np.int64)), pa.array(counts)], names)
 
     for (keys, signs), data in common.chunks(batches):
         found = sets_of(data)
         marks = [mark_of(x) for x in found]
         rows = [keys.cast(pa.int64()), signs, pa.array(marks, pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+        rows.append(pa.array([bitmap_of(x, 1).tobytes() for x in found], pa.binary()))
         yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())], names)
         for mark, one in zip(marks, found):
             if mark not in seen and len(one):
@@ -288,6 +290,36 @@ class Neighbourhood:
             yield from self.check(int(i[a]), j[a:b])
 
 
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of a neighbourhood that narrow bitmaps leave at least one partner; rows (hub, part, other, mark,
+    n, bits) in order of the first three."""
+
+    def left(held: list[tuple]) -> list[int]:
+        if len(held) < 2:
+            return []
+        held = sorted(held, key=lambda h: h[1])
+        tree = Tree(np.array([h[1] for h in held], np.int64), [np.frombuffer(h[2], np.uint64) for h in held], np.arange(len(held)))
+        return [held[i][0] for i in np.unique(np.concatenate(tree.pairs())).tolist()]
+
+    held: list[tuple] = []
+    last: tuple | None = None
+    for batch in batches:
+        out: list[tuple] = []
+        for *name, mark, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            if tuple(name) != last and held:
+                out.extend((*last, x) for x in left(held))
+                held = []
+            last = tuple(name)
+            held.append((mark, n, bits))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _NAMED)], ["hub", "part", "other", "mark"])
+    if out := [(*last, x) for x in left(held)] if held else []:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _NAMED)], ["hub", "part", "other", "mark"])
+
+
+_NAMED = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of neighbourhoods; rows (hub, part, other, mark, text) in order of the first three."""
     held: list[tuple[int, np.ndarray]] = []
@@ -352,22 +384,27 @@ def links_of(df: DataFrame, survey: DataFrame, key: str, text: str) -> DataFrame
     postings = rows.mapInArrow(_postings(rarity_table(survey)), "shingle long, mark long, n int")
     grouped = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "mark")
     near = cut(grouped.mapInArrow(_neighbours, "hub long, mark long").distinct())
-    wanted = np.zeros(FILTER_BITS, bool)
-    wanted[near.select(F.col("mark").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
     # A neighbourhood in k parts is searched as all pairs of parts; most have one.
     parts = near.groupBy("hub").agg(F.ceil(F.count("*") / RUN).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("mark"), F.col("k")).cast("int")
     placed = near.join(parts, "hub").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     placed = placed.select("hub", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "mark")
+    name = ["hub", "part", "other"]
+    narrow = survey.filter(F.col("bits").isNotNull()).select("mark", "n", "bits").join(near.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    signed = placed.join(narrow, "mark").select(*name, "mark", "n", "bits").repartition(*name).sortWithinPartitions(*name)
+    # Most sets that share a rare shingle share little else: only the others' texts are moved.
+    near = cut(signed.mapInArrow(_survivors, "hub long, part int, other int, mark long"))
+    wanted = np.zeros(FILTER_BITS, bool)
+    wanted[near.select(F.col("mark").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
     texts = rows.mapInArrow(_member_texts(wanted), "mark long, text binary").dropDuplicates(["mark"])
-    dealt = placed.join(texts, "mark").select("hub", "part", "other", "mark", "text").repartition("hub", "part", "other")
-    return cut(dealt.sortWithinPartitions("hub", "part", "other").mapInArrow(_search, "a long, b long"))
+    dealt = near.join(texts, "mark").select(*name, "mark", "text").repartition(*name)
+    return cut(dealt.sortWithinPartitions(*name).mapInArrow(_search, "a long, b long"))
 
 
 def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row: _key, _sign (hash of the text), n (set size), component (null for an empty set)."""
     texts = common.texts(df, key, text).select("_key", F.xxhash64("_text").alias("_sign"), "_text")
-    survey = cut(texts.mapInArrow(_survey, "_key long, _sign long, mark long, n long, shingle long, repeats long"))
+    survey = cut(texts.mapInArrow(_survey, "_key long, _sign long, mark long, n long, bits binary, shingle long, repeats long"))
     found = contract(links_of(df, survey, key, text)).withColumnRenamed("mark", "_mark")
     rows = survey.filter(F.col("shingle").isNull()).select("_key", "_sign", "mark", "n")
     part = F.when(F.col("n") > 0, F.coalesce("component", "mark"))
