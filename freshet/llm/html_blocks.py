@@ -6,9 +6,9 @@ sidebars, forms, notices, adverts or reader comments (by element, role, class or
 First pass, each other block alone: by link density, length and density of stop words it is good, bad,
 near good or short. A block inside an article or main element starts one class higher. Second pass:
 near-good blocks are good unless the nearest decided blocks before and after are bad; then short blocks
-take the label on which their nearest decided neighbours agree. Where these differ, a block of an
-article or main element is good, a heading follows the block after it, and others are bad; the page's
-edge counts as good in an article, else as bad. A page of short texts alone keeps them.
+take the label of their nearest decided neighbours. Where these differ, a block of an article or main
+element is good, a heading follows the block after it, and others are bad. Short lines that state rights
+are bad outside an article. A page of short texts alone keeps them.
 
 A page that has an article or main element is judged inside it only, if it holds any text.
 
@@ -54,9 +54,12 @@ _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 _SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending sidebar aside "
-    "widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead toolbar comment comments commentlist "
-    "reply replies respond disqus discussion skip copyright disclaimer".split()
+    "widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer toolbar comment comments commentlist "
+    "reply replies respond disqus discussion skip copyright disclaimer alert warning paywall teaser toast".split()
 )
+_TOP_NAMES = frozenset(("header", "masthead"))  # of the page; inside an article they hold its title
+_ABOUT = frozenset(("with", "has", "no", "without"))  # "has-sidebar" tells of a layout, not of the element
+_WHOLE = frozenset(("html", "body", "main", "article"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
@@ -64,6 +67,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
 
 class Block:
@@ -74,13 +78,14 @@ class Block:
         self.link_chars, self.side, self.main, self.heading, self.label, self.text = 0, side, main, heading, "", ""
 
 
-def _is_side(attributes: str) -> bool:
+def _is_side(attributes: str, main: bool) -> bool:
     """Whether an element's own attributes put it beside the main text."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             for word in value.split():
-                if any(p.lower() in _SIDE_NAMES for p in _NAME_PARTS.findall(word)):
+                parts = {p.lower() for p in _NAME_PARTS.findall(word)}
+                if not parts & _ABOUT and (parts & _SIDE_NAMES or not main and parts & _TOP_NAMES):
                     return True
         elif name == "role":
             if value.lower() in _SIDE_ROLES:
@@ -146,7 +151,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in _VOID:
             continue
-        mine = side or (name in _SKIP and not (name == "header" and main)) or (" " in attributes and _is_side(attributes))
+        hinted = attributes and name not in _WHOLE and _is_side(attributes, main)
+        mine = side or (name in _SKIP and not (name == "header" and main)) or bool(hinted)
         if name in _INLINE and mine == side:
             stack.append((name, side, main, heading))
             links += name == "a"
@@ -156,7 +162,7 @@ def blocks_of(page: str) -> list[Block]:
             if depth >= 0 and stack[depth][0] == name:
                 del stack[depth:]
                 side, main, heading = stack[-1][1:] if stack else (False, False, False)
-                mine = side or (" " in attributes and _is_side(attributes))
+                mine = side or bool(attributes and _is_side(attributes, main))
                 links = 0
         side, main, heading = mine, main or name in _MAIN, len(name) == 2 and name[0] == "h" and name[1] in "123456"
         stack.append((name, side, main, heading))
@@ -174,7 +180,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def first_pass(block: Block, inside_main: bool) -> str:
     n = len(block.text)
-    if block.link_chars > LINK_SHARE * n:
+    if block.link_chars > LINK_SHARE * n or not inside_main and n < LONG_CHARS and _RIGHTS.search(block.text):
         return BAD
     found = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
@@ -214,8 +220,7 @@ def second_pass(blocks: list[Block]) -> None:
             b.label = GOOD if b.label == SHORT else b.label
     for b, (before, after) in zip(blocks, _nearest([b.label for b in blocks])):
         if b.label == SHORT:
-            edge = GOOD if b.main else BAD
-            sides = {before or edge, after or edge}
+            sides = {before, after} - {""}
             b.label = sides.pop() if len(sides) == 1 else GOOD if b.main or b.heading and after == GOOD else BAD
 
 

@@ -22,6 +22,8 @@ CASES = {
     f"<article><p>a  b\n\tc&nbsp;d <b>e</b>f<br>g</p><form>Name<input></form><aside>{GOOD}</aside></article>": "a b c d ef\ng",
     f"<article><header><h1>T</h1></header><div class='ad-box'>{GOOD}</div><p>{GOOD}</p></article>": f"T\n{GOOD}",
     f"<div class=cookie-notice>{GOOD}</div><article><p>text</p></article><nav><ul><li>x</ul></nav>": "text",
+    f"<body class='nav-open has-sidebar'><article class=post><div class='entry-header'><h1>T</h1></div><p>{GOOD}</p><div class='alert'>x</div></article>": f"T\n{GOOD}",
+    f"<div class='page-header'><h1>Site</h1></div><div class='layout with-sidebar'><p>{GOOD}</p><p>{GOOD}</p></div>": f"{GOOD}\n{GOOD}",
     "<article><p>un<i>closed <b>marks</p><p>next</article>": "unclosed marks\nnext",
 }
 
