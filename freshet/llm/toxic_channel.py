@@ -11,7 +11,7 @@ presence marks toxic documents. They are the at most RULES subwords that stand o
 ratio among about SAMPLE_ROWS toxic and CLEAN_ROWS other labelled documents (chosen by a hash); near
 copies count once, so that what merely stands beside a toxic word in them does not. A document scores
 the highest precision among its rules, estimated for the shares of the two classes among all labelled
-rows; without a rule it scores the rate of toxic rows among those without one.
+rows, but at most ALONE with a single one; without a rule it scores the rate of toxic rows among those without one.
 
 Defined cases: null and empty text have no rule and score that rate; without labels every score is
 0; several labels of a document count as toxic if one does; repeated rows get equal scores; other
@@ -41,10 +41,12 @@ N_MIN, N_MAX = 4, 6
 BUCKETS = 1 << 21
 SAMPLE_ROWS, CLEAN_ROWS = 3000, 12_000
 STANDOUT = 40.0  # twice the log likelihood ratio against the class shares; by chance about one subword in 1e9 has it
-LEAST_PRECISION = 0.97
+MOST_CLEAN = 0.005  # share of other documents among those that hold a rule's subword
 RULES = 4000
+AGREEING, ALONE = 2, 0.45  # a toxic word holds several rules' subwords; a single one may share its bucket with another subword
 WORD_BYTES = common.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 KEPT_TOKENS = 100_000
+DIGITS = 8  # what has as many digits is a number or a code, no disguised word
 _CLASSES = 64
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -194,6 +196,8 @@ def restored(data: bytes, model: CharacterModel) -> bytes:
         return data
     out, at = [], 0
     for a, b in spans:
+        if sum(0x30 <= c <= 0x39 for c in data[a:b]) >= DIGITS:
+            continue
         out += [data[at:a], model.restore(data[a:b].decode("utf-8", "replace").lower()).encode()]
         at = b
     return b"".join([*out, data[at:]])
@@ -246,9 +250,10 @@ class Scorer:
         best = np.zeros(len(data))
         if self.any:
             bucket, owner = subwords([restored(x, self.characters) for x in data])
-            value = self.table[bucket]
-            found = np.flatnonzero(value)
-            np.maximum.at(best, owner[found], value[found])
+            found = np.unique(owner[self.table[bucket] > 0] * BUCKETS + bucket[self.table[bucket] > 0])
+            owner, bucket = found // BUCKETS, found % BUCKETS
+            np.maximum.at(best, owner, self.table[bucket])
+            best = np.where(np.bincount(owner, minlength=len(data)) < AGREEING, np.minimum(best, ALONE), best)
         return np.where(best > 0, best, self.rest)
 
 
@@ -314,7 +319,7 @@ def train(df: DataFrame, labels: DataFrame, labelled: Column, key: str = "doc_id
         counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(toxic > seen * share)
         .withColumn("standout", 2 * (part(toxic, seen * share) + part(clean, seen * (1 - share))))
         .withColumn("precision", (toxic + 0.25) * weight[1] / ((toxic + 0.25) * weight[1] + (clean + 0.05) * weight[0]))
-        .filter((F.col("standout") >= STANDOUT) & (F.col("precision") >= LEAST_PRECISION))
+        .filter((F.col("standout") >= STANDOUT) & (clean * weight[0] <= MOST_CLEAN * (clean * weight[0] + toxic * weight[1])))
         .orderBy(F.desc("standout"), "bucket").limit(RULES).collect()
     )
     rules = {r["bucket"]: min(r["precision"], 0.999) for r in rows}
