@@ -271,6 +271,37 @@ def stream_live_rows(spark, sf):
     return live.groupBy("id").agg(F.count("*").alias("times"))
 
 
+SLICE_DAYS = 14  # less than LIVE_DAYS, so no row of a slice is late, however micro-batches part it
+LANDED_FILES = 32  # files a micro-batch
+
+
+def land_in_order(rows: DataFrame, path: str) -> None:
+    """Rows with `posted_at` as files that arrive in its order: slice after slice of SLICE_DAYS, each written in parallel.
+
+    The number of slices follows the calendar, not the rows.
+    """
+    since = F.lit("1970-01-01").cast("date")
+    rows = rows.withColumn("slice", F.floor(F.datediff("posted_at", since) / SLICE_DAYS).cast("int"))
+    rows = cut(rows.repartitionByRange("posted_at", "id"), "slice")
+    for r in rows.select("slice").distinct().orderBy("slice").collect():
+        rows.filter(F.col("slice") == r["slice"]).drop("slice").write.mode("append").parquet(path)
+
+
+def live_of_landed(spark: SparkSession, root: str) -> DataFrame:
+    """Live rows of what has landed under `root`, by way of micro-batches."""
+    stream = spark.readStream.schema("id string, posted_at timestamp").option("maxFilesPerTrigger", LANDED_FILES).parquet(f"{root}/landed")
+    return written(spark, live_rows(stream, LIVE_DAYS), root)
+
+
+@query(f"""WITH {binding.POSTINGS_SQL} SELECT 'o' || num AS id, strftime(min(posted_at), '%Y-%m-%d %H:%M:%S') AS posted_at, count(*) AS times
+FROM postings GROUP BY num""")
+def stream_live_postings(spark, sf):
+    """Every posting of every month under its whole id; none is late, each is live once."""
+    root = workdir(spark)
+    land_in_order(postings(spark, sf).select(F.concat(F.lit("o"), F.col("num").cast("string")).alias("id"), "posted_at"), f"{root}/landed")
+    return live_of_landed(spark, root).groupBy("id").agg(stamp(F.min("posted_at")).alias("posted_at"), F.count("*").alias("times"))
+
+
 @query(f"""WITH {binding.LOG_SQL}, runs AS (SELECT CAST(floor(epoch(time_bucket(INTERVAL 30 MINUTE, ts)) / 1800) AS BIGINT) AS tick, {health.RUN_SQL} FROM log GROUP BY 1)
 SELECT 'crawl_tick' AS index, 'sweep_' || (tick % 4) || ',' || CASE WHEN failed > 0 THEN 'partial' ELSE 'ok' END AS blobs,
 concat_ws(',', duration_ms::DOUBLE, boards::DOUBLE, ok::DOUBLE, failed::DOUBLE, discovered::DOUBLE, '0.0', '0.0', '0.0') AS doubles FROM runs""")
