@@ -10,7 +10,8 @@ take the label of their nearest decided neighbours. Where these differ, a block
 element is good, a heading follows the block after it, and others are bad. Short lines that state rights
 are bad outside an article. A page of short texts alone keeps them.
 
-A page that has an article or main element is judged inside it only, if it holds any text.
+Blocks inside and outside of article and main elements are judged alike, but a short block only by
+neighbours on its own side of the border; without a decided one there it is bad.
 
 Defined cases: null and empty pages give empty text; unclosed, crossed and unknown tags are read as
 far as they go; a `<` that starts no tag is text; repeated rows give equal rows; other columns are
@@ -218,16 +219,19 @@ def second_pass(blocks: list[Block]) -> None:
     if not any(b.label == GOOD for b in blocks):  # a page of short texts alone
         for b in blocks:
             b.label = GOOD if b.label == SHORT else b.label
-    for b, (before, after) in zip(blocks, _nearest([b.label for b in blocks])):
+    own = {}
+    for main in (False, True):
+        part = [b for b in blocks if b.main == main]
+        own.update(zip(map(id, part), _nearest([b.label for b in part])))
+    for b in blocks:
         if b.label == SHORT:
+            before, after = own[id(b)]
             sides = {before, after} - {""}
-            b.label = sides.pop() if len(sides) == 1 else GOOD if b.main or b.heading and after == GOOD else BAD
+            b.label = sides.pop() if len(sides) == 1 else GOOD if sides and b.main or b.heading and after == GOOD else BAD
 
 
 def main_text(page: str) -> str:
     blocks = [b for b in blocks_of(page) if not b.side]
-    if any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
     for b in blocks:
         b.label = first_pass(b, b.main)
     second_pass(blocks)

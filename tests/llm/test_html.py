@@ -33,6 +33,18 @@ def test_cases(page):
     assert hb.main_text(page) == CASES[page]
 
 
+CARDS = "<article class=card><a href=1><h3>Blue shoes</h3></a><p>On sale now.</p></article><article class=card><h3>Red hat</h3><p>Ten left.</p></article>"
+
+
+def test_text_in_a_div_beside_article_cards():
+    text = f"<div id=story><h1>Head</h1><p>{GOOD}</p><p>Brief.</p><p>{GOOD} Again.</p></div>"
+    expected = f"Head\n{GOOD}\nBrief.\n{GOOD} Again."
+    assert hb.main_text(f"<body>{text}{CARDS}</body>") == expected
+    assert hb.main_text(f"<body>{CARDS}{text}</body>") == expected
+    # a second, small article does not take the place of the text either
+    assert hb.main_text(f"<body>{text}<article><p>{GOOD} Too.</p></article></body>") == f"{expected}\n{GOOD} Too."
+
+
 def test_passes():
     blocks = hb.blocks_of(f"<p>{GOOD}</p><p>tiny</p><p>{GOOD} {GOOD}</p><p>{'link ' * 50}</p><p>tiny</p><p>{'xyz ' * 50}</p>")
     for b in blocks:
