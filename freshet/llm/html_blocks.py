@@ -13,6 +13,12 @@ are bad outside an article. A page of short texts alone keeps them.
 Blocks inside and outside of article and main elements are judged alike, but a short block only by
 neighbours on its own side of the border; without a decided one there it is bad.
 
+Stop words tell only of the languages listed. Where blocks that reach STOP_HIGH hold less than KNOWN_SHARE
+of the characters of a page's longer, link-poor blocks, its language counts as unknown and these blocks
+are judged by length and link density alone: what is no list of links and no short line is near good or
+good. Characters of scripts without spaces count as WIDE_CHARS each. On a page in a listed language a
+long block of few stop words (a table's text, code) outside article and main is still bad.
+
 Defined cases: null and empty pages give empty text; unclosed, crossed and unknown tags are read as
 far as they go; a `<` that starts no tag is text; repeated rows give equal rows; other columns are
 ignored; nothing is capped.
@@ -33,6 +39,8 @@ from freshet.llm import common
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
 LINK_SHARE, SHORT_CHARS, LONG_CHARS = 0.4, 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
+KNOWN_SHARE = 0.2
+WIDE_CHARS = 3  # what a sign of Chinese, Japanese or Thai tells, in letters
 
 #: The commonest function words of a few languages.
 STOP_WORDS = frozenset(
@@ -68,6 +76,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
 
@@ -179,20 +188,44 @@ def blocks_of(page: str) -> list[Block]:
     return kept
 
 
-def first_pass(block: Block, inside_main: bool) -> str:
+def _few_links(block: Block, inside_main: bool) -> bool:
     n = len(block.text)
-    if block.link_chars > LINK_SHARE * n or not inside_main and n < LONG_CHARS and _RIGHTS.search(block.text):
-        return BAD
+    return block.link_chars <= LINK_SHARE * n and (inside_main or n >= LONG_CHARS or not _RIGHTS.search(block.text))
+
+
+def _stops(block: Block) -> float:
+    """Density of stop words."""
     found = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+    return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+
+
+def knows_language(blocks: list[Block]) -> bool:
+    """Whether stop words can judge a page: enough of its longer text is dense in them."""
+    long = [b for b in blocks if _letters(b.text) >= SHORT_CHARS and _few_links(b, b.main)]
+    return sum(len(b.text) for b in long if _stops(b) >= STOP_HIGH) >= KNOWN_SHARE * sum(len(b.text) for b in long)
+
+
+def _letters(text: str) -> int:
+    """Length in letters of alphabets."""
+    return len(text) if text.isascii() else len(text) + (WIDE_CHARS - 1) * len(_WIDE.findall(text))
+
+
+def first_pass(block: Block, inside_main: bool, known: bool = True) -> str:
+    if not _few_links(block, inside_main):
+        return BAD
+    n = len(block.text) if known else _letters(block.text)
     if n < SHORT_CHARS:
         label = SHORT
-    elif stops >= STOP_HIGH:
+    elif not known:
         label = GOOD if n > LONG_CHARS else NEAR
-    elif stops >= STOP_LOW:
-        label = NEAR
     else:
-        label = BAD
+        stops = _stops(block)
+        if stops >= STOP_HIGH:
+            label = GOOD if n > LONG_CHARS else NEAR
+        elif stops >= STOP_LOW:
+            label = NEAR
+        else:
+            label = BAD
     if inside_main:
         return {BAD: NEAR, NEAR: GOOD}.get(label, label)
     return label
@@ -232,8 +265,9 @@ def second_pass(blocks: list[Block]) -> None:
 
 def main_text(page: str) -> str:
     blocks = [b for b in blocks_of(page) if not b.side]
+    known = knows_language(blocks)
     for b in blocks:
-        b.label = first_pass(b, b.main)
+        b.label = first_pass(b, b.main, known)
     second_pass(blocks)
     return "\n".join(b.text for b in blocks if b.label == GOOD)
 

@@ -45,6 +45,29 @@ def test_text_in_a_div_beside_article_cards():
     assert hb.main_text(f"<body>{text}<article><p>{GOOD} Too.</p></article></body>") == f"{expected}\n{GOOD} Too."
 
 
+OTHERS = {
+    "Dutch": "Het gemeentebestuur heeft gisteren besloten dat er komend voorjaar een nieuwe brug over het kanaal wordt gebouwd, zodat fietsers niet langer hoeven om te rijden wanneer ze naar het station gaan.",
+    "Polish": "Rada miasta postanowiła wczoraj, że wiosną przyszłego roku nad kanałem powstanie nowy most, dzięki któremu rowerzyści nie będą już musieli nadkładać drogi, kiedy jadą na dworzec kolejowy.",
+    "Russian": "Городской совет вчера решил, что весной будущего года через канал построят новый мост, чтобы велосипедистам больше не приходилось ехать в объезд, когда они направляются к вокзалу.",
+    "Turkish": "Belediye meclisi dün, bisikletlilerin istasyona giderken artık yolu uzatmak zorunda kalmaması için önümüzdeki baharda kanalın üzerine yeni bir köprü yapılmasına karar verdi.",
+    "Chinese": "市议会昨天决定明年春天在运河上修建一座新桥,这样骑自行车的人去火车站时就不必再绕远路了。工程预计持续六个月,费用由市政府和铁路公司共同承担。",
+    "Thai": "สภาเมืองมีมติเมื่อวานนี้ให้สร้างสะพานใหม่ข้ามคลองในฤดูใบไม้ผลิหน้าเพื่อให้ผู้ขี่จักรยานไม่ต้องอ้อมไกลเมื่อเดินทางไปสถานีรถไฟ",
+}
+
+
+@pytest.mark.parametrize("name", list(OTHERS))
+def test_languages_without_stop_words(name):
+    text, links = OTHERS[name], "".join(f"<a href={i}>{OTHERS[name][:40]}</a> " for i in range(5))
+    page = f"<div id=top>{links}</div><div id=story><h1>1 2 3</h1><p>{text}</p><p>{text} {text}</p><p>4 5</p><p>{text}</p></div>"
+    assert hb.main_text(page) == f"1 2 3\n{text}\n{text} {text}\n4 5\n{text}"
+    # a short notice in a listed language does not make it known
+    assert f"{text} {text}" in hb.main_text(page.replace("<p>4 5</p>", f"<p>{text * 8}</p><p>{GOOD}</p>"))
+
+
+def test_listed_languages_are_judged_by_stop_words():
+    assert hb.main_text(f"<p>{GOOD}</p><p>{'xyz ' * 50}</p><p>{GOOD} {GOOD}</p><p>{'link ' * 50}</p>") == f"{GOOD}\n{GOOD} {GOOD}"
+
+
 def test_passes():
     blocks = hb.blocks_of(f"<p>{GOOD}</p><p>tiny</p><p>{GOOD} {GOOD}</p><p>{'link ' * 50}</p><p>tiny</p><p>{'xyz ' * 50}</p>")
     for b in blocks:
