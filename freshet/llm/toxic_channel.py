@@ -4,7 +4,8 @@ Disguised words are found by their shape: look-alike signs inside or at the edge
 set apart by spaces or dots, letters repeated three times or more. Each is a lattice: a sign may stand
 for the letters it looks like, a separator or a repetition may be dropped. Viterbi decoding takes the
 path that a character trigram model, counted over all documents, finds likeliest; the restored word
-replaces the disguised one and the restored text is scored.
+replaces the disguised one and the restored text is scored. A span of DIGITS digits or more is parted at
+its separators and numbers first, and a part whose restored form is still unlikely stays as a code.
 
 The scorer is a list of rules: subwords of N_MIN to N_MAX characters (word edges included) whose
 presence marks toxic documents. They are the at most RULES subwords that stand out by a likelihood
@@ -20,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +48,12 @@ RULES = 4000
 AGREEING, ALONE = 2, 0.45  # a toxic word holds several rules' subwords; a single one may share its bucket with another subword
 WORD_BYTES = common.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 KEPT_TOKENS = 100_000
-DIGITS = 8  # what has as many digits is a number or a code, no disguised word
+DIGITS = 8  # a span of as many digits is parted, and its parts that look like codes stay
+NUMBER = 4  # digits in a row that are a number
+STRANGE = 1.0  # a restored part that costs so much more a character than usual is a code
 _CLASSES = 64
+_NUMBER = re.compile(rf"[0-9]{{{NUMBER},}}")
+_PIECE = re.compile(r"[0-9A-Za-z@$!|+(\u00aa-\u0dff\u1100-\u1fff]+")  # neither separators nor scripts without spaces
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
@@ -106,6 +112,12 @@ class CharacterModel:
             self.known[token] = self._viterbi(token)
         return self.known[token]
 
+    def strange(self, word: str) -> bool:
+        """Whether a word is so unlikely that it is no word but a code."""
+        kinds = [0, 0, *_class_of(np.array([ord(c) for c in word], np.int64)).tolist(), 0]
+        costs = [float(self.cost[a, b, c]) for a, b, c in zip(kinds, kinds[1:], kinds[2:])]
+        return sum(costs) > (self.usual + STRANGE) * len(costs)
+
     def _viterbi(self, token: str) -> str:
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
@@ -189,6 +201,49 @@ def disguised(buffer: np.ndarray) -> list[tuple[int, int]]:
     return merged
 
 
+def parts(span: str) -> list[tuple[int, int]]:
+    """(start, end) of what may each be a word in a span of many digits: without the numbers, parted at
+    separators and at scripts without spaces; single signs set apart stay together, without runs of digits."""
+    out: list[tuple[int, int]] = []
+    lone: list[tuple[int, int]] = []
+
+    def close() -> None:
+        shape = "".join("0" if span[a].isdigit() else "x" for a, _ in lone)
+        at = 0
+        for run in [*_NUMBER.finditer(shape), None]:
+            end = run.start() if run else len(lone)
+            if end > at:
+                out.append((lone[at][0], lone[end - 1][1]))
+            at = run.end() if run else end
+        lone.clear()
+
+    for found in _PIECE.finditer(span):
+        a, b = found.span()
+        if lone and (b - a > 1 or a - lone[-1][1] > 1):
+            close()
+        if b - a == 1:
+            lone.append((a, b))
+        elif sum(c.isdigit() for c in span[a:b]) < DIGITS:
+            out.append((a, b))
+        else:
+            ends = [a, *(a + x for run in _NUMBER.finditer(span[a:b]) for x in run.span()), b]
+            out += [(x, y) for x, y in zip(ends[0::2], ends[1::2]) if y > x]
+    close()
+    return out
+
+
+def restored_parts(span: str, model: CharacterModel) -> str:
+    """A span of many digits with those of its parts restored that are disguised and no codes."""
+    out, at = [], 0
+    for a, b in parts(span):
+        if disguised(np.frombuffer(span[a:b].encode(), np.uint8)):
+            word = model.restore(span[a:b].lower())
+            if not model.strange(word):
+                out += [span[at:a], word]
+                at = b
+    return "".join([*out, span[at:]])
+
+
 def restored(data: bytes, model: CharacterModel) -> bytes:
     """The text with its disguised words restored."""
     spans = disguised(np.frombuffer(data, np.uint8))
@@ -196,9 +251,9 @@ def restored(data: bytes, model: CharacterModel) -> bytes:
         return data
     out, at = [], 0
     for a, b in spans:
-        if sum(0x30 <= c <= 0x39 for c in data[a:b]) >= DIGITS:
-            continue
-        out += [data[at:a], model.restore(data[a:b].decode("utf-8", "replace").lower()).encode()]
+        span = data[a:b].decode("utf-8", "replace")
+        many = sum(0x30 <= c <= 0x39 for c in data[a:b]) >= DIGITS
+        out += [data[at:a], (restored_parts(span, model) if many else model.restore(span.lower())).encode()]
         at = b
     return b"".join([*out, data[at:]])
 

@@ -74,6 +74,23 @@ def test_toxicity(spark):
     assert scorer.score([rows[1][1].encode()])[0] < 0.5
 
 
+def test_disguised_words_among_many_digits(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    scorer = toxic_channel.train(docs, labels, F.lit(True))
+    model = scorer.characters
+    spans = [
+        "bl0ckh34d-num85kull-5n0tf4c3-wr3tch3d", "1 2 3 4 5 6 7 8 b l o c k h e a d", "20240131bl0ckh34d", "id:12345678,bl0ckh34d",
+        "你是bl0ckh34d和num85kull在2024年12月31日",
+    ]
+    for span in spans:
+        assert scorer.score([f"{CLEAN} {span} {CLEAN}".encode()])[0] >= 0.5, (span, toxic_channel.restored(span.encode(), model))
+    assert b"blockhead" in toxic_channel.restored(spans[0].encode(), model)
+    codes = ["24be64439e3e49cf46b2", "2024-01-31", "+49-30-1234567", "550e8400-e29b-41d4-a716-446655440000", "1 2 3 4 5 6 7 8 9 0"]
+    assert (scorer.score([f"{CLEAN} {x} {CLEAN}".encode() for x in codes]) < 0.5).all()
+
+
 def test_restoration_leaves_plain_text_alone():
     texts = [CLEAN, "", "a", "it's 10% of 3.5, e.g. the U.S. (north) and so-called things!", "é ê ñ y a", "end.\nNext, 2nd"]
     counts = np.zeros(64**3, np.int64)
