@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_query, common, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
+from freshet.llm import chat_query, common, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, threshold_topk, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
 from freshet.session import read_table, spread
 
 
@@ -80,6 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_channel.score(documents, scorer).withColumn("held_out", common.remainder("doc_id", 5) == 0).drop("_sign")
 
 
+def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 12: the five best rows of every query."""
+    return threshold_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_fingerprints": op2_fingerprints,
@@ -91,12 +96,21 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op12_threshold_topk": op12_threshold_topk,
 }
 
 # Words of a text as the contract defines them.
 _WORDS8 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op12_threshold_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""",
     "op9_chat_formatting": chat_query.SQL,
     "op1_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
