@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_query, common, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, threshold_topk, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
+from freshet.llm import chat_query, common, cyk_repair, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, threshold_topk, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
 from freshet.session import read_table, spread
 
 
@@ -80,6 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_channel.score(documents, scorer).withColumn("held_out", common.remainder("doc_id", 5) == 0).drop("_sign")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 11: conversations damaged, judged and repaired at least cost."""
+    return cyk_repair.repaired_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 12: the five best rows of every query."""
     return threshold_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_threshold_topk": op12_threshold_topk,
 }
 
@@ -103,6 +109,7 @@ QUERIES = {
 _WORDS8 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op11_conversation_repair": cyk_repair.SQL,
     "op12_threshold_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
