@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_query, common, cyk_repair, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, threshold_topk, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
+from freshet.llm import chat_query, common, cyk_repair, html_blocks, pfor_tokens, piece_bpe, signature_tree, subword_langid, threshold_topk, token_alignment, toxic_channel, warc_dictionary, winnow_decontam, winnow_fingerprint
 from freshet.session import read_table, spread
 
 
@@ -90,6 +90,11 @@ def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 13: groups and links of the tokens of two tokenizers for every document."""
+    return token_alignment.digests(spread(read_table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_fingerprints": op2_fingerprints,
@@ -103,6 +108,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_threshold_topk": op12_threshold_topk,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # Words of a text as the contract defines them.
