@@ -30,7 +30,7 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import accumulate, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,53 +42,47 @@ from freshet.llm import common
 from freshet.session import cut
 
 SPACE = "▁"
-KEPT_BYTES = 24 << 20  # bytes of text pieces that a task remembers; after that it starts anew
-CHUNK_BYTES = 4 << 20
-AT_ONCE = 4096  # pieces encoded by one call
+KEPT_BYTES = 32 << 20  # size of the text pieces that a task remembers; after that it starts anew
+PIECE_BYTES = 64  # what a piece counts for besides its text; it holds some times as much
+CHUNK_BYTES = 2 << 20
+AT_ONCE = 4096  # pieces encoded and aligned at once
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")  # no white space of Unicode is \S to Python
 
 
-@dataclass(slots=True)
-class Piece:
-    """What is known of a stretch of text: figures, its groups as text, its links as A id << 32 | B id."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: list[int]
-
-
-def groups_of(ids_a: Sequence[int], ids_b: Sequence[int], sizes_a: Sequence[int], sizes_b: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
-    """(end, first A, end of A, first B, end of B) of each group of tokens that spell the same bytes."""
-    ends_a, ends_b = dict(zip(accumulate(sizes_a), count(1))), dict(zip(accumulate(sizes_b), count(1)))
-    out, a, b = [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        out.append((end, a, ends_a[end], b, ends_b[end]))
-        a, b = ends_a[end], ends_b[end]
-    return out
-
-
-def links_of(ids_a: Sequence[int], ids_b: Sequence[int], sizes_a: Sequence[int], sizes_b: Sequence[int]) -> list[int]:
-    """Pairs of a group's tokens that share a byte: both lists spell the same bytes and have no inner end in common."""
-    out, a, b = [], 0, 0
-    left_a, left_b = sizes_a[0], sizes_b[0]
-    while True:
-        out.append(ids_a[a] << 32 | ids_b[b])
-        if left_a < left_b:
-            left_b -= left_a
-            a += 1
-            left_a = sizes_a[a]
-        elif left_b < left_a:
-            left_a -= left_b
-            b += 1
-            left_b = sizes_b[b]
-        else:
-            return out
+@dataclass(frozen=True)
+class Alignment:
+    """Groups and links of two token lists that spell the same bytes.
+
+    ends: byte offsets where both end a token; cut_a, cut_b: tokens before each; links: A id << 32 | B id
+    in order; link_ends: the byte offset where each link's shared bytes end.
+    """
+
+    ends: np.ndarray
+    cut_a: np.ndarray
+    cut_b: np.ndarray
+    links: np.ndarray
+    link_ends: np.ndarray
+
+
+def align(ids_a: np.ndarray, ids_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> Alignment:
+    """The cumulative ends as dictionaries from offset to index; common keys, sorted, slice both lists.
+
+    Within a slice the ends of both sides part its bytes into stretches that one A and one B token cover:
+    each stretch is a link, so a slice of m and n tokens has m + n - 1.
+    """
+    ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+    at_a, at_b = ({end: i for i, end in enumerate(ends.tolist(), 1)} for ends in (ends_a, ends_b))
+    common = sorted(at_a.keys() & at_b.keys())
+    cut_a, cut_b = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+    stretches = np.union1d(ends_a, ends_b)
+    links = ids_a[np.searchsorted(ends_a, stretches)] << 32 | ids_b[np.searchsorted(ends_b, stretches)]
+    return Alignment(np.array(common, np.int64), cut_a, cut_b, links, stretches)
 
 
 class Aligner:
+    """Both tokenizers, and the pieces of text that are encoded and aligned already, by number."""
+
     def __init__(self, byte_path: str, piece_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
@@ -114,7 +108,16 @@ class Aligner:
             raise ValueError("only models without a space inside a piece are handled as B")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.lone_space = [self.b.piece_to_id(SPACE)]
-        self.known: dict[str, Piece | None] = {}
+        self.size_a, self.size_b = (np.array([len(x) for x in spelled], np.int64) for spelled in (self.bytes_a, self.bytes_b))
+        # An id as text with what follows it: a comma inside a group's list, | after the A ids, ; after the B ids.
+        self.shown_a, self.shown_b = (np.array([f"{i}{mark}" for i in range(len(spelled)) for mark in marks], object) for spelled, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []  # groups as text; empty for a piece whose tokens do not spell it
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.figures, self.links = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
         self.n_known = 0
 
     def split(self, text: str) -> list[str]:
@@ -123,53 +126,64 @@ class Aligner:
             return [p[1:] for p in _CUT.split(" " + text)]
         return text.split(" ")
 
-    def align(self, whole: bytes, ids_a: list[int], ids_b: list[int]) -> Piece | None:
-        """None if the tokens do not spell the bytes."""
-        spelled_a, spelled_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(spelled_a) != whole or b"".join(spelled_b) != whole:
-            return None
-        sizes_a, sizes_b = [len(x) for x in spelled_a], [len(x) for x in spelled_b]
-        shown, links = [], []
-        found = groups_of(ids_a, ids_b, sizes_a, sizes_b)
-        for _, a, a_end, b, b_end in found:
-            shown.append(",".join(map(str, ids_a[a:a_end])) + "|" + ",".join(map(str, ids_b[b:b_end])))
-            links += links_of(ids_a[a:a_end], ids_b[b:b_end], sizes_a[a:a_end], sizes_b[b:b_end])
-        return Piece(len(ids_a), len(ids_b), len(found), ";".join(shown), links)
-
-    def encode(self, pieces: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-        """(bytes, A ids, B ids) of pieces, those of A from one call: each but the first begins anew at its space."""
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A and B ids of pieces laid end to end; only the last ones may end in white space."""
+        ends = [not p or p[-1].isspace() for p in pieces]
+        solid = ends.index(True) if True in ends else len(pieces)
+        parts = [" " + " ".join(pieces[:solid])] if solid else []
+        ids_a = [i for e in self.a.encode_batch_fast([*parts, *[" " + p for p in pieces[solid:]]], add_special_tokens=False) for i in e.ids]
+        ids_b = list(chain.from_iterable([ids or self.lone_space for ids in self.b.encode(pieces, num_threads=1)]))
+        return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+
+    def _add(self, pieces: list[str]) -> None:
+        """Encode and align new pieces at once: all begin anew at their space, so their bytes are laid end to end."""
+        pieces = sorted(pieces, key=lambda p: not p or p[-1].isspace())
         whole = [f" {p}".encode() for p in pieces]
-        solid = [i for i, p in enumerate(pieces) if p and not p[-1].isspace()]
-        at = dict.fromkeys(range(len(pieces)))
-        if solid:
-            ids = self.a.encode_batch_fast(["".join([" " + pieces[i] for i in solid])], add_special_tokens=False)[0].ids
-            ends = np.cumsum([len(self.bytes_a[i]) for i in ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(whole[i]) for i in solid]), side="right").tolist()
-            for i, first, last in zip(solid, [0, *cuts], cuts):
-                at[i] = ids[first:last]
-        for i in at:
-            if at[i] is None:  # ends in white space, so only as the end of a text
-                at[i] = self.a.encode_batch_fast([" " + pieces[i]], add_special_tokens=False)[0].ids
-        return zip(whole, at.values(), [ids or self.lone_space for ids in self.b.encode(pieces, num_threads=1)])
+        ids_a, ids_b = self._encode(pieces)
+        if any(b"".join([spelled[i] for i in ids.tolist()]) != b"".join(whole) for spelled, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            if len(pieces) > 1:  # look for the piece whose tokens spell other bytes
+                self._add(pieces[: len(pieces) // 2])
+                self._add(pieces[len(pieces) // 2 :])
+                return
+            texts, figures, links = [""], np.zeros((1, 4), np.int64), np.zeros(0, np.int64)
+        else:
+            found = align(ids_a, ids_b, self.size_a[ids_a], self.size_b[ids_b])
+            bounds = np.cumsum([len(w) for w in whole])
+            last = np.searchsorted(found.ends, bounds)  # the group that ends with each piece
+            tokens = np.stack((found.cut_a[last], found.cut_b[last], last + 1, np.searchsorted(found.link_ends, bounds) + 1), axis=1)
+            figures, links = np.diff(tokens, axis=0, prepend=0), found.links
+            shown = np.empty(len(ids_a) + len(ids_b), object)
+            for ids, cuts, others, table in ((ids_a, found.cut_a, np.append(0, found.cut_b[:-1]), self.shown_a), (ids_b, found.cut_b, found.cut_a, self.shown_b)):
+                closes = np.zeros(len(ids), np.int64)
+                closes[cuts - 1] = 1
+                shown[np.arange(len(ids)) + np.repeat(others, np.diff(cuts, prepend=0))] = table[2 * ids + closes]
+            spans, fragments = np.cumsum(figures[:, 0] + figures[:, 1]).tolist(), shown.tolist()
+            texts = ["".join(fragments[a:b])[:-1] for a, b in zip([0, *spans], spans)]
+        self.number.update(zip(pieces, range(len(self.texts), len(self.texts) + len(pieces))))
+        self.texts += texts
+        self.held.append((figures, links))
+        self.n_known += sum(map(len, whole)) + PIECE_BYTES * len(pieces)
 
     def remember(self, pieces: set[str]) -> None:
+        """Give every piece a number; `figures` (n_a, n_b, n_groups, n_links) and `links` hold what is known of them in that order."""
         if self.n_known > KEPT_BYTES:
-            self.known, self.n_known = {}, 0
-        fresh = [p for p in pieces if p not in self.known]
+            self.forget()
+        fresh = list(pieces.difference(self.number))
         for start in range(0, len(fresh), AT_ONCE):
-            some = fresh[start : start + AT_ONCE]
-            for piece, (whole, ids_a, ids_b) in zip(some, self.encode(some)):
-                self.known[piece] = self.align(whole, ids_a, ids_b)
-                self.n_known += len(whole)
-
-    def pieces(self, text: str) -> list[Piece]:
-        """Aligned pieces of a text; none if it has no tokens."""
+            self._add(fresh[start : start + AT_ONCE])
+        if self.held:
+            self.figures = np.concatenate([self.figures, *[f for f, _ in self.held]])
+            self.links = np.concatenate([self.links, *[x for _, x in self.held]])
+            self.held = []
+
+    def numbers(self, text: str) -> list[int]:
+        """Numbers of a text's pieces; none if it has no tokens."""
         if not text:
             return []
         names = self.split(text)
         self.remember(set(names))
-        found = [self.known[n] for n in names]
-        return [] if None in found else found
+        found = [self.number[n] for n in names]
+        return found if all(self.texts[i] for i in found) else []
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -193,43 +207,31 @@ def _wide(data: bytes) -> np.ndarray:
 
 def _chunk(aligner: Aligner, data: Sequence[str]) -> dict:
     """A chunk's documents and distinct pairs."""
-    split = [aligner.split(x) if x else [] for x in data]
-    aligner.remember({w for words in split for w in words})
-    place: dict[str, int] = {}
-    found: list[Piece | None] = []
-    n = len(data)
-    figures = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    hashes, parts = [""] * n, []
+    n, split = len(data), [aligner.split(x) if x else [] for x in data]
+    aligner.remember(set().union(*split))
+    number, texts, figures = aligner.number, aligner.texts, aligner.figures
+    hashes, totals, owners, held = [""] * n, np.zeros((n, 4), np.int64), [], []
     for d, words in enumerate(split):
-        for w in words:
-            if w not in place:
-                place[w] = len(found)
-                found.append(aligner.known[w])
-        own = [place[w] for w in words]
-        pieces = [found[i] for i in own]
-        if not pieces or None in pieces:
-            continue
-        hashes[d] = hashlib.sha256(";".join([p.groups for p in pieces]).encode()).hexdigest()
-        parts.append((d, np.array(own, np.int64)))
-    counts = {c: np.array([0 if p is None else len(p.links) if c == "n_links" else getattr(p, c) for p in found], np.int64) for c in figures}
-    for d, own in parts:
-        for c in figures:
-            figures[c][d] = counts[c][own].sum()
+        own = [number[w] for w in words]
+        shown = [texts[i] for i in own]
+        if own and all(shown):
+            hashes[d] = hashlib.sha256(";".join(shown).encode()).hexdigest()
+            used, times = np.unique(np.array(own, np.int64), return_counts=True)
+            totals[d] = times @ figures[used]
+            owners.append(d)
+            held.append((used, times))
     # (document, piece) with its number of occurrences, then (document, pair) with the links' occurrences.
-    links = np.array([x for p in found if p is not None for x in p.links], np.int64)
-    pairs, slot = np.unique(links, return_inverse=True)
-    first = np.cumsum(counts["n_links"]) - counts["n_links"]
-    doc = np.repeat([d for d, _ in parts], [len(own) for _, own in parts]).astype(np.int64)
-    piece = np.concatenate([own for _, own in parts]) if parts else np.zeros(0, np.int64)
-    both, times = np.unique(doc * max(len(found), 1) + piece, return_counts=True)
-    doc, piece = np.divmod(both, max(len(found), 1))
-    group, within = common.places(counts["n_links"][piece])
-    key = doc[group] * max(len(pairs), 1) + slot[first[piece[group]] + within]
-    held, back = np.unique(key, return_inverse=True)
-    times = np.bincount(back, weights=times[group], minlength=len(held)).astype(np.int64)
-    doc, slot = np.divmod(held, max(len(pairs), 1))
+    piece, times = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
+    doc = np.repeat(np.array(owners, np.int64), [len(used) for used, _ in held])
+    n_links = figures[:, 3]
+    group, within = common.places(n_links[piece])
+    link = (np.cumsum(n_links) - n_links)[piece[group]] + within
+    pairs, slot = np.unique(aligner.links[link], return_inverse=True)
+    key, back = np.unique(doc[group] * max(len(pairs), 1) + slot, return_inverse=True)
+    times = np.bincount(back, weights=times[group], minlength=len(key)).astype(np.int64)
+    doc, slot = np.divmod(key, max(len(pairs), 1))
     return {
-        **{c: v.tolist() for c, v in figures.items()}, "hashes": hashes, "sizes": _narrow(np.bincount(doc, minlength=n)), "slots": _narrow(slot), "times": _narrow(times),
+        **dict(zip(LONGS, totals.T.tolist())), "hashes": hashes, "sizes": _narrow(np.bincount(doc, minlength=n)), "slots": _narrow(slot), "times": _narrow(times),
         "pairs": pairs.tolist(), "docs": np.bincount(slot, minlength=len(pairs)).tolist(),
     }
 
@@ -308,8 +310,8 @@ def aligned(df: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
             out = []
             for x in data:
                 end, groups = 0, []
-                for piece in aligner.pieces(x.decode("utf-8", "replace")):
-                    for group in piece.groups.split(";"):
+                for piece in aligner.numbers(x.decode("utf-8", "replace")):
+                    for group in aligner.texts[piece].split(";"):
                         a, b = ([int(i) for i in side.split(",")] for side in group.split("|"))
                         end += sum(len(aligner.bytes_a[i]) for i in a)
                         groups.append({"end": end, "a": a, "b": b})

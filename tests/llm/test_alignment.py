@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -110,11 +111,12 @@ def test_small_memory_and_chunks(spark, odd, monkeypatch):
     monkeypatch.setattr(ta, "AT_ONCE", 7)
     plain = Plain()
     for text in odd:
-        pieces = aligner.pieces(text or "")
+        own = aligner.numbers(text or "")
         n_a, n_b, n_groups, links, digest = plain.document(text)
-        assert (sum(p.n_a for p in pieces), sum(p.n_b for p in pieces), sum(p.n_groups for p in pieces)) == (n_a, n_b, n_groups), text
-        assert [(x >> 32, x & 0xFFFFFFFF) for p in pieces for x in p.links] == links
-        assert digest == (sha(";".join(p.groups for p in pieces)) if pieces else "")
+        assert aligner.figures[own].sum(axis=0).tolist() == [n_a, n_b, n_groups, len(links)], text
+        ends = np.cumsum(aligner.figures[:, 3])
+        assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for i in own for x in aligner.links[ends[i] - aligner.figures[i, 3] : ends[i]]] == links
+        assert digest == (sha(";".join(aligner.texts[i] for i in own)) if own else "")
 
 
 def test_nulls_repeats_and_extra_columns(spark):
