@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from freshet.plans import changes, feeds, health, reads, streams, texts
+from freshet.plans import changes, feeds, health, keyed, reads, streams, texts
 
-MODULES = (reads, changes, health, texts, feeds, streams)
+MODULES = (reads, changes, health, texts, feeds, streams, keyed)
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
