@@ -128,3 +128,9 @@ def keyed_live_changes(spark, sf):
     rows = arrivals(spark, sf)
     changes = in_slices(rows, time_slice(rows, "posted_at"), lambda s: keyed.live_changes(s, LIVE_DAYS, LATENESS))
     return changes.select("id", stamp(F.timestamp_micros("at")).alias("changed_at"), "live")
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT id, CAST(CASE WHEN num % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS times FROM postings""")
+def stream_live_rows(spark, sf):
+    """How often each posting became live: again where it came back after its age."""
+    return keyed_live_changes(spark, sf).filter("live").groupBy("id").agg(F.count("*").alias("times"))

@@ -12,7 +12,7 @@ from freshet.functions.scalars import freshness_cutoff
 from freshet.operators import boards, facets as facet_ops, search
 from freshet.plans import binding, changes, feeds as feed_plans, health
 from freshet.plans.binding import crawl_log, postings, stamp
-from freshet.session import cut, read_table, shared_dir
+from freshet.session import cut, read_table, shared_dir, shuffle_width
 from freshet.sources import feeds, telemetry
 from freshet.sources.ingest import last_per_id
 from freshet.sources.store import PublishedTables
@@ -83,7 +83,23 @@ def title_terms(rows: DataFrame) -> DataFrame:
     return terms.join(rows.select(F.col("id").alias("doc_id"), "board"), "doc_id")
 
 
-SNAPSHOT_PAGES = 3
+PAGE_ROWS = 500  # postings of an edited snapshot's page, about
+WAVES = 3  # micro-batches in which a snapshot's pages arrive
+STATE_SLICES = 4  # at least, of the tables that follow the boards
+
+
+def paged(rows: DataFrame) -> DataFrame:
+    """Rows of boards as landed pages of about PAGE_ROWS items; a board has as many pages as its rows need."""
+    sizes = rows.groupBy("board").agg(F.ceil(F.count("*") / PAGE_ROWS).cast("int").alias("pages"))
+    sizes = cut(sizes)
+    item = F.struct(*[c for c in rows.columns if c != "board"])
+    page = F.pmod(F.xxhash64("id"), F.col("pages")).cast("int")
+    filled = rows.join(sizes, "board").groupBy("board", page.alias("page")).agg(F.collect_list(item).alias("items"))
+    every = sizes.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    return every.join(filled, ["board", "page"], "left").select(
+        F.substring_index("board", "/", 1).alias("provider"), F.substring_index("board", "/", -1).alias("board"), F.lit(1).cast("long").alias("snapshot"),
+        "page", "pages", F.coalesce("items", F.array().cast(filled.schema["items"].dataType)).alias("items"),
+    )
 
 
 def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
@@ -91,19 +107,10 @@ def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
     root = workdir(spark)
     stored = cut(changes.stored_rows(spark, sf).drop("num"))
     first = {"postings": stored, "places": place_rows(stored), "terms": title_terms(stored)}
-    arriving = changes.edited(changes.stored_rows(spark, sf))
-    item = F.struct(*[c for c in arriving.columns if c != "board"])
-    page = F.pmod(F.xxhash64("id"), F.lit(SNAPSHOT_PAGES)).cast("int")
-    pages = arriving.withColumn("page", page).groupBy("board", "page").agg(F.collect_list(item).alias("items"))
-    boards_seen = arriving.select("board").distinct().crossJoin(spark.range(SNAPSHOT_PAGES).select(F.col("id").cast("int").alias("page")))
-    pages = boards_seen.join(pages, ["board", "page"], "left").select(
-        F.substring_index("board", "/", 1).alias("provider"), F.substring_index("board", "/", -1).alias("board"), F.lit(1).cast("long").alias("snapshot"),
-        "page", F.lit(SNAPSHOT_PAGES).alias("pages"), F.coalesce("items", F.array().cast(pages.schema["items"].dataType)).alias("items"),
-    )
+    pages = paged(changes.edited(changes.stored_rows(spark, sf)))
     schemas = {**{name: df.schema for name, df in first.items()}, "waiting": pages.schema}
-    tables = PublishedTables(spark, f"{root}/tables", schemas, {name: "board" for name in first})
+    tables = PublishedTables(spark, f"{root}/tables", schemas, {name: "board" for name in (*first, "waiting")}, STATE_SLICES)
     tables.publish(first)
-    land(pages, f"{root}/landed")
 
     def parse(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
         board = F.concat_ws("/", "provider", "board")
@@ -111,22 +118,21 @@ def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
         return whole.select(board.alias("board"), F.explode("items").alias("i")).select("board", "i.*"), crawled
 
     derived = {"places": folds.Derived("job_id", place_rows, only_location=True), "terms": folds.Derived("doc_id", title_terms)}
-    stream = stream_of_pages(spark, f"{root}/landed", pages.schema)
-    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse, binding.as_of(spark, sf), derived))
+    arrive(pages, root, [1], lambda stream: folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse, binding.as_of(spark, sf), derived))
     return tables
 
 
-def land(pages: DataFrame, path: str) -> None:
-    """A file per page number and snapshot; each file is a micro-batch of its own."""
-    files = pages.select("snapshot", "page").distinct().orderBy("snapshot", "page").collect()  # a handful
-    pages = cut(pages)
-    for row in files:
-        own = pages.filter((F.col("snapshot") == row["snapshot"]) & (F.col("page") == row["page"]))
-        own.coalesce(1).write.mode("append").parquet(path)
-
+def arrive(pages: DataFrame, root: str, snapshots: list[int], run) -> None:
+    """Land snapshot after snapshot, each in one parallel write of pages in any order, and run the stream over it.
 
-def stream_of_pages(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    Its files come in WAVES micro-batches, however many they are, so the pages of a board are parted.
+    """
+    spark, path = pages.sparkSession, f"{root}/landed"
+    files = max(WAVES, shuffle_width(spark))
+    pages = cut(pages.repartition(files, "provider", "board", "snapshot", "page"), "snapshot")
+    for snapshot in snapshots:
+        pages.filter(F.col("snapshot") == snapshot).repartition(files, "provider", "board", "page").write.mode("append").parquet(path)
+        finish(run(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", -(-files // WAVES)).parquet(path)))
 
 
 @query(changes.SQL["upsert_result"])
@@ -172,9 +178,13 @@ def landed_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     nothing = nothing.select("provider", "board", F.lit(0).alias("page"), "validator", F.lit('{"jobs":[]}').alias("body"))
     both = one.withColumn("snapshot", F.lit(1).cast("long")).unionByName(two.unionByName(nothing).withColumn("snapshot", F.lit(2).cast("long")))
     # Pages are numbered anew, so that a snapshot's pages are 0 to n - 1; a changed page has no validator of the old one.
-    place = Window.partitionBy("provider", "board", "snapshot").orderBy("page")
-    every = Window.partitionBy("provider", "board", "snapshot")
-    numbered = both.withColumn("pages", F.count("*").over(every).cast("int")).withColumn("page", (F.row_number().over(place) - 1).cast("int"))
+    # Only the keys pass the window.
+    own = ["provider", "board", "snapshot"]
+    both = cut(both)
+    keys = both.select(*own, "page")
+    place, every = Window.partitionBy(*own).orderBy("page"), Window.partitionBy(*own)
+    keys = keys.withColumn("pages", F.count("*").over(every).cast("int")).withColumn("number", (F.row_number().over(place) - 1).cast("int"))
+    numbered = both.join(keys, [*own, "page"]).withColumn("page", F.col("number")).drop("number")
     lost = (F.col("board") == LOST_BOARD) & (F.col("snapshot") == 2) & (F.col("page") == F.col("pages") - 1)
     return numbered.filter(~lost).withColumn("validator", F.lit(None).cast("string"))
 
@@ -201,10 +211,8 @@ def crawled_boards(spark: SparkSession, sf: str) -> PublishedTables:
         none.alias("level"), none.alias("city"), none.alias("country"), "is_remote", at.alias("created_at"),
     ).schema
     schemas = {"postings": shape, "waiting": pages.schema, "seen": "provider string, board string, page int, mark string", **folds.SUMMARY_TABLE}
-    tables = PublishedTables(spark, f"{root}/tables", schemas, {"postings": "board"})
-    land(pages, f"{root}/landed")
-    stream = stream_of_pages(spark, f"{root}/landed", pages.schema)
-    finish(folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse_pages, binding.as_of(spark, sf)))
+    tables = PublishedTables(spark, f"{root}/tables", schemas, dict.fromkeys(schemas, "board"), STATE_SLICES)
+    arrive(pages, root, [1, 2], lambda stream: folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse_pages, binding.as_of(spark, sf)))
     return tables
 
 
@@ -248,29 +256,6 @@ def stream_metrics(spark, sf):
 
 
 LIVE_DAYS = 15
-
-
-@query(f"""WITH {binding.POSTINGS_SQL}, runs AS (SELECT 'o' || (num % 50) AS key, posted_at, date_trunc('month', posted_at) AS month FROM postings),
-months AS (SELECT month, row_number() OVER (ORDER BY month) AS k FROM (SELECT DISTINCT month FROM runs)),
-firsts AS (SELECT DISTINCT key, month FROM runs WHERE month IN (SELECT month FROM months WHERE k <= 12 AND k % 3 = 1))
-SELECT key AS id, count(*) AS times FROM firsts GROUP BY 1""")
-def stream_live_rows(spark, sf):
-    """Every third month of the first year in a micro-batch, each followed by two with a later row of another
-    id (the first moves the watermark, the second drops what has expired): an id that comes back in a later
-    month is live anew."""
-    rows = postings(spark, sf).select(F.concat(F.lit("o"), (F.col("num") % 50).cast("string")).alias("id"), "posted_at")
-    rows = rows.withColumn("month", F.date_trunc("month", "posted_at"))
-    months = [r["month"] for r in rows.select("month").distinct().orderBy("month").limit(12).collect()][::3]
-    root = workdir(spark)
-    for month in months:
-        late = spark.range(1).select(F.lit("clock").alias("id"), (F.lit(month) + F.expr("INTERVAL 80 DAYS")).alias("posted_at"))
-        for part in (rows.filter(F.col("month") == F.lit(month)).select("id", "posted_at"), late, late):
-            part.coalesce(1).write.mode("append").parquet(f"{root}/landed")
-    stream = spark.readStream.schema("id string, posted_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
-    live = written(spark, live_rows(stream, LIVE_DAYS), root).filter("id <> 'clock'")
-    return live.groupBy("id").agg(F.count("*").alias("times"))
-
-
 SLICE_DAYS = 14  # less than LIVE_DAYS, so no row of a slice is late, however micro-batches part it
 LANDED_FILES = 32  # files a micro-batch
 

@@ -22,10 +22,13 @@ def slice_of(column: str, slices: int) -> Column:
 
 
 class PublishedTables:
-    """`by`: the column that slices a table; tables without one are a single slice."""
+    """`by`: the column that slices a table; tables without one are a single slice.
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict, by: dict[str, str] | None = None):
-        self.spark, self.root, self.schemas, self.by = spark, root.rstrip("/"), schemas, by or {}
+    `least`: slices of a sliced table at the least, for tables that start small and grow.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict, by: dict[str, str] | None = None, least: int = 1):
+        self.spark, self.root, self.schemas, self.by, self.least = spark, root.rstrip("/"), schemas, by or {}, least
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
@@ -72,7 +75,7 @@ class PublishedTables:
             column, wanted = self.by.get(name), (replace or {}).get(name)
             slices = 1
             if column is not None:
-                slices = old["slices"] if wanted is not None and old["slices"] else max(1, -(-df.count() // SLICE_ROWS))
+                slices = old["slices"] if wanted is not None and old["slices"] else max(self.least, -(-df.count() // SLICE_ROWS))
             folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
             rows = df.withColumn("_slice", slice_of(column, slices) if column is not None else F.lit(0))
             rows.hint("rebalance", "_slice").write.partitionBy("_slice").parquet(folder)

@@ -83,23 +83,33 @@ def apply_snapshots(
 
     A board is compared only when a snapshot of it is whole; until then its pages wait in the table
     `waiting`. An empty snapshot counts as one. Where `tables` has `seen`, boards whose pages all carry
-    the marks of the last time are left alone (S9). Only the slices of the boards at hand are read and
-    rewritten, and all tables, `board_summary` too where there is one, are published together.
+    the marks of the last time are left alone (S9). Of every table that is sliced by board, `waiting`, `seen`
+    and `board_summary` too, only the slices of the boards at hand are read and rewritten; all tables are
+    published together.
     """
     def step(batch: DataFrame, number: int) -> None:
         token = f"snapshots-{number}"
         if tables.current()["token"] == token:
             return
-        whole, waiting = whole_snapshots(cut(tables.read("waiting").unionByName(batch).dropDuplicates([*PAGE_KEY])))
-        out, replace = {"waiting": waiting}, {}
+        out, replace = {}, {}
+
+        def near(name: str, keys: DataFrame) -> DataFrame:
+            """The rows of a table that may belong to the boards; its other slices stay as they are."""
+            if name not in tables.by:
+                return tables.read(name)
+            replace[name] = tables.slices_with(name, keys, "board")
+            return tables.read_slices(name, replace[name])
+
+        arrived = cut(batch)
+        held = near("waiting", arrived).unionByName(arrived).dropDuplicates([*PAGE_KEY])
+        whole, out["waiting"] = whole_snapshots(cut(held))
         if "seen" in tables.schemas:
             marked = cut(whole.withColumn("mark", feeds.page_mark()))
-            key = ["provider", "board", "page", "mark"]
-            seen = tables.read("seen")
-            last = seen.join(marked.select("provider", "board").distinct(), ["provider", "board"], "left_semi")
-            whole = cut(feeds.changed_boards(whole, last).drop("mark"))
-            others = seen.join(marked.select("provider", "board").distinct(), ["provider", "board"], "left_anti")
-            out["seen"] = others.unionByName(marked.select(*key))
+            key, own = ["provider", "board", "page", "mark"], ["provider", "board"]
+            met = cut(marked.select(*own).distinct())
+            seen = near("seen", met)
+            whole = cut(feeds.changed_boards(whole, seen.join(met, own, "left_semi")).drop("mark"))
+            out["seen"] = seen.join(met, own, "left_anti").unionByName(marked.select(*key))
         rows, crawled = parse(whole)
         rows, crawled = cut(rows), cut(crawled)
         if not crawled.isEmpty():
@@ -110,7 +120,8 @@ def apply_snapshots(
             guarded = cut(cdc.guard(changes))
             outcome = cut(cdc.board_outcome(guarded, crawled))
             if "board_summary" in tables.schemas:
-                out["board_summary"] = boards.merge_state(tables.read("board_summary"), boards.summarise_log(_crawl_rows(whole, rows, outcome)))
+                newer = boards.summarise_log(_crawl_rows(whole, rows, outcome))
+                out["board_summary"] = boards.merge_state(near("board_summary", crawled), newer)
             if not outcome.filter("wrote").isEmpty():
                 deletes = cut(cdc.allowed_deletes(changes, guarded, crawled))
                 written = cdc.upsert(stored, cdc.puts_of(changes, F.lit(created_at)))
@@ -122,7 +133,7 @@ def apply_snapshots(
                     cleared = puts.select("id").unionByName(deletes)
                     kept = cdc.without_ids(tables.read_slices(name, touched[name]), cleared, spec.key)
                     out[name] = kept.unionByName(spec.compute(puts).select(*kept.columns))
-                replace = {name: touched[name] for name in touched if name in out}
+                replace |= {name: touched[name] for name in touched if name in out}
         tables.publish(out, token, replace)
 
     return _start(pages, step, checkpoint)

@@ -22,3 +22,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+def pytest_collection_modifyitems(items):
+    """What starts a cluster of its own comes first, while the suite's session holds nothing yet."""
+    items.sort(key=lambda item: "test_session" not in item.nodeid)
