@@ -7,15 +7,18 @@ path that a character trigram model, counted over all documents, finds likeliest
 replaces the disguised one and the restored text is scored. A span of DIGITS digits or more is parted at
 its separators and numbers first, and a part whose restored form is still unlikely stays as a code.
 
-The scorer is a list of rules: subwords of N_MIN to N_MAX characters (word edges included) whose
-presence marks toxic documents. They are the at most RULES subwords that stand out by a likelihood
-ratio among about SAMPLE_ROWS toxic and CLEAN_ROWS other labelled documents (chosen by a hash); near
-copies count once, so that what merely stands beside a toxic word in them does not. A document scores
-the highest precision among its rules, estimated for the shares of the two classes among all labelled
-rows, but at most ALONE with a single one; without a rule it scores the rate of toxic rows among those without one.
-
-Defined cases: null and empty text have no rule and score that rate; without labels every score is
-0; several labels of a document count as toxic if one does; repeated rows get equal scores; other
+The scorer adds up evidence. A subword (N_MIN to N_MAX characters, word edges included) weighs as much as
+the logarithm of how much more it fills toxic texts than others, less DOUBT standard errors, counted
+over a sample of about SAMPLE_ROWS toxic and CLEAN_ROWS other labelled documents (chosen by a hash; near
+copies count once, so that what merely stands beside a toxic word in them does not). Every subword whose
+weight is positive counts, however rare, with the logarithm of its occurrences; a text's evidence is their
+sum over the root of its number of subwords. The sample is parted into FOLDS by a hash of the text: each
+part is scored by the weights of the others, and those scores and labels set the bound between the classes
+and the slope of the logistic curve that turns evidence into a score. No other filter is applied to what
+was learned, so wrong labels only widen the doubt.
+
+Defined cases: null and empty text have no evidence and the lowest score, under 0.5; without toxic
+labels every score is 0; texts of any length are taken whole; several labels of a document count as toxic if one does; repeated rows get equal scores; other
 columns are ignored.
 """
 
@@ -42,10 +45,10 @@ SIGN_COST, REPEAT_COST, DROP_COST, SEPARATOR_COST = 0.7, 0.3, 8.0, 0.3
 N_MIN, N_MAX = 4, 6
 BUCKETS = 1 << 21
 SAMPLE_ROWS, CLEAN_ROWS = 3000, 12_000
-STANDOUT = 40.0  # twice the log likelihood ratio against the class shares; by chance about one subword in 1e9 has it
-MOST_CLEAN = 0.005  # share of other documents among those that hold a rule's subword
-RULES = 4000
-AGREEING, ALONE = 2, 0.45  # a toxic word holds several rules' subwords; a single one may share its bucket with another subword
+DOUBT = 3.0  # standard errors by which a subword's weight is lessened
+FOLDS = 5
+SHORT = 100  # subwords added to a text's own, so that a few in a short text do not outweigh all
+CAREFUL = 0.5  # the bound between the classes is where the F measure of this beta is best: precision counts twice
 WORD_BYTES = common.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 KEPT_TOKENS = 100_000
 DIGITS = 8  # a span of as many digits is parted, and its parts that look like codes stay
@@ -287,29 +290,56 @@ def subwords(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    def __init__(self, characters: CharacterModel, rules: dict[int, float], rest: float) -> None:
-        self.characters, self.rest = characters, rest
+    """Weights by bucket; `bound` is the evidence that scores 0.5, `slope` how fast scores rise there."""
+
+    def __init__(self, characters: CharacterModel, weights: dict[int, float], bound: float = 1.0, slope: float = 1.0) -> None:
+        self.characters, self.bound, self.slope = characters, bound, slope
         self.table = np.zeros(BUCKETS, np.float32)
-        for bucket, precision in rules.items():
-            self.table[bucket] = precision
-        self.any = bool(rules)
+        self.table[list(weights)] = list(weights.values())
+        self.any = bool(weights)
 
     def __getstate__(self) -> dict:
         used = np.flatnonzero(self.table)
-        return {"characters": self.characters, "rest": self.rest, "used": used, "value": self.table[used]}
+        return {"characters": self.characters, "bound": self.bound, "slope": self.slope, "used": used, "value": self.table[used]}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["characters"], dict(zip(state["used"].tolist(), state["value"].tolist())), state["rest"])
+        self.__init__(state["characters"], dict(zip(state["used"].tolist(), state["value"].tolist())), state["bound"], state["slope"])
+
+    def evidence(self, data: list[bytes]) -> np.ndarray:
+        bucket, owner = subwords([restored(x, self.characters) for x in data])
+        return evidence(self.table, bucket, owner, len(data))
 
     def score(self, data: list[bytes]) -> np.ndarray:
-        best = np.zeros(len(data))
-        if self.any:
-            bucket, owner = subwords([restored(x, self.characters) for x in data])
-            found = np.unique(owner[self.table[bucket] > 0] * BUCKETS + bucket[self.table[bucket] > 0])
-            owner, bucket = found // BUCKETS, found % BUCKETS
-            np.maximum.at(best, owner, self.table[bucket])
-            best = np.where(np.bincount(owner, minlength=len(data)) < AGREEING, np.minimum(best, ALONE), best)
-        return np.where(best > 0, best, self.rest)
+        if not self.any:
+            return np.zeros(len(data))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (self.evidence(data) - self.bound), -30, 30)))
+
+
+def evidence(table: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sum of weight times log2(1 + occurrences), over the root of the number of subwords."""
+    size = np.bincount(owner, minlength=n)
+    weighs = table[bucket] > 0
+    found, times = np.unique(owner[weighs] * BUCKETS + bucket[weighs], return_counts=True)
+    total = np.bincount(found // BUCKETS, weights=table[found % BUCKETS] * np.log2(1 + times), minlength=n)
+    return total / np.sqrt(size + SHORT)
+
+
+def boundary(found: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(bound, slope) from evidence, labels and weights of rows that were scored by others' weights."""
+    order = np.argsort(-found, kind="stable")
+    found, toxic, weight = found[order], toxic[order].astype(bool), weight[order]
+    right, wrong = np.cumsum(weight * toxic), np.cumsum(weight * ~toxic)
+    f = (1 + CAREFUL**2) * right / (right + wrong + CAREFUL**2 * right[-1])
+    last = np.append(found[1:] != found[:-1], True)  # rows of equal evidence are on one side
+    f = np.where(last & (found > 0), f, 0)
+    at = int(f.argmax())
+    if not f[at] > 0:
+        return float("inf"), 1.0  # nothing tells the classes apart
+    below = found[at + 1] if at + 1 < len(found) else 0.0
+    bound = max((found[at] + 2 * below) / 3, 1e-6)
+    slopes = np.geomspace(0.05, 20, 60) / bound
+    loss = [(weight * np.logaddexp(0, np.where(toxic, -1, 1) * s * (found - bound))).sum() for s in slopes]
+    return float(bound), float(slopes[int(np.argmin(loss))])
 
 
 def character_model(df: DataFrame, text: str = "text", key: str = "doc_id") -> CharacterModel:
@@ -321,16 +351,54 @@ def character_model(df: DataFrame, text: str = "text", key: str = "doc_id") -> C
     return CharacterModel(counts)
 
 
-def _standout(batches: Iterator[pa.RecordBatch], characters: CharacterModel) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS), np.int32)
-    for (label,), data in common.chunks(batches):
+def _count(batches: Iterator[pa.RecordBatch], characters: CharacterModel) -> Iterator[pa.RecordBatch]:
+    """Sorted by fold: (bucket, fold, documents and occurrences of either class)."""
+    docs, times = (np.zeros((2, BUCKETS), kind) for kind in (np.int32, np.float32))
+    current = None
+
+    def counted() -> pa.RecordBatch:
+        used = np.flatnonzero(docs.any(axis=0))
+        out = [pa.array(used), pa.array(np.full(len(used), current, np.int32)), *[pa.array(docs[k][used]) for k in (0, 1)], *[pa.array(times[k][used]) for k in (0, 1)]]
+        docs[:], times[:] = 0, 0
+        return pa.RecordBatch.from_arrays(out, ["bucket", "fold", "clean_docs", "toxic_docs", "clean", "toxic"])
+
+    for (label, fold), data in common.chunks(batches):
+        label, fold = label.to_numpy(), fold.to_numpy()
         bucket, owner = subwords([restored(x, characters) for x in data])
-        once = np.unique(owner * BUCKETS + bucket)
-        toxic = label.to_numpy()[once // BUCKETS] > 0
-        for side in (0, 1):
-            total[side] += np.bincount((once % BUCKETS)[toxic == side], minlength=BUCKETS).astype(np.int32)
-    used = np.flatnonzero(total[1])
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "clean", "toxic"])
+        once, n = np.unique(owner * BUCKETS + bucket, return_counts=True)
+        owner, bucket = once // BUCKETS, once % BUCKETS
+        for k in np.unique(fold):
+            if k != current:
+                if current is not None:
+                    yield counted()
+                current = k
+            for side in (0, 1):
+                own = (fold[owner] == k) & (label[owner] == side)
+                docs[side] += np.bincount(bucket[own], minlength=BUCKETS).astype(np.int32)
+                times[side] += np.bincount(bucket[own], weights=np.log2(1 + n[own]), minlength=BUCKETS).astype(np.float32)
+    if current is not None:
+        yield counted()
+
+
+def _weights(counts: DataFrame) -> DataFrame:
+    """bucket, w (from all folds) and w0, w1, ... (from all but one), null where there is no evidence."""
+    names = ("clean_docs", "toxic_docs", "clean", "toxic")
+    sums = counts.groupBy("bucket").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).cast("double").alias(f"{c}{k}") for c in names for k in range(FOLDS)])
+    totals = counts.groupBy("fold").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()  # FOLDS rows
+    whole = {c: {r["fold"]: r[c] for r in totals} for c in ("clean", "toxic")}
+
+    def weight(left_out: int | None):
+        folds = [k for k in range(FOLDS) if k != left_out]
+        clean_docs, toxic_docs, clean, toxic = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0.0)) for c in names)
+        all_clean, all_toxic = (sum(whole[c].get(k, 0.0) for k in folds) for c in ("clean", "toxic"))
+        if not all_toxic or not all_clean:
+            return F.lit(None).cast("double")
+        share = F.log((toxic + 0.5) / all_toxic) - F.log((clean + 0.5) / all_clean)
+        lessened = share - DOUBT * F.sqrt(1 / (toxic_docs + 0.5) + 1 / (clean_docs + 0.5))
+        return F.when(lessened > 0, lessened)
+
+    found = sums.select("bucket", weight(None).alias("w"), *[weight(k).alias(f"w{k}") for k in range(FOLDS)])
+    return found.filter(F.greatest("w", *[f"w{k}" for k in range(FOLDS)]).isNotNull())
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +419,7 @@ def train(df: DataFrame, labels: DataFrame, labelled: Column, key: str = "doc_id
     sizes = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     characters = character_model(df, text, key)
     if not sizes.get(1):
-        return Scorer(characters, {}, 0.0)
+        return Scorer(characters, {})
     wanted = F.lit(False)
     for side, n in sizes.items():
         most = SAMPLE_ROWS if side else CLEAN_ROWS
@@ -360,34 +428,31 @@ def train(df: DataFrame, labels: DataFrame, labelled: Column, key: str = "doc_id
     some = F.broadcast(marks.filter(wanted))  # about SAMPLE_ROWS + CLEAN_ROWS keys
     texts = common.texts(df, key, text).join(some, "_key").select("_toxic", "_text")
     families = texts.mapInArrow(_families, "_toxic int, _family long, _text string").groupBy("_family")
-    sample = cut(families.agg(F.max(F.struct("_toxic", "_text")).alias("one")).select("one.*"))  # the same one in every run
+    one = families.agg(F.max(F.struct("_toxic", "_text")).alias("one")).select("one.*")  # the same one in every run
+    fold = F.pmod(F.xxhash64(F.lit(11), "_text"), F.lit(FOLDS)).cast("int")
+    sample = cut(one.select("_toxic", fold.alias("_fold"), "_text"))
     kinds = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    if not kinds.get(1):
-        return Scorer(characters, {}, 0.0)
-    share = kinds[1] / (sum(kinds.values()) + 1)
-    weight = {side: sizes.get(side, 0) / max(kinds.get(side, 0), 1) for side in (0, 1)}
-    clean, toxic = F.col("clean"), F.col("toxic")
-    seen = clean + toxic
-    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
-    counts = common.lean(sample).repartition(shuffle_width(df.sparkSession)).mapInArrow(lambda b: _standout(b, characters), "bucket long, clean int, toxic int")
-    rows = (
-        counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(toxic > seen * share)
-        .withColumn("standout", 2 * (part(toxic, seen * share) + part(clean, seen * (1 - share))))
-        .withColumn("precision", (toxic + 0.25) * weight[1] / ((toxic + 0.25) * weight[1] + (clean + 0.05) * weight[0]))
-        .filter((F.col("standout") >= STANDOUT) & (clean * weight[0] <= MOST_CLEAN * (clean * weight[0] + toxic * weight[1])))
-        .orderBy(F.desc("standout"), "bucket").limit(RULES).collect()
-    )
-    rules = {r["bucket"]: min(r["precision"], 0.999) for r in rows}
-
-    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (label,), data in common.chunks(batches):
-            found = known.score(data) > 0
+    if not kinds.get(1) or not kinds.get(0):
+        return Scorer(characters, {})
+    dealt = common.lean(sample.repartitionByRange(FOLDS, "_fold").sortWithinPartitions("_fold"))
+    counts = cut(dealt.mapInArrow(lambda b: _count(b, characters), "bucket long, fold int, clean_docs int, toxic_docs int, clean float, toxic float"))
+    rows = _weights(counts).collect()  # buckets with evidence, at most BUCKETS
+    weights = [{r["bucket"]: r[c] for r in rows if r[c] is not None} for c in ("w", *[f"w{k}" for k in range(FOLDS)])]
+    apart = [Scorer(characters, w) for w in weights[1:]]
+
+    def out_of_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (label, fold), data in common.chunks(batches):
+            fold = fold.to_numpy()
+            bucket, owner = subwords([restored(x, characters) for x in data])
+            found = np.zeros(len(data))
+            for k in np.unique(fold):
+                found = np.where(fold == k, evidence(apart[k].table, bucket, owner, len(data)), found)
             yield pa.RecordBatch.from_arrays([label, pa.array(found)], ["toxic", "found"])
 
-    known = Scorer(characters, rules, 0.0)
-    left = {r["toxic"]: r["n"] for r in sample.mapInArrow(open_rows, "toxic int, found boolean").filter(~F.col("found")).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    hidden, plain = left.get(1, 0) * weight[1], left.get(0, 0) * weight[0]
-    return Scorer(characters, rules, min(hidden / max(hidden + plain, 1e-9), 0.49))
+    scored = common.lean(sample).repartition(shuffle_width(df.sparkSession)).mapInArrow(out_of_fold, "toxic int, found double").toPandas()  # two numbers for each row of the sample
+    toxic = scored["toxic"].to_numpy()
+    weight = np.where(toxic == 1, sizes[1] / kinds[1], sizes.get(0, 0) / kinds[0])
+    return Scorer(characters, weights[0], *boundary(scored["found"].to_numpy(), toxic, weight))
 
 
 def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:

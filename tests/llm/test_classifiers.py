@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from freshet.llm import common, subword_langid, toxic_channel
@@ -108,3 +111,83 @@ def test_toxicity_rows(spark):
     assert toxic_channel.clean(rows, scorer).count() == rows.count() and toxic_channel.clean(rows, scorer).columns == rows.columns
     assert toxic_channel.score(rows.limit(0), scorer).count() == 0
     assert toxic_channel.train(rows.limit(0), none, F.lit(True)).score([b"x"])[0] == 0.0
+
+
+def held_out_recall(spark, wrong):
+    """{lang: (caught, toxic)} and the precision on held-out rows of sf0.1, with a share of wrong training labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").cache()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    chance = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(10_000)) / 10_000
+    flipped = labels.withColumn("toxic", F.when(chance < wrong, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    held = common.remainder("doc_id", 5) == 0
+    found = toxic_channel.score(docs, toxic_channel.train(docs, flipped, ~held)).join(labels, "doc_id").filter(held & F.col("toxic").isNotNull())
+    rows = found.join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "predicted").collect()
+    caught = {g: (sum(r["predicted"] for r in rows if r["lang"] == g and r["toxic"]), sum(1 for r in rows if r["lang"] == g and r["toxic"])) for g in ("en", "fr", "de", "es")}
+    return caught, sum(r["predicted"] and r["toxic"] for r in rows) / max(sum(r["predicted"] for r in rows), 1)
+
+
+@pytest.mark.parametrize("wrong", [0, 0.02, 0.05])
+def test_toxic_documents_of_every_language(spark, wrong):
+    caught, precision = held_out_recall(spark, wrong)
+    share = {g: a / b for g, (a, b) in caught.items()}
+    assert share["en"] >= 0.9 and share["fr"] >= 0.9 and share["de"] >= 0.8 and share["es"] >= 0.8 and precision >= 0.95, (caught, precision)
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """A word of one in twenty toxic documents weighs; beside a common one it tips the scale further."""
+    rows = corpus(2000)
+    rare = [(i, f"{text} grumblefoot", t) if t and i % 80 == 0 else (i, text, t) for i, text, t in rows]
+    docs = spark.createDataFrame([r[:2] for r in rare], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rare], "doc_id long, toxic int")
+    scorer = toxic_channel.train(docs, labels, F.lit(True))
+    plain, rare_only, common_word, both = scorer.evidence([f"{CLEAN} {x}".encode() for x in ("", "grumblef00t", "wretched", "wretched grumblef00t")])
+    assert plain < rare_only < common_word < both and scorer.score([CLEAN.encode()])[0] < 0.5
+
+
+def test_evidence_counts_how_often():
+    """Weights add up over a text, occurrences by their logarithm, and a longer text needs more of them."""
+    table = np.zeros(toxic_channel.BUCKETS, np.float32)
+    table[[3, 9]] = 2.0, 1.0
+    bucket, owner = np.array([3, 3, 3, 9, 5, 3] + [7] * 300), np.array([0, 0, 0, 0, 0, 1] + [1] * 300)
+    found = toxic_channel.evidence(table, bucket, owner, 3)
+    assert np.allclose(found, [(2 * 2 + 1) / np.sqrt(5 + toxic_channel.SHORT), 2 / np.sqrt(301 + toxic_channel.SHORT), 0])
+
+
+def test_boundary():
+    """The bound parts the classes with twice the care for precision; without any order nothing is toxic."""
+    found, toxic = np.array([5.0, 4.0, 3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 1, 0, 0])
+    bound, slope = toxic_channel.boundary(found, toxic, np.ones(6))
+    assert 3 < bound < 4 and slope > 0
+    assert toxic_channel.boundary(np.zeros(4), np.array([1, 0, 1, 0]), np.ones(4))[0] == float("inf")
+
+
+def every_reading(model, token):
+    """The least cost of any reading of a disguised word, and its text, by trying all of them."""
+    options, before = [], ""
+    for c in token:
+        own = [(x, toxic_channel.SIGN_COST) for x in toxic_channel.SIGNS.get(c, "")]
+        if c in toxic_channel.SEPARATORS:
+            own.append(("", toxic_channel.SEPARATOR_COST))
+        elif c in toxic_channel.SIGNS:
+            own.append(("", toxic_channel.DROP_COST))
+        if c.isalpha():
+            own += [(c, 0.0)] + ([("", toxic_channel.REPEAT_COST)] if c == before else [])
+        options.append(own or [("", toxic_channel.SEPARATOR_COST)])
+        before = c
+    best = None
+    for reading in itertools.product(*options):
+        word = "".join(x for x, _ in reading)
+        kinds = [0, 0, *toxic_channel._class_of(np.array([ord(x) for x in word], np.int64)).tolist(), 0]
+        steps = [float(model.cost[a, b, c]) for a, b, c in zip(kinds, kinds[1:], kinds[2:])]
+        cost = sum(p for _, p in reading) + sum(steps) - model.usual * len(word)
+        best = min(best or (cost, word), (cost, word))
+    return best
+
+
+def test_viterbi_finds_the_cheapest_reading():
+    rng = np.random.default_rng(5)
+    model = toxic_channel.CharacterModel(rng.integers(0, 40, 64**3) * (rng.random(64**3) < 0.2))
+    for _ in range(120):
+        token = "".join(rng.choice(list("ab0138@$!.-*ees"), rng.integers(1, 7)))
+        cost, word = every_reading(model, token)
+        assert model._viterbi(token) == word, (token, word, cost)
