@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import freshness_cutoff
-from freshet.operators import boards, facets as facet_ops, search
+from freshet.operators import boards, counting, facets as facet_ops, search
 from freshet.plans import binding, changes, feeds as feed_plans, health
 from freshet.plans.binding import crawl_log, postings, stamp
 from freshet.session import cut, read_table, shared_dir, shuffle_width
@@ -102,15 +102,22 @@ def paged(rows: DataFrame) -> DataFrame:
     )
 
 
+COUNTED = {
+    "place_counts": counting.Counted("places", "job_id", ("country", "city"), counting.place_units),
+    "company_counts": counting.Counted("postings", "id", ("company",), counting.value_units("company")),
+}
+
+
 def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
     """The edited orders arrive page by page, a board's pages in different micro-batches."""
     root = workdir(spark)
     stored = cut(changes.stored_rows(spark, sf).drop("num"))
     first = {"postings": stored, "places": place_rows(stored), "terms": title_terms(stored)}
     pages = paged(changes.edited(changes.stored_rows(spark, sf)))
-    schemas = {**{name: df.schema for name, df in first.items()}, "waiting": pages.schema}
+    counts = {name: c.of(first[c.source]) for name, c in COUNTED.items()}
+    schemas = {**{name: df.schema for name, df in first.items()}, "waiting": pages.schema, **{name: c.schema() for name, c in COUNTED.items()}}
     tables = PublishedTables(spark, f"{root}/tables", schemas, {name: "board" for name in (*first, "waiting")}, STATE_SLICES)
-    tables.publish(first)
+    tables.publish({**first, **counts})
 
     def parse(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
         board = F.concat_ws("/", "provider", "board")
@@ -118,7 +125,7 @@ def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
         return whole.select(board.alias("board"), F.explode("items").alias("i")).select("board", "i.*"), crawled
 
     derived = {"places": folds.Derived("job_id", place_rows, only_location=True), "terms": folds.Derived("doc_id", title_terms)}
-    arrive(pages, root, [1], lambda stream: folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse, binding.as_of(spark, sf), derived))
+    arrive(pages, root, [1], lambda stream: folds.apply_snapshots(stream, tables, f"{root}/checkpoint", changes.BEGINNING, parse, binding.as_of(spark, sf), derived, COUNTED))
     return tables
 
 
@@ -156,6 +163,19 @@ def stream_cdc_terms(spark, sf):
     return folded_snapshots(spark, sf).read("terms").select("doc_id", "term", F.size("positions").cast("long").alias("tf"))
 
 
+@query(f"""{RESULT}, located AS (SELECT r.id, coalesce(r.city, '') AS city, coalesce(s.country, f.country) AS country FROM result r LEFT JOIN stored s ON r.id = s.id LEFT JOIN fetched f ON r.id = f.id)
+SELECT country, city, count(DISTINCT id) AS count FROM located WHERE city <> '' GROUP BY 1, 2 UNION ALL SELECT country, NULL, count(DISTINCT id) FROM located GROUP BY 1""")
+def stream_place_counts(spark, sf):
+    """Counts per city and country kept in step with the stream's changes."""
+    return folded_snapshots(spark, sf).read("place_counts")
+
+
+@query(f"""{RESULT} SELECT CASE WHEN c.action IN ('insert', 'update') THEN c.new_company ELSE c.old_company END AS company, count(*) AS count
+FROM result r JOIN changes c ON r.id = c.id GROUP BY 1""")
+def stream_company_counts(spark, sf):
+    return folded_snapshots(spark, sf).read("company_counts")
+
+
 # Landed feed pages to stored postings, end to end ---------------------------------------------------
 
 EMPTY_BOARD, SMALL_BOARD, LOST_BOARD = "b3", "b9", "b5"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from freshet.functions import vocab
-from freshet.operators import boards, cdc, facets as facet_ops, listing, upkeep
+from freshet.operators import boards, cdc, counting, facets as facet_ops, listing, upkeep
 from freshet.operators.throttle import still_counting, throttle
 from freshet.session import cut
 from freshet.sources import feeds
@@ -77,7 +77,7 @@ def whole_snapshots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def apply_snapshots(
     pages: DataFrame, tables: PublishedTables, checkpoint: str, cutoff: datetime, parse: Parse, created_at: datetime,
-    derived: Mapping[str, Derived] | None = None,
+    derived: Mapping[str, Derived] | None = None, counted: Mapping[str, counting.Counted] | None = None,
 ) -> StreamingQuery:
     """Arriving pages of board snapshots into the stored tables.
 
@@ -85,7 +85,7 @@ def apply_snapshots(
     `waiting`. An empty snapshot counts as one. Where `tables` has `seen`, boards whose pages all carry
     the marks of the last time are left alone (S9). Of every table that is sliced by board, `waiting`, `seen`
     and `board_summary` too, only the slices of the boards at hand are read and rewritten; all tables are
-    published together.
+    published together. The tables of `counted` follow the rows that go and come (K10): only those are counted.
     """
     def step(batch: DataFrame, number: int) -> None:
         token = f"snapshots-{number}"
@@ -126,13 +126,22 @@ def apply_snapshots(
                 deletes = cut(cdc.allowed_deletes(changes, guarded, crawled))
                 written = cdc.upsert(stored, cdc.puts_of(changes, F.lit(created_at)))
                 out["postings"] = cdc.without_ids(written, deletes)
+                put_ids = changes.filter(F.col("action").isin("insert", "update")).select("id")
+                moved = {"postings": (put_ids.unionByName(deletes), written.join(put_ids, "id", "left_semi"))}
                 for name, spec in (derived or {}).items():
                     puts = changes.filter(F.col("action").isin("insert", "update"))
                     if spec.only_location:
                         puts = puts.filter((F.col("action") == "insert") | F.col("location_changed"))
                     cleared = puts.select("id").unionByName(deletes)
                     kept = cdc.without_ids(tables.read_slices(name, touched[name]), cleared, spec.key)
-                    out[name] = kept.unionByName(spec.compute(puts).select(*kept.columns))
+                    fresh = spec.compute(puts).select(*kept.columns)
+                    out[name] = kept.unionByName(fresh)
+                    moved[name] = (cleared, fresh)
+                for name, count in (counted or {}).items():
+                    ids, come = moved[count.source]
+                    before = tables.read_slices(count.source, touched[count.source])
+                    gone = before.join(ids.select(F.col("id").alias(count.key)), count.key, "left_semi")
+                    out[name] = counting.applied(tables.read(name), counting.deltas(count, gone, come), count.keys)
                 replace |= {name: touched[name] for name in touched if name in out}
         tables.publish(out, token, replace)
 
