@@ -14,6 +14,7 @@ from freshet.functions.classify import (
 )
 from freshet.functions.scalars import place_text
 from freshet.operators import listing, places, search
+from freshet.operators.segments import SegmentedIndex
 from freshet.plans.binding import DAYS, POSTINGS_SQL, as_of, facets, postings, stamp
 from freshet.session import read_table, shared_dir, spread
 from freshet.sources.ingest import unmapped_report
@@ -387,6 +388,36 @@ def search_newest(spark, sf):
     return page.select("id", stamp("posted_at").alias("posted_at"))
 
 
+SEGMENT_WAVES = 5
+SEGMENT_QUERY = "zebra the"
+EDITED_SQL = f"""edited AS (SELECT doc_id, text || ' zebra' AS text FROM documents WHERE doc_id % {7 * SEGMENT_WAVES} >= {SEGMENT_WAVES})"""
+
+
+def segmented_documents(spark: SparkSession, sf: str) -> SegmentedIndex:
+    """All documents, then waves that change a fifth of them each and remove some."""
+    kept = SegmentedIndex(spark, f"{shared_dir(spark)}/freshet-segments/{uuid.uuid4().hex}", "bigint")
+    rows = documents(spark, sf)
+    kept.update(search.build_index(rows, "doc_id", ["text"]), rows)
+    for wave in range(SEGMENT_WAVES):
+        touched = rows.filter(F.col("doc_id") % SEGMENT_WAVES == wave)
+        there = touched.filter(F.col("doc_id") % (7 * SEGMENT_WAVES) != wave).withColumn("text", F.concat("text", F.lit(" zebra")))
+        kept.update(search.build_index(there, "doc_id", ["text"]), touched)
+    return kept
+
+
+@query(f"WITH {EDITED_SQL}, {ranking_sql('edited', 'doc_id', ['text'], [], SEGMENT_QUERY)} SELECT doc_id, round(score, 6) AS score FROM scored")
+def index_segments(spark, sf):
+    """K7: scores from an index that was updated segment by segment."""
+    found = search.bm25(segmented_documents(spark, sf).index(), search.read_query(SEGMENT_QUERY), "text", ["text"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {EDITED_SQL} SELECT count(*) AS n, CAST(sum(len({toks('text')})) AS BIGINT) AS total FROM edited")
+def index_segment_stats(spark, sf):
+    """A16 by addition: no document is counted again."""
+    return segmented_documents(spark, sf).index().summary
+
+
 @query(f"""WITH docs AS (SELECT p_partkey, unnest(list_concat({toks("p_name || CASE WHEN p_partkey % 4 = 0 THEN ' renewed' ELSE '' END")}, {toks('p_brand')})) AS term FROM part)
 SELECT p_partkey AS doc_id, term, count(*) AS tf FROM docs GROUP BY 1, 2""")
 def index_update(spark, sf):
