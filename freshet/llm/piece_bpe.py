@@ -4,7 +4,10 @@ A text is escaped (a space becomes U+2581, one is put in front), cut where no pi
 reach across, and every distinct word is encoded once: the symbols of all words lie end to end in flat
 arrays. In each round the best pair of every word (least rank, of equal ones the leftmost) is found by
 a segmented minimum and merged; equal pairs further right merge in the same round if no better pair can
-arise from the merged piece. The arrays are compacted and the rounds go on until no word has a pair.
+arise from the merged piece. Where one can, and the word has LONG_RUN pairs of that rank or more (long runs
+of spaces), all pairs of the rank merge in the round from left to right on a stack, up to the first
+better one, so a run costs no more rounds than other words. The arrays are compacted and the rounds go on
+until no word has a pair.
 Characters without a piece become byte pieces. Decoding joins the pieces, turns bytes into text
 (malformed ones into U+FFFD) and takes away the first space.
 
@@ -27,6 +30,7 @@ from freshet.llm import common
 SPACE = "▁"
 KEPT_WORDS = 400_000  # encoded words that a task remembers; after that it starts anew
 NONE = np.int64(1 << 40)
+LONG_RUN = 8
 
 
 class PieceModel:
@@ -87,6 +91,7 @@ class PieceModel:
         beside = np.array([(ord(p[j]), ord(p[j + 1])) for p in normal for j in range(len(p) - 1)], np.int64)
         self.bigrams[self._beside(beside[:, 0], beside[:, 1])] = True
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.pairs: dict[int, tuple[int, int]] = {}
 
     @staticmethod
     def _beside(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -133,11 +138,18 @@ class PieceModel:
             touching = np.concatenate(([False], (np.diff(at) == 1) & ~first[1:]))
             run = np.arange(len(at)) - np.maximum.accumulate(np.where(touching, 0, np.arange(len(at))))
             take = first | (all_settled[group] & (run % 2 == 0))
+            keep = np.ones(len(symbols), bool)
+            crowded = np.flatnonzero(~all_settled & (np.bincount(group) >= LONG_RUN))
+            take &= ~np.isin(group, crowded)
             at = at[take]
             symbols[at] = self.pair_piece[entry[at]]
             sizes[at] += sizes[at + 1]
-            keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
+            for g in crowded.tolist():  # each open word has one group
+                a, b = int(starts[g]), int(starts[g] + counts[g])
+                pieces, chars = self.merge_rank(symbols[a:b].tolist(), sizes[a:b].tolist(), int(least[g]))
+                symbols[a : a + len(pieces)], sizes[a : a + len(pieces)] = pieces, chars
+                keep[a + len(pieces) : b] = False
             symbols, sizes, word = symbols[keep], sizes[keep], word[keep]
         if not done:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
@@ -145,6 +157,37 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return symbols[order], sizes[order], np.bincount(word, minlength=len(lengths))
 
+    def _pair(self, left: int, right: int) -> tuple[int, int]:
+        """(rank, piece) of a pair."""
+        key = left << 20 | right
+        found = self.pairs.get(key)
+        if found is None:
+            rank, at = self._look_up(np.array([left]), np.array([right]))
+            found = self.pairs[key] = int(rank[0]), int(self.pair_piece[at[0]])
+        return found
+
+    def merge_rank(self, symbols: list[int], sizes: list[int], rank: int) -> tuple[list[int], list[int]]:
+        """One word's merges of its least rank, the leftmost first, until none is left or a better pair arises.
+
+        No pair of that rank is left on the stack, so the next leftmost one is at its top.
+        """
+        out, chars = [], []
+        for i, symbol in enumerate(symbols):
+            out.append(symbol)
+            chars.append(sizes[i])
+            while len(out) > 1:
+                found, piece = self._pair(out[-2], out[-1])
+                if found < rank:
+                    return out + symbols[i + 1 :], chars + sizes[i + 1 :]
+                if found > rank:
+                    break
+                right = chars.pop()
+                out.pop()
+                out[-1], chars[-1] = piece, chars[-1] + right
+                if i + 1 < len(symbols) and self._pair(piece, symbols[i + 1])[0] < rank:
+                    return out + symbols[i + 1 :], chars + sizes[i + 1 :]
+        return out, chars
+
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         """Ids of escaped words, none of which a piece could join to its neighbour."""
         if not words:

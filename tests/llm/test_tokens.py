@@ -103,3 +103,18 @@ def test_piece_rows(spark):
         assert found[i] == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))), i
     assert {r["doc_id"]: r["ids"] for r in piece_bpe.encoded(rows, PIECE).collect()}[0] == library.encode(TEXTS[0])
     assert piece_bpe.digests(rows.limit(0), PIECE).count() == 0
+
+
+def test_long_runs():
+    """Runs whose merges all have one rank: equal to the library, and a megabyte of spaces in seconds."""
+    import time
+
+    plain, model = sentencepiece.SentencePieceProcessor(model_file=PIECE), piece_bpe.PieceModel(PIECE)
+    rng = random.Random(8)
+    texts = [" " * n + x for n in (1, 7, 13, 14, 15, 16, 17, 31, 100, 1003) for x in ("", "foo", "  x ", "=")]
+    texts += ["".join(rng.choice([" ", "  ", "=", "==", "aa", "-", "x"]) * rng.randrange(1, 40) for _ in range(30)) for _ in range(60)]
+    for text in texts:
+        assert model.encode(text) == plain.encode(text), repr(text)
+    began = time.time()
+    assert model.encode(" " * 1_000_000) == plain.encode(" " * 1_000_000)
+    assert time.time() - began < 10
