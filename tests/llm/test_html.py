@@ -95,3 +95,95 @@ def test_rows(spark):
     found = sorted(((r[0] or 0, r[1], r[2], r[3]) for r in hb.extract(rows).collect()), key=str)
     assert found == sorted([(1, None, "", 0), (1, None, "", 0), (0, "u", "", 0), (3, "u", LONG, len(LONG))], key=str)
     assert hb.extract(rows.limit(0)).count() == 0
+
+
+FIVE = [f"{GOOD} Part {i} of the story is told in this place." for i in range(5)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in FIVE)
+LAYOUTS = {
+    "a form around the page": f"<body><form id=aspnetForm><div class=menu><a href=1>Home</a></div>{PARAGRAPHS}</form></body>",
+    "a builder's widgets": "<body>" + "".join(f"<div class='elementor-widget elementor-text'><p>{x}</p></div>" for x in FIVE) + "<div class=comments><p>I liked it a lot.</p></div></body>",
+    "a class of the columns": f"<body><div class='layout-sidebar-right'>{PARAGRAPHS}</div><footer>of the end</footer></body>",
+    "a section of an article": f"<article><section id='notice-of-results'>{PARAGRAPHS}</section></article>",
+}
+
+
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_marks_of_layout_are_void(name):
+    assert hb.main_text(LAYOUTS[name]) == "\n".join(FIVE)
+
+
+def test_other_marks_hold():
+    """Beside good text, and for what is never an article's own, marks keep their meaning."""
+    page = f"<body>{PARAGRAPHS}<div class=sidebar>{PARAGRAPHS}</div><form>{PARAGRAPHS}</form></body>"
+    assert hb.main_text(page) == "\n".join(FIVE)
+    for mark in ("comments", "nav", "advert", "cookie-notice"):
+        assert hb.main_text(f"<body><p>Short text.</p><div class={mark}>{PARAGRAPHS}</div></body>") == "Short text."
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    pages = ["<a " * 350_000, '<a "' * 250_000, "<a b='c>" * 130_000, "<b>" * 330_000, "<p><b>" * 160_000, "<div>" * 100_000 + "</i>" * 120_000, "<b>" * 100_000 + "<div>" * 60_000 + "</b>" * 100_000,
+             "<![CDATA[" * 110_000, "<!-- " * 200_000, "<a href=1>" * 100_000 + "</div>" * 50_000, "<" * 1_000_000, '<p title="x' * 90_000]
+    for page in pages:
+        began = time.time()
+        hb.main_text(page)
+        assert time.time() - began < 6, page[:30]
+
+
+def plain_labels(blocks):
+    """Both passes by the rules' wording, each block looking through all others."""
+    known = hb.knows_language(blocks)
+    labels = []
+    for b in blocks:
+        letters = len(b.text) if known else hb._letters(b.text)
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        stops = sum(w in hb.STOP_WORDS for w in words) / len(words) if words else 0
+        rights = not b.main and len(b.text) < 200 and hb._RIGHTS.search(b.text)
+        if b.link_chars > 0.4 * len(b.text) or rights:
+            labels.append("bad")
+            continue
+        long = "good" if letters > 200 else "near"
+        label = "short" if letters < 70 else long if not known or stops >= 0.3 else "near" if stops >= 0.15 else "bad"
+        labels.append({"bad": "near", "near": "good"}.get(label, label) if b.main else label)
+
+    def beside(labels, i, step, keep=lambda j: True):
+        j = i + step
+        while 0 <= j < len(labels):
+            if keep(j) and labels[j] in ("good", "bad"):
+                return labels[j]
+            j += step
+        return ""
+
+    labels = [("bad" if (beside(labels, i, -1), beside(labels, i, 1)) == ("bad", "bad") else "good") if x == "near" else x for i, x in enumerate(labels)]
+    if "good" not in labels:
+        labels = ["good" if x == "short" else x for x in labels]
+    out = []
+    for i, x in enumerate(labels):
+        if x == "short":
+            same = lambda j, i=i: blocks[j].main == blocks[i].main
+            around = [beside(labels, i, -1, same), beside(labels, i, 1, same)]
+            known_around = {a for a in around if a}
+            x = known_around.pop() if len(known_around) == 1 else "good" if known_around and (blocks[i].main or blocks[i].heading and around[1] == "good") else "bad"
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_both_passes_against_plain_rules(seed):
+    import random
+
+    pick = random.Random(seed)
+    texts = [GOOD, GOOD[:90] + ".", "Short line", "Prices colours sizes weights makers numbers streets towns rivers lakes hills roads cars", "© 2020 us", "Head", "of the and to a in is that"]
+    for _ in range(40):
+        blocks = []
+        for _ in range(pick.randint(0, 12)):
+            b = hb.Block("", pick.random() < 0.4, pick.random() < 0.2)
+            b.text = pick.choice(texts)
+            b.link_chars = pick.choice([0, 0, 0, len(b.text), len(b.text) // 3])
+            blocks.append(b)
+        expected, known = plain_labels(blocks), hb.knows_language(blocks)
+        for b in blocks:
+            b.label = hb.first_pass(b, b.main, known)
+        hb.second_pass(blocks)
+        assert [b.label for b in blocks] == expected
