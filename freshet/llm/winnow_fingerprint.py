@@ -1,13 +1,16 @@
 """Document fingerprints by winnowing, in SQL functions alone.
 
-A text's words (lower case, parted by white space) are hashed, every K neighbouring ones together; of
-every WINDOW neighbouring hashes the least is kept, of equal ones the rightmost, with its place. Two
-texts that share K + WINDOW - 1 words in a row therefore share a kept hash, and the places tell where.
-A text of fewer than K words has one hash over all of them; with fewer than WINDOW hashes there is one
-window.
+A text's units are its words (lower case, parted by white space); a word of more than LONG_WORD characters,
+as in scripts without spaces, counts as its runs of CHARS characters, one from each place, instead. Units
+are hashed, every K neighbouring ones together; of every window of neighbouring hashes the least is kept,
+of equal ones the rightmost, with its place. A window holds WINDOW hashes, in texts of fewer than
+WINDOW * SPREAD hashes that many times fewer, so that short texts keep several; the least of a window is
+also the least of every smaller one around it, so texts of different windows still share hashes. Two texts
+that share K + WINDOW - 1 units in a row therefore share a kept hash, and the places tell where. A text of
+fewer than K units has one hash over all of them.
 
 Defined cases: null and empty text have an empty fingerprint; two empty fingerprints are alike (1), an
-empty and another are not (0); equal texts have equal fingerprints; other columns are ignored.
+empty and another are not (0); texts of any length are taken whole; equal texts have equal fingerprints; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from freshet.session import shuffle_width
 
-K, WINDOW = 5, 8
+K, WINDOW, SPREAD = 5, 8, 4
+LONG_WORD, CHARS = 32, 4
 CELLS = 128  # quantiles of the key that start a range; ranges are cut further by value
 
 
@@ -27,10 +31,18 @@ def _let(value: Column, body) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<struct<place int, hash bigint>> in order of place; place counts words from 0."""
+    """array<struct<place int, hash bigint>> in order of place; place counts units from 0."""
+
+    def of_chars(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - CHARS), lambda i: F.xxhash64(*[F.get(chars, i + j) for j in range(CHARS)]))
+
+    def of_long(words: Column) -> Column:
+        one = lambda w: F.when(F.char_length(w) > LONG_WORD, _let(F.split(w, ""), of_chars)).otherwise(F.array(F.xxhash64(w)))
+        return F.flatten(F.transform(words, one))
 
     def of_words(words: Column) -> Column:
-        return _let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
+        plain = F.transform(words, lambda w: F.xxhash64(w))
+        return _let(F.when(F.exists(words, lambda w: F.char_length(w) > LONG_WORD), of_long(words)).otherwise(plain), of_hashes)
 
     def of_hashes(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -43,8 +55,9 @@ def fingerprint(text: Column) -> Column:
         return _let(ordered, lambda o: of_ordered(grams, o))
 
     def of_ordered(grams: Column, ordered: Column) -> Column:
-        least = lambda i: -F.array_min(F.slice(ordered, i, F.lit(WINDOW)))["back"]
-        kept = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(grams) - WINDOW + 1, F.lit(1))), least))
+        width = F.greatest(F.least(F.floor(F.size(grams) / SPREAD).cast("int"), F.lit(WINDOW)), F.lit(1))
+        least = lambda i: -F.array_min(F.slice(ordered, i, width))["back"]
+        kept = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - width + 1), least))
         return F.transform(kept, lambda p: F.struct(p.alias("place"), F.get(grams, p).alias("hash")))
 
     words = F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
