@@ -83,6 +83,7 @@ def steps(messages: DataFrame, schemas: Schemas, conversation: str = "conv_id",
     calls_of = F.from_json("_text", CALLS)["tool_calls"]
     looks = F.col("_text").startswith("{")
     rows = rows.withColumn("_calls", F.when(looks & (F.col("_role") == "assistant"), calls_of)).withColumn("_result", F.when(looks & (F.col("_role") == "tool"), F.from_json("_text", RESULT)))
+    rows = cut(rows)  # what the messages tell is read from them once
     is_call, is_result = F.col("_calls").isNotNull(), F.col("_result.tool_call_id").isNotNull()
     plain = rows.filter(~F.coalesce(is_call, F.lit(False)) & ~F.coalesce(is_result, F.lit(False))).select(
         "_conv", "_turn", F.lit(0).alias("_place"), F.lit("message").alias("_kind"), F.lit(None).cast("string").alias("_id"), F.lit("plain").alias("_status"),
@@ -94,6 +95,7 @@ def steps(messages: DataFrame, schemas: Schemas, conversation: str = "conv_id",
         "_conv", "_turn", "_place", F.col("_call.id").alias("_id"), F.coalesce("_call.name", F.lit("")).alias("_name"),
         F.coalesce("_call.after", F.array().cast("array<string>")).alias("_after"), argument_map(F.col("_call.arguments")).alias("_arguments"),
     )
+    call = cut(call)
     result = rows.filter(is_result).select("_conv", "_turn", F.col("_result.tool_call_id").alias("_id"), F.coalesce("_result.content", F.lit("")).alias("_content"))
     # Hash joins by conversation and identifier; a group is reduced to its first row, never gathered.
     first_call = call.filter(F.col("_id").isNotNull()).groupBy("_conv", "_id").agg(F.min(F.struct(F.coalesce("_turn", F.lit(-1)).alias("t"), F.col("_place").alias("p"))).alias("_first"))
@@ -101,9 +103,9 @@ def steps(messages: DataFrame, schemas: Schemas, conversation: str = "conv_id",
     firsts = first_call.select(F.col("_conv").alias("_c"), F.col("_id").alias("_i"), "_first")
     at = lambda t: F.coalesce(t, F.lit(-1))
     linked = result.join(firsts, keyed(result, firsts), "left").drop("_c", "_i")
-    linked = linked.withColumn("_late", F.coalesce(at(F.col("_turn")) >= F.col("_first.t"), F.lit(False)))
+    linked = cut(linked.withColumn("_late", F.coalesce(at(F.col("_turn")) >= F.col("_first.t"), F.lit(False))).drop("_first"))
     answers = linked.filter("_late").groupBy("_conv", "_id").agg(F.min(F.struct(at(F.col("_turn")).alias("t"), F.col("_content").alias("c"))).alias("_answer"))
-    answers = answers.select(F.col("_conv").alias("_c"), F.col("_id").alias("_i"), "_answer")
+    answers = cut(answers.select(F.col("_conv").alias("_c"), F.col("_id").alias("_i"), "_answer"))
     results = linked.join(answers, keyed(linked, answers), "left").drop("_c", "_i").select(
         "_conv", "_turn", F.lit(0).alias("_place"), F.lit("result").alias("_kind"), "_id",
         F.when(~F.col("_late"), "orphan").when((at(F.col("_turn")) == F.col("_answer.t")) & (F.col("_content") == F.col("_answer.c")), "answer").otherwise("repeated").alias("_status"),
@@ -123,6 +125,7 @@ def steps(messages: DataFrame, schemas: Schemas, conversation: str = "conv_id",
             F.lit(',"role":"assistant"}'),
         ).alias("_json"),
     )
+    calls = cut(calls)
     levels = _levels(calls.filter(F.col("_status").isin("answered", "unanswered")).select("_conv", "_id", "_after"))
     every = plain.unionByName(calls).unionByName(results)
     levels = levels.select(F.col("_conv").alias("_c"), F.col("_id").alias("_i"), "_level")
