@@ -13,6 +13,7 @@ from freshet.operators import cdc, upkeep
 from freshet.plans.binding import BOARDS, FACETS_SQL, POSTINGS_SQL, as_of, facets, postings, stamp
 from freshet.plans.reads import cutoff_of
 from freshet.session import cut, read_table
+from freshet.sources.layout import Clustered, bucketed
 
 QUERIES, SQL = {}, {}
 WITH = f"WITH {POSTINGS_SQL}"
@@ -113,6 +114,28 @@ def snapshot_diff(spark, sf):
     return changes.select("id", "board", "action", "location_changed", "core_changed", at.alias("posted_at"))
 
 
+DIFF_BUCKETS = 16
+
+
+@query(f"""{CHANGES} SELECT id, board, action, {AT.format('changes.posted_at')} AS posted_at FROM changes
+WHERE action <> 'missing' UNION ALL SELECT id, board, action, NULL FROM changes WHERE action = 'missing'""")
+def snapshot_diff_bucketed(spark, sf):
+    """J5 against a stored table that lies in buckets by id: only the snapshot moves."""
+    stored = stored_rows(spark, sf)
+    fetched = edited(stored)
+    changes = cdc.diff(bucketed(stored.drop("num"), "id", DIFF_BUCKETS), fetched)
+    at = F.when(F.col("action") != "missing", stamp("posted_at"))
+    return changes.select("id", "board", "action", at.alias("posted_at"))
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT id, {AT.format('fresh.posted_at')} AS posted_at, title FROM fresh WHERE id >= 'od-3-' AND id < 'od-3.'""")
+def board_rows_clustered(spark, sf):
+    """One board's fresh rows from a table clustered on id and date."""
+    kept = Clustered.write(postings(spark, sf).select("id", "posted_at", "title"), ("id", "posted_at"))
+    rows = kept.read(("od-3-", "od-3."), (cutoff_of(spark, sf), None))
+    return rows.select("id", stamp("posted_at").alias("posted_at"), "title")
+
+
 @query(f"""{CHANGES} SELECT board, complete, stored, missing, inserts, updates, complete AND suspicious AS suspicious,
 CASE WHEN complete AND NOT suspicious THEN missing ELSE 0 END AS deletes,
 inserts > 0 OR updates > 0 OR (complete AND NOT suspicious AND missing > 0) AS wrote FROM judged""")

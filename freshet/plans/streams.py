@@ -17,7 +17,7 @@ from freshet.sources import feeds, telemetry
 from freshet.sources.ingest import last_per_id
 from freshet.sources.store import PublishedTables
 from freshet.streaming import folds
-from freshet.streaming.metrics import live_rows, request_metrics_stream
+from freshet.streaming.metrics import RANK_ERROR, duration_sketches, live_rows, merged_quantiles, request_metrics_stream
 
 QUERIES, SQL = {}, {}
 
@@ -275,6 +275,24 @@ def stream_metrics(spark, sf):
     return closed.select(stamp("start").alias("hour"), "status", "n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p95_ms")])
 
 
+@query(f"""WITH {binding.LOG_SQL}, hours AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, status, count(*) AS n FROM log GROUP BY 1, 2)
+SELECT strftime(date_trunc('day', hour), '%Y-%m-%d') AS day, status, CAST(sum(n) AS BIGINT) AS n, TRUE AS p50_right, TRUE AS p95_right FROM hours
+WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM log) - INTERVAL 30 MINUTE GROUP BY 1, 2""")
+def stream_quantiles(spark, sf):
+    """Hourly sketches of a stream merged into days; each quantile's rank among the day's own rows is near enough."""
+    shares = {"p50": 0.5, "p95": 0.95}
+    rows = crawl_log(stream_of(spark, sf, "events")).withWatermark("ts", "30 minutes")
+    hours = written(spark, duration_sketches(rows, ["status"], "1 hour"), workdir(spark))
+    days = merged_quantiles(hours, "day", ["status"], shares)
+    log = health.log(spark, sf).withColumn("hour", F.date_trunc("hour", "ts")).join(hours.select(F.col("start").alias("hour"), "status"), ["hour", "status"])
+    both = log.withColumn("start", F.date_trunc("day", "ts")).join(days, ["start", "status"])
+    under = [F.count_if(F.col("duration_ms") < F.col(p)).alias(f"{p}_under") for p in shares]
+    upto = [F.count_if(F.col("duration_ms") <= F.col(p)).alias(f"{p}_upto") for p in shares]
+    ranks = both.groupBy("start", "status").agg(F.max("n").alias("n"), F.count("*").alias("rows"), *under, *upto)
+    near = [((F.col(f"{p}_under") <= (s + RANK_ERROR) * F.col("rows")) & (F.col(f"{p}_upto") >= (s - RANK_ERROR) * F.col("rows"))).alias(f"{p}_right") for p, s in shares.items()]
+    return ranks.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "status", "n", *near)
+
+
 LIVE_DAYS = 15
 SLICE_DAYS = 14  # less than LIVE_DAYS, so no row of a slice is late, however micro-batches part it
 LANDED_FILES = 32  # files a micro-batch
