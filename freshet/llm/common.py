@@ -119,15 +119,18 @@ def lowest_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def filtered(df: DataFrame, text: str, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
-    """The rows, all columns as they are, for whose texts `keep` says so; null text is judged as empty."""
+def filtered(df: DataFrame, text: str, keep: Callable[[list[bytes]], np.ndarray], limit: int = CHUNK_BYTES) -> DataFrame:
+    """The rows, all columns as they are, for whose texts `keep` says so; null text is judged as empty.
+
+    `keep` gets at most `limit` bytes of texts at once, one longer text by itself.
+    """
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = pa.compute.fill_null(batch.column(at).cast(pa.large_binary()), b"")
             start = 0
-            for _, some in chunks(iter([pa.RecordBatch.from_arrays([data], ["_text"])])):
+            for _, some in chunks(iter([pa.RecordBatch.from_arrays([data], ["_text"])]), limit):
                 yield batch.slice(start, len(some)).filter(pa.array(keep(some)))
                 start += len(some)
 

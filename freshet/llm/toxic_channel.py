@@ -51,6 +51,7 @@ SHORT = 100  # subwords added to a text's own, so that a few in a short text do
 CAREFUL = 0.5  # the bound between the classes is where the F measure of this beta is best: precision counts twice
 WORD_BYTES = common.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 KEPT_TOKENS = 100_000
+CHUNK_BYTES = 1 << 18  # texts handled at once: their subwords take some 100 times as many bytes
 DIGITS = 8  # a span of as many digits is parted, and its parts that look like codes stay
 NUMBER = 4  # digits in a row that are a number
 STRANGE = 1.0  # a restored part that costs so much more a character than usual is a code
@@ -82,7 +83,7 @@ def _class_of(points: np.ndarray) -> np.ndarray:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_CLASSES**3, np.int64)
-    for _, data in common.chunks(batches):
+    for _, data in common.chunks(batches, CHUNK_BYTES):
         text = "\n\n".join(x.decode("utf-8", "replace").lower() for x in data) + "\n\n"
         kind = _class_of(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
         keep = (kind > 0) | np.concatenate(([True], kind[:-1] > 0))  # one break between words
@@ -362,7 +363,7 @@ def _count(batches: Iterator[pa.RecordBatch], characters: CharacterModel) -> Ite
         docs[:], times[:] = 0, 0
         return pa.RecordBatch.from_arrays(out, ["bucket", "fold", "clean_docs", "toxic_docs", "clean", "toxic"])
 
-    for (label, fold), data in common.chunks(batches):
+    for (label, fold), data in common.chunks(batches, CHUNK_BYTES):
         label, fold = label.to_numpy(), fold.to_numpy()
         bucket, owner = subwords([restored(x, characters) for x in data])
         once, n = np.unique(owner * BUCKETS + bucket, return_counts=True)
@@ -403,7 +404,7 @@ def _weights(counts: DataFrame) -> DataFrame:
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A mark that near copies of a text mostly share: its least shingle of five words."""
-    for (toxic,), data in common.chunks(batches):
+    for (toxic,), data in common.chunks(batches, CHUNK_BYTES):
         hashed, bounds = common.words(data, WORD_BYTES)
         family = []
         for a, b in zip(bounds[:-1], bounds[1:]):
@@ -441,7 +442,7 @@ def train(df: DataFrame, labels: DataFrame, labelled: Column, key: str = "doc_id
     apart = [Scorer(characters, w) for w in weights[1:]]
 
     def out_of_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (label, fold), data in common.chunks(batches):
+        for (label, fold), data in common.chunks(batches, CHUNK_BYTES):
             fold = fold.to_numpy()
             bucket, owner = subwords([restored(x, characters) for x in data])
             found = np.zeros(len(data))
@@ -459,7 +460,7 @@ def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text"
     """One row per row: key, _sign (hash of the text), score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, sign), data in common.chunks(batches):
+        for (keys, sign), data in common.chunks(batches, CHUNK_BYTES):
             value = scorer.score(data)
             yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), sign, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [key, "_sign", "score", "predicted"])
 
@@ -469,4 +470,4 @@ def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text"
 
 def clean(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic."""
-    return common.filtered(df, text, lambda data: scorer.score(data) < 0.5)
+    return common.filtered(df, text, lambda data: scorer.score(data) < 0.5, CHUNK_BYTES)
