@@ -46,6 +46,7 @@ LEAST_APART = 50
 ALLOWANCE = 1.0
 GRAM_BITS = 22  # runs of N_MAX characters are known by a hash of so many bits
 UNKNOWN = "und"
+CHUNK_BYTES = 1 << 18  # texts handled at once: their subwords take some 100 times as many bytes
 _letters: list[np.ndarray] = []
 
 
@@ -98,12 +99,12 @@ def strangeness(known: np.ndarray, runs: np.ndarray, runs_of: np.ndarray, n: int
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data in common.chunks(batches):
+    for _, data in common.chunks(batches, CHUNK_BYTES):
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(subwords(data)[3]))], ["run"])
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for (label, apart), data in common.chunks(batches):
+    for (label, apart), data in common.chunks(batches, CHUNK_BYTES):
         bucket, owner, _, runs, runs_of = subwords(data)
         pairs, counts = np.unique(owner * BUCKETS + bucket, return_counts=True)
         kept = np.bincount(pairs // BUCKETS, minlength=len(data))
@@ -247,7 +248,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """One row per row: key, _sign (hash of the text), lang_pred, score, rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, sign), data in common.chunks(batches):
+        for (keys, sign), data in common.chunks(batches, CHUNK_BYTES):
             language, score, rejected = model.predict(data)
             yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), sign, pa.array(language), pa.array(score), pa.array(rejected)], [key, "_sign", "lang_pred", "score", "rejected"])
 
@@ -257,4 +258,4 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that are not rejected."""
-    return common.filtered(df, text, lambda data: ~model.predict(data)[2])
+    return common.filtered(df, text, lambda data: ~model.predict(data)[2], CHUNK_BYTES)
