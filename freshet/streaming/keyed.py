@@ -6,14 +6,19 @@ goes on from its checkpoint. Times in state are microseconds since 1970, timers
 
 Rows of a key may come in any order within a micro-batch and in time order from one to the next. In
 event time a row older than the watermark is late and dropped by Spark.
+
+Streams with very many small keys keep them in groups by a hash of the key (`Grouped`): the store is asked
+once for a group and not several times for every key, which is what such a stream's time went into.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -49,6 +54,136 @@ def newest(changes: DataFrame, key: str) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_row")).select(key, "_row.*")
 
 
+GROUPS = 4096  # of keys, by hash; fixed for the life of a checkpoint, a group grows with the number of live keys
+
+
+class _Single:
+    """A value state of the key at hand, in its group's memory."""
+
+    def __init__(self, group: Grouped) -> None:
+        self.group, self.of = group, {}
+
+    def get(self):
+        return self.of.get(self.group.key)
+
+    def update(self, value) -> None:
+        self.of[self.group.key] = value
+
+    def clear(self) -> None:
+        self.of.pop(self.group.key, None)
+
+
+class _Several(_Single):
+    """A list state of the key at hand."""
+
+    def get(self):
+        return iter(self.of.get(self.group.key, ()))
+
+    def put(self, values) -> None:
+        self.of[self.group.key] = list(values)
+
+
+class _Expiry:
+    def __init__(self, at: int) -> None:
+        self.at = at
+
+    def getExpiryTimeInMs(self) -> int:  # noqa: N802
+        return self.at
+
+
+class Grouped(StatefulProcessor):
+    """Runs a processor for every key of a group, whose states and timers lie in the store as one value.
+
+    To the processor it is the handle of the key at hand. The group's own timer stands at the first of
+    its keys' timers. A task holds one group at a time: its states and its rows of the micro-batch.
+    """
+
+    def __init__(self, inner: StatefulProcessor, keys: Sequence[str], columns: Sequence[str], out: str) -> None:
+        self.inner, self.keys, self.columns = inner, list(keys), list(columns)
+        self.out = [c.split(" ")[0] for c in out.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.store, self.held = handle, handle.getValueState("held", "held binary")
+        self.states: dict[str, _Single] = {}
+        self.timers: dict[tuple, set[int]] = {}
+        self.key = None
+        self.inner.init(self)
+
+    def getValueState(self, name: str, schema) -> _Single:  # noqa: N802
+        return self.states.setdefault(name, _Single(self))
+
+    def getListState(self, name: str, schema) -> _Several:  # noqa: N802
+        return self.states.setdefault(name, _Several(self))
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        self.timers.setdefault(self.key, set()).add(at)
+
+    def _load(self) -> int | None:
+        held = self.held.get()
+        states, self.timers = pickle.loads(bytes(held[0])) if held else ({}, {})
+        for name, state in self.states.items():
+            state.of = states.get(name, {})
+        return self._first()
+
+    def _first(self) -> int | None:
+        return min((at for several in self.timers.values() for at in several), default=None)
+
+    def _save(self, timer: int | None) -> None:
+        """Write the group back; `timer` stands already."""
+        states = {name: state.of for name, state in self.states.items() if state.of}
+        if states or self.timers:
+            self.held.update((pickle.dumps((states, self.timers), protocol=5),))
+        else:
+            self.held.clear()
+        first = self._first()
+        if first is not None and first != timer:
+            self.store.registerTimer(first)
+
+    def _frame(self, rows: list[Row]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([[r[c] for c in self.out] for r in rows], columns=self.out, dtype=object)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        by_key: dict[tuple, list[tuple]] = {}
+        for frame in rows:
+            own = zip(*[frame[k].tolist() for k in self.keys])
+            for k, row in zip(own, zip(*[frame[c].tolist() for c in self.columns])):
+                by_key.setdefault(k, []).append(row)
+
+        def given(held: list[tuple]) -> Iterator[dict]:
+            while held:
+                yield dict(zip(self.columns, held.pop()))
+
+        timer, out = self._load(), []
+        for self.key, held in by_key.items():
+            out += self.inner.handleInputRows(self.key, given(held), timerValues)
+        self._save(timer)
+        yield from self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """All timers of the group's keys that are over by now, each key's in their order."""
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        self._load()
+        out = []
+        for self.key, several in list(self.timers.items()):
+            over = sorted(t for t in several if t <= at or t < now)
+            several.difference_update(over)
+            for t in over:
+                out += self.inner.handleExpiredTimer(self.key, timerValues, _Expiry(t))
+            if not several:
+                del self.timers[self.key]
+        if out or self._first() != at:
+            self._save(None)
+        yield from self._frame(out)
+
+
+def in_groups(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], inner: StatefulProcessor, out: str, mode: str, times: str, groups: int = GROUPS) -> DataFrame:
+    """A processor over `rows` grouped by `keys`, which reads `columns` of them; in event time or without timers."""
+    # The hash takes null keys too.
+    placed = rows.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int"))
+    return placed.groupBy("_group").transformWithStateInPandas(Grouped(inner, keys, columns, out), out, mode, times)
+
+
 class StatusFold(StatefulProcessor):
     """Latest crawl of a board, its streak of empty crawls and its sticky values.
 
@@ -152,7 +287,7 @@ class Throttle(StatefulProcessor):
 def throttle_changes(requests: DataFrame, window_seconds: int, lateness: str) -> DataFrame:
     """A decision for every request (event_id, limit_name, client, ts, most)."""
     rows = requests.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
-    return rows.groupBy("limit_name", "client").transformWithState(Throttle(window_seconds), Throttle.OUT, "Append", "EventTime")
+    return in_groups(rows, ["limit_name", "client"], ["at", "event_id", "most"], Throttle(window_seconds), Throttle.OUT, "Append", "EventTime")
 
 
 class FirstSeen(StatefulProcessor):
@@ -184,7 +319,7 @@ class FirstSeen(StatefulProcessor):
 def first_seen_changes(sightings: DataFrame, tolerance_seconds: int) -> DataFrame:
     """New and corrected dates of sightings (id, seq, posted_at)."""
     rows = sightings.select("id", "seq", F.unix_micros("posted_at").alias("posted"))
-    return rows.groupBy("id").transformWithState(FirstSeen(tolerance_seconds), FirstSeen.OUT, "Update", "None")
+    return in_groups(rows, ["id"], ["seq", "posted"], FirstSeen(tolerance_seconds), FirstSeen.OUT, "Update", "None")
 
 
 class StaleBoards(StatefulProcessor):
@@ -273,4 +408,4 @@ class LiveRows(StatefulProcessor):
 def live_changes(rows: DataFrame, days: int, lateness: str) -> DataFrame:
     """Additions and removals (id, at, live) of rows (id, posted_at)."""
     timed = rows.withWatermark("posted_at", lateness).select("id", "posted_at", F.unix_micros("posted_at").alias("at"))
-    return timed.groupBy("id").transformWithState(LiveRows(days), LiveRows.OUT, "Append", "EventTime")
+    return in_groups(timed, ["id"], ["at"], LiveRows(days), LiveRows.OUT, "Append", "EventTime")
