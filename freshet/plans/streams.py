@@ -12,7 +12,7 @@ from freshet.functions.scalars import freshness_cutoff
 from freshet.operators import boards, counting, facets as facet_ops, search
 from freshet.plans import binding, changes, feeds as feed_plans, health
 from freshet.plans.binding import crawl_log, postings, stamp
-from freshet.session import cut, read_table, shared_dir, shuffle_width
+from freshet.session import cut, read_table, shared_dir, shuffle_width, unpacked_sizes
 from freshet.sources import feeds, telemetry
 from freshet.sources.ingest import last_per_id
 from freshet.sources.store import PublishedTables
@@ -110,6 +110,11 @@ COUNTED = {
 
 def folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
     """The edited orders arrive page by page, a board's pages in different micro-batches."""
+    with unpacked_sizes(spark):
+        return _folded_snapshots(spark, sf)
+
+
+def _folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
     root = workdir(spark)
     stored = cut(changes.stored_rows(spark, sf).drop("num"))
     first = {"postings": stored, "places": place_rows(stored), "terms": title_terms(stored)}
@@ -223,6 +228,11 @@ def parse_pages(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def crawled_boards(spark: SparkSession, sf: str) -> PublishedTables:
+    with unpacked_sizes(spark):
+        return _crawled_boards(spark, sf)
+
+
+def _crawled_boards(spark: SparkSession, sf: str) -> PublishedTables:
     root = workdir(spark)
     pages = landed_snapshots(spark, sf)
     none, at = F.lit(None).cast("string"), F.lit(None).cast("timestamp")

@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,6 +82,25 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+PACKED = "spark.sql.sources.fileCompressionFactor"
+UNPACKED = "20"  # ids in order take 2 to 5 bytes in a file and about 100 in a broadcast hash table
+
+
+@contextmanager
+def unpacked_sizes(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside, also by streams started inside, take files for as large as their rows are in memory.
+
+    Without it Spark broadcasts, by way of the driver, any table whose files are under its threshold: a few
+    MB of ordered ids are hundreds of MB there. Small tables are broadcast as before.
+    """
+    before = spark.conf.get(PACKED, None)
+    spark.conf.set(PACKED, UNPACKED)
+    try:
+        yield
+    finally:
+        spark.conf.set(PACKED, before) if before else spark.conf.unset(PACKED)
+
+
 _OWN_DIRS: dict[str, str] = {}
 
 
