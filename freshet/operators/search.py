@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import vocab
 from freshet.functions.scalars import freshness_cutoff
-from freshet.functions.text import strip_marks, tokens
+from freshet.functions.text import let, runs, strip_marks, tokens, unaccent
 from freshet.operators.listing import SearchRequest, list_order, page, total
 from freshet.session import cut
 
@@ -68,8 +68,9 @@ def summary_of(lengths: DataFrame) -> DataFrame:
 
 def store_index(index: SearchIndex, folder: str) -> None:
     """Write an index for searching by term: terms in ranges, sorted, so that a search opens only the row
-    groups whose statistics admit its words; each row carries its document's length."""
-    index.terms.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/terms")
+    groups whose statistics admit its words; each row carries its document's length. A common term has
+    as many ranges as its documents need. The terms are written before, as finding the ranges reads them once more."""
+    cut(index.terms).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/terms")
     index.lengths.write.parquet(f"{folder}/lengths")
     lengths = index.lengths.sparkSession.read.parquet(f"{folder}/lengths")
     summary_of(lengths).coalesce(1).write.parquet(f"{folder}/summary")
@@ -79,21 +80,50 @@ def stored_index(spark: SparkSession, folder: str) -> SearchIndex:
     return SearchIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("terms", "lengths", "summary")])
 
 
+def _term_places(lists: Column) -> Column:
+    """Distinct terms of lists of words, each with its places in order (term, positions)."""
+    def placed(words: Column) -> Column:
+        return F.transform(words, lambda term, pos: F.struct(term.alias("term"), pos.alias("pos")))
+
+    def starts(every: Column) -> Column:
+        """Where another term begins."""
+        return F.filter(
+            F.transform(every, lambda _, at: at), lambda at: (at == 0) | (F.get(every, at)["term"] != F.get(every, at - 1)["term"])
+        )
+
+    def cut_at(every: Column, first: Column) -> Column:
+        def term(at: Column, k: Column) -> Column:
+            own = F.slice(every, at + 1, F.coalesce(F.get(first, k + 1), F.size(every)) - at)
+            return F.struct(F.get(every, at)["term"].alias("term"), F.transform(own, lambda p: p["pos"]).alias("positions"))
+
+        return F.transform(first, term)
+
+    return let(F.sort_array(F.flatten(F.transform(lists, placed))), lambda every: let(starts(every), lambda first: cut_at(every, first)))
+
+
 def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], unsearched: Sequence[str] = ()) -> SearchIndex:
     """K8: term positions per document and field.
 
-    Whole documents move once, by id; the per-document grouping then needs no second shuffle, so
-    what crosses the network is the text and not its exploded tokens.
+    Whole documents move by id, also where they come as one split; rows of one id are one document. Its
+    words are sorted inside its own row, so neither the network nor a grouping sees single tokens.
     """
-    placed = docs.repartition(id_col)
     every = (*fields, *unsearched)
     none = F.array().cast("array<string>")
-    split = placed.select(F.col(id_col).alias("doc_id"), *[F.coalesce(tokens(F.col(f).cast("string")), none).alias(f"w{i}") for i, f in enumerate(every)])
-    length = reduce(lambda a, b: a + b, [F.size(f"w{i}") for i in range(len(every))]).cast("long").alias("length")
-    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"w{i}").alias("words")) for i, f in enumerate(fields)]))
-    words = split.select("doc_id", length, per_field.alias("f")).select("doc_id", "length", "f.field", F.posexplode("f.words").alias("pos", "term"))
-    terms = words.groupBy("doc_id", "field", "term").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return SearchIndex(terms, split.select("doc_id", length))
+    plain = docs.repartition(id_col).select(F.col(id_col).alias("doc_id"), F.struct(*[unaccent(F.col(f).cast("string")).alias(f"t{i}") for i, f in enumerate(every)]).alias("texts"))
+
+    def words(i: int) -> Callable[[Column], Column]:
+        return lambda texts: F.coalesce(runs(texts[f"t{i}"]), none)
+
+    def length(texts: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.size(words(i)(texts)) for i in range(len(every))]).cast("long")
+
+    whole = plain.groupBy("doc_id").agg(F.collect_list("texts").alias("rows"))
+    split = whole.select("doc_id", *[F.transform("rows", words(i)).alias(f"w{i}") for i in range(len(every))])
+    size = reduce(lambda a, b: a + b, [F.size(F.col(f"w{i}")[0]) for i in range(len(every))]).cast("long").alias("length")
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), _term_places(F.col(f"w{i}")).alias("terms")) for i, f in enumerate(fields)])
+    found = split.select("doc_id", size, F.explode(per_field).alias("f"))
+    terms = found.select("doc_id", "f.field", "length", F.explode("f.terms").alias("t")).select("doc_id", "field", "t.term", "length", "t.positions")
+    return SearchIndex(terms, plain.select("doc_id", length(F.col("texts")).alias("length")))
 
 
 def index_rows(postings: DataFrame, ids: DataFrame) -> DataFrame:

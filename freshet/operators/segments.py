@@ -59,7 +59,7 @@ class SegmentedIndex:
     def _write(self, terms: DataFrame, gone: DataFrame) -> str:
         folder = f"{self.root}/segments/{uuid.uuid4().hex}"
         columns = ["doc_id", "field", "term", "length", "positions"]
-        terms.select(*columns).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/terms")
+        cut(terms.select(*columns)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/terms")
         gone.select("doc_id").write.parquet(f"{folder}/gone")
         return folder
 
