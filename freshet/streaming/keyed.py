@@ -54,6 +54,7 @@ def newest(changes: DataFrame, key: str) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_row")).select(key, "_row.*")
 
 
+NOTHING = -(2**63)  # stands for a null on the way to Python, as pandas would make fractions of whole numbers with nulls
 GROUPS = 4096  # of keys, by hash; fixed for the life of a checkpoint, a group grows with the number of live keys
 
 
@@ -143,11 +144,14 @@ class Grouped(StatefulProcessor):
         if rows:
             yield pd.DataFrame([[r[c] for c in self.out] for r in rows], columns=self.out, dtype=object)
 
+    def _column(self, frame: pd.DataFrame, name: str) -> list:
+        return [None if v == NOTHING else v for v in frame[name].tolist()]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         by_key: dict[tuple, list[tuple]] = {}
         for frame in rows:
             own = zip(*[frame[k].tolist() for k in self.keys])
-            for k, row in zip(own, zip(*[frame[c].tolist() for c in self.columns])):
+            for k, row in zip(own, zip(*[self._column(frame, c) for c in self.columns])):
                 by_key.setdefault(k, []).append(row)
 
         def given(held: list[tuple]) -> Iterator[dict]:
@@ -178,9 +182,10 @@ class Grouped(StatefulProcessor):
 
 
 def in_groups(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], inner: StatefulProcessor, out: str, mode: str, times: str, groups: int = GROUPS) -> DataFrame:
-    """A processor over `rows` grouped by `keys`, which reads `columns` of them; in event time or without timers."""
+    """A processor over `rows` grouped by the strings `keys`, which reads the whole numbers `columns` of them; in event time or without timers."""
     # The hash takes null keys too.
     placed = rows.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int"))
+    placed = placed.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(NOTHING)) for c in columns})
     return placed.groupBy("_group").transformWithStateInPandas(Grouped(inner, keys, columns, out), out, mode, times)
 
 

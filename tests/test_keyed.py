@@ -296,3 +296,16 @@ def test_group_of_keys_asks_the_store_once(seed):
         found, asked, calls = drive_group(make, out, batches)
         assert sorted(found) == sorted(tuple(r) for r in expected) and found
         assert asked <= 2 * calls and calls <= 3 * len(batches)
+
+
+def test_null_numbers_in_groups(spark):
+    """A null among a group's numbers is a null to the processor, and no number loses digits by it."""
+    big = 2**53 + 1
+    root = workdir(spark)
+    rows = spark.createDataFrame([("a", 0, None), ("a", 1, None), ("b", 0, big)], "id string, seq int, posted long")
+    rows.write.parquet(f"{root}/landed")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/landed")
+    changes = keyed.in_groups(stream, ["id"], ["seq", "posted"], keyed.FirstSeen(60), keyed.FirstSeen.OUT, "Update", "None", groups=1)
+    keyed.start(changes, f"{root}/out", f"{root}/checkpoint", "update").awaitTermination()
+    found = {tuple(r)[:3] for r in spark.read.parquet(f"{root}/out").select("id", "posted", "corrections").collect()}
+    assert found == {("a", None, 1), ("b", big, 0)}
