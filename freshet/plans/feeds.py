@@ -95,19 +95,31 @@ def _posting_json(provider: str) -> Column:
     )
 
 
-def landed(rows: DataFrame, turns: dict[str, Column]) -> DataFrame:
+def on_pages(rows: DataFrame) -> DataFrame:
+    """Rows with the board and page of a feed that has them."""
+    hundred = F.floor(F.col("num") / PER_PAGE)
+    board = F.concat(F.lit("b"), F.pmod(hundred, F.lit(FEED_BOARDS)).cast("string"))
+    return rows.withColumns({"board": board, "page": F.floor(hundred / FEED_BOARDS).cast("int")})
+
+
+def landed(rows: DataFrame, turns: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Pages of at most 100 postings; one board's first page is cut off in the middle.
 
-    `turns` says which rows each provider sends; a row may go to several.
+    `turns` says which rows each provider sends; a row may go to several. `parts`: the pages come in so
+    many parts by provider, board and page, so that a write in that order moves them no more.
     """
-    sent = F.array(*[F.when(turn, F.struct(F.lit(name).alias("provider"), _posting_json(name).alias("json"))) for name, turn in turns.items()])
-    rows = rows.withColumn("sent", F.explode(F.filter(sent, lambda s: s.isNotNull()))).select("*", "sent.provider", "sent.json")
-    hundred = F.floor(F.col("num") / PER_PAGE)
-    board = F.concat(F.lit("b"), F.pmod(hundred, F.lit(FEED_BOARDS)).cast("string"))
-    page = F.floor(hundred / FEED_BOARDS).cast("int")
-    listed = F.array_sort(F.collect_list(F.struct("num", "json")))
-    pages = rows.select("provider", board.alias("board"), page.alias("page"), "num", "json").groupBy("provider", "board", "page").agg(
-        F.concat(F.lit("["), F.array_join(F.transform(listed, lambda p: p["json"]), ","), F.lit("]")).alias("items")
+    # Only names pass the higher-order function, which Spark interprets; the payload is compiled code, one branch a row.
+    to = F.array_compact(F.array(*[F.when(turn, F.lit(name)) for name, turn in turns.items()]))
+    json = F.lit(None).cast("string")
+    for name in turns:
+        json = F.when(F.col("provider") == name, _posting_json(name)).otherwise(json)
+    rows = rows.withColumn("provider", F.explode(to)).withColumn("json", json)
+    listed = F.sort_array(F.collect_list(F.struct("num", "json")))
+    own = ["provider", "board", "page"]
+    sent = on_pages(rows).select(*own, "num", "json")
+    sent = sent.repartition(parts, *own) if parts else sent
+    pages = sent.groupBy(*own).agg(
+        F.concat(F.lit("["), F.array_join(listed["json"], ","), F.lit("]")).alias("items")
     )
     items = F.col("items")
     body = (

@@ -21,6 +21,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot never compiles a method beyond 8000 bytes, so a fused stage of long expressions (payloads, checks of
+    # payloads) would be interpreted for every row. Beyond this Spark splits it into methods that are compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

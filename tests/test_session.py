@@ -26,3 +26,7 @@ def test_started_from_another_folder(tmp_path, sf):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     errors = [line for line in done.stderr.splitlines() if "ERROR" in line or "Error" in line or "Exception" in line]
     assert "fold_keys 200" in done.stdout and "bm25_index" in done.stdout, "\n".join([f"exit {done.returncode}", *errors[:40], done.stderr[-6000:]])
+
+
+def test_no_fused_stage_is_too_long_to_be_compiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
