@@ -118,7 +118,7 @@ def _folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
     root = workdir(spark)
     stored = cut(changes.stored_rows(spark, sf).drop("num"))
     first = {"postings": stored, "places": place_rows(stored), "terms": title_terms(stored)}
-    pages = paged(changes.edited(changes.stored_rows(spark, sf)))
+    pages = paged(changes.edited(changes.stored_rows(spark, sf))).repartition(landing_parts(spark), "provider", "board", "page")
     counts = {name: c.of(first[c.source]) for name, c in COUNTED.items()}
     schemas = {**{name: df.schema for name, df in first.items()}, "waiting": pages.schema, **{name: c.schema() for name, c in COUNTED.items()}}
     tables = PublishedTables(spark, f"{root}/tables", schemas, {name: "board" for name in (*first, "waiting")}, STATE_SLICES)
@@ -137,16 +137,20 @@ def _folded_snapshots(spark: SparkSession, sf: str) -> PublishedTables:
 def arrive(pages: DataFrame, root: str, snapshots: list[int], run) -> None:
     """Land snapshot after snapshot, each in one parallel write of pages in any order, and run the stream over it.
 
-    Its files come in WAVES micro-batches, however many they are, so the pages of a board are parted.
+    Its files come in WAVES micro-batches, however many they are, so the pages of a board are parted. Pages of
+    a snapshot are computed as they are written, in `landing_parts` parts by provider, board and page.
     """
     spark, path = pages.sparkSession, f"{root}/landed"
-    files = max(WAVES, shuffle_width(spark))
-    pages = cut(pages.repartition(files, "provider", "board", "snapshot", "page"), "snapshot")
+    files = landing_parts(spark)
     for snapshot in snapshots:
-        pages.filter(F.col("snapshot") == snapshot).repartition(files, "provider", "board", "page").write.mode("append").parquet(path)
+        pages.filter(F.col("snapshot") == snapshot).write.mode("append").parquet(path)
         finish(run(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", -(-files // WAVES)).parquet(path)))
 
 
+def landing_parts(spark: SparkSession) -> int:
+    return max(WAVES, shuffle_width(spark))
+
+
 @query(changes.SQL["upsert_result"])
 def stream_cdc(spark, sf):
     return folded_snapshots(spark, sf).read("postings").select(
@@ -197,21 +201,29 @@ def landed_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     same = number % 4 == 0
     second = first.filter(same | ((n % 10 != 3) & ~number.isin(int(EMPTY_BOARD[1:]), int(SMALL_BOARD[1:]))))
     second = second.withColumn("title", F.when(~same & (n % 6 == 1), F.concat("title", F.lit(" II"))).otherwise(F.col("title")))
-    turns = {"ashby": F.lit(True)}
-    one, two = (cut(feed_plans.landed(part, turns)) for part in (first, second))
-    nothing = one.filter(F.col("board").isin(EMPTY_BOARD, SMALL_BOARD)).groupBy("provider", "board").agg(F.first("validator").alias("validator"))
-    nothing = nothing.select("provider", "board", F.lit(0).alias("page"), "validator", F.lit('{"jobs":[]}').alias("body"))
-    both = one.withColumn("snapshot", F.lit(1).cast("long")).unionByName(two.unionByName(nothing).withColumn("snapshot", F.lit(2).cast("long")))
     # Pages are numbered anew, so that a snapshot's pages are 0 to n - 1; a changed page has no validator of the old one.
-    # Only the keys pass the window.
-    own = ["provider", "board", "snapshot"]
-    both = cut(both)
-    keys = both.select(*own, "page")
+    # Only the keys pass the window; the numbers join the pages in the parts in which these are put together.
+    turns, own, key = {"ashby": F.lit(True)}, ["provider", "board", "snapshot"], ["provider", "board", "page"]
+    parts = landing_parts(spark)
+    provider = F.lit("ashby").alias("provider")
+    kept = [feed_plans.on_pages(part).select(provider, "board", "page", F.lit(i).cast("long").alias("snapshot")).distinct() for i, part in ((1, first), (2, second))]
+    lost_all = kept[0].filter(F.col("board").isin(EMPTY_BOARD, SMALL_BOARD)).select("provider", "board").distinct()
+    nothing = lost_all.select("provider", "board", F.lit(0).alias("page"), F.lit(2).cast("long").alias("snapshot"))
+    keys = kept[0].unionByName(kept[1]).withColumn("void", F.lit(False)).unionByName(nothing.withColumn("void", F.lit(True)))
     place, every = Window.partitionBy(*own).orderBy("page"), Window.partitionBy(*own)
     keys = keys.withColumn("pages", F.count("*").over(every).cast("int")).withColumn("number", (F.row_number().over(place) - 1).cast("int"))
-    numbered = both.join(keys, [*own, "page"]).withColumn("page", F.col("number")).drop("number")
     lost = (F.col("board") == LOST_BOARD) & (F.col("snapshot") == 2) & (F.col("page") == F.col("pages") - 1)
-    return numbered.filter(~lost).withColumn("validator", F.lit(None).cast("string"))
+    keys = cut(keys)
+
+    def numbered(pages: DataFrame, numbers: DataFrame, snapshot: int) -> DataFrame:
+        met = pages.drop("validator").join(numbers.filter(F.col("snapshot") == snapshot).drop("snapshot").hint("shuffle_hash"), key)
+        none = F.lit(None).cast("string").alias("validator")
+        return met.select("provider", "board", F.lit(snapshot).cast("long").alias("snapshot"), F.col("number").alias("page"), none, "body", "pages")
+
+    full = keys.filter(~F.col("void")).drop("void")
+    one, two = (numbered(feed_plans.landed(part, turns, parts), full, i) for i, part in ((1, first), (2, second)))
+    void = keys.filter("void").select("provider", "board", "snapshot", F.col("number").alias("page"), F.lit(None).cast("string").alias("validator"), F.lit('{"jobs":[]}').alias("body"), "pages")
+    return one.unionByName(two).unionByName(void).filter(~lost)
 
 
 def parse_pages(whole: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,16 @@ PAGE_KEY = ("provider", "board", "snapshot", "page")
 Parse = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
+def once_each(pages: DataFrame) -> DataFrame:
+    """Pages without repeated ones. Only keys are compared; only the pages that came again are moved."""
+    again = cut(pages.groupBy(*PAGE_KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*[F.col(k).alias(f"_{k}") for k in PAGE_KEY]))
+    if again.isEmpty():
+        return pages
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PAGE_KEY])
+    first = cut(pages.join(again, same, "left_semi").dropDuplicates([*PAGE_KEY]))
+    return pages.join(again, same, "left_anti").unionByName(first)
+
+
 def whole_snapshots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages of each board's newest whole snapshot, pages that have to wait).
 
@@ -69,7 +80,8 @@ def whole_snapshots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = ["provider", "board"]
     counts = pages.groupBy(*own, "snapshot").agg(F.count("*").alias("n"), F.max("pages").alias("pages"))
     newest = counts.filter(F.col("n") >= F.col("pages")).groupBy(*own).agg(F.max("snapshot").alias("newest"))
-    met = cut(pages.join(newest, own, "left"))
+    # One row per board. The pages themselves are read again by either side, not written in between.
+    met = pages.join(cut(newest), own, "left")
     whole = met.filter(F.col("snapshot") == F.col("newest")).drop("newest")
     waiting = met.filter(F.col("newest").isNull() | (F.col("snapshot") > F.col("newest"))).drop("newest")
     return whole, waiting
@@ -101,15 +113,14 @@ def apply_snapshots(
             return tables.read_slices(name, replace[name])
 
         arrived = cut(batch)
-        held = near("waiting", arrived).unionByName(arrived).dropDuplicates([*PAGE_KEY])
-        whole, out["waiting"] = whole_snapshots(cut(held))
+        whole, out["waiting"] = whole_snapshots(once_each(near("waiting", arrived).unionByName(arrived)))
         if "seen" in tables.schemas:
-            marked = cut(whole.withColumn("mark", feeds.page_mark()))
             key, own = ["provider", "board", "page", "mark"], ["provider", "board"]
+            marked = cut(whole.withColumn("mark", feeds.page_mark()).select(*key))
             met = cut(marked.select(*own).distinct())
             seen = near("seen", met)
-            whole = cut(feeds.changed_boards(whole, seen.join(met, own, "left_semi")).drop("mark"))
-            out["seen"] = seen.join(met, own, "left_anti").unionByName(marked.select(*key))
+            whole = feeds.changed_boards(whole, seen.join(met, own, "left_semi"), marked)
+            out["seen"] = seen.join(met, own, "left_anti").unionByName(marked)
         rows, crawled = parse(whole)
         rows, crawled = cut(rows), cut(crawled)
         if not crawled.isEmpty():

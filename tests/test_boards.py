@@ -178,3 +178,11 @@ def test_snapshots_split_over_batches(spark):
     assert not [k for k in rows if k.startswith("b")]  # an empty board of less than ten rows is cleared
     assert len([k for k in rows if k.startswith("c")]) == 6  # its second page never came
     assert [(r["board"], r["page"]) for r in tables.read("waiting").collect()] == [("c", 0)]
+
+
+def test_only_pages_that_came_again_are_moved(spark):
+    rows = [("a", "x", 1, 0, "one"), ("a", "x", 1, 0, "one"), ("a", None, 1, 0, "n"), ("a", None, 1, 0, "n"), ("a", "x", 1, 1, "two"), ("a", "x", 2, 0, None)]
+    pages = spark.createDataFrame(rows, "provider string, board string, snapshot bigint, page int, body string")
+    assert folds.once_each(pages).count() == 4
+    alone = pages.dropDuplicates(["provider", "board", "snapshot", "page"])
+    assert folds.once_each(alone) is alone
