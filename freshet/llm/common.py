@@ -158,3 +158,47 @@ def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the group, place in the group) for groups of the given sizes, laid end to end."""
     group = np.repeat(np.arange(len(counts)), counts)
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def numbered(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(number of each piece, distinct pieces) of UTF-8 text cut at `starts`, the first of which is 0."""
+    offsets = pa.py_buffer(np.append(starts, len(buffer)).astype(np.int64))
+    pieces = pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(buffer)).dictionary_encode()
+    return pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+class WordIds:
+    """Ids of the words that a task has encoded: the place of each word, and the ids of all places end to end."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.held, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)  # with room for more
+
+    @property
+    def n_ids(self) -> int:
+        return int(self.ends[len(self.place)])
+
+    def add(self, words: Sequence[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct words not known yet, with their ids end to end and the number of ids of each."""
+        n, at = len(self.place), self.n_ids
+        more = n + len(words)
+        if more + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(more + 1, np.int64)))
+        if at + len(ids) > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros(at + len(ids), np.int32)))
+        self.ends[n + 1 : more + 1] = at + np.cumsum(counts)
+        self.held[at : at + len(ids)] = ids
+        self.place.update(zip(words, range(n, more)))
+
+    def places(self, words: Sequence[str]) -> np.ndarray:
+        """Place of each word, -1 where it is not known."""
+        known = self.place
+        return np.array([known.get(w, -1) for w in words], np.int64)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words at these places, end to end; number of ids of each)."""
+        starts = self.ends[places]
+        counts = self.ends[places + 1] - starts
+        at = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        at += np.arange(len(at))
+        return self.held[at], counts

@@ -118,3 +118,26 @@ def test_long_runs():
     began = time.time()
     assert model.encode(" " * 1_000_000) == plain.encode(" " * 1_000_000)
     assert time.time() - began < 10
+
+
+def test_pairs_are_looked_up_beside_merges_only():
+    """No more pairs are looked up than there are at first and beside merges."""
+    model, rng, pairs = piece_bpe.PieceModel(PIECE), random.Random(6), []
+    words = sorted({"▁" + "".join(rng.choice("etaoinshrdluéñ.日") for _ in range(rng.randrange(1, 40))) for _ in range(2000)})
+    look_up = model._look_up
+    model._look_up = lambda left, right: (pairs.append(len(left)), look_up(left, right))[1]
+    chars = sum(map(len, words))
+    merged = chars - sum(map(len, model.encode_words(words)))
+    assert sum(pairs) <= chars + 2 * merged + 2 * len(words)
+
+
+def test_pieces_of_chunks_like_the_library(odd, monkeypatch):
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECE), piece_bpe.PieceModel(PIECE)
+    monkeypatch.setattr(piece_bpe, "KEPT_WORDS", 300)
+    texts = ["", *odd, "", *[t or "" for t in TEXTS], " ", "▁", ""]
+    for some in (texts[:40], texts[40:], [""], ["", ""], texts[:5]):
+        flat, n = model.encode_texts(some)
+        assert len(n) == len(some)
+        for text, ids, shown in zip(some, np.split(flat, np.cumsum(n)), model.texts_of(flat, n)):
+            assert ids.tolist() == library.encode(text), repr(text[:80])
+            assert tuple(bytes(x).decode() for x in shown) == (",".join(map(str, ids)), library.decode(ids.tolist())), repr(text[:80])
