@@ -23,7 +23,6 @@ each (ordered by text); an empty table gives an empty manifest; other columns ar
 from __future__ import annotations
 
 import math
-import re
 import struct
 import uuid
 import zlib
@@ -43,8 +42,7 @@ MAGIC = b"PFOR"
 BLOCK = 1024
 WIDTH_PERCENTILE = 99.0
 KEPT_IDS = 12_000_000  # ids of encoded words that a task remembers; after that it starts anew
-_SPACED = re.compile(r" (?=\s)")
-_CUT = re.compile(r" (?=\S)")
+AT_ONCE = 4096  # words encoded at once
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -138,12 +136,44 @@ class Reader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+# White space beyond ASCII as three bytes of UTF-8, and as two.
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+_WIDE_3, _WIDE_2 = (np.array([int.from_bytes(c) for c in _WIDE if len(c) == n], np.int32) for n in (3, 2))
+_NARROW = np.array([i < 0x80 and chr(i).isspace() for i in range(256)])
+_LETTER = np.array([i < 0x80 and chr(i).isalpha() for i in range(256)])
+_MARK = np.array([0x20 < i < 0x7F and not chr(i).isalnum() for i in range(256)])
+
+
+def word_cuts(buffer: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the spaces that something else than white space follows, in UTF-8 texts that end at `ends`."""
+    last = np.zeros(len(buffer) + 1, bool)
+    last[ends] = True
+    at = np.flatnonzero(buffer == 0x20) + 1
+    at = at[~last[at]]
+    at = at[~_NARROW[buffer[at]]]
+    wide = np.flatnonzero(buffer[at] >= 0x80)
+    if len(wide):
+        a, b, c = (buffer[np.minimum(at[wide] + i, len(buffer) - 1)].astype(np.int32) for i in range(3))
+        white = np.isin(a << 16 | b << 8 | c, _WIDE_3) | np.isin(a << 8 | b, _WIDE_2)
+        at = np.delete(at, wide[white])
+    return at - 1
+
+
+def mark_cuts(buffer: np.ndarray) -> np.ndarray:
+    """Places of the ASCII punctuation marks that a letter of ASCII or Latin-1 stands before."""
+    at = np.flatnonzero(_MARK[buffer[1:]]) + 1
+    before, lead = buffer[at - 1], buffer[np.maximum(at - 2, 0)]
+    return at[_LETTER[before] | (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]  # not the signs of times and division
+
+
 class WordEncoder:
     """The tokenizers library with a memory of words.
 
-    The pre-tokenizer ends a token before every space that something else than white space follows.
-    A text is cut there, each new piece is encoded by the library, and the ids are laid end to end,
-    which gives the ids of the whole text.
+    The pre-tokenizer ends a token before every space that something else than white space follows, and
+    between a letter and a punctuation mark. Texts are cut there, each new piece is encoded by the library,
+    and the ids are laid end to end, which gives the ids of the whole texts. The new pieces of a chunk are
+    encoded many at once, as one text where they begin with such a space; the bytes of each token tell
+    which piece it belongs to.
     """
 
     def __init__(self, path: str) -> None:
@@ -154,34 +184,59 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.n_known = 0
+        self.words = common.WordIds()
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # each character of a byte-level token is one byte
         for token, i in vocab.items():
             self.width[i] = len(token)
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _library(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: Sequence[str], sizes: np.ndarray) -> None:
+        """Encode pieces that begin with a space before something else than white space; sizes: their bytes."""
+        for a in range(0, len(pieces), AT_ONCE):
+            some = pieces[a : a + AT_ONCE]
+            ids = self._library(["".join(some)])[0]
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes[a : a + AT_ONCE]), side="right")
+            self.words.add(some, ids, np.diff(cuts, prepend=0))
+
+    def _learn_others(self, pieces: Sequence[str]) -> None:
+        """Encode heads of texts and what follows from a mark on, each as a text of its own."""
+        ids = self._library(pieces)
+        self.words.add(pieces, np.concatenate([np.zeros(0, np.int32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def encode_texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, end to end; ids of each text."""
+        data = [x.encode() for x in texts]
+        buffer = np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        spaced, begins = np.zeros(len(buffer), bool), np.zeros(len(buffer) + 1, bool)
+        spaced[word_cuts(buffer, ends)] = True
+        begins[:-1] = spaced
+        begins[mark_cuts(buffer)] = True
+        begins[np.append(0, ends[:-1])] = True
+        starts = np.flatnonzero(begins[:-1])
+        number, distinct = common.numbered(buffer, starts)
+        if len(self.words.place) * 8 + self.words.n_ids > KEPT_IDS:
+            self.words = common.WordIds()
+        places = self.words.places(distinct)
+        after_space, size = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+        after_space[number] = spaced[starts]  # no other piece begins like these
+        size[number] = np.diff(np.append(starts, len(buffer)))
+        known, new = len(self.words.place), np.flatnonzero(places < 0)
+        words, others = new[after_space[new]], new[~after_space[new]]
+        self._learn([distinct[i] for i in words.tolist()], size[words])
+        self._learn_others([distinct[i] for i in others.tolist()])
+        places[np.append(words, others)] = np.arange(known, len(self.words.place))
+        ids, counts = self.words.ids(places[number])
+        before = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, ends)]
+        return ids, np.diff(before, prepend=0)
 
     def encode(self, data: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [_CUT.split(x) if _SPACED.search(x) else x.split(" ") for x in data]
-        if self.n_known > KEPT_IDS:
-            self.known, self.n_known = {}, 0
-        known = self.known
-        fresh = list({w for p in parts for w in p[1:] if w not in known})
-        for a in range(0, len(fresh), 4096):
-            some = [w for w in fresh[a : a + 4096] if w]
-            ids = self._plain(" " + " ".join(some)) if some else np.zeros(0, "<u4")
-            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
-            cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends, side="right")).tolist()
-            raw = ids.tobytes()
-            known.update(zip(some, [raw[b:e] for b, e in zip([0, *cuts], cuts)]))
-            self.n_known += len(ids) + 8 * len(some)
-            if len(some) < len(fresh[a : a + 4096]):
-                known[""] = self._plain(" ").tobytes()
-        return [self._plain(p[0]).tobytes() + b"".join([known[w] for w in p[1:]]) for p in parts]
+        ids, counts = self.encode_texts(data)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(data) else []
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -212,17 +267,19 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id",
         system, path = file_system(folder)
         part = TaskContext.get().partitionId()
         name, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.pfor", None, encoder_of(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
         for (keys,), data in common.chunks(batches):
             if writer is None:
                 system.create_dir(path, recursive=True)
                 writer = Writer(system.open_output_stream(f"{path}/{name}"))
-            ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode([x.decode("utf-8", "replace") for x in data])]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, counts = encoder.encode_texts([x.decode("utf-8", "replace") for x in data])
+            sizes = counts + 1
+            ended, of_text = np.full(sizes.sum(), end_id, np.uint32), np.ones(sizes.sum(), bool)
+            of_text[np.cumsum(sizes) - 1] = False
+            ended[of_text] = ids
             at = writer.n + np.cumsum(sizes) - sizes
-            writer.add(np.concatenate(ids))
+            writer.add(ended)
             yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array([name] * len(ids)), pa.array(at), pa.array(sizes)],
+                [keys.cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)), pa.array([name] * len(sizes)), pa.array(at), pa.array(sizes)],
                 ["_key", "part", "file", "at", "n_tokens"],
             )
         if writer is not None:

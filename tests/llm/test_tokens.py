@@ -141,3 +141,35 @@ def test_pieces_of_chunks_like_the_library(odd, monkeypatch):
         for text, ids, shown in zip(some, np.split(flat, np.cumsum(n)), model.texts_of(flat, n)):
             assert ids.tolist() == library.encode(text), repr(text[:80])
             assert tuple(bytes(x).decode() for x in shown) == (",".join(map(str, ids)), library.decode(ids.tolist())), repr(text[:80])
+
+
+def test_library_encodes_many_words_at_once(monkeypatch):
+    """One call for the new words of a chunk and one for the rest; a word and the mark after it are remembered apart."""
+    encoder, library = pt.WordEncoder(BYTE), Tokenizer.from_file(BYTE)
+    library.encode_special_tokens = True
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.append(list(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    texts = [f"Head{i} some word{'.,!?'[i % 4]} and éré{'.,;:'[i % 4]} more" for i in range(400)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(given) <= 4
+    assert sum(x.count(" word") for texts in given for x in texts) == 1
+
+
+def test_word_cuts_beside_odd_characters(monkeypatch):
+    """Spaces before white space of any kind, marks after letters and signs of any kind."""
+    encoder, library = pt.WordEncoder(BYTE), Tokenizer.from_file(BYTE)
+    library.encode_special_tokens = True
+    monkeypatch.setattr(pt, "KEPT_IDS", 2000)
+    monkeypatch.setattr(pt, "AT_ONCE", 7)
+    rng, signs = random.Random(7), [*" \t\n.,'’!-_«(×÷éßàªºaZ7²日🙂", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u3001", "\u0301", "'s", "'ll", "<|endoftext|>", " the", "  "]
+    texts = ["", *["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(6000)], ""]
+    for some in (texts[:50], texts[50:3000], texts[3000:], [""], ["", ""]):
+        for text, ids in zip(some, encoder.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
