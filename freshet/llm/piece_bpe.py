@@ -287,7 +287,8 @@ class PieceModel:
         begins[ends[:-1][ends[:-1] < len(buffer)]] = True
         starts = np.flatnonzero(begins)
         number, distinct = common.numbered(buffer, starts)
-        ids, counts = self.words.ids(self.remember(distinct)[number])
+        places = self.remember(distinct)[number]
+        ids, counts = self.words.ids(places)
         before = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, ends)]
         return ids, np.diff(before, prepend=0)
 
