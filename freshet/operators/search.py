@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from freshet.session import cut
 # The usual bm25 constants and the floor for very common phrases.
 BM25_K1, BM25_B, BM25_MIN_IDF = 1.2, 0.75, 1e-6
 PREFIX_MIN = 2
+RUN_WORDS = 1 << 21  # words sorted at once in a task; one document of more words is sorted by itself
+BATCH_ROWS = 1 << 16  # rows handed back to Spark at once
 
 
 @dataclass(frozen=True)
@@ -55,6 +60,9 @@ class SearchIndex:
     terms: DataFrame  # doc_id, field, term, length, positions
     lengths: DataFrame  # doc_id, length (tokens of every indexed field)
     summary: DataFrame | None = None  # one row: n, total; where it is kept, no search reads the lengths
+    # Terms and lengths from one pass over the texts: rows without a field and a term are those of `lengths`, the
+    # others those of `terms`, in runs that are sorted by term.
+    rows: DataFrame | None = None
 
     def stats(self) -> tuple[int, float]:
         """Number of documents and mean length, one row."""
@@ -101,6 +109,65 @@ def _term_places(lists: Column) -> Column:
     return let(F.sort_array(F.flatten(F.transform(lists, placed))), lambda every: let(starts(every), lambda first: cut_at(every, first)))
 
 
+def _run_of(batches: Sequence[pa.RecordBatch], fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of `SearchIndex.rows` for some documents: their lengths, then the terms of each field in order.
+
+    The batches have doc_id and per field the words of each of the document's rows.
+    """
+    every = pa.Table.from_batches(batches).combine_chunks()
+    ids, *texts = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in every.columns]
+    n = len(ids)
+    n_rows = pa.compute.list_value_length(texts[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc_of_row, first = np.repeat(np.arange(n), n_rows), np.cumsum(n_rows) - n_rows
+    lists = [t.flatten() for t in texts]
+    sizes = [pa.compute.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    length = np.sum(sizes, axis=0)
+
+    def batch(docs: np.ndarray, field: str | None, terms: pa.Array, lengths: np.ndarray, positions: pa.Array) -> Iterator[pa.RecordBatch]:
+        names = pa.array([field] * len(docs), pa.string()) if field is None else pa.DictionaryArray.from_arrays(np.zeros(len(docs), np.int32), [field]).cast(pa.string())
+        out = pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(docs)), names, terms.cast(pa.string()), pa.array(lengths), positions], ["doc_id", "field", "term", "length", "positions"])
+        for start in range(0, len(docs), BATCH_ROWS):
+            yield out.slice(start, BATCH_ROWS)
+
+    none = len(length)
+    yield from batch(doc_of_row, None, pa.nulls(none, pa.string()), length, pa.nulls(none, pa.list_(pa.int32())))
+    for field, rows, size in zip(fields, lists, sizes):
+        words = rows.flatten().dictionary_encode()
+        if not len(words):
+            continue
+        known = words.dictionary
+        order = pa.compute.sort_indices(known).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        key = rank[words.indices.to_numpy()] * n + np.repeat(doc_of_row, size)
+        # Places of a document's one row are in order already.
+        by = np.argsort(key, kind="stable") if none == n else np.lexsort((place, key))
+        key = key[by]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        docs, terms = key[starts] % n, known.take(pa.array(order[key[starts] // n]))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[by], pa.int32()))
+        yield from batch(docs, field, terms, length[first[docs]], positions)
+
+
+def _sorted_runs(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += sum(len(c.flatten().flatten()) for c in batch.columns[1:])
+            if size >= RUN_WORDS:
+                yield from _run_of(held, fields)
+                held, size = [], 0
+        if held:
+            yield from _run_of(held, fields)
+
+    return run
+
+
 def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], unsearched: Sequence[str] = ()) -> SearchIndex:
     """K8: term positions per document and field.
 
@@ -123,7 +190,9 @@ def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], unsearched:
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), _term_places(F.col(f"w{i}")).alias("terms")) for i, f in enumerate(fields)])
     found = split.select("doc_id", size, F.explode(per_field).alias("f"))
     terms = found.select("doc_id", "f.field", "length", F.explode("f.terms").alias("t")).select("doc_id", "field", "t.term", "length", "t.positions")
-    return SearchIndex(terms, plain.select("doc_id", length(F.col("texts")).alias("length")))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    rows = split.mapInArrow(_sorted_runs(fields), f"doc_id {kind}, field string, term string, length bigint, positions array<int>")
+    return SearchIndex(terms, plain.select("doc_id", length(F.col("texts")).alias("length")), rows=rows)
 
 
 def index_rows(postings: DataFrame, ids: DataFrame) -> DataFrame:

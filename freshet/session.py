@@ -104,6 +104,27 @@ def unpacked_sizes(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PACKED, before) if before else spark.conf.unset(PACKED)
 
 
+LEAN = {
+    # The files of a shuffle go when its query ends. By default they stay until the driver happens to collect its
+    # garbage, so a job of many steps holds what all of them have shuffled.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # of whole texts
+}
+
+
+@contextmanager
+def lean_writes(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind and hand texts to Python in small batches."""
+    before = {key: spark.conf.get(key, None) for key in LEAN}
+    for key, value in LEAN.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 _OWN_DIRS: dict[str, str] = {}
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +64,14 @@ class PublishedTables:
         folders = self.current()["tables"].get(name, {}).get("folders", {})
         return self._folders(name, [folders[str(s)] for s in wanted if str(s) in folders])
 
-    def publish(self, tables: dict[str, DataFrame], token: str | None = None, replace: dict[str, list[int]] | None = None) -> None:
+    def publish(self, tables: dict[str, DataFrame], token: str | None = None, replace: dict[str, list[int]] | None = None, unused: Sequence[str] = ()) -> None:
         """K6: write the tables, then swap the pointer. `replace` names the slices that a table's rows replace;
-        without it they replace the table. A token that is published already is not published again."""
+        without it they replace the table. A token that is published already is not published again. `unused`
+        names folders that the tables of before refer to and these do not; they go when replaced slices go."""
         now = self.current()
         if token is not None and now["token"] == token:
             return
-        listed, retired = dict(now["tables"]), []
+        listed, retired = dict(now["tables"]), [*unused]
         for name, df in tables.items():
             old = listed.get(name, {"slices": None, "folders": {}})
             column, wanted = self.by.get(name), (replace or {}).get(name)
