@@ -46,9 +46,30 @@ def _fold_wide(values: pd.Series) -> pd.Series:
     return values.map(_fold, na_action="ignore")
 
 
+_WIDE = re.compile(r"[^\x00-\x7f]")
+WIDE_KINDS = 64  # of a text with more kinds of non-ASCII characters all are taken at once
+
+
+@functools.cache
+def _bare(char: str) -> str:
+    return strip_marks(char, "NFD")
+
+
+def _unaccented(text: str) -> str:
+    """`strip_marks(text, "NFD").lower()`, by kinds of characters: a decomposed text is that of its characters but for
+    the order of their marks, which go."""
+    wide = set(_WIDE.findall(text))
+    if len(wide) > WIDE_KINDS:
+        return strip_marks(text, "NFD").lower()
+    for char in wide:
+        if _bare(char) != char:
+            text = text.replace(char, _bare(char))
+    return text.lower()
+
+
 @F.pandas_udf(StringType())
 def _unaccent_wide(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: strip_marks(s, "NFD").lower(), na_action="ignore")
+    return values.map(_unaccented, na_action="ignore")
 
 
 def _wide_only(text: Column, udf) -> Column:

@@ -109,6 +109,16 @@ def _term_places(lists: Column) -> Column:
     return let(F.sort_array(F.flatten(F.transform(lists, placed))), lambda every: let(starts(every), lambda first: cut_at(every, first)))
 
 
+def _stable_order(values: np.ndarray) -> np.ndarray:
+    """`argsort` of numbers from 0 on, equal ones as they stand: by 16 bits at a time, which numpy sorts by counting."""
+    by = np.argsort(values.astype(np.uint16), kind="stable")
+    shift = 16
+    while int(values.max(initial=0)) >> shift:
+        by = by[np.argsort((values[by] >> shift).astype(np.uint16), kind="stable")]
+        shift += 16
+    return by
+
+
 def _run_of(batches: Sequence[pa.RecordBatch], fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Rows of `SearchIndex.rows` for some documents: their lengths, then the terms of each field in order.
 
@@ -124,14 +134,14 @@ def _run_of(batches: Sequence[pa.RecordBatch], fields: Sequence[str]) -> Iterato
     length = np.sum(sizes, axis=0)
 
     def batch(docs: np.ndarray, field: str | None, terms: pa.Array, lengths: np.ndarray, positions: pa.Array) -> Iterator[pa.RecordBatch]:
-        names = pa.array([field] * len(docs), pa.string()) if field is None else pa.DictionaryArray.from_arrays(np.zeros(len(docs), np.int32), [field]).cast(pa.string())
+        names = pa.repeat(pa.scalar(field, pa.string()), len(docs))
         out = pa.RecordBatch.from_arrays(
             [ids.take(pa.array(docs)), names, terms.cast(pa.string()), pa.array(lengths), positions], ["doc_id", "field", "term", "length", "positions"])
         for start in range(0, len(docs), BATCH_ROWS):
             yield out.slice(start, BATCH_ROWS)
 
-    none = len(length)
-    yield from batch(doc_of_row, None, pa.nulls(none, pa.string()), length, pa.nulls(none, pa.list_(pa.int32())))
+    every_row = len(length)
+    yield from batch(doc_of_row, None, pa.nulls(every_row, pa.string()), length, pa.nulls(every_row, pa.list_(pa.int32())))
     for field, rows, size in zip(fields, lists, sizes):
         words = rows.flatten().dictionary_encode()
         if not len(words):
@@ -141,13 +151,13 @@ def _run_of(batches: Sequence[pa.RecordBatch], fields: Sequence[str]) -> Iterato
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-        key = rank[words.indices.to_numpy()] * n + np.repeat(doc_of_row, size)
-        # Places of a document's one row are in order already.
-        by = np.argsort(key, kind="stable") if none == n else np.lexsort((place, key))
-        key = key[by]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        docs, terms = key[starts] % n, known.take(pa.array(order[key[starts] // n]))
-        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[by], pa.int32()))
+        term, doc = rank[words.indices.to_numpy()], np.repeat(doc_of_row, size)
+        # Words come by document, those of a document's one row by place.
+        by = _stable_order(term) if every_row == n else np.lexsort((place, doc, term))
+        term, doc = term[by], doc[by]
+        starts = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))))
+        docs, terms = doc[starts], known.take(pa.array(order[term[starts]]))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(by)), pa.int32()), pa.array(place[by], pa.int32()))
         yield from batch(docs, field, terms, length[first[docs]], positions)
 
 
@@ -158,7 +168,7 @@ def _sorted_runs(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]],
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += sum(len(c.flatten().flatten()) for c in batch.columns[1:])
+            size += batch.num_rows + sum(len(c.flatten().flatten()) for c in batch.columns[1:])
             if size >= RUN_WORDS:
                 yield from _run_of(held, fields)
                 held, size = [], 0

@@ -1,7 +1,7 @@
 """A search index that is kept by adding segments: an update reads and writes the touched documents alone.
 
 A segment is a folder that is never changed: the terms of the documents of one update, in files by document
-and sorted in each (a search opens the pages of every file that may hold its words), the lengths of these
+and sorted runs in each (a search opens the pages of every file that may hold its words), the lengths of these
 documents as rows without a term, and the ids that the update replaced or removed (`gone`), which hide their
 rows in earlier segments. Terms go straight from their documents to these files: they are neither written
 before nor shuffled, as either would take as much disk again as the index. The table `live` (sliced by document) says how long each document is now, so the number of
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators.search import SearchIndex
+from freshet.operators.search import RUN_WORDS, SearchIndex
 from freshet.session import cut, lean_writes
 from freshet.sources.store import PublishedTables
 
@@ -67,12 +67,18 @@ class SegmentedIndex:
         """Rows of the segments, to be merged, without those that a later one hides.
 
         Which documents are hidden is found out from their ids alone, so that only these meet the rows, by a broadcast
-        where they are few, and the rows of an index do not move.
+        where they are few, and the rows of an index do not move. Where none is hidden, large segments are copied as they are:
+        their runs are long enough to search, and sorting them anew would spill as much as they hold.
         """
         rows = reduce(DataFrame.unionByName, map(self._rows, segments))
         ids = rows.filter(F.col("term").isNull()).select("number", "doc_id").distinct()
         hidden = cut(ids.join(self._last(segments[1:]), "doc_id").filter(F.col("number") < F.col("hides")).select("number", "doc_id"))
-        return rows.join(hidden, ["number", "doc_id"], "left_anti").sortWithinPartitions("term", "doc_id")
+        if not hidden.isEmpty():
+            return rows.join(hidden, ["number", "doc_id"], "left_anti").sortWithinPartitions("term", "doc_id")
+        large = [self._rows(s) for s in segments if s["rows"] > RUN_WORDS]
+        small = [self._rows(s) for s in segments if s["rows"] <= RUN_WORDS]
+        again = [reduce(DataFrame.unionByName, small).sortWithinPartitions("term", "doc_id")] if small else []
+        return reduce(DataFrame.unionByName, large + again)
 
     def _write(self, rows: DataFrame, gone: DataFrame) -> str:
         folder = f"{self.root}/segments/{uuid.uuid4().hex}"

@@ -120,3 +120,30 @@ def test_runs_are_sorted_also_beyond_65536_terms():
     assert [(r["term"], r["doc_id"]) for r in found] == sorted((r["term"], r["doc_id"]) for r in found) and len(found) == 70003
     assert all([words[r["doc_id"] - 1][0][p] for p in r["positions"]] == [r["term"]] * len(r["positions"]) for r in found)
     assert sum(len(r["positions"]) for r in found) == 140003 and all(r["positions"] == sorted(r["positions"]) for r in found)
+
+
+def test_unaccented_by_kinds_of_characters():
+    import sys
+
+    from freshet.functions.text import WIDE_KINDS, _unaccented, strip_marks
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    some = random.Random(5).sample(every, 4000) + [chr(c) for c in range(0x80, 0x600)] + ["e\u0301\u0323", "ÅΣ Σας ΟΔΟΣ", "İi", "각"]
+    texts = [" ".join(random.Random(i).choices(some, k=1 + i % 9)) + "aΣ" for i in range(3000)] + some
+    texts += ["".join(every[0x80 : 0x80 + WIDE_KINDS + 1]), "".join(every[0xC0:0x17F])]
+    assert [_unaccented(t) for t in texts] == [strip_marks(t, "NFD").lower() for t in texts]
+
+
+def test_large_segments_are_merged_as_they_are(spark, monkeypatch):
+    from freshet.operators import segments
+
+    monkeypatch.setattr(segments, "RUN_WORDS", 20)
+    docs = {i: f"red w{i % 7} green" for i in range(80)}
+    kept = SegmentedIndex(spark, workdir(spark), "bigint", slices=4)
+    kept.update(built(spark, docs), ids(spark, docs))
+    for some in (range(0, 6), range(6, 14), range(14, 22), range(22, 40)):  # 24 to 72 rows, but none of them twice
+        docs |= {i: "blue small flat old" for i in some}
+        kept.update(built(spark, {i: docs[i] for i in some}), ids(spark, some))
+    assert len(kept.segments()) == 2
+    assert scores(kept.index(), "blue") == scores(built(spark, docs), "blue")
+    assert scores(kept.index(), "w3") == scores(built(spark, docs), "w3")
